@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, url_filter
+from cohortgraph.llm import exact_dedup, ngram_join, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, 85 %: the contract of the query. The operator's own defaults are five words and 80 %."""
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -19,5 +24,5 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filters, op8_exact_dedup)}
-ORACLE = {"op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_url_filters, op8_exact_dedup)}
+ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
