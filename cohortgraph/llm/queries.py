@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, ngram_join, url_filter
+from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), digest=True)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -24,5 +29,5 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op6_url_filters, op8_exact_dedup)}
-ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_line_dedup, op6_url_filters, op8_exact_dedup)}
+ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
