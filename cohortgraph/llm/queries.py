@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, url_filter
+from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, url_filter, wavelet_shards
+
+from cohortgraph.llm.shared import new_path
+from cohortgraph.llm.tokens import vocabulary
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +19,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), digest=True)
@@ -25,9 +32,16 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards to the shared folder and answers from the files."""
+    path = new_path(spark, "shards")
+    wavelet_shards.write_shards(read(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return wavelet_shards.documents_of(wavelet_shards.read_shards(spark, path), digest=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_line_dedup, op6_url_filters, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup)}
 ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
