@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, url_filter, wavelet_shards
-
+from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, quality_rules, url_filter, wavelet_shards
 from cohortgraph.llm.shared import new_path
 from cohortgraph.llm.tokens import vocabulary
 
@@ -19,6 +18,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -43,5 +46,5 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup)}
 ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
