@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, quality_rules, source_mixing, url_filter, wavelet_shards
+from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, quality_rules, source_mixing, url_filter, wavelet_shards, weak_quality
 from cohortgraph.llm.shared import new_path
 from cohortgraph.llm.tokens import vocabulary
 
@@ -50,5 +50,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup)}
+def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.classify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup, op9_weak_quality)}
 ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op4_source_mixing": source_mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
