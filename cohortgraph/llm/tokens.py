@@ -11,14 +11,17 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from cohortgraph.llm.text_arrays import Words, slices
 
-#: Different words that a Python worker remembers before it starts anew.
-MEMO_WORDS = 1_000_000
+#: Different words whose ids a Python worker remembers before it starts anew, about 60 bytes each.
+MEMO_WORDS = 2_000_000
+#: Different letter runs that it remembers while it encodes words.
+MEMO_LETTERS = 300_000
 
 
 def vocabulary(name: str) -> str:
@@ -66,28 +69,27 @@ def tokenizers_words(path: str) -> Callable[[list[str]], list[list[int]]]:
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)
-    model, letters = full.model, str.maketrans({b: c for b, c in _byte_letters().items()})
-    plain = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]?)")
-    known: dict[str, list[int]] = {}
-
-    def one(s: str) -> list[int]:
-        if (out := known.get(s)) is None:
-            if len(known) >= MEMO_WORDS:
-                known.clear()
-            out = known[s] = [t.id for t in model.tokenize(s.encode().decode("latin-1").translate(letters))]
-        return out
+    tokenize, letters = full.model.tokenize, str.maketrans(_byte_letters())
+    plain = re.compile("^(?:([a-zß-öø-ÿ]{1,60})([.,;:!?]?)|.*)$", re.M).findall
+    known: dict[str, list[int]] = {"": []}
 
     def encode(words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        odd = []
-        for i, w in enumerate(words):
-            if len(w) < 64 and (m := plain.fullmatch(w.lower())) and w.isprintable() and max(w) <= "ÿ":
-                out[i] = one(m[1]) + (one(m[2]) if m[2] else [])
-            else:
-                odd.append(i)
-        if odd:
-            for i, e in zip(odd, full.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
-                out[i] = e.ids
+        # Letters that lower() brings into Latin-1 from outside are brought there by the vocabulary's normaliser too.
+        found = plain("\n".join(words).lower()) if words else []
+        heads = [a for a, _ in found]
+        new = set(heads).difference(known)
+        if len(known) + len(new) > MEMO_LETTERS:
+            known.clear()
+            known.update({"": []} | {x: [t.id for t in tokenize(x)] for x in ".,;:!?"})
+            new = set(heads).difference(known)
+        elif "." not in known:
+            known.update((x, [t.id for t in tokenize(x)]) for x in ".,;:!?")
+        for x in new:
+            known[x] = [t.id for t in tokenize(x if x.isascii() else x.encode().decode("latin-1").translate(letters))]
+        out = [known[a] + known[b] if b else known[a] for a, b in found]
+        odd = [i for i, a in enumerate(heads) if not a]
+        for i, e in zip(odd, full.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
+            out[i] = e.ids
         return out
 
     return encode
@@ -106,43 +108,66 @@ def word_ids(path: str, kind: str = "tokenizers") -> WordIds:
 
 
 class WordIds:
-    """Ids of each word of a text in turn, for vocabularies whose ids don't depend on white space."""
+    """Ids of each word of a text in turn, for vocabularies whose ids don't depend on white space.
+
+    Words are remembered by their 64-bit hashes."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
         self.begin, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.old, self.young = none, none  # sorted word hashes and their numbers; the young join the old in larger steps
 
-    def _add(self, new: list[bytes]) -> None:
+    def _add(self, hashes: np.ndarray, new: list[bytes]) -> None:
         ids = self.encode([w.decode("utf-8", "replace") for w in new])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, size = len(self.index), int(lengths.sum())
+        n, size = self.words, int(lengths.sum())
         while n + len(new) > len(self.begin):
             self.begin, self.length = np.concatenate((self.begin, self.begin)), np.concatenate((self.length, self.length))
         while self.used + size > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
         self.begin[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(new)] = lengths
-        self.flat[self.used : self.used + size] = np.fromiter((x for i in ids for x in i), np.uint32, size)
+        self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(ids), np.uint32, size)
         self.used += size
-        self.index.update(zip(new, range(n, n + len(new))))
+        self.words += len(new)
+        self.young = self._merged(self.young, (hashes, np.arange(n, n + len(new))))
+        if 4 * len(self.young[0]) > len(self.old[0]):
+            self.old, self.young = self._merged(self.old, self.young), (self.young[0][:0], self.young[1][:0])
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, numbers = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], numbers[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes, -1 where they are not known."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, numbers in (self.old, self.young):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = numbers[at[hit]]
+        return out
 
     def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts one after another, first: index of each text's first id and the end, ids of each word)."""
-        _, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        data, lo, hi = words.data.tobytes(), words.starts[at].tolist(), words.ends[at].tolist()
-        different = [data[a:b] for a, b in zip(lo, hi)]
-        new = [w for w in different if w not in self.index]
-        if len(self.index) + len(new) > MEMO_WORDS:
+        hashes, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        which = self._find(hashes)
+        if self.words + (which < 0).sum() > MEMO_WORDS:
             self.clear()
-            new = different
-        if new:
-            self._add(new)
-        which = np.fromiter(map(self.index.__getitem__, different), np.int64, len(different))[back]
+            which[:] = -1
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            data = words.data.tobytes()
+            which[new] = np.arange(self.words, self.words + len(new))
+            self._add(hashes[new], [data[a:b] for a, b in zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())])
+        which = which[back]
         lengths = self.length[which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
