@@ -119,9 +119,9 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
 
     A context is the text around a point drawn by a hash; the bound keeps the sample small whatever the corpus."""
     t = F.col(text_col)
-    sampled = docs.where(F.length(t) > 0).select(t.alias("t"), F.xxhash64(t).alias("h")).orderBy("h", F.length("t")).limit(contexts)
-    at = F.pmod(F.col("h"), F.length("t").cast("long")).cast("int")
-    ctx = sampled.select("h", F.substring("t", F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))).alias("b"), F.substring("t", at + 1, F.lit(AROUND)).alias("a"))
+    at = F.pmod(F.xxhash64(t), F.length(t).cast("long")).cast("int")
+    around = docs.where(F.length(t) > 0).select(F.xxhash64(t).alias("h"), F.substring(t, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))).alias("b"), F.substring(t, at + 1, F.lit(AROUND)).alias("a"))
+    ctx = cut(around.orderBy("h", "b", "a").limit(contexts))
     n = lambda k, lo, hi: (F.pmod(F.xxhash64("h", F.lit(k)), F.lit(hi - lo + 1)) + lo).cast("string")
     z = lambda k, w: F.lpad(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(10**w)).cast("string"), w, "0")
     word = lambda k: F.translate(F.substring(F.md5(F.concat(F.col("h").cast("string"), F.lit(str(k)))), 1, 7), "0123456789", "ghijklmnop")
@@ -152,11 +152,11 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
         ("email", 0, F.concat(word(1), at_, n(12, 1, 12), F.lit("."), z(13, 2))),
     ]
     lead = {"phone": ("Tel. ", "No. "), "card": ("card ", "ref "), "ip": ("host ", "version "), "email": ("write ", "look ")}
-    rows = []
+    items = []
     for k, (kind, label, item) in enumerate(made):
         hinted = F.when(F.pmod(F.xxhash64("h", F.lit(100 + k)), F.lit(3)) == 0, F.concat("b", F.lit(" " + lead[kind][1 - label]))).otherwise(F.concat("b", F.lit(" ")))
-        rows.append(ctx.select("h", F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(float(label)).alias("label"), hinted.alias("before"), item.alias("m"), F.concat(F.lit(" "), "a").alias("after")))
-    every = reduce(DataFrame.union, rows)
+        items.append(F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(float(label)).alias("label"), hinted.alias("before"), item.alias("m")))
+    every = cut(ctx.select("h", "a", F.explode(F.array(*items)).alias("x")).select("h", "x.*", F.concat(F.lit(" "), "a").alias("after")))
     f = features(F.col("m"), F.col("before"), F.col("after"), F.col("kind"))
     return every.select("h", "k", "kind", "label", *(c.alias(name) for name, c in f.items()), *((F.col("kind") == k).cast("double").alias(f"is_{k}") for k in KINDS))
 
