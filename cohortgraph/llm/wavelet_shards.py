@@ -54,7 +54,7 @@ class WaveletMatrix:
             plane = np.zeros(blocks * BLOCK // 8, np.uint8)
             packed = np.packbits(b, bitorder="little")
             plane[: len(packed)] = packed
-            ones = np.bitwise_count(plane.view(np.uint64)).reshape(blocks, -1).sum(axis=1)
+            ones = np.bitwise_count(plane.view(np.uint64)).reshape(blocks, BLOCK // 64).sum(axis=1)
             body += [plane.tobytes(), np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes()]
             low = x[~b]
             zeros.append(len(low))

@@ -1,15 +1,4 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    return s
 
 
 #: Texts that every operator must take: null, empty, blank, one word, repeats, a long run of one character, a long text.
