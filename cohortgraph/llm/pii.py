@@ -97,7 +97,7 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_HINT[kind]), F.filter(spans(text, BASE[kind]), lambda x: valid(kind, x["m"]))).otherwise(none)
 
 
-FEATURES = ("chars", "digits", "letters", "groups", "seps", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end")
+FEATURES = ("chars", "digits", "letters", "groups", "seps", "dots", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end")
 
 
 def features(m: Column, before: Column, after: Column, kind: Column) -> dict[str, Column]:
@@ -106,7 +106,7 @@ def features(m: Column, before: Column, after: Column, kind: Column) -> dict[str
     count = lambda p: (F.length(m) - F.length(F.regexp_replace(m, p, ""))).cast("double")
     return {
         "chars": F.length(m).cast("double"), "digits": F.length(d).cast("double"), "letters": count("[A-Za-z]"),
-        "groups": F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")).cast("double"), "seps": count("[._/-]"), "brackets": count(r"[\[\](){}]"), "spaces": count(r"\x20"),
+        "groups": F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")).cast("double"), "seps": count("[._/-]"), "dots": count(r"\."), "brackets": count(r"[\[\](){}]"), "spaces": count(r"\x20"),
         "zero_first": flag(d.startswith("0")), "luhn_ok": flag(F.when(F.length(d).between(13, 19), luhn(d))), "even_groups": flag(m.rlike(r"^[^0-9]*([0-9]{4}[^0-9]+){3}[0-9]{4}$")),
         "before_letter": flag(before.rlike(r"\p{L}$")), "before_digit": flag(before.rlike(r"[0-9][.,:/\x20-]?$")), "after_letter": flag(after.rlike(r"^\p{L}")), "after_digit": flag(after.rlike(r"^[.,:/\x20-]?[0-9]")),
         "phone_word": flag(before.rlike(_PHONE_WORDS)), "other_word": flag(before.rlike(_OTHER_WORDS + r"[^0-9]{0,6}$")), "currency": flag(before.rlike(r"[$€£#]\x20?$") | after.rlike(r"^\x20?[%€$£]")),
