@@ -4,21 +4,25 @@ A document is its set of hashed word shingles. Documents with equal sets are one
 
 1. Grouping. Classes that share a min-hash band are compared with the smallest class of that band's bucket, and confirmed
    links make *groups* of similar classes (connected components). Grouping only decides cost, never the result.
-2. Matrix. A group's column is the union of its members' tokens, as an OR of fixed-width bitmaps over hashed tokens.
-   Rows that can matter are the rare-first prefixes: two sets at the threshold share a token among the first
-   n - ceil(t * n) + 1 of both, in any order that all documents agree on. The order is by corpus frequency, from a
-   count sketch of fixed size over all documents, so shared passages come last and rarely index anything.
-3. Bound. A query class meets each group other than its own that holds one of its prefix tokens. Tokens of the query whose
-   bits are not in the group's column are missing from every member; too many of them rule the group out.
-4. Open. Members of qualifying groups pass the same bound one by one, then whole texts are compared exactly.
+2. Matrix. A group's column is the union of its members' tokens, as an OR of bitmaps over hashed tokens. Rows are
+   *blocks*: linked sets of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b) tokens, so when tokens are hashed
+   into more blocks than that, the two agree on whole blocks. A document has a row for the contents of each of its blocks,
+   for its own class of sizes and for the next where it can have larger partners. Rows with one class only go.
+   Tokens that a fixed-size count sketch of the whole corpus shows to be very common (shared passages) are left out of the
+   blocks, which keeps the difference within the same limit.
+3. Bound. A query class meets the groups, other than its own, that have one of its rows. Tokens of the query whose bits are
+   not in a group's column are missing from every member; too many of them rule the group out.
+4. Open. Members of qualifying groups pass the two-sided bound one by one, then whole texts are compared exactly.
 
 Links inside a group need no pair-by-pair check because its members are connected already; every other link is found.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,84 @@ from pyspark.sql import functions as F
 from cohortgraph.llm.shared import components, table
 from cohortgraph.llm.text_arrays import Words, mix, slices
 
-#: Counters of the frequency sketch, whatever the corpus: its levels, a byte each, are sent to every task.
-SKETCH = 1 << 20
-SKETCH_PARTS = 16
-#: Bits of a matrix column.
-COLUMN_BITS = 2048
+#: Counters of the frequency sketch, whatever the corpus; a bit of each is sent to every task.
+SKETCH_BITS = 24
+SKETCH, SKETCH_PARTS = 1 << SKETCH_BITS, 64
+#: A token is very common when it is in more than this share of the documents.
+COMMON = 1 / 16
+#: Blocks of fewer tokens say too little to be rows.
+SMALL = 2
+#: Bits of a matrix column for each token, and the least and most longs of a column.
+COLUMN_BITS, LEAST_COLUMN, MOST_COLUMN = 3, 8, 2048
+#: Members of a group that are tried before all of them.
+FEW = 8
 #: Min-hash bands and their width, for grouping.
 BANDS, BAND_ROWS = 8, 3
 
-_DOC = "id long, n int, h1 long, h2 long, bands array<long>, bits array<long>, prefix array<long>"
+_DOC = "id long, n int, h1 long, h2 long, bands array<long>, bits array<long>"
 _SEEDS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+@lru_cache(maxsize=4)
+def size_limits() -> np.ndarray:
+    """Smallest sizes of the classes of sizes, each about 1.3 times the one before."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
+    return np.array(out, np.int64)
+
+
+@lru_cache(maxsize=1024)
+def spare_blocks(size: int, most: int) -> int:
+    """Blocks to add so that a set of about this size seldom has more small blocks than were added."""
+    spare = 0
+    while spare < most + 1:
+        blocks = most + 1 + spare
+        mean = size / blocks
+        small = blocks * (1 + mean) * math.exp(-mean)
+        if spare >= small + 3 * math.sqrt(small):
+            break
+        spare += 1
+    return spare
+
+
+def block_rows(s: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row hashes, lead) of a set of n tokens of which s are not very common, for each class of sizes that it takes part in.
+
+    Linked sets agree on more blocks than are spare. So if either has no more small blocks than are spare, they agree on one
+    that is not small, and only sets that both have more need rows for their small blocks. Those of sets that look for a
+    partner in the next class are not lead: two sets that meet there only in such a row need not be compared. Where a
+    single token may differ, rows are the set and the set without each token instead."""
+    limits, out, lead = size_limits(), [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    k = own = int(np.searchsorted(limits, n, "right")) - 1
+    where, content = mix(s ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(20), mix(s + np.uint64(0x2545F4914F6CDD1D))
+    while k == own or k < len(limits) - 1 and 100 * n >= percent * int(limits[k]):
+        most = (100 - percent) * 2 * (int(limits[k + 1]) - 1) // (100 + percent)  # tokens in which the larger of two in class k differs
+        tag = mix(np.array([k << 40], np.uint64))
+        if most == 1:
+            whole = content.sum()
+            rows = mix(np.append(whole - content, whole) + tag)
+            out.append(rows)
+            lead.append(np.ones(len(rows), bool))
+        elif most:  # else only equal sets link
+            spare = spare_blocks(int(limits[k]) * 9 // 8, most)
+            blocks = most + 1 + spare
+            at = (where % np.uint64(blocks)).astype(np.int64)
+            held = np.zeros(blocks, np.uint64)
+            np.add.at(held, at, content)
+            size = np.bincount(at, minlength=blocks)
+            rows = mix(held + mix(np.arange(blocks, dtype=np.uint64) + tag) + size.astype(np.uint64))
+            small = size < SMALL
+            if small.sum() > spare:
+                out.append(rows)
+                lead.append(~small | (k == own))
+            else:
+                out.append(rows[~small])
+                lead.append(np.ones(len(out[-1]), bool))
+        k += 1
+    return np.concatenate(out), np.concatenate(lead)
+
+
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for lo, hi, data, offsets in slices(column):
@@ -48,68 +118,91 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield np.unique(s[first[i] : first[i + 1]])
 
 
-def _least_overlap(n: int, percent: int) -> int:
-    """Tokens that a set of n must share with any partner at the threshold: ceil(t * n)."""
-    return -(-percent * n // 100)
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def frequency_levels(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """For each sketch cell, the logarithmic level of the shingles counted there over the whole corpus."""
+def common_cells(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
+    """For each sketch cell, as packed bits, whether shingles counted there over the whole corpus are very common.
+
+    A cell's count holds all tokens that fall there, so the mean of all cells and three deviations come on top."""
+    least = max(8.0, COMMON * docs.count())
+    size = SKETCH // SKETCH_PARTS
 
     def count(batches):
-        cells = np.zeros(SKETCH, np.int64)
+        cells = np.zeros(SKETCH, np.uint16)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 s, _ = Words(data, offsets, fold=True).windows(words, short=True)
-                cells += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        parts = np.minimum(cells, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["part", "cells"])
+                np.add.at(cells, _cell(s), np.uint16(1))
+        for part in range(SKETCH_PARTS):
+            x = np.minimum(cells[part * size : (part + 1) * size], 255).astype(np.uint8)
+            at = np.flatnonzero(x)
+            if len(at):
+                sparse = 5 * len(at) < size
+                packed = zlib.compress((at.astype("<u4").tobytes() + x[at].tobytes()) if sparse else x.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sparse]), pa.array([packed], pa.binary())], ["part", "sparse", "cells"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(cells), "<u2").astype(np.int64)
-                total[part] = total[part] + x if part in total else x
-        level = {k: np.minimum(8 * np.log2(1 + v), 255).astype(np.uint8).tobytes() for k, v in total.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(level.keys(), pa.int32()), pa.array(level.values(), pa.binary())], ["part", "levels"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "part int, cells binary")
-    merged = counted.repartition(SKETCH_PARTS, "part").mapInArrow(merge, "part int, levels binary")
-    out = np.zeros((SKETCH_PARTS, SKETCH // SKETCH_PARTS), np.uint8)
+            for part, sparse, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
+                x, held = np.frombuffer(zlib.decompress(packed), np.uint8), total.setdefault(part, np.zeros(size, np.int64))
+                if sparse:
+                    n = len(x) // 5
+                    held[np.frombuffer(x[: 4 * n].tobytes(), "<u4")] += x[4 * n :]
+                else:
+                    held += x
+        bits = {k: np.packbits(v > v.mean() + 3 * math.sqrt(v.mean()) + least).tobytes() for k, v in total.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(bits.keys(), pa.int32()), pa.array(bits.values(), pa.binary())], ["part", "bits"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "part int, sparse boolean, cells binary")
+    merged = counted.repartition(SKETCH_PARTS, "part").mapInArrow(merge, "part int, bits binary")
+    out = np.zeros((SKETCH_PARTS, size // 8), np.uint8)
     for r in merged.collect():  # SKETCH_PARTS rows of fixed size
-        out[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """One small row for each document: set size, set hashes, min-hash bands, matrix column, prefix tokens."""
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, text_col, words))
+def matrix_rows(docs: DataFrame, cells: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(row, id, lead): the block rows of each document."""
+    sent = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def emit(batches):
+        common = np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            made = [block_rows(s[~common[_cell(s)]], len(s), percent) if len(s) else (s, np.zeros(0, bool)) for s in _sets(b.column(1), words)]
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(r) for r, _ in made])))
+            rows, lead = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.uint64), np.zeros(0, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64), pa.int64()), ids, pa.array(lead, pa.bool_())], ["row", "id", "lead"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(emit, "row long, id long, lead boolean")
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """One small row for each document: set size, set hashes, min-hash bands, matrix column."""
 
     def describe(batches):
-        order = levels.value
         for b in batches:
-            n, h1, h2, bands, bits, prefix = [], [], [], [], [], []
+            n, h1, h2, bands, bits = [], [], [], [], []
             for s in _sets(b.column(1), words):
                 n.append(len(s))
                 if not len(s):
-                    h1.append(0), h2.append(0), bands.append([]), bits.append([]), prefix.append([])
+                    h1.append(0), h2.append(0), bands.append([]), bits.append([])
                     continue
                 h1.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
                 h2.append(int(mix(s + np.uint64(0x51ED270B9F0A3C11)).sum().view(np.int64)))
                 least = np.array([(s * k).min() for k in _SEEDS]).reshape(BANDS, BAND_ROWS)
                 key = mix((least * _SEEDS[:BAND_ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-                bands.append(key.view(np.int64).tolist())
-                column = np.zeros(COLUMN_BITS, bool)
-                column[(s % np.uint64(COLUMN_BITS)).astype(np.int64)] = True
-                bits.append(np.packbits(column, bitorder="little").view(np.int64).tolist())
-                p = len(s) - _least_overlap(len(s), percent) + 1
-                rank = (order[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(s) >> np.uint64(8))
-                prefix.append(s[np.argpartition(rank, p - 1)[:p]].view(np.int64).tolist() if p < len(s) else s.view(np.int64).tolist())
+                bands.append(key.view(np.int64))
+                longs = min(MOST_COLUMN, max(LEAST_COLUMN, 1 << (COLUMN_BITS * len(s) // 64).bit_length()))
+                column = np.zeros(64 * longs, bool)
+                column[(s % np.uint64(64 * longs)).astype(np.int64)] = True
+                bits.append(np.packbits(column, bitorder="little").view(np.int64))
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, long), pa.array(bits, long), pa.array(prefix, long)],
-                ["id", "n", "h1", "h2", "bands", "bits", "prefix"],
+                [b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, long), pa.array(bits, long)],
+                ["id", "n", "h1", "h2", "bands", "bits"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -117,28 +210,57 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return (F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent)
+    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
-def _missing(a: str, b: str) -> Column:
-    """Cells of column a that are not in column b: so many tokens of a, at least, are in no member of b."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+def _missing(a: np.ndarray, b: np.ndarray) -> int:
+    """So many tokens of column a, at least, are in no set under column b. The wider column is folded onto the other."""
+    if len(a) != len(b):
+        w = min(len(a), len(b))
+        a, b = (np.bitwise_or.reduce(x.reshape(-1, w), axis=0) for x in (a, b))
+    return int(np.bitwise_count((a & ~b).view(np.uint64)).sum())  # of signed numbers numpy counts the bits of the absolute value
 
 
-def _may_miss(n: str, percent: int) -> Column:
-    return F.floor(F.col(n).cast("long") * (100 - percent) / 100)
+def _largest_partner(n: int, missing: int, percent: int) -> int:
+    """Largest size of a set that can link to one of n tokens of which so many are missing from it."""
+    return (n - missing) * (100 + percent) // percent - n
+
+
+def _bounded(pairs: DataFrame, percent: int, group: bool) -> DataFrame:
+    """(a, b, cap): pairs (a, b, na, ba, nb, bb), with group also least and most instead of nb, that the columns cannot rule
+    out. cap is the size that a partner of a may have at most."""
+
+    def check(batches):
+        for x in batches:
+            a_bits, b_bits = x.column("ba"), x.column("bb")
+            na, keep, caps = x.column("na").to_pylist(), [], []
+            lo = x.column("least" if group else "nb").to_pylist()
+            hi = x.column("most").to_pylist() if group else lo
+            for i in range(x.num_rows):
+                n, least, most = na[i], lo[i], hi[i]
+                if 100 * most < percent * n or 100 * n < percent * least:
+                    keep.append(False)
+                    continue
+                a, b = a_bits[i].values.to_numpy(), b_bits[i].values.to_numpy()
+                missing = _missing(a, b)
+                cap = _largest_partner(n, missing, percent)
+                ok = cap >= max(least, -(-percent * n // 100))
+                if ok and not group:
+                    ok = (missing + _missing(b, a)) * (100 + percent) <= (100 - percent) * (n + least)
+                keep.append(ok)
+                if ok:
+                    caps.append(cap)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column("a").filter(mask), x.column("b").filter(mask), pa.array(caps, pa.int64())], ["a", "b", "cap"])
+
+    return pairs.mapInArrow(check, "a long, b long, cap long")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link: the bound first, then whole texts, exactly."""
     side = classes.select("id", "n", "bits")
-    kept = (
-        pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
-        .where(_sizes_fit("na", "nb", percent) & (_missing("ba", "bb") <= _may_miss("na", percent)) & (_missing("bb", "ba") <= _may_miss("nb", percent)))
-        .select("a", "b")
-    )
-    kept = table(kept, "pairs")
-    need = kept.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    kept = table(_bounded(pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b"), percent, group=False).select("a", "b"), "pairs")
+    need = kept.select("a").union(kept.select("b")).distinct().withColumnRenamed("a", "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(need, "id").dropDuplicates(["id"])
     both = kept.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
@@ -171,44 +293,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id in both. Rows with a null id get the ids of their class, null where it has none. Ids are expected to be unique: of
     rows that repeat an id one text is compared. Other columns are ignored.
     """
-    rows = sketches(docs, id_col, text_col, words, percent)
+    rows = sketches(docs, id_col, text_col, words)
     filled = rows.where("n > 0")
     names = filled.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"))
-    classes = table(
-        filled.select("h1", "h2", "n", "id", "bands", "bits", "prefix")
-        .join(names.where("class_id is not null").select("h1", "h2", "n", F.col("class_id").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
-        .dropDuplicates(["id"]).select("id", "n", "bands", "bits", "prefix"), "classes",
-    )
+    heads = names.where("class_id is not null").select("h1", "h2", "n", F.col("class_id").alias("id"))
+    classes = table(filled.select("h1", "h2", "n", "id", "bands", "bits").join(heads, ["h1", "h2", "n", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "bits"), "classes")
     whole = (docs, id_col, text_col, words, percent)
 
     # 1. Groups: confirmed links to the smallest class of each min-hash bucket.
     keyed = classes.select("id", F.explode("bands").alias("band"))
-    heads = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
-    stars = keyed.join(heads, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    first = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
+    stars = keyed.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = _linked(stars, classes, *whole)
     groups = components(links)
-    grouped = table(classes.join(groups, "id", "left").select("id", "n", "bits", "prefix", F.coalesce("component", "id").alias("g")), "grouped")
-
-    # 2. Matrix rows that more than one group has.
-    tokens = grouped.select("id", "n", "g", F.explode("prefix").alias("token"))
-    crossing = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    tokens = table(tokens.join(crossing, "token", "left_semi"), "tokens")
-    matrix = tokens.select("token", "g").distinct().withColumnRenamed("g", "other")
-    met = tokens.join(matrix, "token").where("g <> other").select("id", "other").distinct()
-
-    # 3. Bound: a lone class is its own column; larger groups OR their members' columns.
-    sizes = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    many = grouped.join(sizes.where("members > 1").select("g"), "g", "left_semi").select("g", F.posexplode("bits").alias("at", "cell"))
-    wide = many.groupBy("g", "at").agg(F.bit_or("cell").alias("cell")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]).alias("column"))
-    lone = grouped.join(sizes.where("members = 1").select("g"), "g", "left_semi").select("g", F.col("bits").alias("column"))
-    columns = wide.union(lone).join(sizes, "g").withColumnRenamed("g", "other")
-    own = grouped.select("id", "n", "bits")
-    reach = (F.col("most") * 100 >= F.col("n").cast("long") * percent) & (F.col("n").cast("long") * 100 >= F.col("least") * percent)
-    open_ = met.join(own, "id").join(columns, "other").where(reach & (_missing("bits", "column") <= _may_miss("n", percent))).select("id", "other")
-
-    # 4. Open the qualifying groups.
-    members = grouped.select(F.col("g").alias("other"), F.col("id").alias("member"))
-    pairs = open_.join(members, "other").select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
+    grouped = table(classes.join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g")), "grouped")
+
+    # 2. Matrix rows that more than one document has, then those that more than one group has.
+    made = matrix_rows(docs, common_cells(docs, text_col, words), id_col, text_col, words, percent)
+    shared = made.groupBy("row").agg(F.count("*").alias("c"), F.bool_or("lead").alias("led")).where("c > 1 and led").select("row")
+    sizes = table(grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members")), "sizes")
+    rows_of = made.join(shared, "row", "left_semi").join(grouped, "id").join(sizes.select("g", "members"), "g")
+    rows_of = table(rows_of.select("row", "id", "lead", "g", "members"), "matrix-rows")
+    crossing = rows_of.groupBy("row").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.bool_or("lead").alias("led")).where("lo < hi and led").select("row")
+    queries = rows_of.join(crossing, "row", "left_semi")
+    matrix = queries.groupBy("row", F.col("g").alias("other"), F.col("members").alias("others")).agg(F.bool_or("lead").alias("led"))
+    # Of two groups the smaller asks the larger.
+    asks = (F.col("members") < F.col("others")) | (F.col("members") == F.col("others")) & (F.col("g") < F.col("other"))
+    met = queries.join(matrix, (queries["row"] == matrix["row"]) & asks & (F.col("lead") | F.col("led"))).select("id", "other").distinct()
+
+    # 3. Bound: a lone class is its own column; larger groups OR their members' columns, folded to the narrowest.
+    members = grouped.join(classes.select("id", "bits"), "id").join(sizes, "g")
+    many = members.where("members > 1")
+    narrow = many.groupBy("g").agg(F.min(F.size("bits")).alias("w"))
+    many = many.join(narrow, "g").select("g", "least", "most", "w", F.posexplode("bits").alias("at", "cell")).withColumn("at", F.col("at") % F.col("w"))
+    wide = many.groupBy("g", "least", "most", "at").agg(F.bit_or("cell").alias("cell")).groupBy("g", "least", "most").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]).alias("bb"))
+    lone = members.where("members = 1").select("g", "least", "most", F.col("bits").alias("bb"))
+    columns = wide.union(lone).withColumnRenamed("g", "b")
+    own = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    open_ = table(_bounded(met.toDF("a", "b").join(own, "a").join(columns, "b"), percent, group=True).toDF("id", "other", "cap"), "open")
+
+    # 4. Open the qualifying groups: a few members first, because one link joins the groups; then all that can link.
+    few = grouped.groupBy(F.col("g").alias("other")).agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("u"), "id")).alias(f"m{k}") for k in range(FEW)))
+    tried = open_.join(few, "other").select("id", F.explode(F.array_distinct(F.array(*(F.col(f"m{k}.id") for k in range(FEW))))).alias("member"))
+    links = table(links.union(_linked(tried.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct(), classes, *whole)).distinct(), "links")
+    joined = components(links)
+    of = joined.select("id", F.col("component").alias("gi")), joined.select(F.col("id").alias("other"), F.col("component").alias("go"))
+    left = open_.join(of[0], "id", "left").join(of[1], "other", "left").where(~F.coalesce("gi", "id").eqNullSafe(F.coalesce("go", "other"))).select("id", "other", "cap")
+    left = left.join(classes.select("id", F.col("n").alias("na")), "id")
+    inside = grouped.select(F.col("g").alias("other"), F.col("id").alias("member"), "n")
+    can = (F.col("n") <= F.col("cap")) & _sizes_fit("na", "n", percent)
+    pairs = left.join(inside, (left["other"] == inside["other"]) & can).select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
     links = links.union(_linked(pairs, classes, *whole)).distinct()
     found = components(links).withColumnsRenamed({"id": "class_id", "component": "root"})
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
