@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortgraph.llm.shared import components, table
@@ -43,6 +43,8 @@ SMALL = 2
 COLUMN_BITS, LEAST_COLUMN, MOST_COLUMN = 3, 8, 2048
 #: Members of a group that are tried before all of them.
 FEW = 8
+#: Members of a group that are sent together, about.
+PACK = 256
 #: Min-hash bands and their width, for grouping.
 BANDS, BAND_ROWS = 8, 3
 
@@ -209,10 +211,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     return table(rows.mapInArrow(describe, _DOC), "sketches")
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
-
-
 def _missing(a: np.ndarray, b: np.ndarray) -> int:
     """So many tokens of column a, at least, are in no set under column b. The wider column is folded onto the other."""
     if len(a) != len(b):
@@ -256,6 +254,26 @@ def _bounded(pairs: DataFrame, percent: int, group: bool) -> DataFrame:
     return pairs.mapInArrow(check, "a long, b long, cap long")
 
 
+def _opened(asked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a query (id, na, ba, cap) and members held in a chunk of a group that the columns cannot rule out."""
+
+    def check(batches):
+        for x in batches:
+            ids, sizes, caps = (x.column(c).to_pylist() for c in ("id", "na", "cap"))
+            bits, held, left, right = x.column("ba"), x.column("held"), [], []
+            for i in range(x.num_rows):
+                n, a, chunk = sizes[i], bits[i].values.to_numpy(), held[i].values
+                m, names, columns = chunk.field("n").to_numpy(), chunk.field("id").to_numpy(), chunk.field("bits")
+                for k in np.flatnonzero((m <= caps[i]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))):
+                    b = columns[int(k)].values.to_numpy()
+                    if (_missing(a, b) + _missing(b, a)) * (100 + percent) <= (100 - percent) * (n + int(m[k])):
+                        left.append(min(ids[i], int(names[k])))
+                        right.append(max(ids[i], int(names[k])))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return asked.select("id", "na", "ba", "cap", "held").mapInArrow(check, "a long, b long")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) that link: the bound first, then whole texts, exactly."""
     side = classes.select("id", "n", "bits")
@@ -339,10 +357,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(links)
     of = joined.select("id", F.col("component").alias("gi")), joined.select(F.col("id").alias("other"), F.col("component").alias("go"))
     left = open_.join(of[0], "id", "left").join(of[1], "other", "left").where(~F.coalesce("gi", "id").eqNullSafe(F.coalesce("go", "other"))).select("id", "other", "cap")
-    left = left.join(classes.select("id", F.col("n").alias("na")), "id")
-    inside = grouped.select(F.col("g").alias("other"), F.col("id").alias("member"), "n")
-    can = (F.col("n") <= F.col("cap")) & _sizes_fit("na", "n", percent)
-    pairs = left.join(inside, (left["other"] == inside["other"]) & can).select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct()
+    left = left.join(classes.select("id", F.col("n").alias("na"), F.col("bits").alias("ba")), "id")
+    packed = members.select("g", "id", "n", "bits", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / PACK)).alias("chunk"))
+    packed = packed.groupBy(F.col("g").alias("other"), "chunk").agg(F.collect_list(F.struct("id", "n", "bits")).alias("held"))
+    pairs = _opened(left.join(packed, "other"), percent).distinct()
     links = links.union(_linked(pairs, classes, *whole)).distinct()
     found = components(links).withColumnsRenamed({"id": "class_id", "component": "root"})
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
