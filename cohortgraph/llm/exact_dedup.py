@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import SPACE
+from cohortgraph.llm.shared import SPACE, table
 
 #: Slices into which a group of equal texts may be cut.
 SLICES = 64
@@ -37,12 +37,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     keyed = rows.select("id", "n", "norm", F.substring("norm", 1, KEY_CHARS).alias("head"), F.xxhash64("norm").alias("h"), "slice")
     best = F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("best")
-    runs = (
+    runs = table(
         keyed.repartitionByRange("head", "h", "slice")
         .groupBy("head", "h", "slice", "norm")
         .agg(best, F.count("*").alias("copies"))
-        .select(F.sha2("norm", 256).alias("sha"), "slice", "best", "copies")
-    )
+        .select(F.sha2("norm", 256).alias("sha"), "slice", "best", "copies"), "runs",
+    )
     whole = runs.groupBy("sha").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
     members = rows.select("id", F.sha2("norm", 256).alias("text_sha256"), "slice", "n")
     # The winner is sent to each slice of its group, so the join back to the rows has no key hotter than a slice.
