@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, id
     numbered = (
         pieces.withColumn("slice", F.pmod("k", F.lit(SLICES)))
         .withColumn("nth", F.row_number().over(Window.partitionBy("length", "slice").orderBy("id", "k", "piece")) - 1)
-        .join(F.broadcast(before), ["length", "slice"])  # limit * SLICES rows at most
+        .join(before, ["length", "slice"])
         .withColumn("rank", F.col("nth") + F.col("before"))
     )
     fits = (F.col("length") == F.col("s")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("m"))
