@@ -98,7 +98,7 @@ def estimators(seed: int = 0) -> dict:
     from pyspark.ml import classification as c
     from pyspark.ml.tuning import ParamGridBuilder
 
-    forest, boosted, svm, tree = c.RandomForestClassifier(seed=seed), c.GBTClassifier(seed=seed), c.LinearSVC(), c.DecisionTreeClassifier(seed=seed)
+    forest, boosted, svm, tree = c.RandomForestClassifier(seed=seed), c.GBTClassifier(seed=seed), c.LinearSVC(maxIter=25), c.DecisionTreeClassifier(seed=seed)
     bag = c.RandomForestClassifier(seed=seed, featureSubsetStrategy="all")
     return {
         "naive_bayes": (c.NaiveBayes(modelType="gaussian"), [{}]),
