@@ -60,7 +60,7 @@ def _scan(least: int, keep_first: bool):
     of the partition, where they are not decided here, all occurrences, with the number of documents seen (edge true)."""
 
     def emit(batches):
-        carry, opening = None, True
+        carry, opening = None, True  # opening: the first line of what comes next is not decided here
         names = ["h1", "h2", "id", "k1", "k2", "pos"]
 
         def decide(x: pa.Table, last: bool):
@@ -97,7 +97,9 @@ def _scan(least: int, keep_first: bool):
             yield from out
             if carry is not None and carry.num_rows > _LONG and not keep_first:
                 # A very common line: its occurrences are written out as edge rows as they come; the count is theirs.
+                # What is left of the line, here and in later batches, goes to the same count, so it is edge as well.
                 carry, out = _flush(carry, names)
+                opening = opening or bool(out)
                 yield from out
         if carry is not None:
             yield from decide(carry, last=True)[1]

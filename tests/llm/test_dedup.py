@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow as pa
+
 from cohortgraph.llm import exact_dedup, line_dedup
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -68,6 +70,20 @@ def test_lines_on_a_hot_line(spark):
     assert digest(docs) == lines_brute(rows, 10)
 
 
+def test_a_line_written_out_early_is_counted_whole(monkeypatch):
+    """One partition with lines 1, 2 (long, begins and ends inside it) and 3; line 2 is written out in parts."""
+    monkeypatch.setattr(line_dedup, "_LONG", 10)
+    for n, times in ((25, 1), (31, 1), (25, 3), (9, 2)):
+        rows = [(1, 0, 7, 7, 0, 0)] + [(2, 0, d, d, d, p) for d in range(n) for p in range(times)] + [(3, 0, 8, 8, 0, 0)]
+        names = ["h1", "h2", "id", "k1", "k2", "pos"]
+        whole = pa.table({c: pa.array([r[k] for r in rows], pa.int32() if c == "pos" else pa.int64()) for k, c in enumerate(names)})
+        found = [x for b in line_dedup._scan(10, False)(whole.to_batches(max_chunksize=6)) for x in b.to_pylist()]
+        long = [x for x in found if x["h1"] == 2]
+        met = {(x["k1"], x["k2"]) for x in long if x["edge"]}
+        gone = {(x["k1"], x["pos"]) for x in long if not x["edge"] or len(met) >= 10}
+        assert gone == ({(d, p) for d in range(n) for p in range(times)} if n >= 10 else set())
+
+
 def test_first_occurrence_can_stay(spark):
     rows = [(i, f"x {i}\nsame\nsame") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
