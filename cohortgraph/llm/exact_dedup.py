@@ -11,10 +11,10 @@ those few rows meet by SHA-256.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import SPACE, table
+from cohortgraph.llm.shared import SPACE, row_keys, table
 
 #: Slices into which a group of equal texts may be cut.
 SLICES = 64
@@ -22,6 +22,23 @@ SLICES = 64
 KEY_CHARS = 24
 
 
+def _normal(rows: DataFrame, dealt: Column) -> DataFrame:
+    """rows (id, t and others) with length, normalised text and slice in place of t."""
+    return rows.select("*", F.length("t").cast("long").alias("n"), F.regexp_replace("t", f"{SPACE}+", "").alias("norm"), F.pmod(dealt, F.lit(SLICES)).cast("int").alias("slice")).drop("t")
+
+
+def _runs(rows: DataFrame, *tie: str) -> DataFrame:
+    """One row for each group and slice: sha, slice, best, copies. best is the most code points, the smallest id, then tie."""
+    keyed = rows.select("*", F.substring("norm", 1, KEY_CHARS).alias("head"), F.xxhash64("norm").alias("h"))
+    best = F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"), *tie)).alias("best")
+    return table(
+        keyed.repartitionByRange("head", "h", "slice")
+        .groupBy("head", "h", "slice", "norm")
+        .agg(best, F.count("*").alias("copies"))
+        .select(F.sha2("norm", 256).alias("sha"), "slice", "best", "copies"), "runs",
+    )
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
@@ -31,18 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns of docs are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t")).select(
-        "id", F.length("t").cast("long").alias("n"), F.regexp_replace("t", f"{SPACE}+", "").alias("norm"),
-        F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int").alias("slice"),
-    )
-    keyed = rows.select("id", "n", "norm", F.substring("norm", 1, KEY_CHARS).alias("head"), F.xxhash64("norm").alias("h"), "slice")
-    best = F.max(F.struct(F.col("n"), (-F.col("id")).alias("neg"))).alias("best")
-    runs = table(
-        keyed.repartitionByRange("head", "h", "slice")
-        .groupBy("head", "h", "slice", "norm")
-        .agg(best, F.count("*").alias("copies"))
-        .select(F.sha2("norm", 256).alias("sha"), "slice", "best", "copies"), "runs",
-    )
+    rows = _normal(docs.select(F.col(id_col).alias("id"), text.alias("t")), F.xxhash64("id"))
+    runs = _runs(rows)
     whole = runs.groupBy("sha").agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"))
     members = rows.select("id", F.sha2("norm", 256).alias("text_sha256"), "slice", "n")
     # The winner is sent to each slice of its group, so the join back to the rows has no key hotter than a slice.
@@ -56,9 +63,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with one row of each group of exact_groups; all columns stay.
+
+    Rows are told apart by all their columns, so null and repeated ids do no harm: of rows that tie by length and id one
+    stays, and so does one of fully equal rows."""
+    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_keys(docs))))
+    rows = keyed.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    whole = _runs(_normal(rows, F.col("k1")), "k1", "k2").groupBy("sha").agg(F.max("best").alias("best"))
+    stay = whole.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
+    return keyed.dropDuplicates(["__k1", "__k2"]).join(stay, ["__k1", "__k2"], "left_semi").select(*docs.columns)
 
 
 SQL = """

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import components, table
+from cohortgraph.llm.shared import components, row_keys, table
 from cohortgraph.llm.text_arrays import Words, mix, slices
 
 #: Counters of the frequency sketch, whatever the corpus; a bit of each is sent to every task.
@@ -373,7 +373,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the smallest id of each component only; all columns stay."""
+    """docs with the smallest id of each component only; all columns stay.
+
+    Where an id is null or repeated, rows go by a hash of all their columns instead: of each component the row with the
+    smallest id stays, null last, and one of fully equal rows."""
+    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        keyed = docs.withColumn("__key", row_keys(docs)[0])
+        found = jaccard_components(keyed, "__key", text_col, words, percent).select("__key", "component_id").distinct()
+        best = found.join(keyed.select("__key", F.col(id_col).alias("__id")).distinct(), "__key").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("best"))
+        return keyed.dropDuplicates(["__key"]).join(best.select(F.col("best.__key").alias("__key")), "__key", "left_semi").select(*docs.columns)
     gone = jaccard_components(docs, id_col, text_col, words, percent).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone"))
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 

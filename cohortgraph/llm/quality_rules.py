@@ -90,6 +90,26 @@ def measures(column: pa.Array, pieces: str) -> Iterator[dict[str, np.ndarray]]:
         }
 
 
+def _judge(pieces: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, least_words: int = 20, most_repeated: int = 30, least_tokens: int = LEAST_TOKENS):
+    """A function from columns of texts and languages to measures, failed base rules and reasons ('' if kept)."""
+
+    def reasons(texts: pa.Array, langs: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        parts = list(measures(texts, pieces))
+        m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        names = np.where(m["latin_share"] >= 0.5, "latin", "other").tolist()
+        names = [x if x in bands else s for x, s in zip(langs.to_pylist(), names)]
+        lo, hi, most, least = np.array([bands[x] for x in names]).T
+        base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
+        long = m["n_tokens"] >= least_tokens
+        reason = np.select(
+            [base, long & (m["chars_per_token"] < lo), long & (m["chars_per_token"] > hi), long & (m["byte_share"] > most), long & (m["token_entropy"] < least)],
+            ["base", "dense", "sparse", "bytes", "entropy"], "",
+        )
+        return m, base, reason
+
+    return reasons
+
+
 def quality(
     docs: DataFrame, pieces: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, least_words: int = 20, most_repeated: int = 30,
     least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
@@ -103,21 +123,13 @@ def quality(
     has no words and fails. Repeated rows are judged alike; other columns are ignored.
     """
 
+    reasons = _judge(pieces, bands, least_words, most_repeated, least_tokens)
+
     def judge(batches):
         for b in batches:
-            parts = list(measures(b.column(1), pieces))
-            if not parts:
+            if not b.num_rows:
                 continue
-            m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            names = np.where(m["latin_share"] >= 0.5, "latin", "other").tolist()
-            names = [x if x in bands else s for x, s in zip(b.column(2).to_pylist(), names)]
-            lo, hi, most, least = np.array([bands[x] for x in names]).T
-            base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
-            long = m["n_tokens"] >= least_tokens
-            reason = np.select(
-                [base, long & (m["chars_per_token"] < lo), long & (m["chars_per_token"] > hi), long & (m["byte_share"] > most), long & (m["token_entropy"] < least)],
-                ["base", "dense", "sparse", "bytes", "entropy"], "",
-            )
+            m, base, reason = reasons(b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(m[k].astype(np.int64)) for k in _COUNTS), pa.array(base), *(pa.array(m[k].astype(np.float64)) for k in _RATES), pa.array([x or None for x in reason.tolist()], pa.string()), pa.array(reason == "")],
                 [id_col, *_COUNTS, "base_failed", *_RATES, "reason", "kept"],
@@ -129,7 +141,15 @@ def quality(
     return rows.mapInArrow(judge, f"`{id_col}` long, {counts}, base_failed boolean, {rates}, reason string, kept boolean")
 
 
-def keep_good(docs: DataFrame, pieces: str, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """docs without the rows that quality() rejects; all columns stay. Rows with a null id are judged by id and go with it."""
-    gone = quality(docs, pieces, id_col=id_col, text_col=text_col, **rules).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+def keep_good(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
+    """docs without the rows that quality() rejects, each judged by its own text and language; all columns stay."""
+    reasons = _judge(pieces, **rules)
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                good = reasons(b.column(b.num_columns - 2), b.column(b.num_columns - 1))[2] == ""
+                yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2])).filter(pa.array(good))
+
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    return docs.select("*", F.col(text_col).cast("string").alias("__text"), lang.alias("__lang")).mapInArrow(keep, docs.schema)

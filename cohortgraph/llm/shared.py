@@ -47,6 +47,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """A 128-bit key of a whole row in two longs, nulls told apart from other values. Rows are the same where all columns
+    that can be hashed (not maps and variants) are."""
+    names = [f"`{name.replace('`', '``')}`" for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    nulls = F.array(*(F.col(c).isNull() for c in names))
+    return F.xxhash64(nulls, *names), F.xxhash64(F.lit(1), *reversed(names), nulls)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

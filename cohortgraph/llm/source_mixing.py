@@ -101,6 +101,21 @@ def draw(i: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(i.cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def _cell_of(text_col: str, source_col: str, lang_col: str, topic: Column | None) -> tuple[dict[str, Column], Column]:
+    """The dimensions of a row's cell, and its tokens."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = {d: F.coalesce(F.col(c).cast("string"), F.lit("?")) for d, c in (("source", source_col), ("lang", lang_col))}
+    return named | {"topic": topic_of(text) if topic is None else topic}, F.greatest(words_of(text), F.lit(1))
+
+
+def _rated(rows: DataFrame, share: float, targets: Mapping[str, Mapping[str, float] | None] | None, power: float, rounds: int) -> DataFrame:
+    """(dimensions, weight, p) of each cell of rows (dimensions, tokens)."""
+    targets = {"lang": LANG_TARGETS} if targets is None else targets
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    margins = {d: cut(_targets(cells, d, targets.get(d), power)) for d in DIMENSIONS}
+    return cut(probabilities(rake(cells, margins, rounds), share).select(*DIMENSIONS, "weight", "p"))
+
+
 def mix_sources(
     docs: DataFrame, share: float = 0.5, targets: Mapping[str, Mapping[str, float] | None] | None = None, power: float = 0.7, rounds: int = ROUNDS, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
@@ -113,24 +128,26 @@ def mix_sources(
     tokens; it counts as one, so it has a chance as well. Rows that repeat an id are kept or dropped alike within a cell.
     An empty table gives no rows. Other columns are ignored.
     """
-    targets = {"lang": LANG_TARGETS} if targets is None else targets
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("?")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"),
-        (topic_of(text) if topic is None else topic).alias("topic"), F.greatest(words_of(text), F.lit(1)).alias("tokens"),
-    )
-    rows = cut(rows)
-    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    margins = {d: cut(_targets(cells, d, targets.get(d), power)) for d in DIMENSIONS}
-    rated = cut(probabilities(rake(cells, margins, rounds), share).select(*DIMENSIONS, "weight", "p"))
+    dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
+    rows = cut(docs.select(F.col(id_col).alias("id"), *(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")))
+    rated = _rated(rows, share, targets, power, rounds)
     out = rows.join(rated, list(DIMENSIONS))
     return out.select(F.col("id").alias(id_col), *DIMENSIONS, "tokens", F.round("weight", 9).alias("weight"), F.round("p", 6).alias("p"), (draw(F.col("id"), seed) < F.round("p", 6)).alias("kept"))
 
 
-def keep_mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that mix_sources does not keep; all columns stay. Every row with a kept id stays."""
-    kept = mix_sources(docs, id_col=id_col, **how).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+def keep_mixed(
+    docs: DataFrame, share: float = 0.5, targets: Mapping[str, Mapping[str, float] | None] | None = None, power: float = 0.7, rounds: int = ROUNDS, seed: int = 1,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+) -> DataFrame:
+    """docs without the rows that mix_sources does not keep; all columns stay.
+
+    Each row is judged by its own cell, and a row without an id draws by its text, so null and repeated ids do no harm."""
+    dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
+    rated = _rated(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")), share, targets, power, rounds)
+    rated = F.broadcast(rated.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.round("p", 6).alias("__p")))
+    drawn = draw(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
+    rows = docs.select("*", *(c.alias(f"__{d}") for d, c in dims.items()), drawn.alias("__u"))
+    return rows.join(rated, [f"__{d}" for d in DIMENSIONS]).where(F.col("__u") < F.col("__p")).select(*docs.columns)
 
 
 def _sql(rounds: int, cap_rounds: int, share: float, power: float) -> str:

@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cohortgraph.llm import pii, source_mixing, url_filter, weak_quality
+from cohortgraph.llm import exact_dedup, ngram_join, pii, quality_rules, source_mixing, url_filter, weak_quality
 from cohortgraph.llm.queries import ORACLE, QUERIES
+from cohortgraph.llm.tokens import vocabulary
 
 DIR = "/root/testdata/sf0.001"
 
@@ -169,3 +170,31 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
     assert corpus_pipeline.run(spark, DIR).count() == packed.count()
+
+
+def test_stages_drop_rows_not_ids(spark):
+    """Null and repeated ids: a row goes for its own text, and one of fully equal rows stays."""
+    def prose(k, n=300):
+        return " ".join(f"{('the', 'of', 'and', 'river', 'house', 'walk', 'green', 'summer')[(i * i + k) % 8]} {hashlib.md5(f'{k} {i}'.encode()).hexdigest().translate(str.maketrans('0123456789', 'ghijklmnop'))[:5]}" for i in range(n))
+
+    a, b, c, d, e = (prose(k) for k in range(5))
+    near = d.rsplit(" ", 1)[0]
+    rows = [(None, a), (None, a), (None, a + " "), (None, b), (7, a), (7, c), (8, d), (8, d), (9, near), (None, near + " x"), (9, e), (None, "junk"), (9, "junk")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def left(df):
+        assert df.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    good = quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), least_tokens=10_000)
+    assert left(good) == sorted((r for r in rows if r[1] != "junk"), key=repr)
+    one = exact_dedup.drop_copies(good)
+    # the longest of a group stays, whatever its id
+    assert left(one) == sorted([(None, a + " "), (None, b), (7, c), (8, d), (9, near), (None, near + " x"), (9, e)], key=repr)
+    want = [(None, a + " "), (None, b), (7, c), (8, d), (9, e)]
+    assert left(ngram_join.one_of_each(one)) == sorted(want, key=repr)
+    assert left(ngram_join.one_of_each(good)) == sorted([(7, a), *want[1:]], key=repr)
+    assert left(source_mixing.keep_mixed(docs, share=1.0)) == sorted(rows, key=repr)
+    # of rows with one id, those in a cell without weight go
+    other = docs.withColumn("lang", F.when(F.col("text") == c, "xx").otherwise("en"))
+    assert left(source_mixing.keep_mixed(other, share=1.0, targets={"lang": {"en": 1.0, "xx": 0.0}})) == sorted((r for r in rows if r[1] != c), key=repr)
