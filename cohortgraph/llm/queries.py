@@ -27,7 +27,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mixing.mix_sources(read(spark, sf_dir, "documents"))
+    """Languages without a target get nothing: the contract of the query. By the operator's default they get a tempered share."""
+    return source_mixing.mix_sources(read(spark, sf_dir, "documents"), rest=False)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

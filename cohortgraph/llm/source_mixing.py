@@ -39,10 +39,11 @@ def words_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]+")).cast("long")
 
 
-def _targets(cells: DataFrame, dim: str, wanted: Mapping[str, float] | None, power: float) -> DataFrame:
+def _targets(cells: DataFrame, dim: str, wanted: Mapping[str, float] | None, power: float, rest: bool = True) -> DataFrame:
     """(dim, target): shares as wanted among the values present, or in proportion to tokens to a power.
 
-    Values that wanted does not name get nothing, unless it names none of those present; then all are tempered."""
+    With rest, values that wanted does not name get their tempered share, and the wanted shares are scaled to what is left;
+    without it they get nothing. Where wanted gives nothing to the values present, all are tempered."""
     sums = cells.groupBy(dim).agg(F.sum("tokens").alias("tokens"))
     tempered = F.pow(F.col("tokens"), F.lit(power))
     if wanted:
@@ -52,8 +53,11 @@ def _targets(cells: DataFrame, dim: str, wanted: Mapping[str, float] | None, pow
         sums = sums.withColumn("share", share)
     else:
         sums = sums.withColumn("share", tempered)
-    total = sums.agg(F.sum("share").alias("whole"), F.sum(tempered).alias("all"))
-    share = F.when(F.col("whole") > 0, F.col("share") / F.nullif("whole", F.lit(0.0))).otherwise(tempered / F.nullif("all", F.lit(0.0)))
+    unnamed = ~F.col(dim).isin(list(wanted)) if wanted and rest else F.lit(False)
+    total = sums.agg(F.sum("share").alias("whole"), F.sum(tempered).alias("all"), F.sum(F.when(unnamed, 0.0).otherwise(tempered)).alias("named"))
+    free = tempered / F.nullif("all", F.lit(0.0))
+    held = F.col("named") / F.nullif("all", F.lit(0.0)) if wanted and rest else F.lit(1.0)
+    share = F.when((F.col("whole") > 0) & ~unnamed, F.col("share") / F.nullif("whole", F.lit(0.0)) * held).otherwise(free)
     return sums.crossJoin(F.broadcast(total)).select(dim, share.alias("target"))
 
 
@@ -108,21 +112,23 @@ def _cell_of(text_col: str, source_col: str, lang_col: str, topic: Column | None
     return named | {"topic": topic_of(text) if topic is None else topic}, F.greatest(words_of(text), F.lit(1))
 
 
-def _rated(rows: DataFrame, share: float, targets: Mapping[str, Mapping[str, float] | None] | None, power: float, rounds: int) -> DataFrame:
+def _rated(rows: DataFrame, share: float, targets: Mapping[str, Mapping[str, float] | None] | None, power: float, rounds: int, rest: bool) -> DataFrame:
     """(dimensions, weight, p) of each cell of rows (dimensions, tokens)."""
     targets = {"lang": LANG_TARGETS} if targets is None else targets
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    margins = {d: cut(_targets(cells, d, targets.get(d), power)) for d in DIMENSIONS}
+    margins = {d: cut(_targets(cells, d, targets.get(d), power, rest)) for d in DIMENSIONS}
     return cut(probabilities(rake(cells, margins, rounds), share).select(*DIMENSIONS, "weight", "p"))
 
 
 def mix_sources(
     docs: DataFrame, share: float = 0.5, targets: Mapping[str, Mapping[str, float] | None] | None = None, power: float = 0.7, rounds: int = ROUNDS, seed: int = 1,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, rest: bool = True,
 ) -> DataFrame:
     """One row for each row of docs: id, source, lang, topic, tokens, weight, p, kept.
 
     targets: for a dimension, shares by value; a dimension without any gets shares in proportion to tokens ** power.
+    With rest, values without a named share keep that tempered share and named shares are scaled to the rest; without it
+    they get nothing.
     weight is the raked share of the row's cell, p its chance to be kept, kept the draw. About share of all tokens is kept,
     less where too few cells have weight. Null sources and languages are the value '?'. A null or blank text has no
     tokens; it counts as one, so it has a chance as well. Rows that repeat an id are kept or dropped alike within a cell.
@@ -130,20 +136,20 @@ def mix_sources(
     """
     dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
     rows = cut(docs.select(F.col(id_col).alias("id"), *(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")))
-    rated = _rated(rows, share, targets, power, rounds)
+    rated = _rated(rows, share, targets, power, rounds, rest)
     out = rows.join(rated, list(DIMENSIONS))
     return out.select(F.col("id").alias(id_col), *DIMENSIONS, "tokens", F.round("weight", 9).alias("weight"), F.round("p", 6).alias("p"), (draw(F.col("id"), seed) < F.round("p", 6)).alias("kept"))
 
 
 def keep_mixed(
     docs: DataFrame, share: float = 0.5, targets: Mapping[str, Mapping[str, float] | None] | None = None, power: float = 0.7, rounds: int = ROUNDS, seed: int = 1,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, rest: bool = True,
 ) -> DataFrame:
     """docs without the rows that mix_sources does not keep; all columns stay.
 
     Each row is judged by its own cell, and a row without an id draws by its text, so null and repeated ids do no harm."""
     dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
-    rated = _rated(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")), share, targets, power, rounds)
+    rated = _rated(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")), share, targets, power, rounds, rest)
     rated = F.broadcast(rated.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.round("p", 6).alias("__p")))
     drawn = draw(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
     rows = docs.select("*", *(c.alias(f"__{d}") for d, c in dims.items()), drawn.alias("__u"))

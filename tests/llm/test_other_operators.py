@@ -69,6 +69,19 @@ def test_raking_meets_the_margins(spark):
     assert abs(kept - 0.3) < 0.06
 
 
+def test_languages_without_a_target_keep_a_chance(spark):
+    rows = [(i, "w " * 20, "web", ("en", "de", "it", None)[i % 4]) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = source_mixing.mix_sources(docs, share=0.5).groupBy("lang").agg(F.first("weight").alias("weight"), F.min("p").alias("p")).collect()
+    # Four equal parts: half of all is without a target, and the named half is dealt as 0.55 to 0.15.
+    assert {r.lang: r.weight for r in got} == pytest.approx({"en": 0.5 * 0.55 / 0.7, "de": 0.5 * 0.15 / 0.7, "it": 0.25, "?": 0.25}, abs=1e-6)
+    assert all(r.p > 0 for r in got)
+    kept = {r.lang: r["count"] for r in source_mixing.keep_mixed(docs, share=0.9).groupBy("lang").count().collect()}
+    assert kept[None] > 150 and kept["it"] > 150
+    only = docs.withColumn("lang", F.lit("it"))
+    assert source_mixing.mix_sources(only).where("p > 0").count() == 800
+
+
 def test_mixing_hard_texts(spark, hard_docs, no_docs):
     got = source_mixing.mix_sources(hard_docs).collect()
     assert len(got) == hard_docs.count() and all(0 <= r.p <= 1 and r.tokens >= 1 for r in got)
