@@ -97,20 +97,22 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_HINT[kind]), F.filter(spans(text, BASE[kind]), lambda x: valid(kind, x["m"]))).otherwise(none)
 
 
-FEATURES = ("chars", "digits", "letters", "groups", "seps", "dots", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end")
+FEATURES = ("chars", "digits", "letters", "groups", "seps", "dots", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end", "octets_ok", "area_ok")
 
 
 def features(m: Column, before: Column, after: Column, kind: Column) -> dict[str, Column]:
     """Format and context features of a candidate, as numbers."""
     d, flag = digits_of(m), lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    groups = F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")
     count = lambda p: (F.length(m) - F.length(F.regexp_replace(m, p, ""))).cast("double")
     return {
         "chars": F.length(m).cast("double"), "digits": F.length(d).cast("double"), "letters": count("[A-Za-z]"),
-        "groups": F.size(F.split(F.regexp_replace(m, "^[^0-9]+|[^0-9]+$", ""), "[^0-9]+")).cast("double"), "seps": count("[._/-]"), "dots": count(r"\."), "brackets": count(r"[\[\](){}]"), "spaces": count(r"\x20"),
+        "groups": F.size(groups).cast("double"), "seps": count("[._/-]"), "dots": count(r"\."), "brackets": count(r"[\[\](){}]"), "spaces": count(r"\x20"),
         "zero_first": flag(d.startswith("0")), "luhn_ok": flag(F.when(F.length(d).between(13, 19), luhn(d))), "even_groups": flag(m.rlike(r"^[^0-9]*([0-9]{4}[^0-9]+){3}[0-9]{4}$")),
         "before_letter": flag(before.rlike(r"\p{L}$")), "before_digit": flag(before.rlike(r"[0-9][.,:/\x20-]?$")), "after_letter": flag(after.rlike(r"^\p{L}")), "after_digit": flag(after.rlike(r"^[.,:/\x20-]?[0-9]")),
         "phone_word": flag(before.rlike(_PHONE_WORDS)), "other_word": flag(before.rlike(_OTHER_WORDS + r"[^0-9]{0,6}$")), "currency": flag(before.rlike(r"[$€£#]\x20?$") | after.rlike(r"^\x20?[%€$£]")),
         "known_end": flag(m.rlike(r"(?i)[.\])}\x20](?:com|net|org|edu|gov|io|de|fr|es|uk)$")),
+        "octets_ok": flag((F.size(groups) == 4) & F.forall(groups, lambda x: x.try_cast("int") <= 255)), "area_ok": flag(m.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$")),
     }
 
 
@@ -121,14 +123,17 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
     t = F.col(text_col)
     at = F.pmod(F.xxhash64(t), F.length(t).cast("long")).cast("int")
     around = docs.where(F.length(t) > 0).select(F.xxhash64(t).alias("h"), F.substring(t, F.greatest(at - AROUND, F.lit(0)) + 1, F.least(at, F.lit(AROUND))).alias("b"), F.substring(t, at + 1, F.lit(AROUND)).alias("a"))
-    ctx = cut(around.orderBy("h", "b", "a").limit(contexts))
+    ctx = cut(around.dropDuplicates(["h"]).orderBy("h").limit(contexts))
     n = lambda k, lo, hi: (F.pmod(F.xxhash64("h", F.lit(k)), F.lit(hi - lo + 1)) + lo).cast("string")
     z = lambda k, w: F.lpad(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(10**w)).cast("string"), w, "0")
     word = lambda k: F.translate(F.substring(F.md5(F.concat(F.col("h").cast("string"), F.lit(str(k)))), 1, 7), "0123456789", "ghijklmnop")
-    sixteen = [z(20 + i, 4) for i in range(4)]
     raw = F.concat(F.lit("4"), z(30, 14))
     sums = F.aggregate(F.transform(F.split(F.reverse(F.concat(raw, F.lit("0"))), "(?<=.)(?=.)"), lambda c, i: c.cast("int") * (1 + i % 2)), F.lit(0), lambda x, y: x + F.when(y > 9, y - 9).otherwise(y))
     card = F.concat(raw, F.pmod(10 - sums % 10, F.lit(10)).cast("string"))
+    failing = F.concat(raw, F.pmod(10 - sums % 10 + n(20, 1, 9).cast("int"), F.lit(10)).cast("string"))
+    dot_of = lambda k: F.element_at(F.array(*map(F.lit, ("[.]", "(.)", "[dot]", " [.] "))), n(k, 1, 4).cast("int"))
+    joined_by = lambda mark, a, *rest: F.concat(a, *(x for p in rest for x in (mark, p)))
+    large = F.pmod(F.xxhash64("h", F.lit(21)), F.lit(4))  # place of an octet over 255
     dots = lambda s: F.regexp_replace(s, r"([0-9]{4})(?=[0-9])", "$1.")
     dot, at_ = F.lit(" dot "), F.lit(" at ")
     made: list[tuple[str, int, Column]] = [
@@ -136,15 +141,19 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
         ("phone", 1, F.concat(n(1, 201, 989), F.lit("-"), n(2, 200, 999), F.lit("-"), z(3, 4))),
         ("phone", 1, F.concat(F.lit("00"), n(1, 31, 59), F.lit(" "), n(2, 100, 999), F.lit(" "), z(3, 7))),
         ("phone", 1, F.concat(F.lit("0"), n(1, 100, 999), F.lit("/"), z(3, 7))),
-        ("phone", 0, F.concat(n(4, 100, 999), F.lit("."), z(5, 3), F.lit("."), z(6, 4))),
+        ("phone", 1, F.concat(n(1, 201, 989), F.lit("."), n(2, 100, 999), F.lit("."), z(3, 4))),
+        ("phone", 0, F.concat(n(4, 100, 199), F.lit("."), z(5, 3), F.lit("."), z(6, 4))),
         ("phone", 0, F.concat(F.lit("("), n(4, 1900, 2029), F.lit(") "), n(5, 100, 999), F.lit("-"), n(6, 100, 999))),
         ("phone", 0, F.concat(F.lit("0"), n(4, 10, 99), F.lit("-"), z(5, 5))),
         ("phone", 0, F.concat(F.lit("00"), n(4, 1, 9), z(5, 9))),
         ("card", 1, dots(card)),
-        ("card", 0, F.concat(sixteen[0], F.lit("."), sixteen[1], F.lit("."), sixteen[2], F.lit("."), sixteen[3])),
-        ("card", 0, F.concat(sixteen[0], F.lit("_"), sixteen[1], F.lit("_"), sixteen[2], F.lit("_"), sixteen[3])),
-        ("ip", 1, F.concat(n(7, 1, 223), F.lit("[.]"), n(8, 0, 255), F.lit("[.]"), n(9, 0, 255), F.lit("[.]"), n(10, 1, 254))),
-        ("ip", 0, F.concat(n(7, 256, 999), F.lit("(.)"), n(8, 256, 999), F.lit("(.)"), n(9, 0, 9), F.lit("(.)"), n(10, 0, 9))),
+        ("card", 0, dots(failing)),
+        ("card", 0, F.translate(dots(failing), ".", "_")),
+        ("ip", 1, joined_by(dot_of(22), n(7, 1, 223), n(8, 0, 255), n(9, 0, 255), n(10, 1, 254))),
+        ("ip", 1, joined_by(dot_of(23), n(7, 1, 223), n(8, 0, 99), n(9, 0, 9), n(10, 1, 9))),
+        ("ip", 0, joined_by(dot_of(24), *(F.when(large == k, n(25 + k, 256, 999)).otherwise(n(35 + k, 0, 255)) for k in range(4)))),
+        ("ip", 0, joined_by(dot_of(40), *(F.when(large == k, n(25 + k, 256, 999)).otherwise(n(41 + k, 0, 9)) for k in range(4)))),
+        ("ip", 0, joined_by(dot_of(45), *(n(46 + k, 256, 999) for k in range(4)))),
         ("email", 1, F.concat(word(1), F.lit("."), n(11, 1, 99), F.lit(" [at] "), word(2), F.lit(" [dot] com"))),
         ("email", 1, F.concat(word(1), at_, word(2), dot, F.lit("org"))),
         ("email", 1, F.concat(word(1), F.lit(" @ "), word(2), F.lit(".net"))),

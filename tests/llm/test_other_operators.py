@@ -158,6 +158,16 @@ def test_proposals_beyond_the_base(spark):
     assert got == {90_000: "phone:5:19", 90_001: "email:6:28", 90_002: "", 90_003: ""}
 
 
+def test_each_kind_of_proposal_is_found_and_rejected(spark):
+    found = {"card": ["4539.1488.0343.6467"], "ip": ["192[.]168[.]1[.]1", "203[.]0[.]113[.]1", "10[.]20[.]130[.]240"], "phone": ["555.123.4567", "(415) 555-2671", "415-555-2671"], "email": ["joe at example dot com"]}
+    rejected = ["4539.1488.0343.6468", "999[.]999[.]999[.]999", "10[.]20[.]300[.]4", "(2019) 555-123", "noon at 12.30"]
+    items = [(k, x) for k, xs in found.items() for x in xs] + [(None, x) for x in rejected]
+    texts = [f"we saw {x} in it" for _, x in items]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 90_000)), "doc_id long, text string"))
+    got = {r.doc_id: r.spans for r in pii.pii_digest(docs).where("doc_id >= 90000").collect()}
+    assert {x: got[90_000 + i] for i, (_, x) in enumerate(items)} == {x: f"{k}:7:{7 + len(x)}" if k else "" for k, x in items}
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "mail \U0001f600 joe@x.org, or +1 (444) 555-4984!"), (2, None), (3, "nothing here")], "doc_id long, text string")
     assert {r.doc_id: r.redacted for r in pii.redact(docs).collect()} == {1: "mail \U0001f600 [email], or [phone]!", 2: "", 3: "nothing here"}
