@@ -51,7 +51,7 @@ def _duplicate_lines(data: bytes, offsets: list[int]) -> list[int]:
 
 def _repeated(words: Words, width: int = 8) -> np.ndarray:
     """For each text, its words that lie in a run of width words found twice or more in it."""
-    h, first = words.windows(width, short=False)
+    h, first, at = words.windows(width, short=False)
     covered = np.zeros(len(words.starts) + 1, np.int64)
     if len(h):
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -61,8 +61,7 @@ def _repeated(words: Words, width: int = 8) -> np.ndarray:
         again = np.zeros(len(h), bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
-        at = np.flatnonzero(again)
-        at = at - first[:-1][text[at]] + words.first[:-1][text[at]]
+        at = at[again]
         np.add.at(covered, at, 1)
         np.add.at(covered, at + width, -1)
     return _sums(np.cumsum(covered)[:-1] > 0, words.first)

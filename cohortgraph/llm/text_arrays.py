@@ -20,18 +20,10 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: Masks that leave the first 0 to 8 bytes of a little-endian lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Lanes of a word that are added one position after another over all words; the rest of longer words comes at the end.
+_LANES = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +35,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word: its lanes of eight bytes, each mixed with its place, summed and mixed with the length.
+
+    Lanes go through the mixer before they are summed, so words cannot be built to collide as with polynomials."""
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    lengths = ends - starts
+    place = mix(np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(_BASE))
+    total = mix((lanes[starts] & _FIRST[np.minimum(lengths, 8)]) ^ place[0])
+    more = np.flatnonzero(lengths > 8)
+    for k in range(1, _LANES):
+        if not len(more):
+            break
+        total[more] += mix((lanes[starts[more] + 8 * k] & _FIRST[np.minimum(lengths[more] - 8 * k, 8)]) ^ place[k])
+        more = more[lengths[more] > 8 * k + 8]
+    if len(more):
+        count = (lengths[more] + 7) // 8 - _LANES
+        begin = np.cumsum(count) - count
+        at = np.arange(int(count.sum())) - np.repeat(begin, count) + _LANES
+        which = np.repeat(more, count)
+        keys = mix((at + 1).astype(np.uint64) * np.uint64(_BASE))
+        total[more] += np.add.reduceat(mix((lanes[starts[which] + 8 * at] & _FIRST[np.minimum(lengths[which] - 8 * at, 8)]) ^ keys), begin)
+    return mix(total + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of whole texts; null counts as empty."""
     if pa.types.is_dictionary(column.type) or not pa.types.is_large_string(column.type):
@@ -76,38 +92,31 @@ class Words:
         ends[:-1] &= space[1:] | edge[1:size]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _power_tables(size + 1)
-        total = np.zeros(size + 1, np.uint64)
-        letters = (_FOLD[data] if fold else data).astype(np.uint64)
-        letters += np.uint64(1)
-        letters *= up[:size]
-        np.cumsum(letters, out=total[1:])
-        h = total[self.ends] - total[self.starts]
-        h *= down[self.starts]
-        self.hashes = mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.hashes = _word_hashes(_FOLD[data] if fold else data, self.starts, self.ends)
         self.data, self.offsets, self.space = data, offsets, space
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, width: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all runs of width words inside one text, first): with short, a text of fewer words is one run."""
+    def windows(self, width: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of all runs of width words inside one text, first: index of each text's first run and the end, index of
+        each run's first word). With short, a text of fewer words is one run."""
         h, n = self.hashes, self.counts()
         mult = [(_BASE * (2 * k + 3) ** 5 | 1) & _MASK for k in range(width)]
         total = np.zeros(max(0, len(h) - width + 1), np.uint64)
         for k, m in enumerate(mult):
             total += h[k : k + len(total)] * np.uint64(m)
         per = np.maximum(n - width + 1, 0)
-        texts = np.repeat(np.arange(len(n)), per)
-        at = np.arange(len(texts)) - np.repeat(np.cumsum(per) - per, per) + self.first[:-1][texts]
+        ends = np.cumsum(per)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - per - self.first[:-1], per)
         out = mix(total[at])
-        if not short or not ((n > 0) & (n < width)).any():
-            return out, np.concatenate(([0], np.cumsum(per)))
-        small = np.flatnonzero((n > 0) & (n < width))
-        one = [mix(np.array([(sum(int(x) * m for x, m in zip(h[self.first[i] : self.first[i + 1]], mult)) + int(n[i]) * 0x2545F4914F6CDD1D) & _MASK], np.uint64))[0] for i in small]
-        out = np.insert(out, np.concatenate(([0], np.cumsum(per)))[small], np.array(one, np.uint64))
-        per[small] = 1
-        return out, np.concatenate(([0], np.cumsum(per)))
+        small = np.flatnonzero((n > 0) & (n < width)) if short else np.zeros(0, np.int64)
+        if len(small):
+            one = [mix(np.array([(sum(int(x) * m for x, m in zip(h[self.first[i] : self.first[i + 1]], mult)) + int(n[i]) * 0x2545F4914F6CDD1D) & _MASK], np.uint64))[0] for i in small]
+            where = np.concatenate(([0], ends))[small]
+            out, at = np.insert(out, where, np.array(one, np.uint64)), np.insert(at, where, self.first[small])
+            per[small] = 1
+        return out, np.concatenate(([0], np.cumsum(per))), at
 
 
 def text_bytes(s: str) -> bytes:
