@@ -1,8 +1,9 @@
 """URL filtering with redirect equivalence.
 
-Explicit rules judge each URL by host and path. Redirects and canonical links found in the pages make two URLs
-aliases; distributed connected components over those links carry a block to every alias that has no rule of its own,
-unless an alias of the component is explicitly allowed. Everything is built from DataFrame functions.
+Explicit rules judge each URL by host and path. Two URLs are aliases where one redirects to the other or names it as
+canonical, and where servers do so without saying it in the page: other scheme, www. and m. hosts, default ports, trailing
+slashes, tracking parameters. Distributed connected components over those links carry a block to every alias that has no rule
+of its own, unless an alias of the component is explicitly allowed. Everything is built from DataFrame functions.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 _CANONICAL = r"(?is)<link\s(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_VARIANT = r"^(?:www|m)\.([^.]+\..+)$"
+_TRACKING = "(?i)(?:^|&)(?:utm_[a-z_]+|gclid|fbclid|msclkid|ref)=[^&]*"
 _REFRESH = r"(?is)<meta\s(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*[0-9.]+\s*[;,]\s*url\s*=\s*'?([^\"'\s>]+)"
 
 
@@ -40,6 +43,13 @@ def node_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
+def form_of(url: Column) -> Column:
+    """The alias-graph name of the address that a URL's common variants redirect to."""
+    host = F.regexp_replace(F.regexp_replace(host_of(url), ":(?:80|443)$", ""), _VARIANT, "$1")
+    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), _TRACKING, ""), "^&+", "")
+    return F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, null where none fits; of equally long ones an allow wins."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -62,13 +72,15 @@ def _resolved(url: Column, target: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): pairs of URL nodes that a canonical link or a refresh makes aliases. Pages without URL or text give none."""
+    """(a, b): pairs of URL nodes that a canonical link, a refresh or a variant of one address makes aliases. Pages without URL
+    give none, those without text only the last."""
     url, html = F.col(url_col), F.coalesce(F.col(html_col), F.lit(""))
-    found = pages.where(url.contains("://") & html.rlike("(?i)canonical|refresh")).select(
-        url.alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t")
-    )
+    known = pages.where(url.contains("://"))
+    found = known.where(html.rlike("(?i)canonical|refresh")).select(url.alias("u"), F.explode(F.array(F.regexp_extract(html, _CANONICAL, 1), F.regexp_extract(html, _REFRESH, 1))).alias("t"))
     whole = F.replace(F.col("t"), F.lit("&amp;"), F.lit("&"))
-    return found.where(F.col("t") != "").select(node_of(F.col("u")).alias("a"), node_of(_resolved(F.col("u"), whole)).alias("b")).distinct()
+    named = found.where(F.col("t") != "").select(node_of(F.col("u")).alias("a"), _resolved(F.col("u"), whole).alias("to"))
+    named = named.select("a", F.explode(F.array(node_of(F.col("to")), form_of(F.col("to")))).alias("b"))
+    return named.union(known.select(node_of(url).alias("a"), form_of(url).alias("b"))).where("a <> b").distinct()
 
 
 def judge_urls(
@@ -78,8 +90,8 @@ def judge_urls(
     """One row for each row of pages: id, host, path, rule, verdict.
 
     The verdict is the longest rule's. Without a rule it is block where an alias is blocked by rule and no alias is
-    allowed by rule, else allow. edges: (a, b) URL nodes as node_of names them, by default those found in the pages'
-    own text; a crawler's redirect log may be joined to them. A null URL, or one without ://, has empty host and path,
+    allowed by rule, else allow. edges: (a, b) URL nodes as node_of names them, by default those of the pages' own URLs
+    and texts; a crawler's redirect log may be joined to them. A null URL, or one without ://, has empty host and path,
     no rule and no alias, and is allowed. Repeated rows are judged alike; extra columns are ignored.
     """
     edges = alias_edges(pages, url_col, html_col) if edges is None else edges
@@ -112,8 +124,14 @@ whole AS (SELECT a, CASE WHEN contains(t, '://') THEN replace(t, '&amp;', '&')
                          WHEN starts_with(t, '/') THEN 'x://' || host || replace(t, '&amp;', '&')
                          ELSE 'x://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || replace(t, '&amp;', '&') END AS b
           FROM links WHERE t <> ''),
-e AS (SELECT a, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+e0 AS (SELECT a, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
                 || regexp_extract(b, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM whole),
+forms AS (SELECT x, regexp_replace(regexp_replace(translate(regexp_extract(x, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(80|443)$', ''), '^(?:www|m)\.([^.]+\..+)$', '\1')
+                    || regexp_replace(regexp_extract(x, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', '') AS place,
+                 regexp_replace(regexp_replace(regexp_extract(x, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '(?i)(^|&)(utm_[a-z_]+|gclid|fbclid|msclkid|ref)=[^&]*', '', 'g'), '^&+', '') AS query
+          FROM (SELECT u AS x FROM q WHERE contains(u, '://') UNION SELECT b FROM whole)),
+variants AS (SELECT x, place || CASE WHEN query = '' THEN '' ELSE '?' || query END AS form FROM forms),
+e AS (SELECT a, b FROM e0 UNION SELECT a, form FROM whole JOIN variants ON x = b UNION SELECT host || tail, form FROM q JOIN variants ON x = u WHERE contains(u, '://')),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
 ruled AS (SELECT b AS node, arg_max(kind, length(h || p)) AS v

@@ -48,6 +48,20 @@ def test_blocks_reach_aliases_and_allows_win(spark):
     assert by[7] == by[8] == by[None] == by[9] == (None, "allow") and by[10] == (None, "block")
 
 
+def test_variants_of_an_address_are_aliases(spark):
+    pages = [
+        (1, "http://www.shop.org/es/?utm_source=x"), (2, "https://shop.org:443/es"), (3, "https://m.shop.org/es?ref=1&utm_a=2#top"), (4, "https://shop.org/es?page=2"),
+        (5, "http://m.com/a"), (6, "http://shop.org/es/more"), (7, "http://www.news.net/de"), (8, "http://news.net/de/"),
+    ]
+    df = spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert got == {1: ("org/es/", "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow"), 6: ("org/es/", "block"), 7: (None, "allow"), 8: ("net/de/", "allow")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, NULL)", pages)
+    assert {r[0]: (r[3], r[4]) for r in con.execute(url_filter.SQL).fetchall()} == got
+
+
 def test_no_pages(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
