@@ -67,11 +67,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by all their columns, so null and repeated ids do no harm: of rows that tie by length and id one
     stays, and so does one of fully equal rows."""
-    keyed = docs.withColumns(dict(zip(("__k1", "__k2"), row_keys(docs))))
-    rows = keyed.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
-    whole = _runs(_normal(rows, F.col("k1")), "k1", "k2").groupBy("sha").agg(F.max("best").alias("best"))
-    stay = whole.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
-    return keyed.dropDuplicates(["__k1", "__k2"]).join(stay, ["__k1", "__k2"], "left_semi").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *(k.alias(f"k{i}") for i, k in enumerate(row_keys(docs), 1)))
+    whole = _runs(_normal(keyed.drop("row"), F.col("k1")), "k1", "k2").groupBy("sha").agg(F.max("best").alias("best"))
+    stay = whole.select(F.col("best.k1").alias("k1"), F.col("best.k2").alias("k2"))
+    return keyed.select("row", "k1", "k2").dropDuplicates(["k1", "k2"]).join(stay, ["k1", "k2"], "left_semi").select("row.*")
 
 
 SQL = """

@@ -95,7 +95,7 @@ def _scan(least: int, keep_first: bool):
             now = pa.Table.from_batches([b]).select(names)
             carry, out = decide(now if carry is None else pa.concat_tables([carry, now]).combine_chunks(), last=False)
             yield from out
-            if carry is not None and carry.num_rows > _LONG and not keep_first:
+            if carry is not None and carry.num_rows > _LONG:
                 # A very common line: its occurrences are written out as edge rows as they come; the count is theirs.
                 # What is left of the line, here and in later batches, goes to the same count, so it is edge as well.
                 carry, out = _flush(carry, names)
@@ -148,7 +148,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = table(ranged.sortWithinPartitions("h1", "h2", "id", "k1", "k2", "pos").mapInArrow(_scan(min_docs, keep_first), _FOUND), "line-runs")
     edges = found.where("edge")
     totals = edges.groupBy("h1", "h2", "k1", "k2").agg(F.min(F.struct("id", "k1", "k2", "pos")).alias("first")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    late = edges.join(totals.where(F.col("n") >= min_docs), ["h1", "h2"])
+    # A partition has two undecided lines at most, so there are at most twice as many of them as shuffle partitions.
+    late = edges.join(F.broadcast(totals.where(F.col("n") >= min_docs)), ["h1", "h2"])
     if keep_first:
         late = late.where(~F.struct("id", "k1", "k2", "pos").eqNullSafe(F.col("first")))
     gone = found.where("not edge").select("k1", "k2", "pos").union(late.select("k1", "k2", "pos")).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))

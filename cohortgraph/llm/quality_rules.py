@@ -147,8 +147,9 @@ def keep_good(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: st
     def keep(batches):
         for b in batches:
             if b.num_rows:
-                good = reasons(b.column(b.num_columns - 2), b.column(b.num_columns - 1))[2] == ""
-                yield pa.RecordBatch.from_arrays(b.columns[:-2], schema=pa.schema(list(b.schema)[:-2])).filter(pa.array(good))
+                good = reasons(b.column(1), b.column(2))[2] == ""
+                yield pa.RecordBatch.from_arrays(b.column(0).flatten(), names=names).filter(pa.array(good))
 
+    names = docs.columns
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    return docs.select("*", F.col(text_col).cast("string").alias("__text"), lang.alias("__lang")).mapInArrow(keep, docs.schema)
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"), lang.alias("l")).mapInArrow(keep, docs.schema)

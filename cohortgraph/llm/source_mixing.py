@@ -150,10 +150,10 @@ def keep_mixed(
     Each row is judged by its own cell, and a row without an id draws by its text, so null and repeated ids do no harm."""
     dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
     rated = _rated(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")), share, targets, power, rounds, rest)
-    rated = F.broadcast(rated.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.round("p", 6).alias("__p")))
+    rated = F.broadcast(rated.select(*DIMENSIONS, F.round("p", 6).alias("p")))
     drawn = draw(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
-    rows = docs.select("*", *(c.alias(f"__{d}") for d, c in dims.items()), drawn.alias("__u"))
-    return rows.join(rated, [f"__{d}" for d in DIMENSIONS]).where(F.col("__u") < F.col("__p")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(d) for d, c in dims.items()), drawn.alias("u"))
+    return rows.join(rated, list(DIMENSIONS)).where(F.col("u") < F.col("p")).select("row.*")
 
 
 def _sql(rounds: int, cap_rounds: int, share: float, power: float) -> str:

@@ -92,5 +92,13 @@ def test_first_occurrence_can_stay(spark):
     assert got[0] == "x 0\nsame" and all(got[i] == f"x {i}" for i in range(1, 20))
 
 
+def test_first_occurrence_of_a_line_written_out_early_can_stay(spark, monkeypatch):
+    rows = [(i, f"x {i}\nsame\nsame") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    maps = line_dedup.keep_bitmaps(docs, min_docs=10, keep_first=True)
+    got = {r.doc_id: r.kept_text for r in line_dedup.apply_bitmaps(docs, maps).collect()}
+    assert got[0] == "x 0\nsame" and all(got[i] == f"x {i}" for i in range(1, 60))
+
+
 def test_lines_of_nothing(spark, no_docs):
     assert digest(no_docs) == []
