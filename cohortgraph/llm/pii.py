@@ -2,7 +2,7 @@
 
 Plain patterns with checks (octets, check digits, digit counts) find the base spans of each kind, and these always stay. Wider
 generators propose further spans that may overlap: written-out and spaced e-mail addresses, addresses with other
-separators, grouped numbers without a country code. Gradient-boosted trees score each proposal by its format and the
+separators, grouped numbers without a country code, and long mixed strings that may be keys. Gradient-boosted trees score each proposal by its format and the
 words around it, and a threshold calibrated for each kind decides. Spans, features and scores are DataFrame
 expressions; the trees are fitted by Spark ML on a bounded sample and then written out as one expression.
 
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from cohortgraph.llm.shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that have proposals; secrets have no base pattern.
+PROPOSED = (*KINDS, "secret")
 #: Contexts that training items are put into, at most.
 CONTEXTS = 3_000
 #: Of the held-out look-alikes of a kind, the share that a threshold may let through.
@@ -45,12 +47,44 @@ WIDE = {
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\x20?[\[({]\x20?(?:dot|\.)\x20?[\])}]\x20?[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(])(?:00[1-9][0-9\x20().-]{7,18}[0-9]|\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}|[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{5,8})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,256}+(?![A-Za-z0-9+/_-])",
 }
 #: What must be in a text for a kind's base pattern to be tried at all.
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _PHONE_WORDS, _OTHER_WORDS = r"(?i)(?:tel|phone|call|fax|mobile|cell|ruf|appel|llam|contact)", r"(?i)(?:page|isbn|version|no|nr|id|order|date|price|total|year|ref|doi|vol)"
 
+_NAMED = r"(?i)(?:key|token|secret|passw|passwd|pwd|auth|credential)[A-Za-z_]{0,16}[\"']?\s{0,2}[:=]\s{0,2}[\"']?$"
+_HASHED = r"(?i)(?:sha|md5|commit|checksum|hash|digest|etag|rev|id)[A-Za-z0-9_-]{0,8}[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def scan(xs: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Goes through an array with a state; step gives the next state and an array of what comes out, of elements of this kind.
+
+    Arrays are built by copying, so the way goes in blocks of about the root of the length: n elements cost n ** 1.5 small copies."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc, xs):
+        inner = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    def whole(v):
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda k: F.slice(v, k * w + 1, w)))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        return F.flatten(F.aggregate(blocks, start, block, lambda acc: acc["outs"]))
+
+    return let(xs, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(none))
+
 
 def digits_of(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
@@ -74,30 +108,33 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+_SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (s, e, m): code points from, to (exclusive), and the matched text.
+    """Leftmost non-overlapping matches as (s, e, m, before, after): code points from, to (exclusive), the matched text, and the
+    text around it, before it back to the last match at most.
 
     Each match is taken with the gap before it; a last empty match takes the tail, so no gap is searched twice."""
-    whole = rf"(?s)(.*?)({pattern}|\z)"
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("g"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    whole = F.lit(rf"(?s)(.*?)({pattern}|\z)(?=(.{{0,{AROUND}}}))")
+    parts = [F.regexp_extract_all(text, whole, F.lit(k)).alias(name) for k, name in enumerate(("g", "m", "after"), 1)]
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
+    def step(at, x):
+        s = at + F.length(x["g"])
         e = s + F.length(x["m"])
-        found = F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))
-        return F.struct(e.alias("at"), F.when(F.length(x["m"]) > 0, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        found = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.substring(x["g"], -AROUND, AROUND).alias("before"), x["after"].alias("after"))
+        return e, F.when(F.length(x["m"]) > 0, F.array(found)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return scan(F.arrays_zip(*parts), F.lit(0), step, _SPAN)
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Base spans of a kind; texts without its hint are not searched."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     return F.when(text.rlike(_HINT[kind]), F.filter(spans(text, BASE[kind]), lambda x: valid(kind, x["m"]))).otherwise(none)
 
 
-FEATURES = ("chars", "digits", "letters", "groups", "seps", "dots", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end", "octets_ok", "area_ok")
+FEATURES = ("chars", "digits", "letters", "groups", "seps", "dots", "brackets", "spaces", "zero_first", "luhn_ok", "even_groups", "before_letter", "before_digit", "after_letter", "after_digit", "phone_word", "other_word", "currency", "known_end", "octets_ok", "area_ok", "named", "hashed", "hex", "capitals", "kinds_of_character")
 
 
 def features(m: Column, before: Column, after: Column, kind: Column) -> dict[str, Column]:
@@ -113,6 +150,8 @@ def features(m: Column, before: Column, after: Column, kind: Column) -> dict[str
         "phone_word": flag(before.rlike(_PHONE_WORDS)), "other_word": flag(before.rlike(_OTHER_WORDS + r"[^0-9]{0,6}$")), "currency": flag(before.rlike(r"[$€£#]\x20?$") | after.rlike(r"^\x20?[%€$£]")),
         "known_end": flag(m.rlike(r"(?i)[.\])}\x20](?:com|net|org|edu|gov|io|de|fr|es|uk)$")),
         "octets_ok": flag((F.size(groups) == 4) & F.forall(groups, lambda x: x.try_cast("int") <= 255)), "area_ok": flag(m.rlike(r"^\(?[2-9][0-9]{2}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$")),
+        "named": flag(before.rlike(_NAMED)), "hashed": flag(before.rlike(_HASHED)), "hex": flag(m.rlike("^[0-9a-f]+$")), "capitals": count("[A-Z]"),
+        "kinds_of_character": F.size(F.array_distinct(F.split(m, "(?<=.)(?=.)"))).cast("double"),
     }
 
 
@@ -136,6 +175,7 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
     large = F.pmod(F.xxhash64("h", F.lit(21)), F.lit(4))  # place of an octet over 255
     dots = lambda s: F.regexp_replace(s, r"([0-9]{4})(?=[0-9])", "$1.")
     dot, at_ = F.lit(" dot "), F.lit(" at ")
+    hexes = lambda k, w: F.substring(F.sha2(F.concat(F.col("h").cast("string"), F.lit(str(k))), 256), 1, w)
     made: list[tuple[str, int, Column]] = [
         ("phone", 1, F.concat(F.lit("("), n(1, 201, 989), F.lit(") "), n(2, 200, 999), F.lit("-"), z(3, 4))),
         ("phone", 1, F.concat(n(1, 201, 989), F.lit("-"), n(2, 200, 999), F.lit("-"), z(3, 4))),
@@ -159,18 +199,25 @@ def training_rows(docs: DataFrame, text_col: str = "text", contexts: int = CONTE
         ("email", 1, F.concat(word(1), F.lit(" @ "), word(2), F.lit(".net"))),
         ("email", 0, F.concat(word(1), at_, word(2), F.lit("."), word(3))),
         ("email", 0, F.concat(word(1), at_, n(12, 1, 12), F.lit("."), z(13, 2))),
+        ("secret", 1, hexes(61, 40)), ("secret", 1, F.substring(F.translate(F.base64(F.encode(hexes(62, 36), "utf-8")), "=", ""), 1, 40)), ("secret", 1, hexes(63, 32)),
+        ("secret", 0, hexes(64, 40)), ("secret", 0, hexes(65, 32)), ("secret", 0, F.concat(word(4), F.lit("/"), n(66, 1900, 2030), F.lit("/"), word(5), F.lit("-"), word(6))),
     ]
     lead = {"phone": ("Tel. ", "No. "), "card": ("card ", "ref "), "ip": ("host ", "version "), "email": ("write ", "look ")}
+    keys, sums_ = ("token = \"", "api_key: ", "secret=", "password = '", "auth_token: \""), ("commit ", "sha1: ", "", "checksum = ", "id: \"")
     items = []
     for k, (kind, label, item) in enumerate(made):
+        if kind == "secret":  # what is said before the string tells keys from checksums
+            said = F.element_at(F.array(*map(F.lit, keys if label else sums_)), n(200 + k, 1, 5).cast("int"))
+            items.append(F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(float(label)).alias("label"), F.concat("b", F.lit(" "), said).alias("before"), item.alias("m")))
+            continue
         hinted = F.when(F.pmod(F.xxhash64("h", F.lit(100 + k)), F.lit(3)) == 0, F.concat("b", F.lit(" " + lead[kind][1 - label]))).otherwise(F.concat("b", F.lit(" ")))
         items.append(F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.lit(float(label)).alias("label"), hinted.alias("before"), item.alias("m")))
     every = cut(ctx.select("h", "a", F.explode(F.array(*items)).alias("x")).select("h", "x.*", F.concat(F.lit(" "), "a").alias("after")))
     f = features(F.col("m"), F.col("before"), F.col("after"), F.col("kind"))
-    return every.select("h", "k", "kind", "label", *(c.alias(name) for name, c in f.items()), *((F.col("kind") == k).cast("double").alias(f"is_{k}") for k in KINDS))
+    return every.select("h", "k", "kind", "label", *(c.alias(name) for name, c in f.items()), *((F.col("kind") == k).cast("double").alias(f"is_{k}") for k in PROPOSED))
 
 
-INPUTS = (*FEATURES, *(f"is_{k}" for k in KINDS))
+INPUTS = (*FEATURES, *(f"is_{k}" for k in PROPOSED))
 
 
 Score = Callable[[Callable[[str], Column]], Column]
@@ -206,7 +253,7 @@ def fit_trees(rows: DataFrame, false_rate: float = FALSE_RATE) -> tuple[Score, d
     rates = rows.where(held).withColumn("score", score(F.col)).groupBy("kind").agg(
         F.percentile(F.when(F.col("label") == 0, F.col("score")), F.lit(1 - false_rate)).alias("bad"), F.percentile(F.when(F.col("label") == 1, F.col("score")), F.lit(0.02)).alias("good"),
     ).collect()  # a row for each kind
-    limits = {k: 0.0 for k in KINDS}
+    limits = {k: 0.0 for k in PROPOSED}
     for r in rates:
         if r["bad"] is not None:
             # Above nearly all look-alikes; half way to nearly all personal items where the two lie apart.
@@ -223,63 +270,78 @@ def _joined(kinds: dict[str, Column]) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
-    """One row for each row of docs: id, and for each kind base_<kind> and added_<kind>, arrays of (s, e) by start.
+    """One row for each row of docs: id, and base_<kind> and added_<kind>, arrays of (s, e) by start; added_secret too.
 
-    Positions are code points, the end exclusive. A proposal that overlaps a base span of any kind is dropped, and of
-    overlapping proposals the higher score stays, then the earlier, then the longer. A null or empty text has no spans.
+    Positions are code points, the end exclusive. A proposal that overlaps a base span of any kind is dropped. Proposals are
+    gone through by start; of two that overlap the higher score stays, then the earlier. A null or empty text has no spans.
     Null and repeated ids are searched like any other row; other columns are ignored; with an empty table no trees are
     fitted and there are no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     found = rows.select("id", "t", *(base_spans(F.col("t"), k).alias(f"base_{k}") for k in KINDS))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    wide = {k: F.when(F.col("t").rlike(WIDE[k]), spans(F.col("t"), WIDE[k])).otherwise(none) for k in KINDS}
-    base_all = F.concat(*(F.col(f"base_{k}") for k in KINDS))
-    clear = lambda x: ~F.exists(base_all, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    none = F.array().cast(f"array<{_SPAN}>")
+    wide = {k: F.when(F.col("t").rlike(WIDE[k]), spans(F.col("t"), WIDE[k])).otherwise(none) for k in PROPOSED}
 
-    def named(k: str):
-        return lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+    def event(k: str | None):
+        """What is met at at: a base span at its start, a proposal, which comes first, at its end."""
+        return lambda x: F.struct((x["e"] if k else x["s"]).alias("at"), F.lit(0 if k else 1).alias("base"), x["s"].alias("s"), x["e"].alias("e"), F.lit(k).cast("string").alias("kind"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
 
-    tagged = [F.transform(F.filter(c, clear), named(k)) for k, c in wide.items()]
-    found = found.select("*", F.concat(*tagged).alias("maybe"))
+    maybe = "struct<at:int,base:int,s:int,e:int,kind:string,m:string,before:string,after:string>"
+    proposed = F.concat(*(F.transform(c, event(k)) for k, c in wide.items()))
+    found = found.select("id", *(f"base_{k}" for k in KINDS), proposed.alias("proposed"))
 
-    learnt = training_rows(docs, text_col, contexts)
-    score, limits = fit_trees(learnt) if docs.limit(1).count() and learnt.limit(1).count() else (lambda get: F.lit(-1.0), {k: 0.0 for k in KINDS})
+    def clear(reach, x):
+        """reach: the furthest end of the base spans that begin before x ends."""
+        free = (x["base"] == 0) & (x["s"] >= reach)
+        return F.when(x["base"] == 1, F.greatest(reach, x["e"])).otherwise(reach), F.when(free, F.array(x)).otherwise(F.array().cast(f"array<{maybe}>"))
 
-    def judged(x):
-        before = F.substring(F.col("t"), F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND)))
-        f = features(x["m"], before, F.substring(F.col("t"), x["e"] + 1, F.lit(AROUND)), x["kind"])
-        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), *(c.alias(n) for n, c in f.items()), *((x["kind"] == k).cast("double").alias(f"is_{k}") for k in KINDS))
+    bases = F.concat(*(F.transform(F.col(f"base_{k}"), event(None)) for k in KINDS))
+    left = F.when(F.size("proposed") > 0, scan(F.array_sort(F.concat(bases, "proposed")), F.lit(0), clear, maybe)).otherwise(F.array().cast(f"array<{maybe}>"))
+    found = found.select("id", *(f"base_{k}" for k in KINDS), left.alias("maybe"))
 
-    # Few texts have proposals: those are judged one row each, and their choices meet the other texts' bare results again
-    # in the same row, because a text's proposals never leave it.
-    inside = F.transform("maybe", judged)
+    learnt = training_rows(docs, text_col, contexts)
+    score, limits = fit_trees(learnt) if docs.limit(1).count() and learnt.limit(1).count() else (lambda get: F.lit(-1.0), {k: 0.0 for k in PROPOSED})
 
     def limit(kind: Column) -> Column:
-        return reduce(lambda c, k: F.when(kind == k, F.lit(limits[k])).otherwise(c), KINDS, F.lit(0.0))
-
-    scored = F.transform(inside, lambda x: F.struct((limit(x["kind"]) - score(lambda name: x[name])).alias("loss"), x["s"].alias("s"), (-x["e"]).alias("neg_e"), x["kind"].alias("kind")))
-    best = F.filter(F.array_sort(scored), lambda x: x["loss"] <= 0)
-    chosen = "array<struct<loss:double,s:int,neg_e:int,kind:string>>"
-    clash = lambda acc, x: F.exists(acc, lambda y: (y["s"] < -x["neg_e"]) & (x["s"] < -y["neg_e"]))
-    apart = F.aggregate(best, F.array().cast(chosen), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.concat(acc, F.array(x))).cast(chosen))
-    found = found.withColumn("taken", F.when(F.size("maybe") > 0, apart).otherwise(F.array().cast(chosen)))
+        return reduce(lambda c, k: F.when(kind == k, F.lit(limits[k])).otherwise(c), PROPOSED, F.lit(0.0))
+
+    def judged(x):
+        f = features(x["m"], x["before"], x["after"], x["kind"])
+        inputs = F.struct(*(c.alias(n) for n, c in f.items()), *((x["kind"] == k).cast("double").alias(f"is_{k}") for k in PROPOSED))
+        return let(inputs, lambda v: F.struct(x["s"].alias("s"), x["e"].alias("e"), (limit(x["kind"]) - score(lambda name: v[name])).alias("loss"), x["kind"].alias("kind")))
+
+    chosen = "struct<s:int,e:int,loss:double,kind:string>"
+    nothing, last = F.lit(None).cast(chosen), F.array(F.struct(F.lit(2**31 - 1).alias("s"), F.lit(2**31 - 1).alias("e"), F.lit(0.0).alias("loss"), F.lit("").alias("kind")))
+
+    def apart(now, x):
+        """now: the proposal that stays unless a better one overlaps it."""
+        clash = now.isNotNull() & (x["s"] < now["e"])
+        out = F.when(now.isNotNull() & ~clash, F.array(now)).otherwise(F.array().cast(f"array<{chosen}>"))
+        return F.when(clash & (x["loss"] >= now["loss"]), now).otherwise(x), out
+
+    good = F.filter(F.transform("maybe", judged), lambda x: x["loss"] <= 0)
+    taken = F.when(F.size("maybe") > 0, scan(F.concat(F.array_sort(good), last), nothing, apart, chosen)).otherwise(F.array().cast(f"array<{chosen}>"))
+    found = found.withColumn("taken", taken)
     bare = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
     def of(k: str):
         return lambda x: x["kind"] == k
 
-    added = {k: F.array_sort(F.transform(F.filter("taken", of(k)), lambda x: F.struct(x["s"].alias("s"), (-x["neg_e"]).alias("e")))) for k in KINDS}
-    return found.select(F.col("id").alias(id_col), *(bare(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS), *(c.alias(f"added_{k}") for k, c in added.items()))
+    return found.select(F.col("id").alias(id_col), *(bare(F.col(f"base_{k}")).alias(f"base_{k}") for k in KINDS), *(bare(F.filter("taken", of(k))).alias(f"added_{k}") for k in PROPOSED))
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """find_pii as counts of base spans, their SHA-256, and all spans as text."""
+    """find_pii as counts of base spans, their SHA-256, all spans as text, and the number of added ones and of all."""
     found = find_pii(docs, id_col, text_col)
     base = _joined({k: F.col(f"base_{k}") for k in KINDS})
-    every = _joined({k: F.array_sort(F.concat(f"base_{k}", f"added_{k}")) for k in KINDS})
-    return found.select(id_col, *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+    every = _joined({k: F.array_sort(F.concat(f"base_{k}", f"added_{k}")) for k in KINDS} | {"secret": F.col("added_secret")})
+    added = sum((F.size(f"added_{k}") for k in PROPOSED), F.lit(0))
+    counts = [F.size(f"base_{k}") for k in KINDS]
+    return found.select(
+        id_col, *(c.cast("long").alias(f"n_{k}") for k, c in zip(KINDS, counts)), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"),
+        added.cast("long").alias("n_added"), sum(counts, added).cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{}]") -> DataFrame:
@@ -289,14 +351,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     def marked(k: str):
         return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(mark.format(k)).alias("m"))
 
-    tagged = [F.transform(F.concat(f"base_{k}", f"added_{k}"), marked(k)) for k in KINDS]
+    tagged = [F.transform(F.col(f"base_{k}"), marked(k)) for k in KINDS] + [F.transform(F.col(f"added_{k}"), marked(k)) for k in PROPOSED]
     t = F.coalesce(F.col("row.t"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    out = F.aggregate(
-        F.array_sort(F.concat(*tagged)), start,
-        lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["m"]).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
+    end = F.struct(F.length(t).alias("s"), F.length(t).alias("e"), F.lit("").alias("m"))
+
+    def pieces(at, x):
+        out = F.array(F.concat(F.substring(t, at + 1, x["s"] - at), x["m"]))
+        return F.greatest(at, x["e"]), F.when(x["s"] < at, F.array().cast("array<string>")).otherwise(out)
+
+    out = F.array_join(scan(F.concat(F.array_sort(F.concat(*tagged)), F.array(end)), F.lit(0), pieces, "string"), "")
     return found.select(F.col("row.i").alias(id_col), out.alias("redacted"))
