@@ -1,18 +1,19 @@
 """N-gram Jaccard self-join of documents with a token-group matrix.
 
-A document is its set of hashed word shingles. Documents with equal sets are one *class*, held by its smallest id.
-
-1. Grouping. Classes that share a min-hash band are compared with the smallest class of that band's bucket, and confirmed
-   links make *groups* of similar classes (connected components). Grouping only decides cost, never the result.
-2. Matrix. A group's column is the union of its members' tokens, as an OR of bitmaps over hashed tokens. Rows are
-   *blocks*: linked sets of sizes a and b differ in at most (1 - t) / (1 + t) * (a + b) tokens, so when tokens are hashed
-   into more blocks than that, the two agree on whole blocks. A document has a row for the contents of each of its blocks,
-   for its own class of sizes and for the next where it can have larger partners. Rows with one class only go.
-   Tokens that a fixed-size count sketch of the whole corpus shows to be very common (shared passages) are left out of the
-   blocks, which keeps the difference within the same limit.
-3. Bound. A query class meets the groups, other than its own, that have one of its rows. Tokens of the query whose bits are
-   not in a group's column are missing from every member; too many of them rule the group out.
-4. Open. Members of qualifying groups pass the two-sided bound one by one, then whole texts are compared exactly.
+A document is its set of hashed word shingles. Documents with equal sets are one *class*, held by one of its rows.
+
+1. Order. All tokens have one order, the rarest first. How rare a token is comes from two fixed-size count sketches over the
+   whole corpus: of words, which tell how often their run is to be expected, and of shingles, which show repeated passages. The
+   order decides cost, never the result. Linked sets share one of the first n - ceil(t n) + 1 tokens of each, and if one is no
+   larger than the other, one of its first n - ceil(2 t n / (1 + t)) + 1: its *head*.
+2. Grouping. Classes that share a min-hash band are compared with one class of that band's bucket, and confirmed links make
+   *groups* of similar classes (connected components). Grouping, too, decides only cost.
+3. Matrix. Its rows are those first tokens, its columns the groups: an entry says that a member of the group has the token, and
+   bounds the sizes of those members and the token's place in their order. A group of any number of near copies has one entry a
+   token. Two groups meet where one has a token in a head, and sizes and places leave room for a link.
+4. Bound. A group's token union is an OR of bitmaps over hashed tokens. The classes of the smaller group are queries: tokens of
+   a query that are not in the union of the other group are missing from all its members; too many rule the group out.
+5. Open. Members of qualifying groups pass the two-sided bound one by one, then whole texts are compared exactly.
 
 Links inside a group need no pair-by-pair check because its members are connected already; every other link is found.
 """
@@ -22,193 +23,174 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import components, row_keys, table
+from cohortgraph.llm.shared import Scratch, among, components, in_filter, key_filter, table
 from cohortgraph.llm.text_arrays import Words, mix, slices
 
-#: Counters of the frequency sketch, whatever the corpus; a bit of each is sent to every task.
-SKETCH_BITS = 24
-SKETCH, SKETCH_PARTS = 1 << SKETCH_BITS, 64
-#: A token is very common when it is in more than this share of the documents.
-COMMON = 1 / 16
-#: Blocks of fewer tokens say too little to be rows.
-SMALL = 2
-#: Bits of a matrix column for each token, and the least and most longs of a column.
+#: Counters of the two frequency sketches, whatever the corpus, and the parts in which they are merged. A byte of each is sent to every task.
+WORD_BITS, SHINGLE_BITS, PARTS = 18, 22, 64
+#: Tasks whose sketches are merged first.
+MERGED = 256
+#: Steps of the order for each doubling of a count.
+STEPS = 4
+#: Bits of a token union for each token, and the least and most longs of one.
 COLUMN_BITS, LEAST_COLUMN, MOST_COLUMN = 3, 8, 2048
 #: Members of a group that are tried before all of them.
 FEW = 8
 #: Members of a group that are sent together, about.
 PACK = 256
+#: Parts into which the pairs of one class or group are dealt.
+DEALT = 64
 #: Min-hash bands and their width, for grouping.
 BANDS, BAND_ROWS = 8, 3
 
-_DOC = "id long, n int, h1 long, h2 long, bands array<long>, bits array<long>"
+_DOC = "r long, id long, n int, h1 long, h2 long, bands array<long>, bits array<long>, prefix array<long>"
 _SEEDS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-@lru_cache(maxsize=4)
-def size_limits() -> np.ndarray:
-    """Smallest sizes of the classes of sizes, each about 1.3 times the one before."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, out[-1] * 13 // 10))
-    return np.array(out, np.int64)
-
-
-@lru_cache(maxsize=1024)
-def spare_blocks(size: int, most: int) -> int:
-    """Blocks to add so that a set of about this size seldom has more small blocks than were added."""
-    spare = 0
-    while spare < most + 1:
-        blocks = most + 1 + spare
-        mean = size / blocks
-        small = blocks * (1 + mean) * math.exp(-mean)
-        if spare >= small + 3 * math.sqrt(small):
-            break
-        spare += 1
-    return spare
-
-
-def block_rows(s: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row hashes, lead) of a set of n tokens of which s are not very common, for each class of sizes that it takes part in.
-
-    Linked sets agree on more blocks than are spare. So if either has no more small blocks than are spare, they agree on one
-    that is not small, and only sets that both have more need rows for their small blocks. Those of sets that look for a
-    partner in the next class are not lead: two sets that meet there only in such a row need not be compared. Where a
-    single token may differ, rows are the set and the set without each token instead."""
-    limits, out, lead = size_limits(), [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    k = own = int(np.searchsorted(limits, n, "right")) - 1
-    where, content = mix(s ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(20), mix(s + np.uint64(0x2545F4914F6CDD1D))
-    while k == own or k < len(limits) - 1 and 100 * n >= percent * int(limits[k]):
-        most = (100 - percent) * 2 * (int(limits[k + 1]) - 1) // (100 + percent)  # tokens in which the larger of two in class k differs
-        tag = mix(np.array([k << 40], np.uint64))
-        if most == 1:
-            whole = content.sum()
-            rows = mix(np.append(whole - content, whole) + tag)
-            out.append(rows)
-            lead.append(np.ones(len(rows), bool))
-        elif most:  # else only equal sets link
-            spare = spare_blocks(int(limits[k]) * 9 // 8, most)
-            blocks = most + 1 + spare
-            at = (where % np.uint64(blocks)).astype(np.int64)
-            held = np.zeros(blocks, np.uint64)
-            np.add.at(held, at, content)
-            size = np.bincount(at, minlength=blocks)
-            rows = mix(held + mix(np.arange(blocks, dtype=np.uint64) + tag) + size.astype(np.uint64))
-            small = size < SMALL
-            if small.sum() > spare:
-                out.append(rows)
-                lead.append(~small | (k == own))
-            else:
-                out.append(rows[~small])
-                lead.append(np.ones(len(out[-1]), bool))
-        k += 1
-    return np.concatenate(out), np.concatenate(lead)
+def prefix_length(n, percent: int):
+    """Tokens of a set of n of which a linked set has at least one."""
+    return n + 1 - (percent * n + 99) // 100
 
 
-def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    for lo, hi, data, offsets in slices(column):
-        s, first = Words(data, offsets, fold=True).windows(words, short=True)
-        for i in range(hi - lo):
-            yield np.unique(s[first[i] : first[i + 1]])
+def head_length(n, percent: int):
+    """Tokens of a set of n of which a linked set that is no smaller has at least one in its own prefix."""
+    return n + 1 - (2 * percent * n + 99 + percent) // (100 + percent)
+
+
+class Ranks(NamedTuple):
+    """How common words and shingles are, in steps of the order, by sketch cell; base: the steps of a run of unlikely words."""
+
+    words: np.ndarray
+    shingles: np.ndarray
+    base: int
+
+    def of(self, w: Words, s: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        """The rank of each run s of width words that begins at word at: its expected or its counted number, the larger."""
+        steps = np.concatenate(([0], np.cumsum(self.words[_cell(w.hashes, WORD_BITS)], dtype=np.int64)))
+        expected = steps[np.minimum(at + width, len(steps) - 1)] - steps[at] - self.base
+        return np.maximum(expected, self.shingles[_cell(s, SHINGLE_BITS)])
+
 
+def _cell(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
+def _steps(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(STEPS * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
-def common_cells(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
-    """For each sketch cell, as packed bits, whether shingles counted there over the whole corpus are very common.
 
-    A cell's count holds all tokens that fall there, so the mean of all cells and three deviations come on top."""
-    least = max(8.0, COMMON * docs.count())
-    size = SKETCH // SKETCH_PARTS
+def _text_of(docs: DataFrame, text_col: str) -> Column:
+    return F.col(text_col).cast("string").alias("t")
+
+
+def corpus_ranks(docs: DataFrame, text_col: str, words: int) -> Ranks:
+    """Sketches of all words and shingles of the corpus, as ranks. A shingle's count is what its cell holds over the mean and
+    three deviations; a word's is all that its cell holds."""
+
+    def packed(counts: np.ndarray) -> bytes:
+        return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
     def count(batches):
-        cells = np.zeros(SKETCH, np.uint16)
+        held = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
-                s, _ = Words(data, offsets, fold=True).windows(words, short=True)
-                np.add.at(cells, _cell(s), np.uint16(1))
-        for part in range(SKETCH_PARTS):
-            x = np.minimum(cells[part * size : (part + 1) * size], 255).astype(np.uint8)
-            at = np.flatnonzero(x)
-            if len(at):
-                sparse = 5 * len(at) < size
-                packed = zlib.compress((at.astype("<u4").tobytes() + x[at].tobytes()) if sparse else x.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sparse]), pa.array([packed], pa.binary())], ["part", "sparse", "cells"])
+                w = Words(data, offsets, fold=True)
+                np.add.at(held[0], _cell(w.hashes, WORD_BITS), 1)
+                np.add.at(held[1], _cell(w.windows(words, short=True)[0], SHINGLE_BITS), 1)
+        if held[0].any():
+            for p in range(PARTS):
+                parts = (x.reshape(PARTS, -1)[p] for x in held)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([packed(x)], pa.binary()) for x in parts)], ["part", "w", "s"])
+
+    def total(batches) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for p, *sent in zip(*(b.column(k).to_pylist() for k in ("part", "w", "s"))):
+                got = [np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in sent]
+                for x, y in zip(sums.setdefault(p, tuple(np.zeros(len(y), np.int64) for y in got)), got):
+                    x += y
+        return sums
 
     def merge(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, sparse, packed in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x, held = np.frombuffer(zlib.decompress(packed), np.uint8), total.setdefault(part, np.zeros(size, np.int64))
-                if sparse:
-                    n = len(x) // 5
-                    held[np.frombuffer(x[: 4 * n].tobytes(), "<u4")] += x[4 * n :]
-                else:
-                    held += x
-        bits = {k: np.packbits(v > v.mean() + 3 * math.sqrt(v.mean()) + least).tobytes() for k, v in total.items()}
-        yield pa.RecordBatch.from_arrays([pa.array(bits.keys(), pa.int32()), pa.array(bits.values(), pa.binary())], ["part", "bits"])
-
-    counted = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "part int, sparse boolean, cells binary")
-    merged = counted.repartition(SKETCH_PARTS, "part").mapInArrow(merge, "part int, bits binary")
-    out = np.zeros((SKETCH_PARTS, size // 8), np.uint8)
-    for r in merged.collect():  # SKETCH_PARTS rows of fixed size
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def matrix_rows(docs: DataFrame, cells: np.ndarray, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(row, id, lead): the block rows of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast(cells)
-
-    def emit(batches):
-        common = np.unpackbits(sent.value).astype(bool)
-        for b in batches:
-            made = [block_rows(s[~common[_cell(s)]], len(s), percent) if len(s) else (s, np.zeros(0, bool)) for s in _sets(b.column(1), words)]
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(r) for r, _ in made])))
-            rows, lead = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0, np.uint64), np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(rows.view(np.int64), pa.int64()), ids, pa.array(lead, pa.bool_())], ["row", "id", "lead"])
+        for p, (w, s) in total(batches).items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([packed(np.minimum(x, (1 << 32) - 1))], pa.binary()) for x in (w, s))], ["part", "w", "s"])
+
+    def rank(batches):
+        for p, (w, s) in total(batches).items():
+            over = s - s.mean() - 3 * math.sqrt(s.mean())
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(w.sum())]), pa.array([_steps(w).tobytes()]), pa.array([_steps(over + 1).tobytes()])], ["part", "n", "w", "s"])
+
+    counted = docs.select(_text_of(docs, text_col)).mapInArrow(count, "part int, w binary, s binary")
+    some = counted.withColumn("some", F.floor(F.spark_partition_id() / MERGED)).repartition("some", "part").select("part", "w", "s")
+    ranked = some.mapInArrow(merge, "part int, w binary, s binary").repartition("part").mapInArrow(rank, "part int, n long, w binary, s binary")
+    n, w, s = 1, np.zeros((PARTS, (1 << WORD_BITS) // PARTS), np.uint8), np.zeros((PARTS, (1 << SHINGLE_BITS) // PARTS), np.uint8)
+    for r in ranked.collect():  # PARTS rows of fixed size
+        n, w[r["part"]], s[r["part"]] = n + r["n"], np.frombuffer(r["w"], np.uint8), np.frombuffer(r["s"], np.uint8)
+    return Ranks(w.ravel(), s.ravel(), round(STEPS * (words - 1) * math.log2(n)))
+
+
+def _least_hashes(s: np.ndarray) -> np.ndarray:
+    """The least of each seed's hashes of s, in blocks, so that memory does not follow the text."""
+    out = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(s), 4096):
+        np.minimum(out, (s[lo : lo + 4096] * _SEEDS[:, None]).min(axis=1), out=out)
+    return out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(emit, "row long, id long, lead boolean")
+
+def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    for lo, hi, data, offsets in slices(column):
+        s, first, _ = Words(data, offsets, fold=True).windows(words, short=True)
+        for i in range(hi - lo):
+            yield np.unique(s[first[i] : first[i + 1]])
+
+
+def _ordered_sets(column: pa.Array, words: int, ranks: Ranks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and the same in the common order."""
+    for lo, hi, data, offsets in slices(column):
+        w = Words(data, offsets, fold=True)
+        s, first, at = w.windows(words, short=True)
+        rank = ranks.of(w, s, at, words)
+        for i in range(hi - lo):
+            x, where = np.unique(s[first[i] : first[i + 1]], return_index=True)
+            yield x, x[np.lexsort((mix(x), rank[first[i] : first[i + 1]][where]))]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """One small row for each document: set size, set hashes, min-hash bands, matrix column."""
+def sketches(docs: DataFrame, ranks: Ranks, text_col: str, words: int, percent: int) -> DataFrame:
+    """One small row for each row (r, id, text): set size, set hashes, min-hash bands, token bitmap, prefix in the common order."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def describe(batches):
         for b in batches:
-            n, h1, h2, bands, bits = [], [], [], [], []
-            for s in _sets(b.column(1), words):
+            n, h1, h2, bands, bits, prefix = [], [], [], [], [], []
+            for s, ordered in _ordered_sets(b.column(2), words, sent.value):
                 n.append(len(s))
                 if not len(s):
-                    h1.append(0), h2.append(0), bands.append([]), bits.append([])
+                    h1.append(0), h2.append(0), bands.append([]), bits.append([]), prefix.append([])
                     continue
                 h1.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64)))
                 h2.append(int(mix(s + np.uint64(0x51ED270B9F0A3C11)).sum().view(np.int64)))
-                least = np.array([(s * k).min() for k in _SEEDS]).reshape(BANDS, BAND_ROWS)
-                key = mix((least * _SEEDS[:BAND_ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
+                key = mix((_least_hashes(s).reshape(BANDS, BAND_ROWS) * _SEEDS[:BAND_ROWS]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
                 bands.append(key.view(np.int64))
                 longs = min(MOST_COLUMN, max(LEAST_COLUMN, 1 << (COLUMN_BITS * len(s) // 64).bit_length()))
                 column = np.zeros(64 * longs, bool)
                 column[(s % np.uint64(64 * longs)).astype(np.int64)] = True
                 bits.append(np.packbits(column, bitorder="little").view(np.int64))
+                prefix.append(ordered[: prefix_length(len(s), percent)].view(np.int64))
             long = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, long), pa.array(bits, long)],
-                ["id", "n", "h1", "h2", "bands", "bits"],
+                [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, long), pa.array(bits, long), pa.array(prefix, long)],
+                ["r", "id", "n", "h1", "h2", "bands", "bits", "prefix"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return table(rows.mapInArrow(describe, _DOC), "sketches")
+    return docs.select("r", "id", _text_of(docs, text_col)).mapInArrow(describe, _DOC)
 
 
 def _missing(a: np.ndarray, b: np.ndarray) -> int:
@@ -274,16 +256,29 @@ def _opened(asked: DataFrame, percent: int) -> DataFrame:
     return asked.select("id", "na", "ba", "cap", "held").mapInArrow(check, "a long, b long")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) that link: the bound first, then whole texts, exactly."""
-    side = classes.select("id", "n", "bits")
-    kept = table(_bounded(pairs.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b"), percent, group=False).select("a", "b"), "pairs")
-    need = kept.select("a").union(kept.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(need, "id").dropDuplicates(["id"])
-    both = kept.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+def _with_both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the other columns of left at a and of right at b. One a may be in very many pairs, so its pairs
+    are dealt to several keys, and left goes to each that is used."""
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.lit(DEALT)))
+    lefts = dealt.select("a", "deal").distinct().join(left, "a")
+    return dealt.join(right, "b").join(lefts, ["a", "deal"]).drop("deal")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct()
+
+
+def _linked(pairs: DataFrame, sk: DataFrame, docs: DataFrame, words: int, percent: int, tmp: Scratch) -> DataFrame:
+    """(a, b) of those of pairs (a, b) that link: the bound first, then whole texts, exactly. docs: (r, t)."""
+    pairs = tmp.table(pairs, "candidates")
+    side = among(sk.select("r", "n", "bits"), "r", _ends(pairs))
+    near = _bounded(_with_both(pairs, side.toDF("a", "na", "ba"), side.toDF("b", "nb", "bb")), percent, group=False)
+    kept = tmp.table(near.select("a", "b").distinct(), "pairs")
+    texts = among(docs, "r", _ends(kept)).dropDuplicates(["r"])
+    both = _with_both(kept, texts.toDF("a", "ta"), texts.toDF("b", "tb")).select("a", "b", "ta", "tb")
 
     def compare(batches):
-        held: dict[int, np.ndarray] = {}  # the last few left sides: a bucket's smallest class is on the left of many pairs
+        held: dict[int, np.ndarray] = {}  # the last few left sides: a bucket's first class is on the left of many pairs
         for batch in batches:
             left, right, keep = batch.column(0).to_pylist(), batch.column(1), []
             for i, (a, y) in enumerate(zip(left, _sets(batch.column(3), words))):
@@ -297,7 +292,124 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), right.filter(mask)], ["a", "b"])
 
-    return table(both.mapInArrow(compare, "a long, b long"), "links")
+    return tmp.table(both.mapInArrow(compare, "a long, b long"), "links")
+
+
+def _stars(heads: DataFrame) -> DataFrame:
+    """(a, b): each class with the first class, by smallest id, of every min-hash bucket that it is in, where sizes allow a link."""
+    keyed = heads.select("r", "n", "id", F.explode("bands").alias("band"), F.pmod("r", F.lit(DEALT)).alias("deal"))
+    slots = keyed.groupBy("band", "deal").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r", "n")).alias("least"), F.count("*").alias("c"))
+    first = slots.groupBy("band").agg(F.min("least").alias("least"), F.sum("c").alias("c")).where("c > 1").select("band", F.col("least.r").alias("a"), F.col("least.n").alias("na"))
+    # The first class goes to each part of its bucket, so that no bucket meets in one task.
+    return keyed.join(slots.select("band", "deal").join(first, "band"), ["band", "deal"]).where("r <> a").select("a", F.col("r").alias("b"), "n", "na").distinct()
+
+
+def _meetings(entries: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
+    """(a, b): pairs of groups, a < b, that share a token and may hold linked sets. entries: (token, g, lo, hi, at); lo and hi are
+    the least and most sizes of the members that have the token, at its least place in their order.
+
+    Of linked sets x and y, x no larger, the first token that they share is in x's head, and from it on each holds all
+    that they share. That leaves bounds on sizes and places."""
+    by = Window.partitionBy("token")
+    head = F.expr(f"at < hi + 1 - (2 * {percent} * bigint(hi) + {99 + percent}) div {100 + percent}")
+    shared = entries.withColumn("head", head).withColumns({"c": F.count("*").over(by), "some": F.bool_or("head").over(by)}).where("c > 1 and some").drop("c", "some")
+    shared = tmp.table(shared, "matrix")
+    x, y = shared.where("head").toDF("token", "gx", "lx", "hx", "ix", "head"), shared.toDF("token", "gy", "ly", "hy", "iy", "any")
+    room = F.expr(
+        f"gx <> gy AND lx <= hy AND 100L * hx >= {percent} * ly AND {100 + percent} * least(hx - ix, hy - iy)"
+        f" >= {percent} * (greatest(ly, lx) + greatest(lx, {percent} * ly div 100))"
+    )
+    return x.join(y, (x["token"] == y["token"]) & room).select(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).distinct()
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """(g, bb): the token union of each group of members (g, bits), folded to its narrowest member. Cells are combined before
+    they travel and dealt by group and place."""
+    cells = members.select("g", F.size("bits").alias("w"), F.posexplode("bits").alias("at", "cell")).groupBy("g", "w", "at").agg(F.bit_or("cell").alias("cell"))
+    narrow = cells.groupBy("g").agg(F.min("w").alias("least"))
+    folded = cells.join(narrow, "g").groupBy("g", (F.col("at") % F.col("least")).alias("at")).agg(F.bit_or("cell").alias("cell"))
+    return folded.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]).alias("bb"))
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One row for each row of docs: r (a hash of id and text), id, n, class_id, n_links, root, component_id."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).select(F.xxhash64("id", "t").alias("r"), "id", "t")
+    texts = rows.select("r", "t")
+    sk = table(sketches(rows, corpus_ranks(rows, "t", words), "t", words, percent), "sketches")
+    same = ["h1", "h2", "n"]
+    with Scratch(spark) as tmp:
+        # Classes: a hot class is put together in parts.
+        slots = sk.where("n > 0").groupBy(*same, F.pmod("r", F.lit(DEALT)).alias("deal")).agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("head"))
+        slots = tmp.table(slots, "class-parts")
+        names = tmp.table(slots.groupBy(*same).agg(F.min("class_id").alias("class_id"), F.min("head").alias("head")).select(*same, "class_id", F.col("head.r").alias("r")), "classes")
+        heads = names.select("r")
+
+        # 1. Groups: confirmed links to the first class of each min-hash bucket.
+        stars = _stars(sk.select("r", "n", "id", "bands").join(heads, "r", "left_semi")).where(f"100L * least(n, na) >= {percent} * greatest(n, na)").select("a", "b")
+        stars = _linked(stars, sk, texts, words, percent, tmp)
+        grouped = names.select("r", "n").join(components(stars).withColumnsRenamed({"id": "r", "component": "g"}), "r", "left").select("r", "n", F.coalesce("g", "r").alias("g"))
+        sizes = grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
+        many = tmp.table(sizes.where("members > 1"), "groups")  # all others are lone: g is r
+        grouped = tmp.table(grouped.join(many.select("g", "members"), "g", "left").select("r", "n", "g", F.coalesce("members", F.lit(1)).alias("members")), "grouped")
+
+        # 2. Matrix: an entry for each group and token.
+        firsts = sk.select("r", "prefix").join(grouped, "r").select("g", "members", "n", F.posexplode("prefix").alias("at", "token"))
+        lone = firsts.where("members = 1").select("token", "g", F.col("n").alias("lo"), F.col("n").alias("hi"), "at")
+        wide = firsts.where("members > 1").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at"))
+        met = tmp.table(_meetings(lone.union(wide), percent, tmp), "meetings")
+        of = lambda c: many.select(F.col("g").alias(c), F.col("members").alias(f"m{c}"))
+        met = met.join(of("a"), "a", "left").join(of("b"), "b", "left").fillna(1, ["ma", "mb"])
+        alone = _linked(met.where("ma = 1 and mb = 1").select("a", "b"), sk, texts, words, percent, tmp)
+
+        # 3. Bound: the smaller group's classes ask the larger group.
+        swap = (F.col("ma") < F.col("mb")) | (F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b"))
+        asks = met.where("ma > 1 or mb > 1").select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("g"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("other"))
+        asked = tmp.table(asks.join(grouped, "g").select("g", "r", "n", "other"), "asks")
+        opened = many.join(asked.select(F.col("other").alias("g")).distinct(), "g", "left_semi")
+        members = grouped.join(opened.select("g"), "g", "left_semi")
+        members = tmp.table(among(sk.select("r", "bits"), "r", members.select("r")).dropDuplicates(["r"]).join(members, "r"), "members")
+        columns = tmp.table(_unions(members).join(opened, "g").select(F.col("g").alias("a"), "least", "most", "bb"), "unions")
+        queries = among(sk.select("r", F.col("n").alias("na"), F.col("bits").alias("ba")), "r", asked.select("r").distinct()).dropDuplicates(["r"])
+        sized = _with_both(asked.select(F.col("other").alias("a"), F.col("r").alias("b")), columns, queries.withColumnRenamed("r", "b"))
+        fit = _bounded(sized.select(F.col("b").alias("a"), F.col("a").alias("b"), "na", "ba", "least", "most", "bb"), percent, group=True)
+        fit = tmp.table(fit.toDF("r", "other", "cap").join(grouped.select("r", "g"), "r"), "open")
+
+        # 4. Open: a few members first, because one link joins the groups; then all that can link.
+        pick = [F.min(F.struct(F.xxhash64("r", F.lit(k)).alias("u"), "r")).alias(f"m{k}") for k in range(FEW)]
+        few = members.join(fit.select(F.col("other").alias("g")).distinct(), "g", "left_semi").groupBy(F.col("g").alias("other")).agg(*pick)
+        tried = _with_both(fit.select(F.col("other").alias("a"), F.col("r").alias("b")), few.withColumnRenamed("other", "a"), fit.select(F.col("r").alias("b")).distinct())
+        tried = tried.select(F.col("b").alias("r"), F.explode(F.array_distinct(F.array(*(F.col(f"m{k}.r") for k in range(FEW))))).alias("member"))
+        tried = _linked(tried.select(F.least("r", "member").alias("a"), F.greatest("r", "member").alias("b")).distinct(), sk, texts, words, percent, tmp)
+        done = _by_group(alone.union(tried), grouped)
+        left = fit.join(done.union(done.select("b", "a")).toDF("g", "other"), ["g", "other"], "left_anti")
+        packs = members.select(F.col("g").alias("other"), "members", "r", "n", "bits").join(left.select("other").distinct(), "other", "left_semi")
+        packs = packs.groupBy("other", F.pmod(F.xxhash64("r"), F.ceil(F.col("members") / PACK)).alias("pack")).agg(F.collect_list(F.struct(F.col("r").alias("id"), "n", "bits")).alias("held"))
+        left = left.join(queries, "r").join(many.select(F.col("g").alias("other"), "members"), "other")
+        left = left.withColumn("pack", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / PACK) - 1)))
+        rest = _opened(left.withColumnRenamed("r", "id").join(packs, ["other", "pack"]), percent).distinct()
+        rest = _linked(rest, sk, texts, words, percent, tmp)
+
+        # Components of the groups, then of classes and rows.
+        joined = components(_by_group(alone.union(tried).union(rest), grouped)).withColumnsRenamed({"id": "g", "component": "root"})
+        degree = stars.union(alone).union(tried).union(rest).distinct().select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("n_links"))
+        facts = names.join(grouped.select("r", "g"), "r").join(joined, "g", "left").join(degree, "r", "left").withColumn("root", F.coalesce("root", "g"))
+        least = facts.groupBy("root").agg(F.min("class_id").alias("component_id"))
+        facts = facts.join(least, "root").select(*same, "class_id", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        facts = table(slots.select(*same, "deal").join(facts, same), "facts")
+    facts = facts.withColumnsRenamed({c: f"k_{c}" for c in same} | {"deal": "k_deal"})
+    equal = [F.col(c) == F.col(f"k_{c}") for c in same] + [F.pmod("r", F.lit(DEALT)) == F.col("k_deal")]
+    out = sk.select("r", "id", "n", "h1", "h2").join(facts, equal, "left")
+    return out.select(
+        "r", "id", F.col("n").cast("long").alias("n"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("root", "r").alias("root"), F.coalesce("component_id", "id").alias("component_id"),
+    )
+
+
+def _by_group(links: DataFrame, grouped: DataFrame) -> DataFrame:
+    """links between classes as links (a, b) between their groups."""
+    of = grouped.select("r", "g")
+    return links.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -308,82 +420,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest id with an equal set; n_links counts the confirmed links of its class to other classes (links between
     members of one group that the operator did not need to open are not counted); component_id is the smallest id
     reachable by links. A document without words (null or blank text) has an empty set, links with nothing, and its own
-    id in both. Rows with a null id get the ids of their class, null where it has none. Ids are expected to be unique: of
-    rows that repeat an id one text is compared. Other columns are ignored.
+    id in both. Rows with a null or repeated id take part with their own texts; a class or component without any id has
+    null. Rows go by a 64-bit hash of id and text, shingles by 64-bit hashes. Other columns are ignored; an empty table gives
+    no rows.
     """
-    rows = sketches(docs, id_col, text_col, words)
-    filled = rows.where("n > 0")
-    names = filled.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"))
-    heads = names.where("class_id is not null").select("h1", "h2", "n", F.col("class_id").alias("id"))
-    classes = table(filled.select("h1", "h2", "n", "id", "bands", "bits").join(heads, ["h1", "h2", "n", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands", "bits"), "classes")
-    whole = (docs, id_col, text_col, words, percent)
-
-    # 1. Groups: confirmed links to the smallest class of each min-hash bucket.
-    keyed = classes.select("id", F.explode("bands").alias("band"))
-    first = keyed.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1").drop("size")
-    stars = keyed.join(first, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = _linked(stars, classes, *whole)
-    groups = components(links)
-    grouped = table(classes.join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("g")), "grouped")
-
-    # 2. Matrix rows that more than one document has, then those that more than one group has.
-    made = matrix_rows(docs, common_cells(docs, text_col, words), id_col, text_col, words, percent)
-    shared = made.groupBy("row").agg(F.count("*").alias("c"), F.bool_or("lead").alias("led")).where("c > 1 and led").select("row")
-    sizes = table(grouped.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members")), "sizes")
-    rows_of = made.join(shared, "row", "left_semi").join(grouped, "id").join(sizes.select("g", "members"), "g")
-    rows_of = table(rows_of.select("row", "id", "lead", "g", "members"), "matrix-rows")
-    crossing = rows_of.groupBy("row").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.bool_or("lead").alias("led")).where("lo < hi and led").select("row")
-    queries = rows_of.join(crossing, "row", "left_semi")
-    matrix = queries.groupBy("row", F.col("g").alias("other"), F.col("members").alias("others")).agg(F.bool_or("lead").alias("led"))
-    # Of two groups the smaller asks the larger.
-    asks = (F.col("members") < F.col("others")) | (F.col("members") == F.col("others")) & (F.col("g") < F.col("other"))
-    met = queries.join(matrix, (queries["row"] == matrix["row"]) & asks & (F.col("lead") | F.col("led"))).select("id", "other").distinct()
-
-    # 3. Bound: a lone class is its own column; larger groups OR their members' columns, folded to the narrowest.
-    members = grouped.join(classes.select("id", "bits"), "id").join(sizes, "g")
-    many = members.where("members > 1")
-    narrow = many.groupBy("g").agg(F.min(F.size("bits")).alias("w"))
-    many = many.join(narrow, "g").select("g", "least", "most", "w", F.posexplode("bits").alias("at", "cell")).withColumn("at", F.col("at") % F.col("w"))
-    wide = many.groupBy("g", "least", "most", "at").agg(F.bit_or("cell").alias("cell")).groupBy("g", "least", "most").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda x: x["cell"]).alias("bb"))
-    lone = members.where("members = 1").select("g", "least", "most", F.col("bits").alias("bb"))
-    columns = wide.union(lone).withColumnRenamed("g", "b")
-    own = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    open_ = table(_bounded(met.toDF("a", "b").join(own, "a").join(columns, "b"), percent, group=True).toDF("id", "other", "cap"), "open")
-
-    # 4. Open the qualifying groups: a few members first, because one link joins the groups; then all that can link.
-    few = grouped.groupBy(F.col("g").alias("other")).agg(*(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("u"), "id")).alias(f"m{k}") for k in range(FEW)))
-    tried = open_.join(few, "other").select("id", F.explode(F.array_distinct(F.array(*(F.col(f"m{k}.id") for k in range(FEW))))).alias("member"))
-    links = table(links.union(_linked(tried.select(F.least("id", "member").alias("a"), F.greatest("id", "member").alias("b")).distinct(), classes, *whole)).distinct(), "links")
-    joined = components(links)
-    of = joined.select("id", F.col("component").alias("gi")), joined.select(F.col("id").alias("other"), F.col("component").alias("go"))
-    left = open_.join(of[0], "id", "left").join(of[1], "other", "left").where(~F.coalesce("gi", "id").eqNullSafe(F.coalesce("go", "other"))).select("id", "other", "cap")
-    left = left.join(classes.select("id", F.col("n").alias("na"), F.col("bits").alias("ba")), "id")
-    packed = members.select("g", "id", "n", "bits", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / PACK)).alias("chunk"))
-    packed = packed.groupBy(F.col("g").alias("other"), "chunk").agg(F.collect_list(F.struct("id", "n", "bits")).alias("held"))
-    pairs = _opened(left.join(packed, "other"), percent).distinct()
-    links = links.union(_linked(pairs, classes, *whole)).distinct()
-    found = components(links).withColumnsRenamed({"id": "class_id", "component": "root"})
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    facts = names.join(found, "class_id", "left").join(degree, "class_id", "left")
-    out = rows.select("id", "n", "h1", "h2").join(facts.withColumnsRenamed({"n": "kn", "h1": "k1", "h2": "k2"}), (F.col("n") == F.col("kn")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "class_id", "id").alias("component_id"),
-    )
+    found = _classified(docs, id_col, text_col, words, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the smallest id of each component only; all columns stay.
-
-    Where an id is null or repeated, rows go by a hash of all their columns instead: of each component the row with the
-    smallest id stays, null last, and one of fully equal rows."""
-    if docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-        keyed = docs.withColumn("__key", row_keys(docs)[0])
-        found = jaccard_components(keyed, "__key", text_col, words, percent).select("__key", "component_id").distinct()
-        best = found.join(keyed.select("__key", F.col(id_col).alias("__id")).distinct(), "__key").groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("best"))
-        return keyed.dropDuplicates(["__key"]).join(best.select(F.col("best.__key").alias("__key")), "__key", "left_semi").select(*docs.columns)
-    gone = jaccard_components(docs, id_col, text_col, words, percent).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """docs with one row of each component; all columns stay.
+
+    The row with the smallest id stays, null last; of rows equal in id and text one stays. Rows without words are components of
+    their own. Only rows that may go, by a filter of fixed size, are shuffled."""
+    found = table(_classified(docs, id_col, text_col, words, percent).select("r", "id", "root"), "found")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("best"), F.count("*").alias("c")).where("c > 1").select("root", F.col("best.r").alias("best"))
+    # The row that stays goes to each part of its component, so that no component meets in one task.
+    parts = found.select("root", F.pmod("r", F.lit(DEALT)).alias("deal")).distinct().join(best, "root")
+    doubtful = table(found.withColumn("deal", F.pmod("r", F.lit(DEALT))).join(parts, ["root", "deal"]).select("r", (F.col("r") == F.col("best")).alias("stays")).distinct(), "doubtful")
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    maybe = in_filter(docs.select(F.struct("*").alias("row"), key.alias("r")), "r", key_filter(doubtful, "r"))
+    asked = maybe.where("__in").join(doubtful, "r", "left")
+    stay = asked.where("stays").dropDuplicates(["r"]).union(asked.where("stays is null"))
+    return maybe.where("not __in").select("row.*").union(stay.select("row.*"))
 
 
 SQL = r"""
