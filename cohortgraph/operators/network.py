@@ -3,70 +3,84 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgraph.operators import permute, stats
+from cohortgraph.operators import resample, stats
 
 
 def above(edge_stats: DataFrame, limit: float) -> DataFrame:
     return edge_stats.where(F.col("stat") > limit)
 
 
-class Forest:
-    """Disjoint sets of nodes with the number of edges in each."""
-
-    def __init__(self) -> None:
-        self.up: dict = {}
-        self.edges: dict = {}
-
-    def find(self, x):
-        self.up.setdefault(x, x)
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def add(self, i, j) -> None:
-        a, b = sorted((self.find(i), self.find(j)))
-        self.edges[a] = self.edges.pop(a, 0) + (self.edges.pop(b, 0) if b != a else 0) + 1
-        self.up[b] = a
+def whole_graphs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by keys, cut so that no graph lies in two of them."""
+    rest = None
+    for pdf in batches:
+        if rest is not None:
+            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        other = (pdf[list(keys)] != pdf[list(keys)].iloc[-1]).any(axis=1).to_numpy()
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield pdf.iloc[:cut]
+        rest = pdf.iloc[cut:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _sorted_graphs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node reachable from each of n nodes, for edges a - b of any number of graphs at once."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, before[a], least)
+        np.minimum.at(label, before[b], least)
+        label = label[label]
+        if (label == before).all():
+            return label
 
 
 def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, i, j, component, size): connected components within each group of keys, named by their smallest node;
-    size counts edges. A group is the edges of one graph."""
+    size counts edges. A group is the edges of one graph; a task works on all graphs of a batch at once."""
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        forest = Forest()
-        pairs = list(zip(pdf["i"], pdf["j"]))
-        for i, j in pairs:
-            forest.add(i, j)
-        root = [forest.find(i) for i, _ in pairs]
-        out = pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "component": root, "size": [forest.edges[r] for r in root]})
-        for k, v in zip(keys, key):
-            out[k] = v
-        return out[[*keys, "i", "j", "component", "size"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_graphs(batches, keys):
+            graph = pdf.groupby(list(keys), sort=False).ngroup().to_numpy()
+            i, j = pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64)
+            nodes, at = np.unique(np.concatenate((np.stack((graph, i), 1), np.stack((graph, j), 1))), axis=0, return_inverse=True)
+            at = at.ravel()
+            label = _labels(at[: len(i)], at[len(i) :], len(nodes))[at[: len(i)]]
+            size = np.bincount(label, minlength=len(nodes))[label]
+            yield pdf[[*keys, "i", "j"]].assign(component=nodes[label, 1].astype(np.int32), size=size.astype(np.int32))
 
-    return edges.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i int, j int, component int, size int")
+    fields = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", i int, j int, component int, size int"
+    return _sorted_graphs(edges.select(*keys, "i", "j"), keys).mapInPandas(run, fields)
 
 
-def nbs(rows: DataFrame, perms: DataFrame, thresholds: Sequence[float], n: int) -> DataFrame:
-    """(threshold, component, size, p): components of the edges whose Welch statistic passes each threshold, and the share of
-    permutations whose largest component has at least as many edges. rows(subject, i, j, cohort, value)."""
-    keys = ["i", "j"]
+def nbs(permuted: DataFrame, thresholds: Sequence[float], n: int) -> DataFrame:
+    """(threshold, component, size, p): components of the edges whose statistic passes each threshold, and the share of the n
+    permutations whose largest component has at least as many edges. permuted(perm, i, j, stat), observed at perm 0."""
     grid = F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))
-    obs = stats.welch(rows, keys).select(*keys, F.col("t").alias("stat"), grid.alias("threshold")).where("stat > threshold")
-    found = components(obs, ["threshold"]).select("threshold", "component", "size").distinct()
-    null = stats.welch(rows.drop("cohort").join(perms, "subject"), ["perm", *keys]).select("perm", *keys, F.col("t").alias("stat"), grid.alias("threshold")).where("stat > threshold")
-    largest = components(null, ["perm", "threshold"]).groupBy("perm", "threshold").agg(F.max("size").alias("largest"))
-    beyond = found.join(largest, (found["threshold"] == largest["threshold"]) & (largest["largest"] >= found["size"]), "left")
-    return beyond.groupBy(found["threshold"], "component", "size").agg((F.count("perm") / n).alias("p"))
+    passed = permuted.select("perm", "i", "j", "stat", grid.alias("threshold")).where("stat > threshold")
+    sized = components(passed, ["perm", "threshold"]).select("perm", "threshold", "component", "size").distinct()
+    found = sized.where("perm = 0").select("threshold", "component", "size")
+    largest = sized.where("perm > 0").groupBy("perm", "threshold").agg(F.max("size").alias("largest"))
+    null = largest.groupBy("threshold", "largest").agg(F.count("*").alias("c")).withColumnRenamed("threshold", "at")
+    beyond = found.join(null, (F.col("threshold") == F.col("at")) & (F.col("largest") >= F.col("size")), "left")
+    return beyond.groupBy("threshold", "component", "size").agg((F.coalesce(F.sum("c"), F.lit(0)) / n).alias("p"))
 
 
 def without_single_edges(edges: DataFrame) -> DataFrame:
@@ -83,8 +97,13 @@ def significant_components(labelled: DataFrame, tests: DataFrame, alpha: float =
 
 
 def relabelled(labelled: DataFrame) -> DataFrame:
-    number = labelled.select("component").distinct().withColumn("label", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("component")))
-    return labelled.join(number, "component").drop("component").withColumnRenamed("label", "component")
+    return labelled.join(_ordered(labelled), "component").drop("component").withColumnRenamed("label", "component")
+
+
+def _ordered(labelled: DataFrame) -> DataFrame:
+    """(component, label): components numbered from 1 in their order; each counts those no larger, and no more are there than nodes."""
+    names = labelled.select("component").distinct()
+    return names.join(names.withColumnRenamed("component", "c"), F.col("c") <= F.col("component")).groupBy("component").agg(F.count("*").cast("int").alias("label"))
 
 
 def larger_components(labelled: DataFrame, least: int = 2) -> DataFrame:
@@ -98,51 +117,84 @@ def ladder(edge_stats: DataFrame, n_nodes: int, steps: int = 100) -> DataFrame:
     is worked out from the edges alone."""
     total = n_nodes * n_nodes
     place = (total - 1) * 0.995
-    ranked = edge_stats.where("stat > 0").select("stat", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("stat"))).alias("k"))
-    # Value at a place of the ascending matrix, counted from the top: each edge fills two places.
-    at = lambda x: F.coalesce(F.max(F.when(F.col("k") == (total - 1 - x) // 2 + 1, F.col("stat"))), F.lit(0.0))
     low, part = int(place), place - int(place)
-    ends = ranked.agg(F.min("stat").alias("lo"), (at(low) + part * (at(low + 1) - at(low))).alias("hi"))
+    # Only the top of the ascending matrix is above the percentile; each edge fills two places of it.
+    top = (total - 1 - low) // 2 + 1
+    largest = edge_stats.where("stat > 0").select("stat").orderBy(F.desc("stat")).limit(top).agg(F.sort_array(F.collect_list("stat"), asc=False).alias("top"))
+    at = lambda x: F.coalesce(F.try_element_at("top", F.lit((total - 1 - x) // 2 + 1)), F.lit(0.0))
+    ends = edge_stats.where("stat > 0").agg(F.min("stat").alias("lo")).crossJoin(largest).select("lo", (at(low) + part * (at(low + 1) - at(low))).alias("hi"))
     return ends.select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("r"), "lo", "hi").select("r", (F.col("lo") + F.col("r") * (F.col("hi") - F.col("lo")) / steps).alias("h"))
 
 
+def rungs_of(stat: np.ndarray, n_nodes: int, steps: int) -> np.ndarray:
+    """ladder() of one graph's statistics."""
+    full = np.sort(np.concatenate((stat, stat, np.zeros(max(0, n_nodes * n_nodes - 2 * len(stat))))))
+    some = stat[stat > 0]
+    if not len(some):
+        return np.zeros(0)
+    place = (len(full) - 1) * 0.995
+    low = int(place)
+    hi = full[low] + (place - low) * (full[min(low + 1, len(full) - 1)] - full[low])
+    return some.min() + np.arange(steps) * (hi - some.min()) / steps
+
+
 def _scores(stat: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray, e_power: float, h_power: float) -> np.ndarray:
     """Sum over thresholds below an edge's statistic of size ** E * h ** H. From the top threshold down components only
     merge, so one pass in descending order of statistics serves all thresholds."""
-    order, out, forest, at = np.argsort(-stat, kind="stable"), np.zeros(len(stat)), Forest(), 0
+    order = np.argsort(-stat, kind="stable")
+    nodes, at = np.unique(np.concatenate((i[order], j[order])), return_inverse=True)
+    a, b, below = at[: len(stat)], at[len(stat) :], -stat[order]
+    label, out, k = np.arange(len(nodes)), np.zeros(len(stat)), 0
     for level in h[::-1]:
-        while at < len(order) and stat[order[at]] > level:
-            forest.add(i[order[at]], j[order[at]])
-            at += 1
-        for k in order[:at]:
-            out[k] += forest.edges[forest.find(i[k])] ** e_power * level**h_power
-    return out
+        end = int(np.searchsorted(below, -level, "left"))
+        for x, y in zip(a[k:end].tolist(), b[k:end].tolist()):
+            if label[x] != label[y]:
+                label[label == label[y]] = label[x]
+        k = max(k, end)
+        own = label[a[:k]]
+        out[:k] += np.bincount(own, minlength=len(nodes))[own] ** e_power * level**h_power
+    scores = np.zeros(len(stat))
+    scores[order] = out
+    return scores
+
+
+def threshold_free(edge_stats: DataFrame, rungs: DataFrame, e_power: float = 0.5, h_power: float = 3.0) -> DataFrame:
+    """(i, j, score): threshold-free scores of the edges of one graph. rungs(r, h) are a bounded list of thresholds."""
+    h = np.array([r["h"] for r in rungs.orderBy("r").select("h").collect()])  # as many as there are steps
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "score": _scores(pdf["stat"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(), h, e_power, h_power)})
+
+    return edge_stats.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, "i int, j int, score double")
 
-def threshold_free(edge_stats: DataFrame, rungs: DataFrame, e_power: float = 0.5, h_power: float = 3.0, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, i, j, score): threshold-free scores of edges. rungs(r, h) are a bounded list of thresholds."""
-    h = np.array([r["h"] for r in rungs.orderBy("r").select("h").collect()])  # as many as there are steps
-    kinds = {f.name: f.dataType.simpleString() for f in edge_stats.schema}
-    grouped = edge_stats.withColumn("__g", F.lit(0)) if not keys else edge_stats
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"i": pdf["i"], "j": pdf["j"], "score": _scores(pdf["stat"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(), h, e_power, h_power)})
-        for k, v in zip(keys, key):
-            out[k] = v
-        return out[[*keys, "i", "j", "score"]]
+def threshold_free_each(permuted: DataFrame, n_nodes: int, steps: int = 100, e_power: float = 0.5, h_power: float = 2.75) -> DataFrame:
+    """(perm, i, j, score): threshold-free scores of the absolute statistics of each permutation, over its own thresholds."""
 
-    return grouped.groupBy(*(keys or ["__g"])).applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "i int, j int, score double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_graphs(batches, ["perm"]):
+            score, stat, i, j = np.zeros(len(pdf)), pdf["stat"].abs().to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
+            ends = np.flatnonzero(np.diff(pdf["perm"].to_numpy())) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(pdf)]):
+                score[lo:hi] = _scores(stat[lo:hi], i[lo:hi], j[lo:hi], rungs_of(stat[lo:hi], n_nodes, steps), e_power, h_power)
+            yield pdf[["perm", "i", "j"]].assign(score=score)
 
+    return _sorted_graphs(permuted.select("perm", "i", "j", "stat"), ["perm"]).mapInPandas(run, "perm int, i int, j int, score double")
 
-def threshold_free_test(rows: DataFrame, perms: DataFrame, rungs: DataFrame, n: int, method: str = "f", e_power: float = 0.5, h_power: float = 2.75, alpha: float = 0.05) -> DataFrame:
+
+def threshold_free_test(permuted: DataFrame, n_nodes: int, n: int, steps: int = 100, e_power: float = 0.5, h_power: float = 2.75, alpha: float = 0.05) -> DataFrame:
     """(i, j, score, p, t_max): observed scores, the share of permutations with at least the edge's score, and the score at
     place floor(alpha n) of the largest scores in descending order."""
-    keys = ["i", "j"]
-    obs = threshold_free(stats.raw_statistic(rows, keys, method), rungs, e_power, h_power)
-    null = threshold_free(stats.raw_statistic(rows.drop("cohort").join(perms, "subject"), ["perm", *keys], method), rungs, e_power, h_power, ["perm"]).withColumnRenamed("score", "s")
-    t_max = permute.critical(null.groupBy("perm").agg(F.max("s").alias("stat")), alpha, n)
-    p = null.join(obs, keys).groupBy(*keys, "score").agg((F.count_if(F.col("s") >= F.col("score")) / n).alias("p"))
-    return p.crossJoin(F.broadcast(t_max))
+    scored = threshold_free_each(permuted, n_nodes, steps, e_power, h_power).withColumnRenamed("score", "stat")
+    obs = scored.where("perm = 0").select("i", "j", F.col("stat").alias("score"))
+    p = scored.where("perm > 0").join(obs, ["i", "j"]).groupBy("i", "j", "score").agg((F.count_if(F.col("stat") >= F.col("score")) / n).alias("p"))
+    return p.crossJoin(F.broadcast(resample.critical(scored, alpha, n)))
+
+
+def threshold_free_masks(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(i, j, corrected, shown): whether the score passes the single threshold, and 1 - p where 0 < p <= alpha, else 0."""
+    shown = F.when((F.col("p") > 0) & (F.col("p") <= alpha), 1 - F.col("p")).otherwise(0.0)
+    return tests.select("i", "j", (F.col("score") > F.col("t_max")).cast("int").alias("corrected"), shown.alias("shown"))
 
 
 # Difference degree test
@@ -213,11 +265,11 @@ def null_diagnostics(null: DataFrame) -> DataFrame:
     return null.agg(F.avg(F.when(off, F.col("c"))).alias("off_mean"), F.var_pop(F.when(off, F.col("c"))).alias("off_var"), F.avg(F.when(~off, F.col("c"))).alias("diagonal_mean"))
 
 
-def difference_degree(logits: DataFrame, nodes: DataFrame, n: int, method: str = "addt", u: int = 1000, draws: int = 1_000_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def difference_degree(logits: DataFrame, nodes: DataFrame, n: int, method: str = "addt", u: int = 1000, draws: int = 1_000_000, seed: int = 0, alpha: float = 0.05, least: int = 3) -> DataFrame:
     """(node, degree, null_p, null_degree, pmf, kept): nodes whose observed difference degree passes the null's.
 
     method addt takes the threshold from the mixture, eddt from the null networks. kept is the degree where it is over a
-    seeded binomial draw and its binomial probability under alpha, else 0."""
+    seeded binomial draw, its binomial probability under alpha, and itself at least least; else 0."""
     spark = logits.sparkSession
     p = ddt_moments(logits, n).first()
     null = null_networks(spark, n, p["m"], p["mu"], p["sigma2"], u, seed)
@@ -235,5 +287,5 @@ def difference_degree(logits: DataFrame, nodes: DataFrame, n: int, method: str =
         return pd.DataFrame({"null_degree": np.array(drawn, np.int32), "pmf": pmf})
 
     seen = observed_degree(logits, nodes, gamma).join(rates, "node").withColumn("x", tail("node", "degree", "null_p"))
-    kept = (F.col("degree") > F.col("x.null_degree")) & (F.col("x.pmf") < alpha)
+    kept = (F.col("degree") > F.col("x.null_degree")) & (F.col("x.pmf") < alpha) & (F.col("degree") >= least)
     return seen.select("node", "degree", "null_p", "x.null_degree", "x.pmf", F.when(kept, F.col("degree")).otherwise(0).alias("kept"))

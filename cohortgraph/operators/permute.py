@@ -1,29 +1,21 @@
-"""Permutation inference. Labels are permuted by hashes, so a permutation is the same whatever the partitioning.
+"""Permutation inference as relational plans, for small numbers of permutations; resample has the large ones.
 
-Small numbers of permutations are relational plans. Large ones send blocks of permutations to tasks, each with the whole
-value matrix of the cohort, whose size is subjects x variables and checked, and work by matrix products.
-"""
+Labels are permuted by hashes, so a permutation is the same whatever the partitioning."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortgraph.operators import stats
 
-#: Values of the cohort's matrix that may be sent to every task.
-MATRIX_VALUES = 50_000_000
-
-
 def labels(spark: SparkSession, subjects: DataFrame, n: int, size_a: int) -> DataFrame:
     """(perm, subject, cohort): n random splits with size_a subjects in group a, by the order of an MD5 of both."""
     order = Window.partitionBy("perm").orderBy(F.md5(F.concat_ws("|", "perm", "subject")), "subject")
     perms = spark.range(1, n + 1).select(F.col("id").cast("int").alias("perm"))
-    drawn = perms.crossJoin(F.broadcast(subjects.select("subject"))).withColumn("k", F.row_number().over(order))
+    drawn = subjects.select("subject").crossJoin(F.broadcast(perms)).withColumn("k", F.row_number().over(order))
     return drawn.select("perm", "subject", F.when(F.col("k") <= size_a, stats.A).otherwise(stats.B).alias("cohort"))
 
 
@@ -35,7 +27,7 @@ def max_welch(rows: DataFrame, perms: DataFrame, keys: Sequence[str]) -> DataFra
 
 def critical(null: DataFrame, alpha: float, n: int) -> DataFrame:
     """(t_max): the value at place floor(alpha * n), from 0, of the largest statistics in descending order."""
-    return null.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("stat")))).where(F.col("k") == int(alpha * n) + 1).select(F.col("stat").alias("t_max"))
+    return null.orderBy(F.desc("stat")).limit(int(alpha * n) + 1).agg(F.min("stat").alias("t_max"))
 
 
 def p_of_min_u(rows: DataFrame, perms: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
@@ -61,51 +53,6 @@ def p_two_sided(null: DataFrame, obs: DataFrame, keys: Sequence[str], n: int) ->
     return null.join(obs, list(keys)).groupBy(*keys, "obs").agg((F.count_if(beyond) / n).alias("p"))
 
 
-def _matrix(rows: DataFrame, variable: str) -> tuple[np.ndarray, np.ndarray, list]:
-    """(subjects x variables values, whether in group a, variables), collected once its size is checked."""
-    size = rows.agg(F.count_distinct("subject") * F.count_distinct(variable)).first()[0]
-    if size > MATRIX_VALUES:
-        raise ValueError(f"a matrix of {size} values is over {MATRIX_VALUES}; use the relational plans")
-    wide = rows.select("subject", "cohort", variable, "value").toPandas().pivot_table(index=["subject", "cohort"], columns=variable, values="value").sort_index().fillna(0.0)
-    return wide.to_numpy(), np.array([c == stats.A for _, c in wide.index]), list(wide.columns)
-
-
-def welch_many(spark: SparkSession, rows: DataFrame, variable: str, n: int, seed: int = 0, block: int = 500, bootstrap: bool = False) -> DataFrame:
-    """(variable, t, p, p_max): Welch statistics with n permutations in blocks of matrix products.
-
-    p is the share of permutations with at least the absolute statistic for the variable, p_max for the largest over all
-    variables. bootstrap draws subjects with replacement in each group before shuffling."""
-    x, in_a, names = _matrix(rows, variable)
-    sent = spark.sparkContext.broadcast((x, in_a))
-
-    def statistic(mask: np.ndarray, times: np.ndarray, x: np.ndarray) -> np.ndarray:
-        a, b = mask * times, (1 - mask) * times
-        na, nb = a.sum(axis=1)[:, None], b.sum(axis=1)[:, None]
-        ma, mb = a @ x / na, b @ x / nb
-        va, vb = (a @ x**2 / na - ma**2) * na / (na - 1), (b @ x**2 / nb - mb**2) * nb / (nb - 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num((ma - mb) / np.sqrt(va / na + vb / nb))
-
-    def run(batches):
-        x, in_a = sent.value
-        obs = np.abs(statistic(in_a[None, :].astype(float), np.ones((1, len(in_a))), x))[0]
-        for pdf in batches:
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                m = min(block, n - int(k) * block)
-                mask, times = np.array([rng.permutation(in_a) for _ in range(m)], float), np.ones((m, len(in_a)))
-                if bootstrap:
-                    times = rng.multinomial(len(in_a), np.full(len(in_a), 1 / len(in_a)), size=m).astype(float)
-                t = np.abs(statistic(mask, times, x))
-                yield pd.DataFrame({"at": np.arange(len(obs)), "over": (t >= obs).sum(axis=0), "over_max": (t.max(axis=1)[:, None] >= obs).sum(axis=0)})
-
-    blocks = spark.range(0, -(-n // block), 1, max(1, min(-(-n // block), 64)))
-    sums = blocks.mapInPandas(run, "at int, over long, over_max long").groupBy("at").agg((F.sum("over") / n).alias("p"), (F.sum("over_max") / n).alias("p_max"))
-    t = statistic(in_a[None, :].astype(float), np.ones((1, len(in_a))), x)[0]
-    named = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(names), dtype=np.int32), variable: names, "t": t}))
-    return named.join(sums, "at").select(variable, "t", "p", "p_max")
-
-
 def first_significant(hits: DataFrame, nodes: DataFrame, order: Sequence[str], default: str = "nan") -> DataFrame:
     """(node, measure): of the measures in which a node is significant the first in order, default where there is none."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("measure"))

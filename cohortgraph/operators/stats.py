@@ -195,16 +195,34 @@ def shapiro(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, family: Sequence[str] = (), p: str = "p") -> DataFrame:
-    """tests with q, the adjusted p, within each family: the least over larger or equal p of p * m / rank."""
-    whole = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(whole.orderBy(p))
-    ranked = tests.withColumn("__k", rank).withColumn("__m", F.count("*").over(whole))
-    step = F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__k"))
-    down = whole.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.min(step).over(down)).drop("__k", "__m")
+    """tests with q, the adjusted p, within each family: the least over larger or equal p of p * m / rank.
+
+    Equal p have the last of their ranks, so counts of distinct p are enough; without families they are summed up in parts of
+    the range of p, and what meets in one place is one row for each part."""
+    counts = tests.groupBy(*family, F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
+    part = F.least(F.floor(F.col("__p") * BH_PARTS), F.lit(BH_PARTS - 1)).alias("__part")
+    sums = counts.groupBy(*family, part).agg(F.sum("__c").alias("__n"))
+    over = Window.partitionBy(*family).orderBy("__part") if family else Window.orderBy("__part")
+    whole = Window.partitionBy(*family) if family else Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = sums.withColumns({"__before": F.sum("__n").over(over) - F.col("__n"), "__m": F.sum("__n").over(whole)}).drop("__n")
+    within = Window.partitionBy(*family, "__part").orderBy("__p")
+    step = F.col("__p") * F.col("__m") / (F.col("__before") + F.sum("__c").over(within))
+    stepped = counts.withColumn("__part", part).join(before, [*family, "__part"]).withColumn("__step", F.least(F.lit(1.0), step))
+    later = stepped.groupBy(*family, "__part").agg(F.min("__step").alias("__least"))
+    after = (Window.partitionBy(*family).orderBy(F.desc("__part")) if family else Window.orderBy(F.desc("__part"))).rowsBetween(Window.unboundedPreceding, -1)
+    later = later.withColumn("__later", F.min("__least").over(after)).drop("__least")
+    down = Window.partitionBy(*family, "__part").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.min("__step").over(down), F.col("__later"))
+    adjusted = stepped.join(later, [*family, "__part"]).select(*family, F.col("__p").alias(p), q.alias("q"))
+    return tests.join(adjusted, [*family, p]).select(*tests.columns, "q")
+
+
+#: Parts of the range of p in which ranks are counted.
+BH_PARTS = 4096
 
 
 def bonferroni(tests: DataFrame, family: Sequence[str] = (), p: str = "p") -> DataFrame:
     """tests with q = p times the number of tests of the family, at most 1."""
-    whole = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
-    return tests.withColumn("q", F.least(F.lit(1.0), F.col(p) * F.count("*").over(whole)))
+    sizes = tests.groupBy(*family).agg(F.count("*").alias("__m"))
+    joined = tests.join(sizes, list(family)) if family else tests.crossJoin(F.broadcast(sizes))  # one row
+    return joined.select(*tests.columns, F.least(F.lit(1.0), F.col(p) * F.col("__m")).alias("q"))

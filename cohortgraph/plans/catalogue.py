@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgraph.operators import adjust, cohort, kernels, learn, measures, network, permute, spectral, stats
+from cohortgraph.operators import adjust, cohort, kernels, learn, measures, network, permute, resample, spectral, stats
 from cohortgraph.operators import edges as E
 from cohortgraph.plans import fixture as fx
 from cohortgraph.plans.oracles import ORACLE  # noqa: F401
@@ -49,6 +49,14 @@ def perms(spark: SparkSession, d: str, n: int) -> DataFrame:
     return permute.labels(spark, s, n, s.where("cohort = 'patient'").count())
 
 
+def permuted(spark: SparkSession, d: str, keys: list[str], rows: DataFrame, n: int, statistic=resample.welch, bootstrap: bool = False) -> DataFrame:
+    return resample.permuted(rows, fx.subjects(spark, d).select("subject", "cohort"), keys, n, statistic, seed=3, bootstrap=bootstrap)
+
+
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    return fx.edges(spark, d).select("subject", "i", "j", F.col("w").alias("value"))
+
+
 # Graphs and node measures
 
 
@@ -456,7 +464,9 @@ def event_type_tests(spark, d):
 
 # Permutations
 
+#: Of the relational plans, which SQL repeats. The large tests have their own numbers.
 PERMS = 20
+TFNBS_PERMS = 5_000
 
 
 @query
@@ -498,7 +508,33 @@ def perm_global_pvalue(spark, d):
 
 @query
 def perm_welch_many(spark, d):
-    return permute.welch_many(spark, valued(spark, d), "node", 2000, seed=3).select("node", r6("t"), r6("p"), r6("p_max"))
+    """Node strengths under the number of permutations of a main result."""
+    t = permuted(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 100_000)
+    return resample.p_values(t, ["node"], 100_000).select("node", r6("t", F.col("stat")), r6("p"), r6("p_max"))
+
+
+@query
+def significant_nodes_many(spark, d):
+    """Nodes beyond the 5 % critical value of the largest statistic."""
+    t = permuted(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 5_000)
+    return t.where("perm = 0").crossJoin(F.broadcast(resample.critical(t, 0.05, 5_000))).select("node", r6("stat"), r6("t_max"), (F.abs("stat") > F.col("t_max")).alias("significant"))
+
+
+@query
+def perm_mwu_many(spark, d):
+    """Rank sums of node strengths: both sides, each node and the furthest of all."""
+    subjects, rows = fx.subjects(spark, d), valued(spark, d).select("subject", "node", "value")
+    ranks = resample.centred_ranks(rows, subjects, ["node"])
+    t = permuted(spark, d, ["node"], ranks, 5_000, resample.rank_sum_z)
+    return resample.p_values(t, ["node"], 5_000).select("node", r6("u_less_mean", F.col("stat")), r6("p"), r6("p_max"))
+
+
+@query
+def perm_global_one_sided(spark, d):
+    """Mean weight of whole graphs, whether patients have less."""
+    rows = measures.mean_weight(fx.edges(spark, d), N).select("subject", F.lit("mean_weight").alias("measure"), F.col("mean_weight").alias("value"))
+    t = permuted(spark, d, ["measure"], rows, 5_000)
+    return resample.p_values(t, ["measure"], 5_000, "left").select("measure", r6("t", F.col("stat")), r6("p"))
 
 
 @query
@@ -546,7 +582,8 @@ def nbs_relabel(spark, d):
 
 @query
 def nbs(spark, d):
-    return network.nbs(edge_values(spark, d), perms(spark, d, PERMS), [1.0, 1.5, 2.0], PERMS).select(r6("threshold"), "component", long("size"), r6("p"))
+    t = permuted(spark, d, ["i", "j"], weights(spark, d), 1_000)
+    return network.nbs(t, [1.0, 1.2, 1.4, 1.6, 1.8, 2.0], 1_000).select(r6("threshold"), "component", long("size"), r6("p"))
 
 
 @query
@@ -562,9 +599,18 @@ def tfnbs_score(spark, d):
 
 @query
 def tfnbs_test(spark, d):
-    rows = edge_values(spark, d)
-    rungs = network.ladder(stats.raw_statistic(rows, ["i", "j"], "f"), N, 40)
-    return network.threshold_free_test(rows, perms(spark, d, PERMS), rungs, PERMS).select("i", "j", r6("score"), r6("p"), r6("t_max"))
+    return _tfnbs(spark, d).select("i", "j", r6("score"), r6("p"), r6("t_max"))
+
+
+@query
+def tfnbs_masks(spark, d):
+    return network.threshold_free_masks(_tfnbs(spark, d)).select("i", "j", "corrected", r6("shown"))
+
+
+def _tfnbs(spark, d):
+    """Ratios of variances with subjects drawn with replacement, 100 thresholds."""
+    t = permuted(spark, d, ["i", "j"], weights(spark, d), TFNBS_PERMS, resample.variance_ratio, bootstrap=True)
+    return network.threshold_free_test(t, N, TFNBS_PERMS)
 
 
 def _logits(spark, d):
@@ -584,7 +630,14 @@ def ddt_observed_degree(spark, d):
 @query
 def ddt(spark, d):
     tests = stats.mann_whitney_p(stats.mann_whitney(edge_values(spark, d), ["i", "j"]))
-    return network.difference_degree(network.logit_difference(tests), fx.nodes(spark), N, u=200, draws=200_000).select("node", long("degree"), r6("null_p"), long("kept"))
+    return network.difference_degree(network.logit_difference(tests), fx.nodes(spark), N, u=1_000, draws=1_000_000).select("node", long("degree"), r6("null_p"), long("kept"))
+
+
+@query
+def eddt(spark, d):
+    """The same with the threshold from the null networks."""
+    tests = stats.mann_whitney_p(stats.mann_whitney(edge_values(spark, d), ["i", "j"]))
+    return network.difference_degree(network.logit_difference(tests), fx.nodes(spark), N, "eddt").select("node", long("degree"), r6("null_p"), long("kept"))
 
 
 # Matrices

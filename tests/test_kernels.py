@@ -134,10 +134,75 @@ def test_threshold_free_scores_by_definition(w):
     h = np.linspace(0.5, 3, 6)
     want = np.zeros(len(i))
     for level in h:
-        forest = network.Forest()
         on = np.flatnonzero(stat > level)
+        label = network._labels(i[on], j[on], len(w))
         for k in on:
-            forest.add(i[k], j[k])
-        for k in on:
-            want[k] += forest.edges[forest.find(i[k])] ** 0.5 * level**3
+            want[k] += (label[i[on]] == label[i[k]]).sum() ** 0.5 * level**3
     assert network._scores(stat, i, j, h, 0.5, 3.0) == pytest.approx(want)
+
+
+@settings(max_examples=30, deadline=None)
+@given(random_graph)
+def test_labels_are_reachability(w):
+    i, j = np.nonzero(np.triu(w))
+    reach = np.linalg.matrix_power((w > 0) + np.eye(len(w)), len(w)) > 0
+    assert network._labels(i, j, len(w)).tolist() == [int(np.flatnonzero(r)[0]) for r in reach]
+
+
+def test_components_of_many_graphs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, int(i), int(j)) for g in range(40) for i, j in rng.integers(0, 30, (20, 2)) if i < j]
+    rows = list(dict.fromkeys(rows))
+    got = {(r.g, r.i, r.j): (r.component, r.size) for r in network.components(spark.createDataFrame(rows, "g long, i int, j int"), ["g"]).collect()}
+    for g in range(40):
+        own = [(i, j) for x, i, j in rows if x == g]
+        label = network._labels(np.array([i for i, _ in own], int), np.array([j for _, j in own], int), 30)
+        assert all(got[g, i, j] == (label[i], sum(label[a] == label[i] for a, _ in own)) for i, j in own)
+
+
+def test_nbs_by_definition(spark):
+    rng = np.random.default_rng(3)
+    stat = rng.normal(1, 1, (51, 10, 10))
+    pairs = list(itertools.combinations(range(10), 2))
+    rows = [(p, i, j, float(stat[p, i, j])) for p in range(51) for i, j in pairs]
+    got = {(r.threshold, r.component): (r.size, r.p) for r in network.nbs(spark.createDataFrame(rows, "perm int, i int, j int, stat double"), [1.5, 2.0], 50).collect()}
+
+    def sizes(p, t):
+        on = [(i, j) for i, j in pairs if stat[p, i, j] > t]
+        label = network._labels(np.array([i for i, _ in on], int), np.array([j for _, j in on], int), 10)
+        return {int(c): sum(label[i] == c for i, _ in on) for c in {label[i] for i, _ in on}}
+
+    for t in (1.5, 2.0):
+        null = [max(sizes(p, t).values(), default=0) for p in range(1, 51)]
+        want = {(t, c): (n, pytest.approx(sum(x >= n for x in null) / 50)) for c, n in sizes(0, t).items()}
+        assert {k: v for k, v in got.items() if k[0] == t} == want
+
+
+def test_threshold_free_test_by_definition(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(i + 1, j + 1) for i, j in itertools.combinations(range(6), 2)]
+    stat = rng.exponential(1, (31, len(pairs)))
+    rows = [(p, i, j, float(stat[p, k])) for p in range(31) for k, (i, j) in enumerate(pairs)]
+    got = {(r.i, r.j): r for r in network.threshold_free_test(spark.createDataFrame(rows, "perm int, i int, j int, stat double"), 6, 30, 20).collect()}
+    i, j = np.array(pairs).T
+    scores = []
+    for x in stat:
+        full = np.zeros((7, 7))
+        full[i, j] = full[j, i] = x
+        hi = np.percentile(full[1:, 1:], 99.5)
+        scores.append(network._scores(x, i, j, x.min() + np.arange(20) * (hi - x.min()) / 20, 0.5, 2.75))
+    scores = np.array(scores)
+    for k, pair in enumerate(pairs):
+        assert (got[pair].score, got[pair].p) == pytest.approx((scores[0, k], (scores[1:, k] >= scores[0, k]).mean()))
+        assert got[pair].t_max == pytest.approx(np.sort(scores[1:].max(axis=1))[::-1][1])
+    masks = network.threshold_free_masks(spark.createDataFrame([(1, 2, 5.0, 0.02, 4.0), (1, 3, 3.0, 0.0, 4.0), (1, 4, 3.0, 0.2, 4.0)], "i int, j int, score double, p double, t_max double")).collect()
+    assert [tuple(r) for r in masks] == [(1, 2, 1, 0.98), (1, 3, 0, 0.0), (1, 4, 0, 0.0)]
+
+
+def test_benjamini_hochberg_by_definition(spark):
+    rng = np.random.default_rng(6)
+    p = np.round(rng.random(300) ** 3, 3)
+    got = {r.k: r.q for r in stats.benjamini_hochberg(spark.createDataFrame([(k, float(x)) for k, x in enumerate(p)], "k int, p double")).collect()}
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * 300 / np.arange(1, 301))[::-1])[::-1]
+    assert [got[k] for k in order.tolist()] == pytest.approx(np.minimum(q, 1).tolist())
