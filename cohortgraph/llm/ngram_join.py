@@ -13,7 +13,8 @@ A document is its set of hashed word shingles. Documents with equal sets are one
    token. Two groups meet where one has a token in a head, and sizes and places leave room for a link.
 4. Bound. A group's token union is an OR of bitmaps over hashed tokens. The classes of the smaller group are queries: tokens of
    a query that are not in the union of the other group are missing from all its members; too many rule the group out.
-5. Open. Members of qualifying groups pass the two-sided bound one by one, then whole texts are compared exactly.
+5. Open. Members of qualifying groups pass the two-sided bound one by one, then whole sets are compared exactly, the likest
+   first, until one links.
 
 Links inside a group need no pair-by-pair check because its members are connected already; every other link is found.
 """
@@ -41,10 +42,8 @@ MERGED = 256
 STEPS = 4
 #: Bits of a token union for each token, and the least and most longs of one.
 COLUMN_BITS, LEAST_COLUMN, MOST_COLUMN = 3, 8, 2048
-#: Members of a group that are tried before all of them.
-FEW = 8
-#: Members of a group that are sent together, about.
-PACK = 256
+#: Members of a group, and queries to one group, that are sent together, about; and the parts into which its queries are dealt.
+PACK, ASKS, ASK_DEALT = 256, 64, 8
 #: Parts into which the pairs of one class or group are dealt.
 DEALT = 64
 #: Min-hash bands and their width, for grouping.
@@ -98,12 +97,12 @@ def corpus_ranks(docs: DataFrame, text_col: str, words: int) -> Ranks:
         return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
     def count(batches):
-        held = np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << SHINGLE_BITS, np.int64)
+        held = np.zeros(1 << WORD_BITS, np.uint32), np.zeros(1 << SHINGLE_BITS, np.uint32)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 w = Words(data, offsets, fold=True)
-                np.add.at(held[0], _cell(w.hashes, WORD_BITS), 1)
-                np.add.at(held[1], _cell(w.windows(words, short=True)[0], SHINGLE_BITS), 1)
+                np.add.at(held[0], _cell(w.hashes, WORD_BITS), np.uint32(1))
+                np.add.at(held[1], _cell(w.windows(words, short=True)[0], SHINGLE_BITS), np.uint32(1))
         if held[0].any():
             for p in range(PARTS):
                 parts = (x.reshape(PARTS, -1)[p] for x in held)
@@ -236,24 +235,52 @@ def _bounded(pairs: DataFrame, percent: int, group: bool) -> DataFrame:
     return pairs.mapInArrow(check, "a long, b long, cap long")
 
 
+def _token_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(r, tokens): sorted shingle hashes of rows (r, t)."""
+
+    def emit(batches):
+        for b in batches:
+            tokens = [x.view(np.int64) for x in _sets(b.column(1), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], ["r", "tokens"])
+
+    return texts.select("r", "t").mapInArrow(emit, "r long, tokens array<long>")
+
+
+def _near_first(a: np.ndarray, bits: pa.ListArray, sizes: np.ndarray, n: int, which: np.ndarray, percent: int) -> np.ndarray:
+    """Of the columns which, those of sets that can link to a set of n tokens with column a; the likest first."""
+    values, begin, width = bits.values.to_numpy(), bits.offsets.to_numpy()[:-1], np.diff(bits.offsets.to_numpy())
+    apart = np.zeros(len(sizes), np.int64)
+    for w in np.unique(width[which]).tolist():
+        at = which[width[which] == w]
+        b, v = values[begin[at][:, None] + np.arange(w)], min(w, len(a))
+        x, b = np.bitwise_or.reduce(a.reshape(-1, v), axis=0), np.bitwise_or.reduce(b.reshape(len(at), -1, v), axis=1)
+        apart[at] = np.bitwise_count((x ^ b).view(np.uint64)).sum(axis=1)
+    which = which[apart[which] * (100 + percent) <= (100 - percent) * (n + sizes[which])]
+    return which[np.argsort(apart[which], kind="stable")]
+
+
 def _opened(asked: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a query (id, na, ba, cap) and members held in a chunk of a group that the columns cannot rule out."""
+    """(a, b): for each query in asks and the members in held, both lists of (id, n, bits, tokens), the first member found to link
+    to the query; the likest by their columns are compared first, all that the columns cannot rule out if need be."""
 
     def check(batches):
         for x in batches:
-            ids, sizes, caps = (x.column(c).to_pylist() for c in ("id", "na", "cap"))
-            bits, held, left, right = x.column("ba"), x.column("held"), [], []
+            left, right = [], []
             for i in range(x.num_rows):
-                n, a, chunk = sizes[i], bits[i].values.to_numpy(), held[i].values
-                m, names, columns = chunk.field("n").to_numpy(), chunk.field("id").to_numpy(), chunk.field("bits")
-                for k in np.flatnonzero((m <= caps[i]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))):
-                    b = columns[int(k)].values.to_numpy()
-                    if (_missing(a, b) + _missing(b, a)) * (100 + percent) <= (100 - percent) * (n + int(m[k])):
-                        left.append(min(ids[i], int(names[k])))
-                        right.append(max(ids[i], int(names[k])))
+                ask, held = x.column("asks")[i].values, x.column("held")[i].values
+                m, names, bits, tokens = held.field("n").to_numpy(), held.field("id").to_numpy(), held.field("bits"), held.field("tokens")
+                for k, (q, n, cap) in enumerate(zip(*(ask.field(c).to_pylist() for c in ("id", "n", "cap")))):
+                    which = np.flatnonzero((m <= cap) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)))
+                    own = ask.field("tokens")[k].values.to_numpy()
+                    for j in _near_first(ask.field("bits")[k].values.to_numpy(), bits, m, n, which, percent).tolist():
+                        both = len(np.intersect1d(own, tokens[j].values.to_numpy(), assume_unique=True))
+                        if both and 100 * both >= percent * (n + int(m[j]) - both):
+                            left.append(min(q, int(names[j])))
+                            right.append(max(q, int(names[j])))
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return asked.select("id", "na", "ba", "cap", "held").mapInArrow(check, "a long, b long")
+    return asked.select("asks", "held").mapInArrow(check, "a long, b long")
 
 
 def _with_both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -375,24 +402,20 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, words: int, percent
         fit = _bounded(sized.select(F.col("b").alias("a"), F.col("a").alias("b"), "na", "ba", "least", "most", "bb"), percent, group=True)
         fit = tmp.table(fit.toDF("r", "other", "cap").join(grouped.select("r", "g"), "r"), "open")
 
-        # 4. Open: a few members first, because one link joins the groups; then all that can link.
-        pick = [F.min(F.struct(F.xxhash64("r", F.lit(k)).alias("u"), "r")).alias(f"m{k}") for k in range(FEW)]
-        few = members.join(fit.select(F.col("other").alias("g")).distinct(), "g", "left_semi").groupBy(F.col("g").alias("other")).agg(*pick)
-        tried = _with_both(fit.select(F.col("other").alias("a"), F.col("r").alias("b")), few.withColumnRenamed("other", "a"), fit.select(F.col("r").alias("b")).distinct())
-        tried = tried.select(F.col("b").alias("r"), F.explode(F.array_distinct(F.array(*(F.col(f"m{k}.r") for k in range(FEW))))).alias("member"))
-        tried = _linked(tried.select(F.least("r", "member").alias("a"), F.greatest("r", "member").alias("b")).distinct(), sk, texts, words, percent, tmp)
-        done = _by_group(alone.union(tried), grouped)
-        left = fit.join(done.union(done.select("b", "a")).toDF("g", "other"), ["g", "other"], "left_anti")
-        packs = members.select(F.col("g").alias("other"), "members", "r", "n", "bits").join(left.select("other").distinct(), "other", "left_semi")
-        packs = packs.groupBy("other", F.pmod(F.xxhash64("r"), F.ceil(F.col("members") / PACK)).alias("pack")).agg(F.collect_list(F.struct(F.col("r").alias("id"), "n", "bits")).alias("held"))
-        left = left.join(queries, "r").join(many.select(F.col("g").alias("other"), "members"), "other")
-        left = left.withColumn("pack", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / PACK) - 1)))
-        rest = _opened(left.withColumnRenamed("r", "id").join(packs, ["other", "pack"]), percent).distinct()
-        rest = _linked(rest, sk, texts, words, percent, tmp)
+        # 4. Open: packs of queries meet packs of members, and a query stops at the first link in a pack.
+        members = members.join(fit.select(F.col("other").alias("g")).distinct(), "g", "left_semi")
+        sets = tmp.table(_token_sets(among(texts, "r", fit.select("r").union(members.select("r"))).dropDuplicates(["r"]), words), "sets")
+        pack = F.pmod(F.xxhash64("r"), F.ceil(F.col("members") / PACK))
+        held = members.join(sets, "r").groupBy(F.col("g").alias("other"), pack.alias("pack")).agg(F.collect_list(F.struct(F.col("r").alias("id"), "n", "bits", "tokens")).alias("held"))
+        dealt = fit.join(many.select(F.col("g").alias("other"), "members"), "other").withColumn("deal", F.pmod(F.xxhash64("r", F.lit(1)), F.lit(ASK_DEALT)))
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("r", F.lit(2)), F.ceil(F.count("*").over(Window.partitionBy("other", "deal")) / ASKS)))
+        asks = dealt.join(queries, "r").join(sets, "r").groupBy("other", "members", "deal", "part").agg(F.collect_list(F.struct(F.col("r").alias("id"), F.col("na").alias("n"), "cap", F.col("ba").alias("bits"), "tokens")).alias("asks"))
+        asks = asks.withColumn("pack", F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / PACK) - 1)))
+        met = tmp.table(_opened(asks.join(held, ["other", "pack"]), percent).distinct(), "links")
 
         # Components of the groups, then of classes and rows.
-        joined = components(_by_group(alone.union(tried).union(rest), grouped)).withColumnsRenamed({"id": "g", "component": "root"})
-        degree = stars.union(alone).union(tried).union(rest).distinct().select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("n_links"))
+        joined = components(_by_group(alone.union(met), grouped)).withColumnsRenamed({"id": "g", "component": "root"})
+        degree = stars.union(alone).union(met).distinct().select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("n_links"))
         facts = names.join(grouped.select("r", "g"), "r").join(joined, "g", "left").join(degree, "r", "left").withColumn("root", F.coalesce("root", "g"))
         least = facts.groupBy("root").agg(F.min("class_id").alias("component_id"))
         facts = facts.join(least, "root").select(*same, "class_id", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -417,8 +440,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; the set is the distinct shingles of `words` words, or the whole
     sequence where there are fewer. Two documents link when 100 * intersection >= percent * union. class_id is the
-    smallest id with an equal set; n_links counts the confirmed links of its class to other classes (links between
-    members of one group that the operator did not need to open are not counted); component_id is the smallest id
+    smallest id with an equal set; n_links counts the links of its class to other classes that were confirmed (a link
+    that joins no further classes need not be: of members of one group, or past the first from a class into a pack of members); component_id is the smallest id
     reachable by links. A document without words (null or blank text) has an empty set, links with nothing, and its own
     id in both. Rows with a null or repeated id take part with their own texts; a class or component without any id has
     null. Rows go by a 64-bit hash of id and text, shingles by 64-bit hashes. Other columns are ignored; an empty table gives

@@ -1,6 +1,6 @@
 """Word and shingle hashes of Arrow text columns, as numpy arrays over whole batches.
 
-A batch is cut into slices of whole texts of a few MB, so memory follows the slice or the longest text, not the
+A batch is cut into slices of whole texts of half a MB, so memory follows the slice or the longest text, not the
 batch. Words are `[^\\x20\\x09-\\x0D]+`; hashes are 64-bit, the same on every machine, and do not depend on the slice.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
