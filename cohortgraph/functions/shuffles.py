@@ -15,6 +15,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """The same for 32 bits, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def _keys(seed: int, perms: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return _mixed(perms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(salt) * np.uint64(0x165667B19E3779F9))
@@ -25,20 +34,24 @@ def places(n: int, k: np.ndarray, perms: np.ndarray, seed: int = 0) -> np.ndarra
 
     A Feistel network permutes the numbers of an even count of bits that holds n; what lands beyond n goes through it again, so
     that 0 .. n - 1 are permuted among themselves."""
-    half = np.uint64(max(3, ((n - 1).bit_length() + 1) // 2))
-    low = np.uint64((1 << int(half)) - 1)
-    keys = [_keys(seed, perms, r + 1) for r in range(max(_ROUNDS, 36 // int(half)))]
-    x = np.tile(k.astype(np.uint64), (len(perms), 1))
-    rows, flat = np.repeat(np.arange(len(perms)), len(k)), x.ravel()
-    todo = np.arange(flat.size)
-    while len(todo):
-        v, of = flat[todo], rows[todo]
-        a, b = v >> half, v & low
+    half = max(3, ((n - 1).bit_length() + 1) // 2)
+    low = np.uint32((1 << half) - 1)
+    keys = [_keys(seed, perms, r + 1).astype(np.uint32) for r in range(max(_ROUNDS, 36 // half))]
+
+    def through(x: np.ndarray, of) -> np.ndarray:
+        a, b = (x >> half).astype(np.uint32), x.astype(np.uint32) & low
         for key in keys:
-            a, b = b, a ^ (_mixed(b + key[of]) & low)
-        flat[todo] = (a << half) | b
-        todo = todo[flat[todo] >= np.uint64(n)]
-    return flat.reshape(x.shape).astype(np.int64)
+            a, b = b, a ^ (_stirred(b + of(key)) & low)
+        return (a.astype(np.int64) << half) | b
+
+    out = through(np.asarray(k, np.int64)[None, :], lambda key: key[:, None])
+    todo = np.flatnonzero(out.ravel() >= n)
+    flat = out.reshape(-1)
+    while len(todo):
+        rows = todo // len(k)
+        flat[todo] = through(flat[todo], lambda key: key[rows])
+        todo = todo[flat[todo] >= n]
+    return out
 
 
 def draws(n: int, slots: np.ndarray, perms: np.ndarray, seed: int = 0) -> np.ndarray:
