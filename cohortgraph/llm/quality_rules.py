@@ -1,14 +1,16 @@
 """Quality rules from tokeniser fertility.
 
-Public vocabularies tell how well a text is made of the pieces that natural language is made of: characters per token,
-share of tokens that are bare bytes, and entropy of the tokens used. Each language, or where it is not known each script,
-has a band of accepted values, and a text outside a band is rejected. Plain counts of words, symbols and
+Public vocabularies tell how well a text is made of the pieces that natural language is made of: characters per token by
+two vocabularies, entropy of the tokens used, and the share of tokens that are bare bytes. Each language, or where it is not
+known each script, has a band of accepted values, which is the wider the fewer tokens a text has, as means of few tokens
+spread more. A text outside a band is rejected. Plain counts of words, symbols and
 repetitions come with it and can reject a text on their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +20,35 @@ from pyspark.sql import functions as F
 from cohortgraph.llm.text_arrays import Words, mix, slices
 from cohortgraph.llm.tokens import word_ids
 
-#: Least and most characters per token, most byte share, and least token entropy in bits, by language code, then by script.
-#: The limits lie outside what labelled good documents of each language reach, with a margin.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.82, 6.5, 0.10, 5.3), "de": (1.90, 6.5, 0.12, 5.3), "fr": (1.72, 6.5, 0.15, 5.3), "es": (1.70, 6.5, 0.12, 5.3),
-    "latin": (1.30, 7.0, 0.20, 4.8), "other": (0.20, 7.0, 0.95, 4.0),
-}
-#: Texts of fewer tokens are too short for the bands.
-LEAST_TOKENS = 128
+
+
+class Band(NamedTuple):
+    """Accepted values of one vocabulary for a text of n tokens: characters per token from least - spread / sqrt(n) to most,
+    and entropy in bits from base + slope * log2(n)."""
+
+    least: float
+    spread: float
+    most: float
+    base: float
+    slope: float
+
+
+#: For each language code, then script, the most byte share and a band for each vocabulary (pieces, words). The languages' least
+#: values are medians of labelled good documents, the spreads 1.2 times what holds them all; scripts' bands are wide guesses.
+BANDS: dict[str, tuple[float, Band, Band]] = {
+    "en": (0.10, Band(2.22, 6.0, 6.5, 3.58, 0.220), Band(2.41, 7.4, 6.5, 3.17, 0.265)),
+    "de": (0.12, Band(2.24, 4.1, 6.5, 3.87, 0.186), Band(2.21, 3.5, 6.5, 3.95, 0.178)),
+    "fr": (0.15, Band(1.98, 5.7, 6.5, 4.38, 0.147), Band(2.01, 6.7, 6.5, 4.36, 0.122)),
+    "es": (0.12, Band(1.94, 3.4, 6.5, 4.21, 0.182), Band(1.95, 3.5, 6.5, 3.97, 0.186)),
+    "latin": (0.20, Band(1.45, 6.0, 7.0, 2.50, 0.200), Band(1.45, 6.0, 7.0, 2.50, 0.200)),
+    "other": (0.95, Band(0.25, 1.0, 7.0, 1.50, 0.200), Band(0.10, 1.0, 7.0, 1.50, 0.200)),
+}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_RATES = ["chars_per_token", "byte_share", "token_entropy", "latin_share"]
+_RATES = ["chars_per_token", "byte_share", "token_entropy", "latin_share", "chars_per_word_token", "word_token_entropy"]
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -67,51 +84,61 @@ def _repeated(words: Words, width: int = 8) -> np.ndarray:
     return _sums(np.cumsum(covered)[:-1] > 0, words.first)
 
 
-def measures(column: pa.Array, pieces: str) -> Iterator[dict[str, np.ndarray]]:
-    """Counts and rates of runs of texts; pieces is a vocabulary with byte fallback."""
-    encoder = word_ids(pieces, "sentencepiece")
+def _entropy(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Bits of the distribution of each text's ids."""
+    tokens = np.diff(first)
+    text = np.repeat(np.arange(len(tokens)), tokens)
+    key, times = np.unique(text.astype(np.int64) << 32 | ids, return_counts=True)
+    each = np.bincount(key >> 32, times * np.log2(np.maximum(times, 1)), minlength=len(tokens))
+    some = np.maximum(tokens, 1)
+    return np.log2(some) - each / some
+
+
+def measures(column: pa.Array, pieces: str, word_pieces: str) -> Iterator[dict[str, np.ndarray]]:
+    """Counts and rates of runs of texts; pieces is a vocabulary with byte fallback, word_pieces one of words in lower case."""
+    encoders = word_ids(pieces, "sentencepiece"), word_ids(word_pieces)
     for _, _, data, offsets in slices(column):
         words = Words(data, offsets, fold=False)
         lead = (data & 0xC0) != 0x80
         latin = (data < 0x80) | (data >= 0xC3) & (data <= 0xC9)
-        ids, first, _ = encoder.of(words)
-        n, tokens = words.counts(), np.diff(first)
-        text = np.repeat(np.arange(len(n)), tokens)
-        key, times = np.unique(text.astype(np.int64) << 32 | ids, return_counts=True)
-        each = np.bincount(key >> 32, times * np.log2(np.maximum(times, 1)), minlength=len(n))
-        some = np.maximum(tokens, 1)
-        chars, known = _sums(lead & ~words.space, offsets), np.maximum(_sums(lead & ~words.space, offsets), 1)
+        (ids, first, _), (others, begin, _) = (e.of(words) for e in encoders)
+        n, tokens, word_tokens = words.counts(), np.diff(first), np.diff(begin)
+        some, chars = np.maximum(tokens, 1), _sums(lead & ~words.space, offsets)
         yield {
             "n_words": n, "word_chars": chars, "n_symbols": _sums(_SYMBOL[data], offsets),
             "n_dup_lines": np.array(_duplicate_lines(data.tobytes(), offsets.tolist()), np.int64), "n_repeat_words": _repeated(words),
             "n_tokens": tokens, "chars_per_token": chars / some, "byte_share": _sums((ids >= 3) & (ids < 259), first) / some,
-            "token_entropy": np.log2(some) - each / some, "latin_share": _sums(latin & lead & ~words.space, offsets) / known,
+            "token_entropy": _entropy(ids, first), "latin_share": _sums(latin & lead & ~words.space, offsets) / np.maximum(chars, 1),
+            "n_word_tokens": word_tokens, "chars_per_word_token": chars / np.maximum(word_tokens, 1), "word_token_entropy": _entropy(others, begin),
         }
 
 
-def _judge(pieces: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, least_words: int = 20, most_repeated: int = 30, least_tokens: int = LEAST_TOKENS):
+def _judge(pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30):
     """A function from columns of texts and languages to measures, failed base rules and reasons ('' if kept)."""
+    kinds = ("n_tokens", "chars_per_token", "token_entropy"), ("n_word_tokens", "chars_per_word_token", "word_token_entropy")
 
     def reasons(texts: pa.Array, langs: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        parts = list(measures(texts, pieces))
+        parts = list(measures(texts, pieces, word_pieces))
         m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         names = np.where(m["latin_share"] >= 0.5, "latin", "other").tolist()
         names = [x if x in bands else s for x, s in zip(langs.to_pylist(), names)]
-        lo, hi, most, least = np.array([bands[x] for x in names]).T
         base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
-        long = m["n_tokens"] >= least_tokens
-        reason = np.select(
-            [base, long & (m["chars_per_token"] < lo), long & (m["chars_per_token"] > hi), long & (m["byte_share"] > most), long & (m["token_entropy"] < least)],
-            ["base", "dense", "sparse", "bytes", "entropy"], "",
-        )
-        return m, base, reason
+        dense, sparse, dull = (np.zeros(len(base), bool) for _ in range(3))
+        for k, (count, chars, entropy) in enumerate(kinds):
+            least, spread, most, floor, slope = np.array([bands[x][1 + k] for x in names]).T
+            n = np.maximum(m[count], 1)
+            dense |= m[chars] < least - spread / np.sqrt(n)
+            sparse |= m[chars] > most
+            dull |= m[entropy] < np.minimum(floor + slope * np.log2(n), 0.8 * np.log2(n))
+        bare = m["byte_share"] > np.array([bands[x][0] for x in names])
+        return m, base, np.select([base, dense, sparse, bare, dull], ["base", "dense", "sparse", "bytes", "entropy"], "")
 
     return reasons
 
 
 def quality(
-    docs: DataFrame, pieces: str, bands: Mapping[str, tuple[float, float, float, float]] = BANDS, least_words: int = 20, most_repeated: int = 30,
-    least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
+    docs: DataFrame, pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30,
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
 ) -> DataFrame:
     """One row for each row of docs: id, the five counts, base_failed, rates, reason, kept.
 
@@ -122,7 +149,7 @@ def quality(
     has no words and fails. Repeated rows are judged alike; other columns are ignored.
     """
 
-    reasons = _judge(pieces, bands, least_words, most_repeated, least_tokens)
+    reasons = _judge(pieces, word_pieces, bands, least_words, most_repeated)
 
     def judge(batches):
         for b in batches:
@@ -140,9 +167,9 @@ def quality(
     return rows.mapInArrow(judge, f"`{id_col}` long, {counts}, base_failed boolean, {rates}, reason string, kept boolean")
 
 
-def keep_good(docs: DataFrame, pieces: str, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
+def keep_good(docs: DataFrame, pieces: str, word_pieces: str, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
     """docs without the rows that quality() rejects, each judged by its own text and language; all columns stay."""
-    reasons = _judge(pieces, **rules)
+    reasons = _judge(pieces, word_pieces, **rules)
 
     def keep(batches):
         for b in batches:
