@@ -16,7 +16,7 @@ MIXED_SHARE = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"))
+    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
