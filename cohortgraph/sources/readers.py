@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EDGES = "subject string, i int, j int, w double"
@@ -71,11 +71,16 @@ def matlab_edges(spark: SparkSession, folder: str, suffix: str = "_fiber_number.
     return files(spark, folder, suffix=suffix).select("subject", "content").mapInPandas(decode, EDGES)
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text that are not blank."""
+    return F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+
+
 def text_volumes(spark: SparkSession, folder: str, prefix: str = "volume_ROI_", suffix: str = ".txt") -> DataFrame:
-    """volumes(subject, node, v0, v1) from white-space separated text, a line for each node; empty files are skipped."""
-    lines = files(spark, folder, prefix, suffix).where("length > 0").select("subject", F.posexplode(F.split(F.trim(F.regexp_replace(F.decode("content", "UTF-8"), "\r", "")), "\n")).alias("k", "line"))
+    """volumes(subject, node, v0, v1) from white-space separated text, a line for each node; empty files and blank lines are skipped."""
+    lines = files(spark, folder, prefix, suffix).where("length > 0").select("subject", F.posexplode(_lines(F.decode("content", "UTF-8"))).alias("k", "line"))
     cells = F.split(F.trim("line"), r"\s+")
-    return lines.where(F.trim("line") != "").select("subject", (F.col("k") + 1).alias("node"), F.get(cells, F.lit(0)).try_cast("double").alias("v0"), F.get(cells, F.lit(1)).try_cast("double").alias("v1"))
+    return lines.select("subject", (F.col("k") + 1).alias("node"), F.get(cells, F.lit(0)).try_cast("double").alias("v0"), F.get(cells, F.lit(1)).try_cast("double").alias("v1"))
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +104,8 @@ def medication(spark: SparkSession, path: str) -> DataFrame:
 
 def atlas(spark: SparkSession, path: str) -> DataFrame:
     """atlas(node, x, y, z) from tab separated coordinates, a line for each node in order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim(F.regexp_replace("value", "\r", "")), "\n")).alias("k", "line"))
-    cells = F.split("line", r"\s+")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(_lines(F.col("value"))).alias("k", "line"))
+    cells = F.split(F.trim("line"), r"\s+")
     return lines.select((F.col("k") + 1).alias("node"), *(F.get(cells, F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")))
 
 
