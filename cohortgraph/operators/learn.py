@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,8 +16,9 @@ def wide(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """(subject, label, features): one vector for each subject, in the order of names; absent values are 0."""
     from pyspark.ml.feature import VectorAssembler
 
-    table = features.groupBy("subject", "label").pivot("feature", list(names)).agg(F.first("value")).fillna(0.0, list(names))
-    return VectorAssembler(inputCols=list(names), outputCol="features").transform(table).select("subject", "label", "features")
+    columns = [str(x) for x in names]
+    table = features.groupBy("subject", "label").pivot("feature", list(names)).agg(F.first("value")).fillna(0.0, columns)
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(table).select("subject", "label", "features")
 
 
 def fisher_scores(features: DataFrame) -> DataFrame:
@@ -53,23 +55,62 @@ def stratified_folds(labelled: DataFrame, folds: int = 10) -> DataFrame:
     return labelled.select("subject", "label", ((F.row_number().over(Window.partitionBy("label").orderBy("subject")) - 1) % folds).cast("int").alias("fold"))
 
 
+def svm_per_split(features: DataFrame, splits: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """results(split, accuracy) and chosen(split, feature, rank): in each split the k features of best Fisher score in the train
+    part, and a linear SVM on them, judged on the test part. A split is one fit; there are few of them."""
+    spark, results, chosen = features.sparkSession, [], []
+    labels = features.select("subject", "label").distinct()
+    for (split,) in splits.select("split").distinct().orderBy("split").collect():
+        part = splits.where(F.col("split") == split).select("subject", "part")
+        best = [r["feature"] for r in top_features(fisher_scores(features.join(part.where("part = 'train'"), "subject")), k).collect()]  # k rows
+        chosen += [(split, name, rank) for rank, name in enumerate(best, 1)]
+        table = wide(features.where(F.col("feature").isin(best)), best).join(part, "subject")
+        results.append((split, _svm_accuracy(table.where("part = 'train'"), table.where("part = 'test'"))))
+    kind = features.schema["feature"].dataType.simpleString()
+    return spark.createDataFrame(results, "split int, accuracy double"), spark.createDataFrame(chosen, f"split int, feature {kind}, rank int")
+
+
+def svm_mean_accuracy(features: DataFrame, splits: DataFrame, names: DataFrame) -> DataFrame:
+    """(accuracy, n): mean accuracy over the splits of a linear SVM on the features named."""
+    spark, only = features.sparkSession, [r["feature"] for r in names.select("feature").collect()]  # at most k for each split
+    table = wide(features.where(F.col("feature").isin(only)), only).join(splits, "subject").persist()
+    found = []
+    for (split,) in splits.select("split").distinct().orderBy("split").collect():
+        own = table.where(F.col("split") == split)
+        found.append((_svm_accuracy(own.where("part = 'train'"), own.where("part = 'test'")),))
+    table.unpersist()
+    return spark.createDataFrame(found, "accuracy double").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("n"))
+
+
+def _svm_accuracy(train: DataFrame, test: DataFrame) -> float:
+    from pyspark.ml.classification import LinearSVC
+
+    model = LinearSVC(regParam=0.01).fit(train.withColumn("label", F.col("label").cast("double")))
+    return model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+
+
 def best_split_features(results: DataFrame, chosen: DataFrame) -> DataFrame:
     """(feature, first): features chosen in the splits of best accuracy, in order of first appearance.
 
     results(split, accuracy), chosen(split, feature, rank)."""
-    best = results.withColumn("k", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("accuracy")))).where("k = 1").select("split")
+    top = results.agg(F.max("accuracy").alias("top"))
+    best = results.crossJoin(F.broadcast(top)).where("accuracy = top").select("split")
     return chosen.join(best, "split").groupBy("feature").agg(F.min(F.struct("split", "rank")).alias("first"))
 
 
+#: Training rows and queries of a block.
+TRAIN_ROWS, QUERY_ROWS = 8192, 4096
+
+
 def knn(train: DataFrame, queries: DataFrame, k: int = 5, dimensions: str = "vector") -> DataFrame:
     """(id, predicted): majority label of the k nearest training vectors by Euclidean distance, ties by smaller id and label.
 
-    Every query meets every training row, in blocks: training rows are dealt to blocks, a task keeps the k best of its
-    block for each query, and only those are merged. train(id, label, vector), queries(id, vector)."""
-    spark = train.sparkSession
-    blocks = max(1, spark.sparkContext.defaultParallelism)
-    t = train.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "label", F.col(dimensions).alias("x"))
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", F.lit(None).cast("int").alias("label"), F.col(dimensions).alias("x"))
+    Every query meets every training row, in blocks: both are dealt to blocks of bounded size, a task keeps the k best of a
+    block of rows for each query of a block, and only those are merged. train(id, label, vector), queries(id, vector)."""
+    blocks, asks = (max(1, -(-df.count() // size)) for df, size in ((train, TRAIN_ROWS), (queries, QUERY_ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = train.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), every(asks).alias("ask"), "id", "label", F.col(dimensions).alias("x"))
+    q = queries.select(every(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(asks)).cast("int").alias("ask"), "id", F.lit(None).cast("int").alias("label"), F.col(dimensions).alias("x"))
 
     def nearest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -78,15 +119,18 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 5, dimensions: str = "vec
         if not len(left) or not len(right):
             return empty
         a, b = np.stack(left["x"].to_numpy()).astype(float), np.stack(right["x"].to_numpy()).astype(float)
-        out = []
-        for lo in range(0, len(b), 256):
-            d = ((b[lo : lo + 256, None, :] - a[None, :, :]) ** 2).sum(axis=2)
-            order = np.lexsort((np.broadcast_to(left["id"].to_numpy(), d.shape), d), axis=1)[:, :k]
+        names, own, out = left["id"].to_numpy(), right["id"].to_numpy(), []
+        for lo in range(0, len(b), 64):
+            d = np.zeros((min(64, len(b) - lo), len(a)))
+            for c in range(a.shape[1]):  # one dimension after another: exact differences without a cube of them
+                d += (b[lo : lo + 64, c, None] - a[None, :, c]) ** 2
+            d[own[lo : lo + 64, None] == names[None, :]] = np.inf
+            order = np.lexsort((np.broadcast_to(names, d.shape), d), axis=1)[:, :k]
             rows = np.arange(len(d))[:, None]
-            out.append(pd.DataFrame({"id": np.repeat(right["id"].to_numpy()[lo : lo + 256], order.shape[1]), "near": left["id"].to_numpy()[order].ravel(), "label": left["label"].to_numpy()[order].ravel().astype("int32"), "d": d[rows, order].ravel()}))
+            out.append(pd.DataFrame({"id": np.repeat(own[lo : lo + 64], order.shape[1]), "near": names[order].ravel(), "label": left["label"].to_numpy()[order].ravel().astype("int32"), "d": d[rows, order].ravel()}))
         return pd.concat(out)
 
-    found = t.groupBy("block").cogroup(q.groupBy("block")).applyInPandas(nearest, "id long, near long, label int, d double")
+    found = t.groupBy("block", "ask").cogroup(q.groupBy("block", "ask")).applyInPandas(nearest, "id long, near long, label int, d double")
     best = found.where("id <> near").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "near"))).where(F.col("r") <= k)
     votes = best.groupBy("id", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("id").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("low"))).alias("predicted"))
@@ -98,7 +142,7 @@ def estimators(seed: int = 0) -> dict:
     from pyspark.ml import classification as c
     from pyspark.ml.tuning import ParamGridBuilder
 
-    forest, boosted, svm, tree = c.RandomForestClassifier(seed=seed), c.GBTClassifier(seed=seed), c.LinearSVC(maxIter=25), c.DecisionTreeClassifier(seed=seed)
+    forest, boosted, svm, tree = c.RandomForestClassifier(seed=seed), c.GBTClassifier(seed=seed), c.LinearSVC(), c.DecisionTreeClassifier(seed=seed)
     bag = c.RandomForestClassifier(seed=seed, featureSubsetStrategy="all")
     return {
         "naive_bayes": (c.NaiveBayes(modelType="gaussian"), [{}]),
@@ -135,6 +179,16 @@ def hard_auc(predictions: DataFrame) -> DataFrame:
     return predictions.agg(((rate(1) + rate(0)) / 2).alias("auc"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return df.checkpoint()
+
+
 def boosted_stumps(data: DataFrame, rounds: int = 16):
     """AdaBoost: decision stumps on reweighted rows. A function from a DataFrame with features to one with predicted (0 or 1)."""
     from pyspark.ml.classification import DecisionTreeClassifier
@@ -151,7 +205,8 @@ def boosted_stumps(data: DataFrame, rounds: int = 16):
         models.append((model, alpha))
         if e < 1e-10:
             break
-        rows = scored.withColumn("w", F.col("w") * F.exp(F.when(wrong, alpha).otherwise(-alpha))).drop("prediction", "rawPrediction", "probability").checkpoint()
+        rows = scored.withColumn("w", F.col("w") * F.exp(F.when(wrong, alpha).otherwise(-alpha))).drop("prediction", "rawPrediction", "probability")
+        rows = _cut(rows)
 
     def predict(table: DataFrame) -> DataFrame:
         out, votes = table, []

@@ -739,4 +739,41 @@ def hard_label_auc(spark, d):
 @query
 def cv_summary(spark, d):
     data = learn.wide(_features(spark, d), [str(i) for i in range(64)])
-    return learn.cross_validated(data, learn.stratified_folds(data, 3)).select("estimator", "params", r6("mean_score"))
+    return learn.cross_validated(data, learn.stratified_folds(data)).select("estimator", "params", r6("mean_score"))
+
+
+@query
+def cv_trees(spark, d):
+    data = learn.wide(_features(spark, d), [str(i) for i in range(64)])
+    return learn.cross_validated(data, learn.stratified_folds(data), ["decision_tree", "random_forest", "bagging"]).select("estimator", "params", r6("mean_score"))
+
+
+def _splits(spark, d):
+    return learn.shuffle_splits(_features(spark, d).select("subject").distinct())
+
+
+@query
+def svm_per_split(spark, d):
+    return learn.svm_per_split(_features(spark, d), _splits(spark, d))[0].select("split", r6("accuracy"))
+
+
+@query
+def svm_best_features(spark, d):
+    """Features of the best splits, in order of first appearance."""
+    return learn.best_split_features(*learn.svm_per_split(_features(spark, d), _splits(spark, d))).select("feature", F.col("first.split").alias("split"), F.col("first.rank").alias("rank"))
+
+
+@query
+def svm_mean_accuracy(spark, d):
+    features, splits = _features(spark, d), _splits(spark, d)
+    names = learn.best_split_features(*learn.svm_per_split(features, splits))
+    return learn.svm_mean_accuracy(features, splits, names).select(r6("accuracy"), long("n"))
+
+
+@query
+def boosted_stumps(spark, d):
+    """AdaBoost on nine folds, judged on the tenth: the area under the curve of its hard labels."""
+    data = learn.wide(_features(spark, d), [str(i) for i in range(64)])
+    parts = data.join(learn.stratified_folds(data).select("subject", "fold"), "subject").withColumn("label", F.col("label").cast("double"))
+    predict = learn.boosted_stumps(parts.where("fold <> 0"))
+    return learn.hard_auc(predict(parts.where("fold = 0"))).select(r6("auc"))
