@@ -22,40 +22,50 @@ class MethodError(ValueError):
     """The test asked for does not exist."""
 
 
-def moments(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B) -> DataFrame:
-    """(keys, na, ma, va, nb, mb, vb): counts, means and sample variances of both groups."""
+def moments(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B, subjects: DataFrame | None = None) -> DataFrame:
+    """(keys, na, ma, va, nb, mb, vb): counts, means and sample variances of both groups.
+
+    With subjects(subject, cohort) every one of them counts for every variable, and one without a row has the value 0: sums and
+    the cohorts' sizes tell the moments, and no row is made for it."""
     v, in_a, in_b = F.col("value").cast("double"), F.col("cohort") == a, F.col("cohort") == b
-    side = lambda c: (F.count_if(c), F.avg(F.when(c, v)), F.var_samp(F.when(c, v)))
     names = ("na", "ma", "va", "nb", "mb", "vb")
-    return rows.where(in_a | in_b).groupBy(*keys).agg(*(x.alias(n) for n, x in zip(names, (*side(in_a), *side(in_b)))))
+    if subjects is None:
+        side = lambda c: (F.count_if(c), F.avg(F.when(c, v)), F.var_samp(F.when(c, v)))
+        return rows.where(in_a | in_b).groupBy(*keys).agg(*(x.alias(n) for n, x in zip(names, (*side(in_a), *side(in_b)))))
+    sizes = subjects.agg(F.count_if(in_a).alias("na"), F.count_if(in_b).alias("nb"))
+    total = lambda c, x, name: F.sum(F.when(c, x).otherwise(0.0)).alias(name)
+    sums = rows.where(in_a | in_b).groupBy(*keys).agg(total(in_a, v, "sa"), total(in_a, v * v, "qa"), total(in_b, v, "sb"), total(in_b, v * v, "qb"))
+    mean, spread = lambda s, n: F.try_divide(F.col(s), F.col(n)), lambda q, s, n: F.try_divide(F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col(n)), F.col(n) - 1)
+    of = {"na": F.col("na"), "ma": mean("sa", "na"), "va": spread("qa", "sa", "na"), "nb": F.col("nb"), "mb": mean("sb", "nb"), "vb": spread("qb", "sb", "nb")}
+    return sums.crossJoin(F.broadcast(sizes)).select(*keys, *(of[n].alias(n) for n in names))  # sizes: one row
 
 
 def summary_by_cohort(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy("cohort", *keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
-def welch(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B) -> DataFrame:
+def welch(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B, subjects: DataFrame | None = None) -> DataFrame:
     """(keys, t, df): Welch's statistic and its degrees of freedom; null where both variances are 0."""
     x, y = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    m = moments(rows, keys, a, b).withColumns({"x": x, "y": y})
+    m = moments(rows, keys, a, b, subjects).withColumns({"x": x, "y": y})
     t = F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(F.col("x") + F.col("y")))
     df = F.try_divide(F.pow(F.col("x") + F.col("y"), 2), F.pow("x", 2) / (F.col("na") - 1) + F.pow("y", 2) / (F.col("nb") - 1))
     return m.where("na > 1 and nb > 1").select(*keys, t.alias("t"), df.alias("df"))
 
 
-def pooled_t(rows: DataFrame, keys: Sequence[str], tail: str = "both", a: str = A, b: str = B) -> DataFrame:
+def pooled_t(rows: DataFrame, keys: Sequence[str], tail: str = "both", a: str = A, b: str = B, subjects: DataFrame | None = None) -> DataFrame:
     """(keys, t) with pooled variance: absolute for both tails, negated for left; 0 where nothing varies."""
     if tail not in ("both", "left", "right"):
         raise MethodError(f"no tail {tail}")
     n = F.col("na") + F.col("nb") - 2
     s = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / n)
     t = F.coalesce(F.try_divide(F.col("ma") - F.col("mb"), s * F.sqrt(1 / F.col("na") + 1 / F.col("nb"))), F.lit(0.0))
-    return moments(rows, keys, a, b).where("na > 1 and nb > 1").select(*keys, {"both": F.abs(t), "left": -t, "right": t}[tail].alias("t"), n.alias("df"))
+    return moments(rows, keys, a, b, subjects).where("na > 1 and nb > 1").select(*keys, {"both": F.abs(t), "left": -t, "right": t}[tail].alias("t"), n.alias("df"))
 
 
-def variance_ratio(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B) -> DataFrame:
+def variance_ratio(rows: DataFrame, keys: Sequence[str], a: str = A, b: str = B, subjects: DataFrame | None = None) -> DataFrame:
     """(keys, f, d1, d2): ratio of sample variances."""
-    return moments(rows, keys, a, b).where("na > 1 and nb > 1").select(*keys, F.try_divide("va", "vb").alias("f"), (F.col("na") - 1).alias("d1"), (F.col("nb") - 1).alias("d2"))
+    return moments(rows, keys, a, b, subjects).where("na > 1 and nb > 1").select(*keys, F.try_divide("va", "vb").alias("f"), (F.col("na") - 1).alias("d1"), (F.col("nb") - 1).alias("d2"))
 
 
 def mid_ranks(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -126,12 +136,12 @@ def mann_whitney_p(u: DataFrame) -> DataFrame:
     return u.withColumn("p", tail(F.coalesce(z, F.lit(0.0))))
 
 
-def raw_statistic(rows: DataFrame, keys: Sequence[str], method: str = "f", a: str = A, b: str = B) -> DataFrame:
-    """(keys, stat): absolute statistic of a method, 0 where it is undefined."""
+def raw_statistic(rows: DataFrame, keys: Sequence[str], method: str = "f", a: str = A, b: str = B, subjects: DataFrame | None = None) -> DataFrame:
+    """(keys, stat): absolute statistic of a method, 0 where it is undefined. Ranks need a row for every subject."""
     if method == "welch":
-        s = welch(rows, keys, a, b).withColumnRenamed("t", "stat")
+        s = welch(rows, keys, a, b, subjects).withColumnRenamed("t", "stat")
     elif method == "f":
-        s = variance_ratio(rows, keys, a, b).withColumnRenamed("f", "stat")
+        s = variance_ratio(rows, keys, a, b, subjects).withColumnRenamed("f", "stat")
     elif method == "mannwhitneyu":
         s = mann_whitney(rows, keys, a, b).withColumnRenamed("u1", "stat")
     else:

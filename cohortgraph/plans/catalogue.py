@@ -44,6 +44,11 @@ def edge_values(spark: SparkSession, d: str) -> DataFrame:
     return E.densify(fx.edges(spark, d), s).join(s.select("subject", "cohort"), "subject").select("subject", "i", "j", "cohort", F.col("w").alias("value"))
 
 
+def sparse_values(spark: SparkSession, d: str) -> DataFrame:
+    """(subject, i, j, cohort, value): weights of the edges that are there. Tests of moments count the rest from the cohorts' sizes."""
+    return weights(spark, d).join(fx.subjects(spark, d).select("subject", "cohort"), "subject")
+
+
 def perms(spark: SparkSession, d: str, n: int) -> DataFrame:
     s = fx.subjects(spark, d)
     return permute.labels(spark, s, n, s.where("cohort = 'patient'").count())
@@ -245,20 +250,19 @@ def adjacency(spark, d):
 
 @query
 def gather_significant_edges(spark, d):
-    t = stats.welch(edge_values(spark, d), ["i", "j"]).where("abs(t) > 1.5")
+    t = stats.welch(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).where("abs(t) > 1.5")
     mirrored = t.select("i", "j").union(t.select("j", "i"))
     return E.gather(fx.edges(spark, d), mirrored).select("subject", "i", "j", long("w"))
 
 
 @query
 def bounded_p_map(spark, d):
-    t = stats.welch(edge_values(spark, d), ["i", "j"])
-    return t.select("i", "j", r6("shown", E.bounded_p(F.least(F.lit(1.0), F.exp(-F.abs("t"))), 0.2)))
+    return _edge_p(spark, d).select("i", "j", r6("shown", E.bounded_p(F.col("p"), 0.2)))
 
 
 @query
 def masked_statistics(spark, d):
-    t = stats.welch(edge_values(spark, d), ["i", "j"])
+    t = stats.welch(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d))
     return E.masked(t, t.where("abs(t) > 2").select("i", "j")).select("i", "j", r6("t"))
 
 
@@ -349,7 +353,7 @@ def betweenness(spark, d):
 
 @query
 def unit_betweenness(spark, d):
-    return kernels.unit_betweenness(E.above(fx.edges(spark, d), 2), N).select("subject", "node", r6("value"))
+    return kernels.unit_betweenness(fx.edges(spark, d), N).select("subject", "node", r6("value"))
 
 
 @query
@@ -397,12 +401,12 @@ def centred_age(spark, d):
 
 @query
 def pooled_t(spark, d):
-    return stats.pooled_t(edge_values(spark, d), ["i", "j"]).select("i", "j", r6("t"), long("df"))
+    return stats.pooled_t(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).select("i", "j", r6("t"), long("df"))
 
 
 @query
 def variance_ratio_f(spark, d):
-    return stats.variance_ratio(edge_values(spark, d), ["i", "j"]).select("i", "j", r6("f"), long("d1"), long("d2"))
+    return stats.variance_ratio(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).select("i", "j", r6("f"), long("d1"), long("d2"))
 
 
 @query
@@ -440,19 +444,23 @@ def shapiro(spark, d):
     return stats.shapiro(valued(spark, d), ["node"]).select("node", r6("w"), r6("p"))
 
 
-def _p_like(spark, d):
-    """(i, j, p): a monotone stand-in for p that both engines compute alike."""
-    return stats.welch(edge_values(spark, d), ["i", "j"]).select("i", "j", F.exp(-F.abs("t")).alias("p"))
+def _edge_p(spark, d):
+    return stats.mann_whitney_p(stats.mann_whitney(edge_values(spark, d), ["i", "j"])).select("i", "j", "p")
+
+
+@query
+def mann_whitney_p(spark, d):
+    return _edge_p(spark, d).select("i", "j", r6("p"))
 
 
 @query
 def bh_adjust(spark, d):
-    return stats.benjamini_hochberg(_p_like(spark, d)).select("i", "j", r6("p"), r6("q"))
+    return stats.benjamini_hochberg(_edge_p(spark, d)).select("i", "j", r6("p"), r6("q"))
 
 
 @query
 def bonferroni(spark, d):
-    return stats.bonferroni(_p_like(spark, d)).select("i", "j", r6("q"))
+    return stats.bonferroni(_edge_p(spark, d)).select("i", "j", r6("q"))
 
 
 @query
@@ -548,7 +556,7 @@ def first_measure_per_node(spark, d):
 
 
 def _edge_stats(spark, d, limit: float | None = None):
-    s = stats.raw_statistic(edge_values(spark, d), ["i", "j"], "welch")
+    s = stats.raw_statistic(sparse_values(spark, d), ["i", "j"], "welch", subjects=fx.subjects(spark, d))
     return s if limit is None else network.above(s, limit)
 
 
@@ -614,7 +622,7 @@ def _tfnbs(spark, d):
 
 
 def _logits(spark, d):
-    return network.logit_difference(_p_like(spark, d))
+    return network.logit_difference(_edge_p(spark, d))
 
 
 @query

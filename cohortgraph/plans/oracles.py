@@ -61,7 +61,12 @@ reach(subject, i, r) AS (SELECT subject, i, j FROM g4 UNION SELECT reach.subject
 _FS = """f AS (SELECT vec_id AS subject, CAST(label % 2 = 0 AS INT) AS label, unnest(range(64))::INT AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings),
 fs AS (SELECT feature, (n1 * pow(m1 - m, 2) + n0 * pow(m0 - m, 2)) / nullif(n1 * v1 + n0 * v0, 0) AS score FROM (SELECT feature, avg(value) AS m, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0,
   avg(value) FILTER (label = 1) AS m1, avg(value) FILTER (label = 0) AS m0, var_pop(value) FILTER (label = 1) AS v1, var_pop(value) FILTER (label = 0) AS v0 FROM f GROUP BY feature))"""
-_PL = "pl AS (SELECT i, j, exp(-abs(t)) AS p FROM we)"
+# Two-sided normal tail of the rank-sum test; the error function by its series, good to 1e-10 for the z that occur.
+_PL = """rk AS (SELECT i, j, cohort, rank() OVER (PARTITION BY i, j ORDER BY value) + (count(*) OVER (PARTITION BY i, j, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY i, j, value) AS t FROM ev),
+mw AS (SELECT i, j, (count(*) FILTER (cohort = 'patient'))::DOUBLE AS na, (count(*) FILTER (cohort = 'control'))::DOUBLE AS nb, sum(r) FILTER (cohort = 'patient') AS ra, sum(t * t - 1)::DOUBLE AS ties FROM rk GROUP BY i, j),
+mu AS (SELECT *, ra - na * (na + 1) / 2 AS u1, na + nb AS n FROM mw),
+mz AS (SELECT i, j, coalesce((greatest(u1, na * nb - u1) - na * nb / 2 - 0.5) / nullif(sqrt(na * nb / 12.0 * (n + 1 - ties / (n * (n - 1)))), 0), 0) / sqrt(2) AS x FROM mu),
+pl AS MATERIALIZED (SELECT i, j, least(1.0, 1 - 2 / sqrt(pi()) * list_sum([pow(-1, k) * pow(x, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)) FOR k IN range(0, 80)])) AS p FROM mz)"""
 _LG = "lg AS (SELECT i, j, least(greatest(CASE WHEN 1 - p <= 0 THEN -12.0 WHEN 1 - p >= 1 THEN 12.0 ELSE ln((1 - p) / p) END, -12.0), 12.0)::DOUBLE AS d FROM pl)"
 _HITS = " UNION ALL ".join(f"SELECT node, '{m}' AS measure, {k} AS place FROM ({_welch(_rows(m), 'node')}) WHERE abs(t) > 1" for k, m in enumerate(("clustering", "degree", "strength")))
 
@@ -99,7 +104,8 @@ ORACLE: dict[str, str] = {
     "symmetrize": _q("SELECT subject, i, j, w FROM sym"),
     "adjacency": _q("SELECT DISTINCT i, j, 1::BIGINT AS w FROM edges WHERE w > 6"),
     "gather_significant_edges": _q(_EV, _WEDGE, "SELECT subject, i, j, w FROM edges JOIN we USING (i, j) WHERE abs(t) > 1.5"),
-    "bounded_p_map": _q(_EV, _WEDGE, "SELECT i, j, round(CASE WHEN exp(-abs(t)) <= 0.2 THEN 1 - exp(-abs(t)) ELSE 0 END, 6) AS shown FROM we"),
+    "bounded_p_map": _q(_EV, _PL, "SELECT i, j, round(CASE WHEN p <= 0.2 THEN 1 - p ELSE 0 END, 6) AS shown FROM pl"),
+    "mann_whitney_p": _q(_EV, _PL, "SELECT i, j, round(p, 6) AS p FROM pl"),
     "masked_statistics": _q(_EV, _WEDGE, "SELECT i, j, round(t, 6) AS t FROM we WHERE abs(t) > 2"),
     "union_regions": _q(_GRID, f"SELECT DISTINCT node FROM ({_HITS})"),
     "shortest_paths_weighted": _q(*_W, "SELECT subject, i, j, round(d, 6) AS d FROM d5"),
@@ -131,8 +137,8 @@ g AS (SELECT node, (p*(d*f-e*e) - b*(q*f-r*e) + c*(q*e-r*d)) / det AS b1, (a*(q*
     "outliers_per_subject": _q(_GRID, "q AS (SELECT node, quantile_cont(strength, 0.25) AS q1, quantile_cont(strength, 0.75) AS q3 FROM deg JOIN co USING (subject) GROUP BY node)", "SELECT subject, count(*) AS n FROM deg JOIN q USING (node) WHERE strength > q3 + q3 - q1 GROUP BY subject"),
     "normal_fit": _q(_GRID, "SELECT node, round(avg(strength), 6) AS mu, round(stddev_pop(strength), 6) AS sigma FROM deg GROUP BY node"),
     "histogram_bins": _q(_GRID, "x AS (SELECT node, strength AS v, min(strength) OVER (PARTITION BY node) AS lo, max(strength) OVER (PARTITION BY node) AS hi FROM deg)", "SELECT node, CAST(least(floor(coalesce((v - lo) * 20 / nullif(hi - lo, 0), 0)) + 1, 20) AS INT) AS bin, count(*) AS n FROM x GROUP BY ALL"),
-    "bh_adjust": _q(_EV, _WEDGE, _PL, "k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pl)", "SELECT i, j, round(p, 6) AS p, round(min(least(1.0, p * m / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 6) AS q FROM k"),
-    "bonferroni": _q(_EV, _WEDGE, _PL, "SELECT i, j, round(least(1.0, p * count(*) OVER ()), 6) AS q FROM pl"),
+    "bh_adjust": _q(_EV, _PL, "k AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM pl)", "SELECT i, j, round(p, 6) AS p, round(min(least(1.0, p * m / k)) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 6) AS q FROM k"),
+    "bonferroni": _q(_EV, _PL, "SELECT i, j, round(least(1.0, p * count(*) OVER ()), 6) AS q FROM pl"),
     "event_type_tests": f"WITH e AS (SELECT CAST(extract('hour' FROM ts) AS INT) AS hour, CASE WHEN user_id % 2 = 0 THEN 'patient' ELSE 'control' END AS cohort, value FROM events) SELECT hour, round(t, 6) AS t FROM ({_welch('e', 'hour')})",
     "perm_labels": _q(_PERM, "SELECT perm, subject, cohort FROM perms"),
     "perm_welch_maxstat": _q(_GRID, _PERM, _SV, _NULL, "SELECT perm, round(stat, 6) AS stat FROM null_max"),
@@ -150,8 +156,8 @@ x AS MATERIALIZED (SELECT perm, node, least(ra - na * (na + 1) / 2.0::DOUBLE, na
     "nbs_prune_isolated": _q(_EV, _WEDGE, "k AS (SELECT i, j FROM we WHERE abs(t) > 1.8), d AS (SELECT node, count(*) AS d FROM (SELECT unnest([i, j]) AS node FROM k) GROUP BY node)", "SELECT i, j FROM k JOIN d a ON a.node = i JOIN d b ON b.node = j WHERE NOT (a.d = 1 AND b.d = 1)"),
     "nbs_relabel": _q(_EV, _WEDGE, "k AS MATERIALIZED (SELECT i, j FROM we WHERE abs(t) > 1.5), s AS (SELECT i, j FROM k UNION ALL SELECT j, i FROM k), reach(i, r) AS (SELECT i, j FROM s UNION SELECT reach.i, s.j FROM reach JOIN s ON s.i = reach.r), c AS (SELECT i, min(least(i, r)) AS c FROM reach GROUP BY i), z AS (SELECT k.i, k.j, c.c, count(*) OVER (PARTITION BY c.c) AS size FROM k JOIN c ON c.i = k.i)", "SELECT i, j, dense_rank() OVER (ORDER BY c) AS component FROM z WHERE size > 1"),
     "tfnbs_ladder": _q(_EV, _WEDGE, "m AS (SELECT abs(t) AS v FROM we UNION ALL SELECT abs(t) FROM we UNION ALL SELECT 0 FROM range(625 - 2 * (SELECT count(*)::INT FROM we)) x), e AS (SELECT min(v) FILTER (v > 0) AS lo, quantile_cont(v::DOUBLE, 0.995) AS hi FROM m)", "SELECT CAST(r AS INT) AS r, round(lo + r * (hi - lo) / 100, 6) AS h FROM e, range(100) x(r)"),
-    "ddt_moments": _q(_EV, _WEDGE, _PL, _LG, "a AS (SELECT avg(d) AS e, var_pop(d) AS v FROM lg), b AS (SELECT *, greatest(2, floor(-e * e / v)) AS m FROM a), c AS (SELECT *, sqrt(greatest(e, 0) / m) AS mu FROM b)", "SELECT round(e, 6) AS e_bar, round(v, 6) AS v_bar, m::BIGINT AS m, round(mu, 6) AS mu, round(-mu * mu + sqrt(pow(mu, 4) + v / m), 6) AS sigma2 FROM c"),
-    "ddt_observed_degree": _q(_EV, _WEDGE, _PL, _LG, "SELECT node, count(x) AS degree FROM nodes LEFT JOIN (SELECT unnest([i, j]) AS x FROM lg WHERE d > 0.5) ON x = node GROUP BY node"),
+    "ddt_moments": _q(_EV, _PL, _LG, "a AS (SELECT avg(d) AS e, var_pop(d) AS v FROM lg), b AS (SELECT *, greatest(2, floor(-e * e / v)) AS m FROM a), c AS (SELECT *, sqrt(greatest(e, 0) / m) AS mu FROM b)", "SELECT round(e, 6) AS e_bar, round(v, 6) AS v_bar, m::BIGINT AS m, round(mu, 6) AS mu, round(-mu * mu + sqrt(pow(mu, 4) + v / m), 6) AS sigma2 FROM c"),
+    "ddt_observed_degree": _q(_EV, _PL, _LG, "SELECT node, count(x) AS degree FROM nodes LEFT JOIN (SELECT unnest([i, j]) AS x FROM lg WHERE d > 0.5) ON x = node GROUP BY node"),
     "laplacian_total": _q(_GRID, "SELECT subject, i, j, -w::DOUBLE AS v FROM sym UNION ALL SELECT subject, node, node, sum(strength) OVER (PARTITION BY subject) FROM deg"),
     "laplacian_degree": _q(_GRID, "SELECT subject, i, j, -w::DOUBLE AS v FROM sym UNION ALL SELECT subject, node, node, round(strength + 0.01, 6) FROM deg"),
     "normalized_laplacian": _q(_GRID, "SELECT s.subject, i, j, round(-w / sqrt(a.strength * b.strength), 6) AS v FROM sym s JOIN deg a ON a.subject = s.subject AND a.node = i JOIN deg b ON b.subject = s.subject AND b.node = j UNION ALL SELECT subject, node, node, 1.0 FROM deg"),
