@@ -78,6 +78,13 @@ class Scratch:
     def __exit__(self, *_) -> None:
         for path in self.paths:
             remove(self.spark, path)
+        let_go(self.spark)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect what is no longer referenced: only then does Spark's cleaner remove the shuffles and broadcasts of
+    the many small steps that an iterative operator has behind it."""
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Bits of a key filter, whatever the number of keys: at most FILTER / 64 rows are sent to the tasks.

@@ -9,11 +9,12 @@ is built from DataFrame functions, and only sums over cells and factors travel.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import SPACE, cut
+from cohortgraph.llm.shared import SPACE, cut, let_go
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Language shares that the registered query aims at; sources and topics are tempered.
@@ -64,23 +65,25 @@ def _targets(cells: DataFrame, dim: str, wanted: Mapping[str, float] | None, pow
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cells (dimensions, tokens) with weight: shares that meet the targets of each margin in turn.
 
-    A margin value whose cells all have weight 0 cannot be met; the others then share its part, since the weights are
-    scaled to sum to 1 at the end."""
-    factors = {d: cut(targets[d].select(d, F.lit(1.0).alias(f"f_{d}"))) for d in targets}
+    Each step scales the weights of a margin's values to their targets. A value whose cells all have weight 0 cannot be met;
+    the others then share its part, since the weights are scaled to sum to 1 at the end."""
+    held = cells.withColumn("w", F.col("tokens").cast("double"))
+    for d, target in targets.items():
+        held = held.join(target.select(d, F.col("target").alias(f"t_{d}")), d)
+    held = cut(held)
     for _ in range(rounds):
         for d in targets:
-            others = [x for x in targets if x != d]
-            w, joined = F.col("tokens").cast("double"), cells
-            for x in others:
-                joined, w = joined.join(factors[x], x), w * F.col(f"f_{x}")
-            sums = joined.groupBy(d).agg(F.sum(w).alias("s"))
-            factors[d] = cut(sums.join(targets[d], d).select(d, F.coalesce(F.try_divide("target", "s"), F.lit(0.0)).alias(f"f_{d}")))
-    w, joined = F.col("tokens").cast("double"), cells
-    for d in targets:
-        joined, w = joined.join(factors[d], d), w * F.col(f"f_{d}")
-    joined = cut(joined.withColumn("w", w).drop(*(f"f_{d}" for d in targets)))
-    whole = joined.agg(F.sum("w").alias("all_w"))
-    return joined.crossJoin(F.broadcast(whole)).withColumn("weight", F.coalesce(F.try_divide("w", "all_w"), F.lit(0.0))).drop("w", "all_w")
+            scale = F.try_divide(F.col(f"t_{d}"), F.sum("w").over(Window.partitionBy(d)))
+            held = held.withColumn("w", F.coalesce(F.col("w") * scale, F.lit(0.0)))
+        held = cut(held)
+    whole = held.agg(F.sum("w").alias("all_w"))
+    return held.crossJoin(F.broadcast(whole)).withColumn("weight", F.coalesce(F.try_divide("w", "all_w"), F.lit(0.0))).drop("w", "all_w", *(f"t_{d}" for d in targets))
+
+
+def margin_error(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """(error): the largest difference of a margin's weight in raked cells from its target."""
+    off = [cells.groupBy(d).agg(F.sum("weight").alias("w")).join(target, d).select(F.abs(F.col("w") - F.col("target")).alias("off")) for d, target in targets.items()]
+    return reduce(DataFrame.union, off).agg(F.max("off").alias("error"))
 
 
 def probabilities(cells: DataFrame, share: float, cap_rounds: int = CAP_ROUNDS) -> DataFrame:
@@ -117,7 +120,9 @@ def _rated(rows: DataFrame, share: float, targets: Mapping[str, Mapping[str, flo
     targets = {"lang": LANG_TARGETS} if targets is None else targets
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     margins = {d: cut(_targets(cells, d, targets.get(d), power, rest)) for d in DIMENSIONS}
-    return cut(probabilities(rake(cells, margins, rounds), share).select(*DIMENSIONS, "weight", "p"))
+    rated = cut(probabilities(rake(cells, margins, rounds), share).select(*DIMENSIONS, "weight", "p"))
+    let_go(rows.sparkSession)
+    return rated
 
 
 def mix_sources(
