@@ -1,3 +1,5 @@
+import functools
+import math
 import re
 from collections import Counter
 
@@ -67,30 +69,38 @@ def test_bands_part_labelled_documents(spark):
     assert all(good) and sum(bad) <= 0.4 * len(bad)
 
 
-def test_verdict_equals_brute_force(spark):
-    """Rates from the two libraries' own encoders, words one by one, and the bands written out."""
-    import math
-
+@functools.lru_cache
+def _encoders():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    d = "/root/testdata/sf0.001"
     model, full = sentencepiece.SentencePieceProcessor(model_file=PIECES), Tokenizer.from_file(WORDS)
-    encoders = (lambda w: model.encode(w)), (lambda w: full.encode(w, add_special_tokens=False).ids)
+    return (lambda w: model.encode(w)), (lambda w: full.encode(w, add_special_tokens=False).ids), model.is_byte
+
+
+def verdict(text, lang):
+    """The first reason, or None: rates from the two libraries' own encoders, words one by one, and the bands written out."""
+    *encoders, is_byte = _encoders()
+    words = WORD.findall(text or "")
+    chars, found = sum(map(len, words)), {"base"} if brute(text)[-1] else set()
+    limits = quality_rules.BANDS[lang]
+    for k, encode in enumerate(encoders):
+        ids = [x for w in words for x in encode(w)]
+        n, b = max(len(ids), 1), limits[1 + k]
+        found |= {"dense"} if chars / n < b.least - b.spread / math.sqrt(n) else set()
+        found |= {"sparse"} if chars / n > b.most else set()
+        found |= {"bytes"} if k == 0 and sum(map(is_byte, ids)) / n > limits[0] else set()
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+        found |= {"entropy"} if entropy < min(b.base + b.slope * math.log2(n), 0.8 * math.log2(n)) else set()
+    return next((x for x in ("base", "dense", "sparse", "bytes", "entropy") if x in found), None)
+
+
+def test_verdict_equals_brute_force(spark):
+    d = "/root/testdata/sf0.001"
     got = {r.doc_id: (r.reason, r.kept) for r in op2_quality_rules(spark, d).collect()}
     for r in spark.read.parquet(f"{d}/documents.parquet").collect():
-        words = WORD.findall(r.text or "")
-        chars, found = sum(map(len, words)), {"base"} if brute(r.text)[-1] else set()
-        limits = quality_rules.BANDS[r.lang]
-        for k, encode in enumerate(encoders):
-            ids = [x for w in words for x in encode(w)]
-            n, b = max(len(ids), 1), limits[1 + k]
-            found |= {"dense"} if chars / n < b.least - b.spread / math.sqrt(n) else set()
-            found |= {"sparse"} if chars / n > b.most else set()
-            found |= {"bytes"} if k == 0 and sum(model.is_byte(x) for x in ids) / n > limits[0] else set()
-            entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
-            found |= {"entropy"} if entropy < min(b.base + b.slope * math.log2(n), 0.8 * math.log2(n)) else set()
-        assert got[r.doc_id] == (next((x for x in ("base", "dense", "sparse", "bytes", "entropy") if x in found), None), not found), r.doc_id
+        reason = verdict(r.text, r.lang)
+        assert got[r.doc_id] == (reason, reason is None), r.doc_id
 
 
 def test_words_that_collide_under_polynomials(spark):
