@@ -16,23 +16,27 @@ MIXED_SHARE = 0.9
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that fail the rules go, each by its own text and language. A null or blank text fails; repeats are judged alike."""
     return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays: the longest, then the smallest id, null last; of fully equal rows one."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five words, 80 %; the smallest id of each group stays."""
+    """Five words, 80 %; the smallest id of each group stays, null last. Texts without words all stay, equal rows once."""
     return ngram_join.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is drawn by its id, without one by its text, with the chance of its cell; nulls are cells of their own."""
     return source_mixing.keep_mixed(docs, share=MIXED_SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed; a null text is an empty one."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
