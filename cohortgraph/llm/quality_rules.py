@@ -44,6 +44,9 @@ BANDS: dict[str, tuple[float, Band, Band]] = {
     "other": (0.95, Band(0.25, 1.0, 7.0, 1.50, 0.200), Band(0.10, 1.0, 7.0, 1.50, 0.200)),
 }
 
+#: Words that a worker remembers for each vocabulary: two are held side by side, next to what earlier steps left there.
+MEMO = 300_000
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -96,7 +99,7 @@ def _entropy(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def measures(column: pa.Array, pieces: str, word_pieces: str) -> Iterator[dict[str, np.ndarray]]:
     """Counts and rates of runs of texts; pieces is a vocabulary with byte fallback, word_pieces one of words in lower case."""
-    encoders = word_ids(pieces, "sentencepiece"), word_ids(word_pieces)
+    encoders = word_ids(pieces, "sentencepiece", MEMO), word_ids(word_pieces, memo=MEMO)
     for _, _, data, offsets in slices(column):
         words = Words(data, offsets, fold=False)
         lead = (data & 0xC0) != 0x80

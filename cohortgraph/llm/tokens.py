@@ -18,10 +18,9 @@ import pyarrow as pa
 
 from cohortgraph.llm.text_arrays import Words, slices
 
-#: Different words whose ids a Python worker remembers before it starts anew, about 60 bytes each.
-MEMO_WORDS = 1_000_000
-#: Different letter runs that it remembers while it encodes words.
-MEMO_LETTERS = 300_000
+#: Different words whose ids a Python worker remembers before it starts anew, about 60 bytes each; for each six of them it
+#: remembers one letter run while it encodes words.
+MEMO_WORDS = 1_200_000
 
 
 def vocabulary(name: str) -> str:
@@ -63,7 +62,7 @@ class ByteBpe:
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
 
 
-def tokenizers_words(path: str) -> Callable[[list[str]], list[list[int]]]:
+def tokenizers_words(path: str, letters_held: int = MEMO_WORDS // 6) -> Callable[[list[str]], list[list[int]]]:
     """Encodes words with the tokenizers library. Plain Latin words go to the file's model directly, past the library's
     bookkeeping of offsets, which costs several times the merges themselves."""
     from tokenizers import Tokenizer
@@ -78,7 +77,7 @@ def tokenizers_words(path: str) -> Callable[[list[str]], list[list[int]]]:
         found = plain("\n".join(words).lower()) if words else []
         heads = [a for a, _ in found]
         new = set(heads).difference(known)
-        if len(known) + len(new) > MEMO_LETTERS:
+        if len(known) + len(new) > letters_held:
             known.clear()
             known.update({"": []} | {x: [t.id for t in tokenize(x)] for x in ".,;:!?"})
             new = set(heads).difference(known)
@@ -103,8 +102,8 @@ def sentencepiece_words(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 @lru_cache(maxsize=4)
-def word_ids(path: str, kind: str = "tokenizers") -> WordIds:
-    return WordIds((sentencepiece_words if kind == "sentencepiece" else tokenizers_words)(path))
+def word_ids(path: str, kind: str = "tokenizers", memo: int = MEMO_WORDS) -> WordIds:
+    return WordIds(sentencepiece_words(path) if kind == "sentencepiece" else tokenizers_words(path, memo // 6), memo)
 
 
 class WordIds:
@@ -112,8 +111,8 @@ class WordIds:
 
     Words are remembered by their 64-bit hashes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], memo: int = MEMO_WORDS):
+        self.encode, self.memo = encode, memo
         self.clear()
 
     def clear(self) -> None:
@@ -159,7 +158,7 @@ class WordIds:
         """(ids of all texts one after another, first: index of each text's first id and the end, ids of each word)."""
         hashes, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         which = self._find(hashes)
-        if self.words + (which < 0).sum() > MEMO_WORDS:
+        if self.words + (which < 0).sum() > self.memo:
             self.clear()
             which[:] = -1
         new = np.flatnonzero(which < 0)
