@@ -121,3 +121,14 @@ def masked(values: DataFrame, mask: DataFrame) -> DataFrame:
 def bounded_p(p: Column, alpha: float) -> Column:
     """1 - p where p is at most alpha, else 0; NaN and null give 0."""
     return F.coalesce(F.when(F.isnan(p), 0.0).when(p <= alpha, 1 - p), F.lit(0.0))
+
+
+def marked_nodes(tests: DataFrame, alpha: float) -> DataFrame:
+    """(node, marked): whether each node of tests(node, p) has p under alpha; null and NaN do not."""
+    return tests.select("node", F.coalesce((F.col("p") < alpha) & ~F.isnan("p"), F.lit(False)).alias("marked"))
+
+
+def marked_atlas(atlas: DataFrame, marked: DataFrame) -> DataFrame:
+    """atlas(node, x, y, z) with the coordinates of nodes that are not marked set to 0."""
+    on = F.coalesce("marked", F.lit(False))
+    return atlas.join(marked, "node", "left").select("node", *(F.when(on, F.col(c)).otherwise(0.0).alias(c) for c in ("x", "y", "z")))

@@ -60,15 +60,33 @@ def path_summary(distances: DataFrame) -> DataFrame:
     return distances.where("i <> j").groupBy("subject").agg(F.avg("d").alias("path_length"), F.max("d").alias("diameter"))
 
 
+def path_length(distances: DataFrame, n: int, include_diagonal: bool = False, include_infinite: bool = True) -> DataFrame:
+    """(subject, path_length): mean distance over ordered pairs of n nodes, with the zeros of the diagonal if asked for; infinite
+    where some pair is unreachable, unless such pairs are left out."""
+    sums = distances.where("i <> j").groupBy("subject").agg(F.sum(F.col("d").cast("double")).alias("all_d"), F.count("*").alias("reached"))
+    mean = F.col("all_d") / (F.col("reached") + (n if include_diagonal else 0))
+    if include_infinite:
+        mean = F.when(F.col("reached") < n * (n - 1), F.lit(float("inf"))).otherwise(mean)
+    return sums.select("subject", mean.alias("path_length"))
+
+
 def mean_weight(edges: DataFrame, n: int) -> DataFrame:
     """Mean entry of the weight matrix, diagonal included."""
     return edges.groupBy("subject").agg((F.sum(F.col("w").cast("double")) * 2 / (n * n)).alias("mean_weight"))
 
 
-def participation(edges: DataFrame, communities: DataFrame, nodes: DataFrame) -> DataFrame:
-    """1 - sum over communities of (weight into it / strength) squared; 0 for isolated nodes."""
+def participation(edges: DataFrame, communities: DataFrame, nodes: DataFrame, degree: str = "undirected") -> DataFrame:
+    """1 - sum over communities of (weight into it / strength) squared; 0 for isolated nodes.
+
+    degree: undirected, or for edges from i to j the weights that go 'out' of a node or come 'in'."""
+    if degree == "undirected":
+        edges_of = symmetric(edges)
+    elif degree in ("out", "in"):
+        edges_of = edges.select("subject", *((F.col("i"), F.col("j")) if degree == "out" else (F.col("j").alias("i"), F.col("i").alias("j"))), "w")
+    else:
+        raise ValueError(f"degree must be undirected, out or in, not {degree}")
     ci = communities.select(F.col("node").alias("j"), "ci")
-    per = symmetric(edges).join(F.broadcast(ci), "j").groupBy("subject", F.col("i").alias("node"), "ci").agg(F.sum(F.col("w").cast("double")).alias("k"))
+    per = edges_of.join(F.broadcast(ci), "j").groupBy("subject", F.col("i").alias("node"), "ci").agg(F.sum(F.col("w").cast("double")).alias("k"))
     p = per.groupBy("subject", "node").agg((1 - F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), 2)).alias("participation"))
     return _on_all(p, edges, nodes, "participation", 0.0)
 

@@ -310,6 +310,29 @@ def participation_coef(spark, d):
     return measures.participation(fx.edges(spark, d), fx.communities(spark), fx.nodes(spark)).select("subject", "node", r6("participation"))
 
 
+@query
+def participation_out(spark, d):
+    """Edges taken as going from the lower to the higher node."""
+    return measures.participation(fx.edges(spark, d), fx.communities(spark), fx.nodes(spark), "out").select("subject", "node", r6("participation"))
+
+
+@query
+def participation_in(spark, d):
+    return measures.participation(fx.edges(spark, d), fx.communities(spark), fx.nodes(spark), "in").select("subject", "node", r6("participation"))
+
+
+@query
+def path_length_with_diagonal(spark, d):
+    found = kernels.distances(E.above(fx.edges(spark, d), 2), N, weighted=False)
+    return measures.path_length(found, N, include_diagonal=True, include_infinite=False).select("subject", r6("path_length"))
+
+
+@query
+def marked_nodes(spark, d):
+    t = stats.welch(valued(spark, d), ["node"])
+    return E.marked_nodes(t.select("node", stats.t_p(F.col("t"), F.col("df")).alias("p")), 0.2)
+
+
 @query
 def avg_neighbor_degree(spark, d):
     return measures.neighbour_degree(fx.edges(spark, d), fx.nodes(spark)).select("subject", "node", r6("neighbour_degree"))
@@ -692,7 +715,14 @@ def frechet_mean_difference(spark, d):
 @query
 def frechet_permutation(spark, d):
     logs = spectral.logarithms(_density_laplacian(spark, d), N)
-    return spectral.mean_permutation_test(logs, fx.subjects(spark, d), perms(spark, d, PERMS), N, PERMS).select("i", "j", r6("difference"), r6("p"))
+    return spectral.mean_permutation_test(logs, fx.subjects(spark, d), N, 1_000).select("i", "j", r6("difference"), r6("p"))
+
+
+@query
+def frechet_resampled_counts(spark, d):
+    """100 draws of 12 patients and 5 controls with 100 permutations each: how often an entry differs."""
+    logs = spectral.logarithms(_density_laplacian(spark, d), N)
+    return spectral.resampled_counts(logs, spectral.resamples(fx.subjects(spark, d), 100), N).select("i", "j", long("n"))
 
 
 @query

@@ -114,6 +114,9 @@ ORACLE: dict[str, str] = {
     "characteristic_path": _q(*_U, "SELECT subject, round(avg(d), 6) AS path_length, max(d)::BIGINT AS diameter FROM d5 GROUP BY subject"),
     "mean_weight": _q("SELECT subject, round(sum(w) * 2 / 625.0::DOUBLE, 6) AS mean_weight FROM edges GROUP BY subject"),
     "global_clustering": _q(_GRID, "SELECT subject, round(sum(clustering) / 25, 6) AS clustering FROM clus GROUP BY subject"),
+    "participation_out": _q(_GRID, "k AS (SELECT subject, i AS node, j % 5 AS ci, sum(w)::DOUBLE AS k FROM edges GROUP BY ALL), p AS (SELECT subject, node, 1 - sum(k * k) / pow(sum(k), 2) AS p FROM k GROUP BY ALL)", "SELECT subject, node, round(coalesce(p, 0), 6) AS participation FROM grid LEFT JOIN p USING (subject, node)"),
+    "participation_in": _q(_GRID, "k AS (SELECT subject, j AS node, i % 5 AS ci, sum(w)::DOUBLE AS k FROM edges GROUP BY ALL), p AS (SELECT subject, node, 1 - sum(k * k) / pow(sum(k), 2) AS p FROM k GROUP BY ALL)", "SELECT subject, node, round(coalesce(p, 0), 6) AS participation FROM grid LEFT JOIN p USING (subject, node)"),
+    "path_length_with_diagonal": _q(*_U, "SELECT subject, round(sum(d) / (count(*) + 25)::DOUBLE, 6) AS path_length FROM d5 GROUP BY subject"),
     "participation_coef": _q(_GRID, "k AS (SELECT subject, i AS node, j % 5 AS ci, sum(w)::DOUBLE AS k FROM sym GROUP BY ALL), p AS (SELECT subject, node, 1 - sum(k * k) / pow(sum(k), 2) AS p FROM k GROUP BY ALL)", "SELECT subject, node, round(coalesce(p, 0), 6) AS participation FROM grid LEFT JOIN p USING (subject, node)"),
     "avg_neighbor_degree": _q(_GRID, "v AS (SELECT s.subject, i AS node, sum(w * degree)::DOUBLE / sum(w) AS v FROM sym s JOIN deg d ON d.subject = s.subject AND d.node = j GROUP BY ALL)", "SELECT subject, node, round(v, 6) AS neighbour_degree FROM grid LEFT JOIN v USING (subject, node)"),
     "module_graph": _q("SELECT subject, CAST(i % 5 AS INT) AS ci, CAST(j % 5 AS INT) AS cj, sum(w)::DOUBLE AS w FROM sym GROUP BY ALL"),

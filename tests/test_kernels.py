@@ -206,3 +206,61 @@ def test_benjamini_hochberg_by_definition(spark):
     order = np.argsort(p, kind="stable")
     q = np.minimum.accumulate((p[order] * 300 / np.arange(1, 301))[::-1])[::-1]
     assert [got[k] for k in order.tolist()] == pytest.approx(np.minimum(q, 1).tolist())
+
+
+def _logs(spark, seed=7, subjects=12, n=3):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(subjects, n, n))
+    m = m + m.swapaxes(1, 2)
+    m[:5] += 2
+    rows = [(s, i + 1, j + 1, float(m[s, i, j])) for s in range(subjects) for i in range(n) for j in range(n)]
+    groups = [(s, "patient" if s < 5 else "control") for s in range(subjects)]
+    return m, spark.createDataFrame(rows, "subject long, i int, j int, v double"), spark.createDataFrame(groups, "subject long, cohort string")
+
+
+def expm(m):
+    values, vectors = np.linalg.eigh(m)
+    return (vectors * np.exp(values)) @ vectors.T
+
+
+def test_permuted_frechet_means(spark):
+    m, logs, groups = _logs(spark)
+    every = spectral.mean_permutations(logs, groups, 3, 40, 1).collect()
+    obs = {(r.i, r.j): r.difference for r in every if r.perm == 0}
+    want = np.abs(expm(m[:5].mean(axis=0)) - expm(m[5:].mean(axis=0)))
+    assert [obs[i + 1, j + 1] for i in range(3) for j in range(3)] == pytest.approx(want.ravel().tolist())
+    splits = {tuple(np.round(np.abs(expm(m[list(a)].mean(axis=0)) - expm(np.delete(m, a, axis=0).mean(axis=0))).ravel(), 6)) for a in itertools.combinations(range(12), 5)}
+    for p in range(41):
+        x = sorted((r.i, r.j, r.difference) for r in every if r.perm == p)
+        assert tuple(np.round([v for *_, v in x], 6)) in splits, "each permutation is a split of the subjects into 5 and 7"
+    test = {(r.i, r.j): r.p for r in spectral.mean_permutation_test(logs, groups, 3, 40, 1).collect()}
+    assert test == {k: pytest.approx(sum(r.difference >= v for r in every if r.perm and (r.i, r.j) == k) / 40) for k, v in obs.items()}
+
+
+def test_resampled_counts_find_a_planted_difference(spark):
+    m, logs, groups = _logs(spark)
+    far = logs.withColumn("v", stats.F.when(stats.F.expr("subject < 5 and i = 1 and j = 2 or subject < 5 and i = 2 and j = 1"), stats.F.col("v") + 4).otherwise(stats.F.col("v")))
+    draws = spectral.resamples(groups, 10, 5, 7)
+    assert draws.groupBy("draw", "cohort").count().select("cohort", "count").distinct().collect().__len__() == 2
+    got = {(r.i, r.j): r.n for r in spectral.resampled_counts(far, draws, 3, 50, 0.05).collect()}
+    assert got[1, 1] == got[2, 2] == got[3, 3] == 0 and got[1, 2] == got[2, 1] > 5
+
+
+def test_path_length_switches(spark):
+    from cohortgraph.operators import measures
+
+    d = spark.createDataFrame([(1, 1, 2, 1.0), (1, 2, 1, 1.0), (1, 1, 3, 2.0), (1, 3, 1, 2.0), (1, 2, 3, 1.0), (1, 3, 2, 1.0), (2, 1, 2, 4.0), (2, 2, 1, 4.0)], "subject long, i int, j int, d double")
+    of = lambda **how: {r.subject: r.path_length for r in measures.path_length(d, 3, **how).collect()}
+    assert of() == {1: pytest.approx(8 / 6), 2: float("inf")}
+    assert of(include_infinite=False) == {1: pytest.approx(8 / 6), 2: 4.0}
+    assert of(include_infinite=False, include_diagonal=True) == {1: pytest.approx(8 / 9), 2: pytest.approx(8 / 5)}
+
+
+def test_marked_nodes_and_atlas(spark):
+    from cohortgraph.operators import edges
+
+    tests = spark.createDataFrame([(1, 0.01), (2, 0.05), (3, None), (4, float("nan"))], "node int, p double")
+    marked = edges.marked_nodes(tests, 0.05)
+    assert {r.node: r.marked for r in marked.collect()} == {1: True, 2: False, 3: False, 4: False}
+    atlas = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, 4.0, 5.0, 6.0)], "node int, x double, y double, z double")
+    assert sorted(tuple(r) for r in edges.marked_atlas(atlas, marked).collect()) == [(1, 1.0, 2.0, 3.0), (2, 0.0, 0.0, 0.0)]
