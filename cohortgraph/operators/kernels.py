@@ -6,11 +6,14 @@ A kernel's memory is a few n x n matrices. Each call sends a subject's edges thr
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortgraph.operators.network import whole_graphs
 
 
 def matrix_of(pdf: pd.DataFrame, n: int) -> np.ndarray:
@@ -77,11 +80,17 @@ def betweenness(length: np.ndarray) -> np.ndarray:
 
 
 def louvain(w: np.ndarray, gamma: float = 1.0, seed: int = 0, tolerance: float = 1e-10) -> tuple[np.ndarray, float]:
-    """(community of each node, modularity) by moves to the best neighbouring module, then pooling, until Q stops growing."""
+    """(community of each node, modularity) of the last level."""
+    return louvain_levels(w, gamma, seed, tolerance)[-1]
+
+
+def louvain_levels(w: np.ndarray, gamma: float = 1.0, seed: int = 0, tolerance: float = 1e-10) -> list[tuple[np.ndarray, float]]:
+    """(community of each node, modularity) of each level: moves to the best neighbouring module, then pooling, until Q stops
+    growing. A graph without edges has one level, of single nodes."""
     total = w.sum()
-    member = np.arange(len(w))
+    member, levels = np.arange(len(w)), []
     if not total:
-        return member, 0.0
+        return [(member, 0.0)]
     rng = np.random.default_rng(seed)
     graph, best = w.astype(float), -1.0
     while True:
@@ -108,8 +117,9 @@ def louvain(w: np.ndarray, gamma: float = 1.0, seed: int = 0, tolerance: float =
         share = pool / total
         q = float(np.trace(share) - gamma * (share.sum(axis=0) * share.sum(axis=1)).sum())
         if q - best < tolerance:
-            return member, best
+            return levels
         member, best, graph = label[member], q, pool
+        levels.append((member, q))
 
 
 def transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
@@ -178,16 +188,50 @@ def per_subject(edges: DataFrame, kernel: Callable[[np.ndarray, int], dict[str,
     return edges.groupBy("subject").applyInPandas(run, "subject long, node int, measure string, value double")
 
 
+#: Graphs that are worked on at once.
+STACK = 256
+
+
+def stacks(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(subjects, symmetric weight matrices) of sorted edges, a bounded number of whole graphs at a time."""
+    for pdf in whole_graphs(batches, ["subject"]):
+        subjects, at = np.unique(pdf["subject"].to_numpy(), return_inverse=True)
+        i, j, w = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1, pdf["w"].to_numpy(float)
+        for lo in range(0, len(subjects), STACK):
+            own = (at >= lo) & (at < lo + STACK)
+            m = np.zeros((min(STACK, len(subjects) - lo), n, n))
+            m[at[own] - lo, i[own], j[own]] = w[own]
+            yield subjects[lo : lo + STACK], np.maximum(m, m.swapaxes(1, 2))
+
+
 def distances(edges: DataFrame, n: int, weighted: bool = True) -> DataFrame:
-    """(subject, i, j, d): shortest path lengths of reachable ordered pairs, lengths 1 / w, or 1 unweighted."""
+    """(subject, i, j, d): shortest path lengths of reachable ordered pairs, lengths 1 / w, or 1 unweighted; many graphs at once."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        w = matrix_of(pdf, n)
-        d = floyd_warshall(lengths_of(w if weighted else (w > 0).astype(float)))
-        i, j = np.nonzero(np.isfinite(d) & ~np.eye(n, dtype=bool))
-        return pd.DataFrame({"subject": key[0], "i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "d": d[i, j]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for subjects, w in stacks(batches, n):
+            with np.errstate(divide="ignore"):
+                d = np.where(w > 0, 1 / w if weighted else 1.0, np.inf)
+            d[:, np.arange(n), np.arange(n)] = 0
+            for k in range(n):
+                np.minimum(d, d[:, :, k, None] + d[:, None, k, :], out=d)
+            s, i, j = np.nonzero(np.isfinite(d) & ~np.eye(n, dtype=bool))
+            yield pd.DataFrame({"subject": subjects[s], "i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "d": d[s, i, j]})
+
+    rows = edges.select("subject", "i", "j", F.col("w").cast("double").alias("w"))
+    return rows.repartition("subject").sortWithinPartitions("subject").mapInPandas(run, "subject long, i int, j int, d double")
+
+
+def community_levels(edges: DataFrame, n: int) -> DataFrame:
+    """(subject, level, node, community, q): the hierarchy that pooling goes through, level 1 first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for subjects, w in stacks(batches, n):
+            for s, m in zip(subjects.tolist(), w):
+                for level, (label, q) in enumerate(louvain_levels(m, seed=zlib.crc32(str(s).encode())), 1):
+                    yield pd.DataFrame({"subject": s, "level": np.int32(level), "node": np.arange(1, n + 1, dtype=np.int32), "community": (label + 1).astype(np.int32), "q": q})
 
-    return edges.groupBy("subject").applyInPandas(run, "subject long, i int, j int, d double")
+    rows = edges.select("subject", "i", "j", F.col("w").cast("double").alias("w"))
+    return rows.repartition("subject").sortWithinPartitions("subject").mapInPandas(run, "subject long, level int, node int, community int, q double")
 
 
 def node_measures(edges: DataFrame, n: int, which: tuple[str, ...] = ("local_efficiency", "betweenness"), on_weights: bool = True) -> DataFrame:

@@ -130,7 +130,7 @@ def restrict_subjects(spark, d):
 @query
 def match_ids_by_digits(spark, d):
     left = fx.subjects(spark, d).select("subject", "name")
-    right = fx.read(spark, d, "customer").where("c_custkey % 9 = 0").select(F.col("c_name").alias("other"), F.col("c_custkey").alias("k"))
+    right = fx.read(spark, d, "customer").select(F.col("c_name").alias("other"), F.col("c_custkey").alias("k"))
     padded = right.select(F.concat(F.lit("R"), F.lpad(F.col("k").cast("string"), 5, "0"), F.lit("-x")).alias("other"), "k")
     return cohort.matched_by_digits(left, padded, "name", "other").select("subject", "name", "other", "k")
 
@@ -384,6 +384,11 @@ def louvain(spark, d):
     return kernels.node_measures(fx.edges(spark, d), N, ("community",)).select("subject", "node", long("value"))
 
 
+@query
+def louvain_levels(spark, d):
+    return kernels.community_levels(fx.edges(spark, d), N).select("subject", "level", "node", "community", r6("q"))
+
+
 @query
 def curvature(spark, d):
     return kernels.node_measures(E.above(fx.edges(spark, d), 2), N, ("curvature",)).select("subject", "node", r6("value"))

@@ -81,7 +81,7 @@ ORACLE: dict[str, str] = {
     "cohort_cap": _q("SELECT subject, name, cohort FROM subjects QUALIFY row_number() OVER (PARTITION BY cohort ORDER BY name) <= 50"),
     "exclude_subjects": _q("SELECT cohort, count(*) AS n FROM subjects WHERE subject % 7 <> 3 GROUP BY cohort"),
     "restrict_subjects": _q("SELECT subject, count(*) AS n FROM edges WHERE subject IN (SELECT subject FROM subjects WHERE cohort = 'patient' AND duration > 10) GROUP BY subject"),
-    "match_ids_by_digits": _q("SELECT s.subject, s.name, 'R' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '-x' AS other, c_custkey AS k FROM subjects s JOIN customer ON regexp_extract(name, '[0-9]+') = lpad(CAST(c_custkey AS VARCHAR), 5, '0') WHERE c_custkey % 9 = 0"),
+    "match_ids_by_digits": _q("SELECT s.subject, s.name, 'R' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '-x' AS other, c_custkey AS k FROM subjects s JOIN customer ON regexp_extract(name, '[0-9]+') = lpad(CAST(c_custkey AS VARCHAR), 5, '0')"),
     "qc_matrices": _q("SELECT s.subject, count(e.i) AS entries, count(e.i) AS off_diagonal, CASE WHEN count(e.i) = 0 THEN 'empty' ELSE 'ok' END AS state FROM subjects s LEFT JOIN (SELECT * FROM edges WHERE subject % 11 <> 5) e ON e.subject = s.subject GROUP BY s.subject"),
     "qc_zero_diagonal": _q("SELECT s.subject, n.node FROM subjects s CROSS JOIN nodes n WHERE NOT EXISTS (SELECT 1 FROM (SELECT subject, b FROM items GROUP BY ALL HAVING count(*) > 2) o WHERE o.subject = s.subject AND o.b = n.node)"),
     "demographics": _q("SELECT cohort, count(*) AS n, count(*) FILTER (gender = 1) AS male, count(*) FILTER (gender = 2) AS female, round(avg(age), 6) AS age_mean, round(stddev_pop(age), 6) AS age_std FROM subjects GROUP BY cohort"),

@@ -264,3 +264,27 @@ def test_marked_nodes_and_atlas(spark):
     assert {r.node: r.marked for r in marked.collect()} == {1: True, 2: False, 3: False, 4: False}
     atlas = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, 4.0, 5.0, 6.0)], "node int, x double, y double, z double")
     assert sorted(tuple(r) for r in edges.marked_atlas(atlas, marked).collect()) == [(1, 1.0, 2.0, 3.0), (2, 0.0, 0.0, 0.0)]
+
+
+def test_stacked_distances_and_levels_equal_single_graphs(spark):
+    rng = np.random.default_rng(9)
+    graphs = {s: _graph(int(rng.integers(10**6))) for s in range(30)}
+    rows = [(s, i + 1, j + 1, float(w[i, j])) for s, w in graphs.items() for i, j in itertools.combinations(range(7), 2) if w[i, j]]
+    edges = spark.createDataFrame(rows, "subject long, i int, j int, w double")
+    for weighted in (True, False):
+        got = {(r.subject, r.i, r.j): r.d for r in kernels.distances(edges, 7, weighted).collect()}
+        for s, w in graphs.items():
+            d = kernels.floyd_warshall(kernels.lengths_of(w if weighted else (w > 0).astype(float)))
+            assert {(i + 1, j + 1): pytest.approx(d[i, j]) for i in range(7) for j in range(7) if i != j and np.isfinite(d[i, j])} == {k[1:]: v for k, v in got.items() if k[0] == s}
+    levels = kernels.community_levels(edges, 7).collect()
+    for s, w in graphs.items():
+        if not w.any():
+            continue
+        import zlib
+
+        last = max(r.level for r in levels if r.subject == s)
+        label = {r.node: r.community for r in levels if r.subject == s and r.level == last}
+        want, q = kernels.louvain(w, seed=zlib.crc32(str(s).encode()))
+        assert [label[v + 1] for v in range(7)] == (want + 1).tolist()
+        qs = [next(r.q for r in levels if r.subject == s and r.level == k) for k in range(1, last + 1)]
+        assert qs == sorted(qs) and qs[-1] == pytest.approx(q)
