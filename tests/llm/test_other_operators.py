@@ -301,3 +301,12 @@ def test_stages_drop_rows_not_ids(spark):
     # of rows with one id, those in a cell without weight go
     other = docs.withColumn("lang", F.when(F.col("text") == c, "xx").otherwise("en"))
     assert left(source_mixing.keep_mixed(other, share=1.0, targets={"lang": {"en": 1.0, "xx": 0.0}})) == sorted((r for r in rows if r[1] != c), key=repr)
+
+
+def test_keys_of_the_tables_are_found(spark):
+    """Planted keys, which the training items do not copy: all are found, and hardly anything else is added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
+    planted = [(r.doc_id, f"secret:{m.start(1)}:{m.end(1)}") for r in docs.collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text or "")]
+    assert planted and all(span in got[i].spans.split(",") for i, span in planted)
+    assert sum(r.n_added for r in got.values()) <= len(planted) + 0.002 * len(got)

@@ -146,3 +146,11 @@ def test_reduction_keeps_the_optimum(items):
             end += s
         assert end <= 20
     assert set(filled) == set(range(full.sequences))
+
+
+def test_words_that_collide_under_polynomials_have_their_own_ids():
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 for every base."""
+    x = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    text = f"{x} {x.translate(str.maketrans('ab', 'ba'))} {x}"
+    (got,) = word_ids(WORD).texts(pa.array([text]))
+    assert got.tolist() == LIBRARY[WORD].encode(text, add_special_tokens=False).ids
