@@ -87,7 +87,7 @@ def verdict(text, lang):
     for k, encode in enumerate(encoders):
         ids = [x for w in words for x in encode(w)]
         n, b = max(len(ids), 1), limits[1 + k]
-        found |= {"dense"} if chars / n < b.least - b.spread / math.sqrt(n) else set()
+        found |= {"dense"} if chars / n < b.least - max(b.spread / math.sqrt(n), quality_rules.APART) else set()
         found |= {"sparse"} if chars / n > b.most else set()
         found |= {"bytes"} if k == 0 and sum(map(is_byte, ids)) / n > limits[0] else set()
         entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
