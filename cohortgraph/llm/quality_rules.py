@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortgraph.llm.text_arrays import Words, mix, slices
-from cohortgraph.llm.tokens import word_ids
+from cohortgraph.llm.tokens import forget, word_ids
 
 
 
@@ -183,6 +183,7 @@ def keep_good(docs: DataFrame, pieces: str, word_pieces: str, text_col: str = "t
             if b.num_rows:
                 good = reasons(b.column(1), b.column(2))[2] == ""
                 yield pa.RecordBatch.from_arrays(b.column(0).flatten(), names=names).filter(pa.array(good))
+        forget()
 
     names = docs.columns
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from cohortgraph.llm.text_arrays import Words, slices
+from cohortgraph.llm.text_arrays import Words, give_back, slices
 
 #: Different words whose ids a Python worker remembers before it starts anew, about 60 bytes each; for each six of them it
 #: remembers one letter run while it encodes words.
@@ -106,6 +106,12 @@ def word_ids(path: str, kind: str = "tokenizers", memo: int = MEMO_WORDS) -> Wor
     return WordIds(sentencepiece_words(path) if kind == "sentencepiece" else tokenizers_words(path, memo // 6), memo)
 
 
+def forget() -> None:
+    """Lets go of vocabularies and memos at the end of a task: workers live on, and later steps need the room."""
+    word_ids.cache_clear()
+    give_back()
+
+
 class WordIds:
     """Ids of each word of a text in turn, for vocabularies whose ids don't depend on white space.
 
