@@ -98,9 +98,8 @@ def _scan(least: int, keep_first: bool):
             if carry is not None and carry.num_rows > _LONG:
                 # A very common line: its occurrences are written out as edge rows as they come; the count is theirs.
                 # What is left of the line, here and in later batches, goes to the same count, so it is edge as well.
-                carry, out = _flush(carry, names)
-                opening = opening or bool(out)
-                yield from out
+                yield from _flush(carry)
+                carry, opening = None, True
         if carry is not None:
             yield from decide(carry, last=True)[1]
 
@@ -111,15 +110,12 @@ def _scan(least: int, keep_first: bool):
 _LONG = 200_000
 
 
-def _flush(x: pa.Table, names: list[str]):
-    """All documents of x but the last, which may go on, as edge rows."""
-    k1, k2 = x.column("k1").to_numpy(), x.column("k2").to_numpy()
-    changes = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))
-    if not len(changes):
-        return x, []
-    end = int(changes[-1]) + 1
-    done = x.slice(0, end).append_column("docs", pa.array(np.full(end, len(changes), np.int32))).append_column("edge", pa.array(np.ones(end, bool)))
-    return x.slice(end), done.combine_chunks().to_batches()
+def _flush(x: pa.Table) -> list[pa.RecordBatch]:
+    """All of x as edge rows. It may end inside a document, whose other occurrences are edge rows too: documents are counted
+    by their keys."""
+    n = x.num_rows
+    done = x.append_column("docs", pa.array(np.zeros(n, np.int32))).append_column("edge", pa.array(np.ones(n, bool)))
+    return done.combine_chunks().to_batches()
 
 
 def _bitmap(batches):
@@ -148,7 +144,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = table(ranged.sortWithinPartitions("h1", "h2", "id", "k1", "k2", "pos").mapInArrow(_scan(min_docs, keep_first), _FOUND), "line-runs")
     edges = found.where("edge")
     totals = edges.groupBy("h1", "h2", "k1", "k2").agg(F.min(F.struct("id", "k1", "k2", "pos")).alias("first")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    # A partition has two undecided lines at most, so there are at most twice as many of them as shuffle partitions.
+    # A partition has two undecided lines and two for each _LONG occurrences in it at most, so totals stay far smaller than edges.
     late = edges.join(F.broadcast(totals.where(F.col("n") >= min_docs)), ["h1", "h2"])
     if keep_first:
         late = late.where(~F.struct("id", "k1", "k2", "pos").eqNullSafe(F.col("first")))

@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from cohortgraph.llm import exact_dedup, line_dedup
@@ -100,5 +102,20 @@ def test_first_occurrence_of_a_line_written_out_early_can_stay(spark, monkeypatc
     assert got[0] == "x 0\nsame" and all(got[i] == f"x {i}" for i in range(1, 60))
 
 
+def test_one_long_document_costs_what_many_short_ones_do():
+    """Two million equal lines, of one document and spread over many."""
+    n, names = 2_000_000, ["h1", "h2", "id", "k1", "k2", "pos"]
+    took = []
+    for docs in (n // 10, 1):
+        d = np.arange(n) // (n // docs)
+        whole = pa.table(dict(zip(names, [np.ones(n, np.int64), np.ones(n, np.int64), d, d, d, (np.arange(n) % (n // docs)).astype(np.int32)])))
+        start, found = time.time(), 0
+        for b in line_dedup._scan(10, False)(whole.to_batches(max_chunksize=10_000)):
+            found += sum(b.column("edge").to_pylist()) if b.num_rows < 10 else b.num_rows
+        took.append(time.time() - start)
+        assert found == n
+    assert took[1] < 2 * took[0] + 1
+
+
 def test_lines_of_nothing(spark, no_docs):
     assert digest(no_docs) == []
