@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,6 +22,10 @@ from cohortgraph.llm.text_arrays import Words, give_back, slices
 #: remembers one letter run while it encodes words.
 MEMO_WORDS = 2_000_000
 
+#: Characters of white space in a row from which a text is handed to the tokenizers library.
+LONG_BLANK = 50_000
+_BLANKS = re.compile(r"\s+").finditer
+
 
 def vocabulary(name: str) -> str:
     """Place of a vocabulary file of the public_tokenizers package; operators take any path instead."""
@@ -52,11 +56,22 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         back = {c: b for b, c in _byte_letters().items()}
+        self.path = path
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         ranks = {bytes(back[c] for c in t): i for t, i in held["model"]["vocab"].items() if t not in self.special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
+    @cached_property
+    def library(self) -> Callable[[str], list[int]]:
+        from tokenizers import Tokenizer
+
+        full = Tokenizer.from_file(self.path)
+        return lambda text: full.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> np.ndarray:
+        """tiktoken's stack overflows on a very long run of white space, so the library takes texts that have one."""
+        if len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANKS(text)):
+            return np.array(self.library(text), np.uint32)
         if any(s in text for s in self.special):
             return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
