@@ -23,6 +23,8 @@ LANG_TARGETS: dict[str, float] = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15
 ROUNDS = 8
 #: Rounds in which probabilities over 1 are cut and the rest scaled up to the budget.
 CAP_ROUNDS = 4
+#: Cells up to which their chances are sent to all tasks; beyond, rows and cells are joined by a shuffle.
+SENT_CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -155,7 +157,8 @@ def keep_mixed(
     Each row is judged by its own cell, and a row without an id draws by its text, so null and repeated ids do no harm."""
     dims, tokens = _cell_of(text_col, source_col, lang_col, topic)
     rated = _rated(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("tokens")), share, targets, power, rounds, rest)
-    rated = F.broadcast(rated.select(*DIMENSIONS, F.round("p", 6).alias("p")))
+    rated = rated.select(*DIMENSIONS, F.round("p", 6).alias("p"))
+    rated = F.broadcast(rated) if rated.count() <= SENT_CELLS else rated
     drawn = draw(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
     rows = docs.select(F.struct("*").alias("row"), *(c.alias(d) for d, c in dims.items()), drawn.alias("u"))
     return rows.join(rated, list(DIMENSIONS)).where(F.col("u") < F.col("p")).select("row.*")
