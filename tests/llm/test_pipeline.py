@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from cohortgraph.llm import source_mixing
+from cohortgraph.llm.shared import table
 from test_ngram_join import brute as components
 from test_quality_rules import WORD, verdict
 
@@ -74,7 +75,7 @@ def test_every_stage_equals_its_plain_version(spark):
         lambda rows: [r for r in rows if verdict(r.text, r.lang) is None], distinct_texts, one_of_each, lambda rows: mixed(rows, corpus_pipeline.MIXED_SHARE),
     ]
     for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], plain):
-        docs, rows = corpus_pipeline.table(stage(spark, docs, DIR), "test"), want(rows)
+        docs, rows = table(stage(spark, docs, DIR), "test"), want(rows)
         assert sorted(map(tuple, docs.collect()), key=repr) == sorted(map(tuple, rows), key=repr), name
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DIR).collect()
     from tokenizers import Tokenizer
@@ -97,7 +98,7 @@ def test_stages_take_hard_and_empty_tables(spark, hard_docs, no_docs):
     """Null ids and texts, repeats, blanks, clashing columns; and no rows at all."""
     for docs in (hard_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            out = corpus_pipeline.table(stage(spark, docs, DIR), "test")
+            out = table(stage(spark, docs, DIR), "test")
             assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
             assert out.count() <= docs.count()
         corpus_pipeline.STAGES[-1][1](spark, docs, DIR).count()

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cohortgraph.llm import packing, wavelet_shards
+from cohortgraph.llm import packing, text_arrays, tokens, wavelet_shards
 from cohortgraph.llm.queries import op3_best_fit_packing, op7_token_output
 from cohortgraph.llm.shared import new_path
 from cohortgraph.llm.tokens import byte_bpe, vocabulary, word_ids
@@ -154,3 +154,21 @@ def test_words_that_collide_under_polynomials_have_their_own_ids():
     text = f"{x} {x.translate(str.maketrans('ab', 'ba'))} {x}"
     (got,) = word_ids(WORD).texts(pa.array([text]))
     assert got.tolist() == LIBRARY[WORD].encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs_of_white_space():
+    """tiktoken's pattern overflows its stack on them; the library's ids count."""
+    n = tokens.LONG_BLANK
+    for text in ("a" + " " * (n - 1) + "b", "a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "\t" * n, "x " * 9 + "\n\t " * 300_000 + "<|endoftext|>"):
+        assert byte_bpe(BYTE).ids(text).tolist() == LIBRARY[BYTE].encode(text, add_special_tokens=False).ids
+
+
+def test_slices_copy_few_rows_and_give_memory_back(monkeypatch):
+    calls, peak = [], []
+    monkeypatch.setattr(text_arrays, "give_back", lambda: calls.append(1))
+    column = pa.array(["some words of a text " * 20] * 10_000)
+    before = pa.total_allocated_bytes()
+    for lo, hi, data, offsets in text_arrays.slices(column):
+        peak.append(pa.total_allocated_bytes() - before)
+        assert offsets[-1] == len(data) == 420 * (hi - lo)
+    assert len(calls) == 1 and max(peak) < column.nbytes / 5
