@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortgraph.llm import exact_dedup, ngram_join, packing, quality_rules, source_mixing
-from cohortgraph.llm.shared import table
+from cohortgraph.llm.shared import new_path, remove, store, temporary
 from cohortgraph.llm.tokens import vocabulary
 
 #: Share of the remaining tokens that mixing keeps.
@@ -47,7 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """A stage's input and the tables it made for itself are removed once its result is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            docs = store(stage(spark, docs, sf_dir), path)
+        if held:
+            remove(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)
