@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import exact_dedup, line_dedup, ngram_join, packing, pii, quality_rules, source_mixing, url_filter, wavelet_shards, weak_quality
+from cohortgraph.llm import exact_dedup, line_dedup, merkle_manifest, ngram_join, packing, pii, quality_rules, source_mixing, url_filter, wavelet_shards, weak_quality
 from cohortgraph.llm.shared import new_path
 from cohortgraph.llm.tokens import vocabulary
 
@@ -59,5 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup, op9_weak_quality, op10_pii)}
-ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op4_source_mixing": source_mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = merkle_manifest.manifest(read(spark, sf_dir, "documents"), tamper=merkle_manifest.tampered())
+    return merkle_manifest.proofs(held).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup, op9_weak_quality, op10_pii, op13_merkle_manifest)}
+ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op4_source_mixing": source_mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
