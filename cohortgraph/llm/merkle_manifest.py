@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.shared import table
+from cohortgraph.llm.shared import CRC_SQL, table
 
 #: Height of a block: it has up to 2 ** HEIGHT leaves.
 HEIGHT = 8
@@ -249,9 +249,6 @@ def tampered(id_col: str = "doc_id", every: int = 7) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % every == 0
 
 
-#: CRC-32 of a short ASCII string, bit by bit: bytes go in one after another, each followed by eight shifts, given as -1.
-CRC_SQL = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split({0}, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
-
 _FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{chars}", "text"))
 
 SQL = f"""

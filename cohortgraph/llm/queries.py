@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgraph.llm import chat_format, exact_dedup, line_dedup, merkle_manifest, ngram_join, packing, pii, quality_rules, source_mixing, url_filter, wavelet_shards, weak_quality
+from cohortgraph.llm import chat_format, exact_dedup, line_dedup, merkle_manifest, ngram_join, packing, pii, quality_rules, source_mixing, spelling_groups, url_filter, wavelet_shards, weak_quality
 from cohortgraph.llm.shared import new_path
 from cohortgraph.llm.tokens import vocabulary
 
@@ -59,6 +59,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling_groups.word_counts(read(spark, sf_dir, "documents"), drop_every=199)
+    return spelling_groups.spelling_forms(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", chat_format.PROBE), (-1, 1, "assistant", chat_format.PROBE)], "conv_id long, turn long, role string, text string")
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -70,5 +75,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(held).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup, op9_weak_quality, op10_pii, op12_chat_formatting, op13_merkle_manifest)}
-ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op4_source_mixing": source_mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_chat_formatting": chat_format.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_best_fit_packing, op4_source_mixing, op5_line_dedup, op6_url_filters, op7_token_output, op8_exact_dedup, op9_weak_quality, op10_pii, op11_spelling_groups, op12_chat_formatting, op13_merkle_manifest)}
+ORACLE = {"op1_ngram_jaccard": ngram_join.SQL, "op4_source_mixing": source_mixing.SQL, "op5_line_dedup": line_dedup.SQL, "op6_url_filters": url_filter.SQL, "op8_exact_dedup": exact_dedup.SQL, "op11_spelling_groups": spelling_groups.SQL, "op12_chat_formatting": chat_format.SQL, "op13_merkle_manifest": merkle_manifest.SQL}

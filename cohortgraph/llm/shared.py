@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a short string's UTF-8, bit by bit: bytes go in one after another, each followed by eight shifts, given as -1.
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and Spark is local, one of our own."""
