@@ -91,49 +91,6 @@ def give_back() -> None:
         trim(0)
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word: its lanes of eight bytes, each mixed with its place, summed and mixed with the length.
-
-    Lanes go through the mixer before they are summed, so words cannot be built to collide as with polynomials."""
-    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
-    lengths = ends - starts
-    place = mix(np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(_BASE))
-    total = mix((lanes[starts] & _FIRST[np.minimum(lengths, 8)]) ^ place[0])
-    more = np.flatnonzero(lengths > 8)
-    for k in range(1, _LANES):
-        if not len(more):
-            break
-        total[more] += mix((lanes[starts[more] + 8 * k] & _FIRST[np.minimum(lengths[more] - 8 * k, 8)]) ^ place[k])
-        more = more[lengths[more] > 8 * k + 8]
-    if len(more):
-        count = (lengths[more] + 7) // 8 - _LANES
-        begin = np.cumsum(count) - count
-        at = np.arange(int(count.sum())) - np.repeat(begin, count) + _LANES
-        which = np.repeat(more, count)
-        keys = mix((at + 1).astype(np.uint64) * np.uint64(_BASE))
-        total[more] += np.add.reduceat(mix((lanes[starts[which] + 8 * at] & _FIRST[np.minimum(lengths[which] - 8 * at, 8)]) ^ keys), begin)
-    return mix(total + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets) of runs of whole texts; null counts as empty."""
-    if pa.types.is_dictionary(column.type) or not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    n = len(column)
-    if not n:
-        return
-    if column.null_count:
-        column = column.fill_null("")
-    _, where, data = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1]
-    bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
-        yield lo, hi, bytes_[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
-
-
 class Words:
     """Words of a run of texts: starts, ends, first (index of each text's first word; one more at the end), hashes."""
 
