@@ -1,6 +1,7 @@
-"""Graph measures that iterate: numpy kernels, one graph of a subject at a time, so graphs are the unit of distribution.
+"""Graph measures that iterate: numpy kernels over stacks of graphs (graph, node, node), so a task works on many subjects at once.
 
-A kernel's memory is a few n x n matrices. Each call sends a subject's edges through Arrow once, whatever it computes.
+Graphs are the unit of distribution: a subject's edges go through Arrow once, whatever is computed. Memory follows the
+stack, whose number of graphs is bounded, and within a kernel a bounded number of array entries.
 """
 
 from __future__ import annotations
@@ -15,67 +16,76 @@ from pyspark.sql import functions as F
 
 from cohortgraph.operators.network import whole_graphs
 
+#: Graphs that are worked on at once, and array entries that a kernel holds at once besides.
+STACK, ENTRIES = 256, 1 << 22
 
-def matrix_of(pdf: pd.DataFrame, n: int) -> np.ndarray:
-    """Symmetric weight matrix of nodes 1..n."""
-    w = np.zeros((n, n))
-    i, j = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1
-    w[i, j] = w[j, i] = pdf["w"].to_numpy(float)
-    return w
 
-
-def lengths_of(w: np.ndarray) -> np.ndarray:
-    """Lengths 1 / w, infinite where there is no edge, 0 on the diagonal."""
-    out = np.full(w.shape, np.inf)
-    np.divide(1.0, w, out=out, where=w > 0)
-    np.fill_diagonal(out, 0)
+def lengths_of(w: np.ndarray, weights_are_lengths: bool = False) -> np.ndarray:
+    """Lengths 1 / w, or w itself; infinite where there is no edge, 0 on the diagonal."""
+    with np.errstate(divide="ignore"):
+        out = np.where(w > 0, w if weights_are_lengths else 1 / w, np.inf)
+    n = w.shape[-1]
+    out[..., np.arange(n), np.arange(n)] = 0
     return out
 
 
 def floyd_warshall(d: np.ndarray) -> np.ndarray:
     d = d.copy()
-    for k in range(len(d)):
-        np.minimum(d, d[:, k, None] + d[None, k, :], out=d)
+    for k in range(d.shape[-1]):
+        np.minimum(d, d[..., :, k, None] + d[..., None, k, :], out=d)
     return d
 
 
+def clustering(w: np.ndarray) -> np.ndarray:
+    """Twice the triangles' sum of weights' cube roots, multiplied, over k (k - 1)."""
+    r, k = np.cbrt(w), (w > 0).sum(axis=-1)
+    t = np.einsum("bij,bji->bi", r @ r, r)
+    return np.divide(t, k * (k - 1), out=np.zeros(t.shape), where=k > 1)
+
+
 def local_efficiency(w: np.ndarray) -> np.ndarray:
-    """For each node, over pairs of its neighbours: cube root of both weights over their distance among the neighbours."""
-    out = np.zeros(len(w))
-    for u in range(len(w)):
-        near = np.flatnonzero(w[u])
-        k = len(near)
-        if k < 2:
-            continue
-        d = floyd_warshall(lengths_of(w[np.ix_(near, near)]))
-        np.fill_diagonal(d, np.inf)
-        pairs = np.cbrt(np.outer(w[u, near], w[u, near]) / d)
-        out[u] = pairs.sum() / (k * (k - 1))
+    """For each node, over pairs of its neighbours: cube root of both weights over their distance among the neighbours.
+
+    Neighbourhoods of as many nodes are a stack of their own, whatever graphs they come from."""
+    out, degree = np.zeros(w.shape[:2]), (w > 0).sum(axis=-1)
+    for k in np.unique(degree[degree > 1]).tolist():
+        g, u = np.nonzero(degree == k)
+        for lo in range(0, len(g), max(1, ENTRIES // (k * k))):
+            a, b = g[lo : lo + max(1, ENTRIES // (k * k))], u[lo : lo + max(1, ENTRIES // (k * k))]
+            near = np.nonzero(w[a, b] > 0)[1].reshape(-1, k)
+            d = floyd_warshall(lengths_of(w[a[:, None, None], near[:, :, None], near[:, None, :]]))
+            d[:, np.arange(k), np.arange(k)] = np.inf
+            own = np.take_along_axis(w[a, b], near, axis=1)
+            out[a, b] = np.cbrt(own[:, :, None] * own[:, None, :] / d).sum(axis=(1, 2)) / (k * (k - 1))
     return out
 
 
 def betweenness(length: np.ndarray) -> np.ndarray:
     """Shortest paths through each node over ordered pairs; of several shortest paths each counts its share.
 
-    Distances come from Floyd-Warshall. Paths are counted along the edges that some shortest path uses, in order of
-    distance from the source, and dependencies are added up in the reverse order."""
-    n = len(length)
-    d = floyd_warshall(length)
-    out = np.zeros(n)
+    tight[s, u, v] tells that an edge lies on a shortest path from s. Paths are counted by steps along tight edges from all
+    sources at once, and shares flow back along the same edges; both end after as many steps as the longest path has edges."""
+    n, out = length.shape[-1], np.zeros(length.shape[:2])
+    step = max(1, ENTRIES // n**3)
     edge = np.isfinite(length) & ~np.eye(n, dtype=bool)
-    for s in range(n):
-        near = np.where(np.isfinite(d[s]))[0]
-        order = near[np.argsort(d[s, near], kind="stable")]
-        tight = edge & np.isclose(d[s][:, None] + length, d[s][None, :], rtol=1e-12, atol=0)
-        paths = np.zeros(n)
-        paths[s] = 1
-        for v in order[1:]:
-            paths[v] = paths[tight[:, v]].sum()
-        share = np.zeros(n)
-        for v in order[:0:-1]:
-            before = tight[:, v]
-            share[before] += paths[before] / paths[v] * (1 + share[v])
-            out[v] += share[v]
+    for lo in range(0, len(length), step):
+        own = length[lo : lo + step]
+        d = floyd_warshall(own)
+        with np.errstate(invalid="ignore"):
+            tight = (np.isclose(d[:, :, :, None] + own[:, None], d[:, :, None, :], rtol=1e-12, atol=0) & edge[lo : lo + step, None]).astype(float)
+        paths = front = np.broadcast_to(np.eye(n), d.shape)
+        while front.any():
+            front = (front[:, :, None, :] @ tight)[:, :, 0]
+            paths = paths + front
+        # From u to v goes the share paths[u] / paths[v] of what v passes on.
+        tight *= np.divide(paths[..., None], paths[:, :, None, :], out=np.zeros_like(tight), where=paths[:, :, None, :] > 0)
+        share = np.zeros(d.shape)
+        front = (np.isfinite(d) & ~np.eye(n, dtype=bool)).astype(float)
+        while front.any():
+            front = (tight @ front[..., None])[..., 0]
+            share += front
+        share[:, np.arange(n), np.arange(n)] = 0
+        out[lo : lo + step] = share.sum(axis=1)
     return out
 
 
@@ -122,74 +132,102 @@ def louvain_levels(w: np.ndarray, gamma: float = 1.0, seed: int = 0, tolerance:
         levels.append((member, q))
 
 
-def transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
-    """Least cost of moving distribution a to b, exactly: successive cheapest paths in the residual network of the transport problem."""
-    n, m = len(a), len(b)
-    flow, supply, demand = np.zeros((n, m)), a.astype(float).copy(), b.astype(float).copy()
-    while supply.max(initial=0) > 1e-12 and demand.max(initial=0) > 1e-12:
-        left, right = np.where(supply > 1e-12, 0.0, np.inf), np.full(m, np.inf)
-        from_l, from_r = np.full(n, -1), np.full(m, -1)
-        for _ in range(n + m):  # cheapest paths to each side by Bellman-Ford, all edges at once
-            reach = left[:, None] + cost
-            step = reach.min(axis=0)
-            better = step < right - 1e-12
-            right[better], from_r[better] = step[better], reach.argmin(axis=0)[better]
-            back = np.where(flow > 1e-12, right[None, :] - cost, np.inf)
-            step = back.min(axis=1)
-            better = step < left - 1e-12
-            left[better], from_l[better] = step[better], back.argmin(axis=1)[better]
-            if not better.any():
-                break
-        j = int(np.where(demand > 1e-12, right, np.inf).argmin())
-        path, most, end = [], demand[j], j
-        while True:
-            i = from_r[end]
-            path.append((i, end, 1))
-            if from_l[i] < 0:
-                most = min(most, supply[i])
-                break
-            path.append((i, from_l[i], -1))
-            most = min(most, flow[i, from_l[i]])
-            end = from_l[i]
-        for i, k, sign in path:
-            flow[i, k] += sign * most
-        supply[path[-1][0] if path[-1][2] == 1 else path[-2][0]] -= most
-        demand[j] -= most
-    return float((flow * cost).sum())
-
+def participation(w: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """1 - sum over communities of (weight into it / strength) squared; 0 for isolated nodes. label (graph, node) from 0."""
+    into = w @ np.eye(label.max(initial=0) + 1)[label]
+    s = into.sum(axis=-1)
+    return np.where(s > 0, 1 - np.divide((into**2).sum(axis=-1), s**2, out=np.zeros(s.shape), where=s > 0), 0.0)
 
-def ricci_curvature(w: np.ndarray, alpha: float = 0.5) -> np.ndarray:
-    """Ollivier-Ricci curvature of each node: mean over its edges of 1 - W / d, W the transport distance of the two ends' lazy
-    neighbour distributions (alpha stays, the rest goes to neighbours in proportion to weight), d the path length."""
-    n = len(w)
-    d = floyd_warshall(lengths_of(w))
-    s = w.sum(axis=1)
-    measure = alpha * np.eye(n) + (1 - alpha) * np.divide(w, s[:, None], out=np.zeros_like(w), where=s[:, None] > 0)
-    total, count = np.zeros(n), np.zeros(n)
-    for i, j in zip(*np.nonzero(np.triu(w, 1))):
-        common = np.minimum(measure[i], measure[j])  # mass in common stays where it is, because distances are a metric
-        a, b = measure[i] - common, measure[j] - common
-        x, y = np.flatnonzero(a > 0), np.flatnonzero(b > 0)
-        k = 1 - transport(a[x], b[y], d[np.ix_(x, y)]) / d[i, j]
-        for v in (i, j):
-            total[v] += k
-            count[v] += 1
-    return np.divide(total, count, out=np.zeros(n), where=count > 0)
 
+def neighbour_degree(w: np.ndarray) -> np.ndarray:
+    """Weighted mean degree of the neighbours; not a number for isolated nodes."""
+    k, s = (w > 0).sum(axis=-1).astype(float), w.sum(axis=-1)
+    return np.divide((w @ k[..., None])[..., 0], s, out=np.full(s.shape, np.nan), where=s > 0)
 
-def per_subject(edges: DataFrame, kernel: Callable[[np.ndarray, int], dict[str, np.ndarray]], n: int) -> DataFrame:
-    """(subject, node, measure, value) of a kernel that takes the weight matrix and a seed of the subject."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        made = kernel(matrix_of(pdf, n), zlib.crc32(str(key[0]).encode()))
-        parts = [pd.DataFrame({"subject": key[0], "node": np.arange(1, n + 1, dtype=np.int32), "measure": m, "value": v.astype(float)}) for m, v in made.items()]
-        return pd.concat(parts)
+def transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Least cost of moving each problem's supply to its demand: (problem, source), (problem, sink), (problem, source, sink).
 
-    return edges.groupBy("subject").applyInPandas(run, "subject long, node int, measure string, value double")
+    Exact: every round sends as much as fits along a cheapest path of each problem's residual network, all problems at
+    once. Cheapest paths come from Bellman-Ford steps over all edges; problems that are done drop out. Places with nothing to
+    give or take pad the shorter problems."""
+    supply, demand, eps = supply.astype(float).copy(), demand.astype(float).copy(), 1e-12
+    flow, open_ = np.zeros(cost.shape), np.arange(len(cost))
+    while True:
+        left = (supply[open_].max(axis=1, initial=0) > eps) & (demand[open_].max(axis=1, initial=0) > eps)
+        open_ = open_[left]
+        if not len(open_):
+            return (flow * cost).sum(axis=(1, 2))
+        c, f, rows = cost[open_], flow[open_], np.arange(len(open_))
+        near, far = np.where(supply[open_] > eps, 0.0, np.inf), np.full(demand[open_].shape, np.inf)
+        from_near, from_far = np.full(near.shape, -1), np.full(far.shape, -1)
+        while True:
+            reach = near[:, :, None] + c
+            at = reach.argmin(axis=1)
+            best = np.take_along_axis(reach, at[:, None], axis=1)[:, 0]
+            better = best < far - eps
+            far[better], from_far[better] = best[better], at[better]
+            back = np.where(f > eps, far[:, None, :] - c, np.inf)
+            at = back.argmin(axis=2)
+            best = np.take_along_axis(back, at[:, :, None], axis=2)[:, :, 0]
+            better = best < near - eps
+            if not better.any():
+                break
+            near[better], from_near[better] = best[better], at[better]
+        end = np.where(demand[open_] > eps, far, np.inf).argmin(axis=1)
+        # Each path goes back from its end: to a source, and from there to the sink that gives flow up, or no further.
+        most, way, sink, live = demand[open_, end], [], end.copy(), np.ones(len(open_), bool)
+        first = np.zeros(len(open_), int)
+        while live.any():
+            source = np.where(live, from_far[rows, sink], 0)
+            way.append((live.copy(), source, sink.copy(), 1.0))
+            given = np.where(live, from_near[rows, source], -1)
+            first = np.where(live, source, first)
+            on = live & (given >= 0)
+            most = np.where(on, np.minimum(most, f[rows, source, given]), most)
+            way.append((on, source, given.copy(), -1.0))
+            sink, live = np.where(on, given, sink), on
+        most = np.minimum(most, supply[open_, first])
+        for on, source, to, sign in way:
+            np.add.at(flow, (open_[on], source[on], to[on]), sign * most[on])
+        supply[open_, first] -= most
+        demand[open_, end] -= most
 
 
-#: Graphs that are worked on at once.
-STACK = 256
+def ricci_curvature(w: np.ndarray, alpha: float = 0.5) -> np.ndarray:
+    """Ollivier-Ricci curvature of each node: mean over its edges of 1 - W / d, W the transport distance of the two ends' lazy
+    neighbour distributions (alpha stays, the rest goes to neighbours in proportion to weight), d the path length.
+
+    Each edge is a transport problem. What both ends have in common stays where it is, as distances are a metric, so one
+    end's nodes are sources and the other's sinks; problems of like size are solved together."""
+    n = w.shape[-1]
+    d, s = floyd_warshall(lengths_of(w)), w.sum(axis=-1)
+    measure = alpha * np.eye(n) + (1 - alpha) * np.divide(w, s[..., None], out=np.zeros_like(w, float), where=s[..., None] > 0)
+    g, i, j = np.nonzero(np.triu(w, 1))
+    total, count, k = np.zeros(w.shape[:2]), np.zeros(w.shape[:2]), np.zeros(len(g))
+    sizes = np.zeros(len(g), int)
+    for lo in range(0, len(g), 65_536):
+        z = slice(lo, lo + 65_536)
+        more = measure[g[z], i[z]] - measure[g[z], j[z]]
+        sizes[z] = ((more > 0).sum(axis=1) + 1) // 2 * 1000 + ((more < 0).sum(axis=1) + 1) // 2
+    order, lo = np.argsort(sizes, kind="stable"), 0
+    while lo < len(order):
+        same = int(np.searchsorted(sizes[order], sizes[order[lo]], "right"))
+        x, y = 2 * (sizes[order[lo]] // 1000), 2 * (sizes[order[lo]] % 1000)
+        own = order[lo : min(same, lo + max(1, ENTRIES // max(1, 8 * x * y)))]
+        lo += len(own)
+        a, b, c = g[own], i[own], j[own]
+        if x and y:
+            more = measure[a, b] - measure[a, c]
+            from_, to = np.argsort(-more, axis=1, kind="stable")[:, :x], np.argsort(more, axis=1, kind="stable")[:, :y]
+            supply, demand = np.maximum(np.take_along_axis(more, from_, axis=1), 0), np.maximum(-np.take_along_axis(more, to, axis=1), 0)
+            cost = d[a[:, None, None], from_[:, :, None], to[:, None, :]]
+            k[own] = transport(supply, demand, np.where(np.isfinite(cost), cost, 1e12))  # only padding is out of reach
+        k[own] = 1 - k[own] / d[a, b, c]
+    for v in (i, j):
+        np.add.at(total, (g, v), k)
+        np.add.at(count, (g, v), 1)
+    return np.divide(total, count, out=np.zeros(total.shape), where=count > 0)
 
 
 def stacks(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -209,16 +247,11 @@ def distances(edges: DataFrame, n: int, weighted: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for subjects, w in stacks(batches, n):
-            with np.errstate(divide="ignore"):
-                d = np.where(w > 0, 1 / w if weighted else 1.0, np.inf)
-            d[:, np.arange(n), np.arange(n)] = 0
-            for k in range(n):
-                np.minimum(d, d[:, :, k, None] + d[:, None, k, :], out=d)
+            d = floyd_warshall(lengths_of(w if weighted else (w > 0).astype(float)))
             s, i, j = np.nonzero(np.isfinite(d) & ~np.eye(n, dtype=bool))
             yield pd.DataFrame({"subject": subjects[s], "i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "d": d[s, i, j]})
 
-    rows = edges.select("subject", "i", "j", F.col("w").cast("double").alias("w"))
-    return rows.repartition("subject").sortWithinPartitions("subject").mapInPandas(run, "subject long, i int, j int, d double")
+    return _sorted(edges).mapInPandas(run, "subject long, i int, j int, d double")
 
 
 def community_levels(edges: DataFrame, n: int) -> DataFrame:
@@ -227,39 +260,71 @@ def community_levels(edges: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for subjects, w in stacks(batches, n):
             for s, m in zip(subjects.tolist(), w):
-                for level, (label, q) in enumerate(louvain_levels(m, seed=zlib.crc32(str(s).encode())), 1):
+                for level, (label, q) in enumerate(louvain_levels(m, seed=_seed(s)), 1):
                     yield pd.DataFrame({"subject": s, "level": np.int32(level), "node": np.arange(1, n + 1, dtype=np.int32), "community": (label + 1).astype(np.int32), "q": q})
 
-    rows = edges.select("subject", "i", "j", F.col("w").cast("double").alias("w"))
-    return rows.repartition("subject").sortWithinPartitions("subject").mapInPandas(run, "subject long, level int, node int, community int, q double")
+    return _sorted(edges).mapInPandas(run, "subject long, level int, node int, community int, q double")
+
+
+def _seed(subject: int) -> int:
+    return zlib.crc32(str(subject).encode())
+
 
+def communities(subjects: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Louvain's modules (graph, node) from 0, each graph with a seed of its subject."""
+    return np.stack([louvain(m, seed=_seed(s))[0] for s, m in zip(subjects.tolist(), w)])
 
-def node_measures(edges: DataFrame, n: int, which: tuple[str, ...] = ("local_efficiency", "betweenness"), on_weights: bool = True) -> DataFrame:
-    """Several iterative measures in one pass. on_weights: betweenness takes weights as lengths, else 1 / w."""
 
-    def kernel(w: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-        made = {}
-        if "local_efficiency" in which:
-            made["local_efficiency"] = local_efficiency(w)
-        if "betweenness" in which:
-            length = np.where(w > 0, w, np.inf) if on_weights else lengths_of(w)
-            np.fill_diagonal(length, 0)
-            made["betweenness"] = betweenness(length)
-        if "community" in which:
-            made["community"] = louvain(w, seed=seed)[0] + 1
-        if "curvature" in which:
-            made["curvature"] = ricci_curvature(w)
-        return made
+#: Measures of nodes, in the order of feature vectors. They take subjects and weights, and what modules are known.
+NODE_MEASURES: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]] = {
+    "clustering": lambda s, w, c: clustering(w), "local_efficiency": lambda s, w, c: local_efficiency(w), "degree": lambda s, w, c: (w > 0).sum(axis=-1),
+    "betweenness": lambda s, w, c: betweenness(lengths_of(w, weights_are_lengths=True)), "participation": lambda s, w, c: participation(w, c), "neighbour_degree": lambda s, w, c: neighbour_degree(w),
+    "curvature": lambda s, w, c: ricci_curvature(w), "community": lambda s, w, c: c + 1, "inverse_betweenness": lambda s, w, c: betweenness(lengths_of(w)),
+    "unit_betweenness": lambda s, w, c: betweenness(lengths_of((w > 0).astype(float))) / max(1, (w.shape[-1] - 1) * (w.shape[-1] - 2)),
+}
+#: The measures of a feature vector: each graph's two, then a block of nodes for each other.
+GLOBAL_FEATURES = ("path_length", "global_efficiency")
+NODE_FEATURES = ("clustering", "local_efficiency", "degree", "betweenness", "participation", "neighbour_degree", "curvature")
 
-    return per_subject(edges, kernel, n)
 
+def _sorted(edges: DataFrame) -> DataFrame:
+    return edges.select("subject", "i", "j", F.col("w").cast("double").alias("w")).repartition("subject").sortWithinPartitions("subject")
 
-def unit_betweenness(edges: DataFrame, n: int) -> DataFrame:
-    """Unweighted betweenness as a share of all ordered pairs of other nodes."""
 
-    def kernel(w: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-        length = np.where(w > 0, 1.0, np.inf)
-        np.fill_diagonal(length, 0)
-        return {"unit_betweenness": betweenness(length) / ((n - 1) * (n - 2))}
+def node_measures(edges: DataFrame, n: int, which: tuple[str, ...] = ("local_efficiency", "betweenness")) -> DataFrame:
+    """(subject, node, measure, value): several iterative measures in one pass. betweenness takes weights as lengths,
+    inverse_betweenness 1 / w, unit_betweenness edges, as a share of all ordered pairs of other nodes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for subjects, w in stacks(batches, n):
+            modules = communities(subjects, w) if {"participation", "community"} & set(which) else None
+            for m in which:
+                value = NODE_MEASURES[m](subjects, w, modules)
+                yield pd.DataFrame({"subject": np.repeat(subjects, n), "node": np.tile(np.arange(1, n + 1, dtype=np.int32), len(subjects)), "measure": m, "value": value.astype(float).ravel()})
+
+    return _sorted(edges).mapInPandas(run, "subject long, node int, measure string, value double")
 
-    return per_subject(edges, kernel, n)
+
+def feature_names(n: int) -> list[str]:
+    """The entries of a feature vector in order."""
+    return [*GLOBAL_FEATURES, *(f"{m}_{k}" for m in NODE_FEATURES for k in range(1, n + 1))]
+
+
+def measure_vectors(edges: DataFrame, n: int) -> DataFrame:
+    """(subject, at array<int>, value array<double>): all measures of a graph in one pass, as a sparse vector in the order of
+    feature_names(n), zeros left out. The path length is the mean over all reachable ordered pairs and the diagonal; measures
+    that are not defined for a node are 0."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for subjects, w in stacks(batches, n):
+            d = floyd_warshall(lengths_of(w))
+            known, off = np.isfinite(d), ~np.eye(n, dtype=bool)
+            with np.errstate(divide="ignore"):
+                inverse = np.where(known & off, 1 / d, 0.0)
+            whole = [np.where(known, d, 0.0).sum(axis=(1, 2)) / known.sum(axis=(1, 2)), inverse.sum(axis=(1, 2)) / max(1, n * (n - 1))]
+            modules = communities(subjects, w)
+            rows = np.concatenate([np.stack(whole, axis=1), *(np.nan_to_num(NODE_MEASURES[m](subjects, w, modules).astype(float)) for m in NODE_FEATURES)], axis=1)
+            at = [np.flatnonzero(r).astype(np.int32) for r in rows]
+            yield pd.DataFrame({"subject": subjects, "at": at, "value": [r[k] for r, k in zip(rows, at)]})
+
+    return _sorted(edges).mapInPandas(run, "subject long, at array<int>, value array<double>")

@@ -21,15 +21,23 @@ def wide(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(table).select("subject", "label", "features")
 
 
-def fisher_scores(features: DataFrame) -> DataFrame:
-    """(feature, score): between-class over within-class scatter, for labels 0 and 1; null where nothing varies within."""
+def vector_entries(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(subject, feature, value), zeros included, from sparse vectors (subject, at, value) over names. names are few: entries of one vector."""
+    full = F.map_from_arrays("at", "value")
+    every = F.array(*(F.struct(F.lit(x).alias("feature"), F.lit(k).alias("k")) for k, x in enumerate(names)))
+    rows = vectors.select("subject", full.alias("held"), F.explode(every).alias("e"))
+    return rows.select("subject", F.col("e.feature").alias("feature"), F.coalesce(F.try_element_at("held", F.col("e.k")), F.lit(0.0)).alias("value"))
+
+
+def fisher_scores(features: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, feature, score): between-class over within-class scatter, for labels 0 and 1; null where nothing varies within."""
     v, one = F.col("value"), F.col("label") == 1
-    m = features.groupBy("feature").agg(
+    m = features.groupBy(*by, "feature").agg(
         F.avg(v).alias("m"), F.count_if(one).alias("n1"), F.count_if(~one).alias("n0"), F.avg(F.when(one, v)).alias("m1"), F.avg(F.when(~one, v)).alias("m0"),
         F.var_pop(F.when(one, v)).alias("v1"), F.var_pop(F.when(~one, v)).alias("v0"),
     )
     top = F.col("n1") * F.pow(F.col("m1") - F.col("m"), 2) + F.col("n0") * F.pow(F.col("m0") - F.col("m"), 2)
-    return m.select("feature", F.try_divide(top, F.col("n1") * F.col("v1") + F.col("n0") * F.col("v0")).alias("score"))
+    return m.select(*by, "feature", F.try_divide(top, F.col("n1") * F.col("v1") + F.col("n0") * F.col("v0")).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -57,36 +65,102 @@ def stratified_folds(labelled: DataFrame, folds: int = 10) -> DataFrame:
 
 def svm_per_split(features: DataFrame, splits: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """results(split, accuracy) and chosen(split, feature, rank): in each split the k features of best Fisher score in the train
-    part, and a linear SVM on them, judged on the test part. A split is one fit; there are few of them."""
-    spark, results, chosen = features.sparkSession, [], []
-    labels = features.select("subject", "label").distinct()
-    for (split,) in splits.select("split").distinct().orderBy("split").collect():
-        part = splits.where(F.col("split") == split).select("subject", "part")
-        best = [r["feature"] for r in top_features(fisher_scores(features.join(part.where("part = 'train'"), "subject")), k).collect()]  # k rows
-        chosen += [(split, name, rank) for rank, name in enumerate(best, 1)]
-        table = wide(features.where(F.col("feature").isin(best)), best).join(part, "subject")
-        results.append((split, _svm_accuracy(table.where("part = 'train'"), table.where("part = 'test'"))))
-    kind = features.schema["feature"].dataType.simpleString()
-    return spark.createDataFrame(results, "split int, accuracy double"), spark.createDataFrame(chosen, f"split int, feature {kind}, rank int")
+    part, and a linear SVM on them, judged on the test part. All splits are scored, fitted and judged together."""
+    train = features.join(splits.where("part = 'train'").select("split", "subject"), "subject")
+    best = Window.partitionBy("split").orderBy(F.desc_nulls_last("score"), "feature")
+    chosen = checkpointed(fisher_scores(train, ["split"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("split", "feature", "rank"))
+    return svm_accuracy(features, splits, chosen), chosen
 
 
 def svm_mean_accuracy(features: DataFrame, splits: DataFrame, names: DataFrame) -> DataFrame:
     """(accuracy, n): mean accuracy over the splits of a linear SVM on the features named."""
-    spark, only = features.sparkSession, [r["feature"] for r in names.select("feature").collect()]  # at most k for each split
-    table = wide(features.where(F.col("feature").isin(only)), only).join(splits, "subject").persist()
-    found = []
-    for (split,) in splits.select("split").distinct().orderBy("split").collect():
-        own = table.where(F.col("split") == split)
-        found.append((_svm_accuracy(own.where("part = 'train'"), own.where("part = 'test'")),))
-    table.unpersist()
-    return spark.createDataFrame(found, "accuracy double").agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("n"))
-
-
-def _svm_accuracy(train: DataFrame, test: DataFrame) -> float:
-    from pyspark.ml.classification import LinearSVC
-
-    model = LinearSVC(regParam=0.01).fit(train.withColumn("label", F.col("label").cast("double")))
-    return model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    each = splits.select("split").distinct().crossJoin(names.select("feature").distinct())
+    return svm_accuracy(features, splits, each).agg(F.avg("accuracy").alias("accuracy"), F.count("*").alias("n"))
+
+
+def svm_accuracy(features: DataFrame, splits: DataFrame, chosen: DataFrame, penalty: float = 0.01, rounds: int = 40) -> DataFrame:
+    """(split, accuracy) of linear SVMs with squared hinge loss, one for each split on its chosen features, by Newton steps.
+
+    A step is one pass over the subjects' vectors for all splits: tasks add up gradients and curvatures, which have as
+    many entries as features in a split squared, and the driver solves for the next weights. Features are scaled by their
+    deviation in the train part. The loss is piecewise quadratic, so few steps end at its minimum."""
+    import numpy as np
+
+    spark = features.sparkSession
+    wanted = chosen.select("split", "feature").distinct()
+    place = Window.partitionBy("split").orderBy("feature")  # the features of one split
+    numbered = checkpointed(wanted.withColumn("k", F.row_number().over(place) - 1))
+    sizes = {r["split"]: r["n"] for r in numbered.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    parts = splits.select("split", "subject", "part").join(features.select("subject", F.col("label").cast("int").alias("label")).distinct(), "subject")
+    values = features.join(numbered, "feature").groupBy("split", "subject").agg(F.collect_list("k").alias("at"), F.collect_list(F.col("value").cast("double")).alias("value"))
+    rows = checkpointed(parts.join(values, ["split", "subject"], "left"))
+    train = rows.where("part = 'train'").select("split", "label", F.explode(F.arrays_zip("at", "value")).alias("e")).groupBy("split", F.col("e.at").alias("k"))
+    people = rows.where("part = 'train'").groupBy("split").agg(F.count("*").alias("n"))
+    v = F.col("e.value")
+    spread = train.agg(F.sum(v).alias("s"), F.sum(v * v).alias("q")).join(people, "split").select("split", "k", F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("sd"))
+    scale = {split: np.ones(n) for split, n in sizes.items()}
+    for r in spread.collect():  # a row for each split and feature
+        scale[r["split"]][r["k"]] = 1 / r["sd"] if r["sd"] and r["sd"] > 1e-12 else 0.0
+    count = {r["split"]: r["n"] for r in people.collect()}
+
+    def vectors(pdf: pd.DataFrame):
+        for split, own in pdf.groupby("split"):
+            x = np.zeros((len(own), sizes.get(split, 0) + 1))
+            x[:, -1] = 1
+            for r, (at, value) in enumerate(zip(own["at"], own["value"])):
+                if at is not None and len(at):
+                    x[r, at] = value
+            if split in scale:
+                x[:, :-1] *= scale[split]
+            yield split, x, own
+
+    weights = {split: np.zeros(n + 1) for split, n in sizes.items()}
+
+    def judged(w):
+        def run(batches):
+            for pdf in batches:
+                for split, x, own in vectors(pdf):
+                    said = (x @ w[split] > 0).astype(int) if split in w else np.zeros(len(own), int)
+                    yield pd.DataFrame({"split": [split], "right": [int((said == own["label"].to_numpy()).sum())], "n": [len(own)]})
+
+        return run
+
+    def slopes(w):
+        def run(batches):
+            for pdf in batches:
+                for split, x, own in vectors(pdf):
+                    if split not in w:
+                        continue
+                    y = 2 * own["label"].to_numpy() - 1
+                    slack = 1 - y * (x @ w[split])
+                    on = slack > 0
+                    g, h = -2 * (y[on] * slack[on]) @ x[on], 2 * x[on].T @ x[on]
+                    both = np.concatenate((g, h.ravel()))
+                    yield pd.DataFrame({"split": split, "at": np.arange(len(both), dtype=np.int32), "x": both})
+
+        return run
+
+    open_ = set(weights)
+    for _ in range(rounds):
+        now = {split: weights[split] for split in open_}
+        sums = rows.where("part = 'train'").mapInPandas(slopes(now), "split int, at int, x double").groupBy("split", "at").agg(F.sum("x").alias("x"))
+        found = {split: np.zeros((n + 1) + (n + 1) ** 2) for split, n in sizes.items()}
+        for r in sums.collect():  # the entries of a gradient and a curvature for each split
+            found[r["split"]][r["at"]] = r["x"]
+        for split in list(open_):
+            n, w = sizes[split] + 1, weights[split]
+            ridge = np.full(n, penalty)
+            ridge[-1] = 1e-9  # the offset is free
+            total = max(count.get(split, 0), 1)
+            g, h = found[split][:n] / total + ridge * w, found[split][n:].reshape(n, n) / total + np.diag(ridge)
+            step = np.linalg.solve(h, g)
+            weights[split] = w - step
+            if np.abs(step).max() < 1e-8 * max(1.0, np.abs(weights[split]).max()):
+                open_.discard(split)
+        if not open_:
+            break
+    right = rows.where("part = 'test'").mapInPandas(judged(weights), "split int, right long, n long")
+    return right.groupBy("split").agg((F.sum("right") / F.sum("n")).alias("accuracy"))
 
 
 def best_split_features(results: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -137,18 +211,16 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 5, dimensions: str = "vec
 
 
 def estimators(seed: int = 0) -> dict:
-    """Named Spark ML classifiers with the parameter grids that are searched. Spark ML has no bagging, extra trees or boosted
-    stumps of its own; a forest over all features stands for bagging."""
+    """Named Spark ML classifiers with the parameter grids that are searched. What Spark ML does not have (bagging, extra trees, boosted
+    stumps, nearest neighbours) and many masks at once are in ensembles."""
     from pyspark.ml import classification as c
     from pyspark.ml.tuning import ParamGridBuilder
 
     forest, boosted, svm, tree = c.RandomForestClassifier(seed=seed), c.GBTClassifier(seed=seed), c.LinearSVC(), c.DecisionTreeClassifier(seed=seed)
-    bag = c.RandomForestClassifier(seed=seed, featureSubsetStrategy="all")
     return {
         "naive_bayes": (c.NaiveBayes(modelType="gaussian"), [{}]),
         "decision_tree": (tree, ParamGridBuilder().addGrid(tree.impurity, ["gini", "entropy"]).build()),
         "random_forest": (forest, ParamGridBuilder().addGrid(forest.numTrees, [16, 32]).build()),
-        "bagging": (bag, ParamGridBuilder().addGrid(bag.numTrees, [16, 32]).build()),
         "gradient_boosting": (boosted, ParamGridBuilder().addGrid(boosted.maxIter, [16, 32]).addGrid(boosted.stepSize, [0.8, 1.0]).build()),
         "linear_svm": (svm, ParamGridBuilder().addGrid(svm.regParam, [0.01, 0.1]).build()),
     }
@@ -179,7 +251,7 @@ def hard_auc(predictions: DataFrame) -> DataFrame:
     return predictions.agg(((rate(1) + rate(0)) / 2).alias("auc"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
     context = df.sparkSession.sparkContext
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
@@ -206,7 +278,7 @@ def boosted_stumps(data: DataFrame, rounds: int = 16):
         if e < 1e-10:
             break
         rows = scored.withColumn("w", F.col("w") * F.exp(F.when(wrong, alpha).otherwise(-alpha))).drop("prediction", "rawPrediction", "probability")
-        rows = _cut(rows)
+        rows = checkpointed(rows)
 
     def predict(table: DataFrame) -> DataFrame:
         out, votes = table, []

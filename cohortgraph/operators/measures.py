@@ -75,18 +75,25 @@ def mean_weight(edges: DataFrame, n: int) -> DataFrame:
     return edges.groupBy("subject").agg((F.sum(F.col("w").cast("double")) * 2 / (n * n)).alias("mean_weight"))
 
 
+def _with_community(edges: DataFrame, communities: DataFrame, end: str, name: str) -> DataFrame:
+    """edges with the community of the node at one end. communities(node, ci) are common to all subjects, communities(subject, node, ci) each
+    subject's own."""
+    if "subject" in communities.columns:
+        return edges.join(communities.select("subject", F.col("node").alias(end), F.col("ci").alias(name)), ["subject", end])
+    return edges.join(F.broadcast(communities.select(F.col("node").alias(end), F.col("ci").alias(name))), end)
+
+
 def participation(edges: DataFrame, communities: DataFrame, nodes: DataFrame, degree: str = "undirected") -> DataFrame:
     """1 - sum over communities of (weight into it / strength) squared; 0 for isolated nodes.
 
-    degree: undirected, or for edges from i to j the weights that go 'out' of a node or come 'in'."""
+    communities are (node, ci), or (subject, node, ci) where each subject has its own. degree: undirected, or for edges from i to j the weights that go 'out' of a node or come 'in'."""
     if degree == "undirected":
         edges_of = symmetric(edges)
     elif degree in ("out", "in"):
         edges_of = edges.select("subject", *((F.col("i"), F.col("j")) if degree == "out" else (F.col("j").alias("i"), F.col("i").alias("j"))), "w")
     else:
         raise ValueError(f"degree must be undirected, out or in, not {degree}")
-    ci = communities.select(F.col("node").alias("j"), "ci")
-    per = edges_of.join(F.broadcast(ci), "j").groupBy("subject", F.col("i").alias("node"), "ci").agg(F.sum(F.col("w").cast("double")).alias("k"))
+    per = _with_community(edges_of, communities, "j", "ci").groupBy("subject", F.col("i").alias("node"), "ci").agg(F.sum(F.col("w").cast("double")).alias("k"))
     p = per.groupBy("subject", "node").agg((1 - F.sum(F.col("k") * F.col("k")) / F.pow(F.sum("k"), 2)).alias("participation"))
     return _on_all(p, edges, nodes, "participation", 0.0)
 
@@ -101,8 +108,7 @@ def neighbour_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def module_graph(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """(subject, ci, cj, w): weights pooled by community, both directions, so a module's own entry counts edges twice."""
-    a, b = communities.select(F.col("node").alias("i"), "ci"), communities.select(F.col("node").alias("j"), F.col("ci").alias("cj"))
-    return symmetric(edges).join(F.broadcast(a), "i").join(F.broadcast(b), "j").groupBy("subject", "ci", "cj").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    return _with_community(_with_community(symmetric(edges), communities, "i", "ci"), communities, "j", "cj").groupBy("subject", "ci", "cj").agg(F.sum(F.col("w").cast("double")).alias("w"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame, gamma: float = 1.0) -> DataFrame:

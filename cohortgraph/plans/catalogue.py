@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortgraph.operators import adjust, cohort, kernels, learn, measures, network, permute, resample, spectral, stats
+from cohortgraph.operators import adjust, cohort, ensembles, kernels, learn, measures, network, permute, resample, spectral, stats
 from cohortgraph.operators import edges as E
 from cohortgraph.plans import fixture as fx
 from cohortgraph.plans.oracles import ORACLE  # noqa: F401
@@ -376,7 +376,7 @@ def betweenness(spark, d):
 
 @query
 def unit_betweenness(spark, d):
-    return kernels.unit_betweenness(fx.edges(spark, d), N).select("subject", "node", r6("value"))
+    return kernels.node_measures(fx.edges(spark, d), N, ("unit_betweenness",)).select("subject", "node", r6("value"))
 
 
 @query
@@ -391,7 +391,53 @@ def louvain_levels(spark, d):
 
 @query
 def curvature(spark, d):
-    return kernels.node_measures(E.above(fx.edges(spark, d), 2), N, ("curvature",)).select("subject", "node", r6("value"))
+    return kernels.node_measures(fx.edges(spark, d), N, ("curvature",)).select("subject", "node", r6("value"))
+
+
+def _found_communities(spark, d):
+    """Each subject's own modules, as Louvain finds them."""
+    return kernels.node_measures(fx.edges(spark, d), N, ("community",)).select("subject", "node", F.col("value").cast("int").alias("ci"))
+
+
+@query
+def participation_found(spark, d):
+    """Participation in each subject's own communities."""
+    return measures.participation(fx.edges(spark, d), _found_communities(spark, d), fx.nodes(spark)).select("subject", "node", r6("participation"))
+
+
+@query
+def modularity_found(spark, d):
+    """Modularity of each subject's own communities."""
+    return measures.modularity(fx.edges(spark, d), _found_communities(spark, d)).select("subject", r6("q"))
+
+
+@query
+def global_strength(spark, d):
+    return measures.global_mean(measures.strength(fx.edges(spark, d), fx.nodes(spark)), "strength", N).select("subject", r6("strength"))
+
+
+@query
+def measure_vectors(spark, d):
+    """Two measures of each graph and seven blocks of nodes as one sparse vector a subject."""
+    return learn.vector_entries(kernels.measure_vectors(fx.edges(spark, d), N), kernels.feature_names(N)).where("value <> 0").select("subject", "feature", r6("value"))
+
+
+def _measure_features(spark, d):
+    """All graph measures as features, label 1 for patients."""
+    labels = fx.subjects(spark, d).select("subject", (F.col("cohort") == "patient").cast("int").alias("label"))
+    return learn.vector_entries(kernels.measure_vectors(fx.edges(spark, d), N), kernels.feature_names(N)).join(labels, "subject").select("subject", "label", "feature", "value")
+
+
+@query
+def measure_fisher_rank(spark, d):
+    return learn.ranked(learn.fisher_scores(_measure_features(spark, d))).select("feature", r6("score"), long("rank"))
+
+
+@query
+def measure_svm(spark, d):
+    """Ten splits: the best measures by Fisher score in the train part, and a linear SVM on them."""
+    features = learn.checkpointed(_measure_features(spark, d))
+    return learn.svm_per_split(features, learn.shuffle_splits(features.select("subject").distinct()))[0].select("split", r6("accuracy"))
 
 
 # Adjustment and tests
@@ -788,7 +834,7 @@ def cv_summary(spark, d):
 @query
 def cv_trees(spark, d):
     data = learn.wide(_features(spark, d), [str(i) for i in range(64)])
-    return learn.cross_validated(data, learn.stratified_folds(data), ["decision_tree", "random_forest", "bagging"]).select("estimator", "params", r6("mean_score"))
+    return learn.cross_validated(data, learn.stratified_folds(data), ["decision_tree", "random_forest"]).select("estimator", "params", r6("mean_score"))
 
 
 def _splits(spark, d):
@@ -820,3 +866,23 @@ def boosted_stumps(spark, d):
     parts = data.join(learn.stratified_folds(data).select("subject", "fold"), "subject").withColumn("label", F.col("label").cast("double"))
     predict = learn.boosted_stumps(parts.where("fold <> 0"))
     return learn.hard_auc(predict(parts.where("fold = 0"))).select(r6("auc"))
+
+
+#: Thresholds on Welch's statistic under which edges are left out of a classifier.
+GRID = (0.8, 1.2, 1.6, 2.0)
+
+
+@query
+def threshold_grid(spark, d):
+    """For each threshold the edges beyond it as features: every estimator with every parameter, scored over ten folds by f1 and by
+    the area under the curve; best marks the first of a threshold and metric."""
+    s = fx.subjects(spark, d).select("subject", (F.col("cohort") == "patient").cast("int").alias("label"))
+    edge = F.concat_ws("-", F.col("i").cast("string"), F.col("j").cast("string"))
+    features = weights(spark, d).join(s, "subject").select("subject", "label", edge.alias("feature"), "value")
+    t = stats.welch(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).select(edge.alias("feature"), F.abs("t").alias("t"))
+    masks = t.select(F.explode(F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(x).alias("least")) for k, x in enumerate(GRID)))).alias("m"), "feature", "t").where("t > m.least").select("m.mask", "feature")
+    folds = learn.stratified_folds(s).select("subject", "fold", "label")
+    summary = learn.checkpointed(ensembles.grid(*map(learn.checkpointed, (features, folds, masks))))
+    best = ensembles.best_of(summary).select("mask", "metric", "estimator", "params", F.lit(True).alias("best"))
+    threshold = F.get(F.array(*map(F.lit, GRID)), F.col("mask"))
+    return summary.join(best, ["mask", "metric", "estimator", "params"], "left").select(threshold.alias("threshold"), "metric", "estimator", "params", r6("mean_score"), r6("std_score"), F.coalesce("best", F.lit(False)).alias("best"))

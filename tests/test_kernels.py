@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cohortgraph.functions import distributions as dist
-from cohortgraph.operators import kernels, network, spectral, stats
+import plain_kernels
+from cohortgraph.operators import kernels, learn, measures, network, spectral, stats
 
 
 def graph(n, pairs):
@@ -27,28 +28,33 @@ def _graph(seed):
     return (u + u.T).astype(float)
 
 
+def one(f):
+    """A kernel of stacks on a single graph."""
+    return lambda w: f(w[None])[0]
+
+
 random_graph = st.integers(0, 10**6).map(_graph)
 
 
 def test_complete_graph():
     w = 3.0 * (np.ones((6, 6)) - np.eye(6))
-    assert kernels.betweenness(unit_lengths(w)) == pytest.approx(0)
+    assert one(kernels.betweenness)(unit_lengths(w)) == pytest.approx(0)
     d = kernels.floyd_warshall(kernels.lengths_of(w))
     assert d[0, 1] == pytest.approx(1 / 3)
-    assert (kernels.ricci_curvature(w) > 0).all()
+    assert (one(kernels.ricci_curvature)(w) > 0).all()
 
 
 def test_star():
     w = graph(6, [(0, k) for k in range(1, 6)])
-    assert kernels.betweenness(unit_lengths(w)).tolist() == pytest.approx([20, 0, 0, 0, 0, 0])
-    assert kernels.local_efficiency(w) == pytest.approx(0)
+    assert one(kernels.betweenness)(unit_lengths(w)).tolist() == pytest.approx([20, 0, 0, 0, 0, 0])
+    assert one(kernels.local_efficiency)(w) == pytest.approx(0)
 
 
 def test_two_cliques_and_a_bridge():
     w = graph(8, [*itertools.combinations(range(4), 2), *itertools.combinations(range(4, 8), 2), (3, 4)])
     label, q = kernels.louvain(w)
     assert len(set(label[:4])) == len(set(label[4:])) == 1 and label[0] != label[7] and q > 0.3
-    b = kernels.betweenness(unit_lengths(w))
+    b = one(kernels.betweenness)(unit_lengths(w))
     assert b[3] == b[4] == max(b)
 
 
@@ -68,7 +74,7 @@ def test_betweenness_counts_paths(w):
         for p in paths:
             for v in p[1:-1]:
                 want[v] += 1 / len(paths)
-    assert kernels.betweenness(unit_lengths(w)) == pytest.approx(want)
+    assert one(kernels.betweenness)(unit_lengths(w)) == pytest.approx(want)
 
 
 @settings(max_examples=30, deadline=None)
@@ -76,7 +82,7 @@ def test_betweenness_counts_paths(w):
 def test_relabelling_nodes_permutes_results(w, seed):
     order = np.random.default_rng(seed).permutation(len(w))
     moved = w[np.ix_(order, order)]
-    for f in (kernels.local_efficiency, kernels.ricci_curvature, lambda x: kernels.betweenness(unit_lengths(x))):
+    for f in (one(kernels.local_efficiency), one(kernels.ricci_curvature), lambda x: one(kernels.betweenness)(unit_lengths(x))):
         assert f(moved) == pytest.approx(f(w)[order], abs=1e-9)
 
 
@@ -102,8 +108,51 @@ def test_transport_equals_a_brute_force(n, m, seed):
     left, right = np.repeat(np.arange(n), m), np.repeat(np.arange(m), n)
     if size <= 6:
         want = min(cost[left, list(p)].sum() / size for p in itertools.permutations(right))
-        assert kernels.transport(a, b, cost) == pytest.approx(want)
-    assert kernels.transport(a, b, cost) >= cost.min() - 1e-12
+        assert kernels.transport(a[None], b[None], cost[None])[0] == pytest.approx(want)
+    assert kernels.transport(a[None], b[None], cost[None])[0] >= cost.min() - 1e-12
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9))
+def test_stacks_equal_single_graphs(seed, n):
+    """Isolated nodes, graphs in pieces and without edges; and many transport problems of different sizes at once."""
+    rng = np.random.default_rng(seed)
+    w = np.triu(rng.integers(1, 9, (6, n, n)) * (rng.random((6, n, n)) < rng.random((6, 1, 1))), 1).astype(float)
+    w += w.swapaxes(1, 2)
+    for stacked, plain in (
+        (kernels.local_efficiency, plain_kernels.local_efficiency), (kernels.ricci_curvature, plain_kernels.ricci_curvature), (lambda x: kernels.betweenness(kernels.lengths_of(x)), lambda x: plain_kernels.betweenness(plain_kernels.lengths_of(x))),
+    ):
+        assert np.allclose(stacked(w), np.stack([plain(x) for x in w]), atol=1e-9)
+    sizes = rng.integers(1, 6, (8, 2))
+    supply, demand, cost = np.zeros((8, 5)), np.zeros((8, 5)), rng.random((8, 5, 5))
+    for k, (a, b) in enumerate(sizes):
+        supply[k, :a], demand[k, :b] = rng.dirichlet(np.ones(a)), rng.dirichlet(np.ones(b))
+    want = [plain_kernels.transport(supply[k, :a], demand[k, :b], cost[k, :a, :b]) for k, (a, b) in enumerate(sizes)]
+    assert np.allclose(kernels.transport(supply, demand, cost), want, atol=1e-9)
+
+
+def test_feature_vectors_equal_the_single_measures(spark):
+    """Two measures of each graph and seven blocks of nodes, against each measure's own plan."""
+    rng, n = np.random.default_rng(4), 7
+    graphs = {s: _graph(int(rng.integers(10**6))) for s in range(12)}
+    edges = spark.createDataFrame([(s, i + 1, j + 1, float(w[i, j])) for s, w in graphs.items() for i, j in itertools.combinations(range(n), 2) if w[i, j]], "subject long, i int, j int, w double").persist()
+    nodes = spark.range(1, n + 1).selectExpr("cast(id as int) as node")
+    names = kernels.feature_names(n)
+    got = {r.subject: {names[k]: v for k, v in zip(r.at, r.value)} for r in kernels.measure_vectors(edges, n).collect()}
+    assert len(names) == 2 + 7 * n and got.keys() == {r.subject for r in edges.select("subject").distinct().collect()}
+    labels = kernels.node_measures(edges, n, ("community",)).selectExpr("subject", "node", "cast(value as int) as ci")
+    d = kernels.distances(edges, n)
+    single = {
+        "clustering": measures.clustering(edges, nodes), "degree": measures.degree(edges, nodes), "neighbour_degree": measures.neighbour_degree(edges, nodes), "participation": measures.participation(edges, labels, nodes),
+    } | {m: kernels.node_measures(edges, n, (m,)).withColumnRenamed("value", m) for m in ("local_efficiency", "betweenness", "curvature")}
+    for m, df in single.items():
+        for r in df.collect():
+            assert got[r.subject].get(f"{m}_{r.node}", 0.0) == pytest.approx(r[m] or 0.0, abs=1e-9), m
+    for m, df in {"path_length": measures.path_length(d, n, include_diagonal=True, include_infinite=False), "global_efficiency": measures.efficiency(d, n)}.items():
+        for r in df.collect():
+            assert got[r.subject][m] == pytest.approx(r[1])
+    entries = learn.vector_entries(kernels.measure_vectors(edges, n), names).collect()
+    assert {(r.subject, r.feature): r.value for r in entries} == {(s, names[k]): got[s].get(names[k], 0.0) for s in got for k in range(len(names))}
 
 
 def test_distribution_tails():

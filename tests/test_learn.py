@@ -54,3 +54,24 @@ def test_boosted_stumps_learn_what_one_stump_cannot(spark):
     predicted = learn.boosted_stumps(data, 8)(data)
     assert predicted.where("predicted = label").count() == 60
     assert learn.hard_auc(predicted).first().auc == pytest.approx(1.0)
+
+
+def test_svms_of_all_splits_equal_single_ones(spark):
+    """Noisy labels, different features and train parts for each split; against long gradient descents on the same loss."""
+    rng, n = np.random.default_rng(3), 120
+    x = rng.normal(size=(n, 5)) * [1, 5, 0.1, 2, 1]
+    y = (x[:, 0] + x[:, 1] / 5 + rng.normal(size=n) > 0).astype(int)
+    features = spark.createDataFrame([(s, int(y[s]), f, float(x[s, f])) for s in range(n) for f in range(5)], "subject long, label int, feature int, value double")
+    part = rng.random((3, n)) < 0.3
+    splits = spark.createDataFrame([(k, s, "test" if part[k, s] else "train") for k in range(3) for s in range(n)], "split int, subject long, part string")
+    own = {0: [0, 1], 1: [0, 2, 3], 2: [0, 1, 2, 3, 4]}
+    chosen = spark.createDataFrame([(k, f) for k, fs in own.items() for f in fs], "split int, feature int")
+    got = {r.split: r.accuracy for r in learn.svm_accuracy(features, splits, chosen).collect()}
+    for k, fs in own.items():
+        z = np.column_stack((x[:, fs] / x[~part[k]][:, fs].std(axis=0), np.ones(n)))
+        t, sign = z[~part[k]], 2 * y[~part[k]] - 1
+        ridge, w = np.array([0.01] * len(fs) + [1e-9]), np.zeros(len(fs) + 1)
+        for _ in range(20_000):
+            slack = np.maximum(1 - sign * (t @ w), 0)
+            w -= 0.05 * (-2 * (sign * slack) @ t / len(t) + ridge * w)
+        assert got[k] == pytest.approx(((z[part[k]] @ w > 0) == y[part[k]]).mean())
