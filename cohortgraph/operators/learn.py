@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortgraph.operators.lineage import checkpointed
+
 
 def wide(features: DataFrame, names: Sequence[str]) -> DataFrame:
     """(subject, label, features): one vector for each subject, in the order of names; absent values are 0."""
@@ -251,16 +252,6 @@ def hard_auc(predictions: DataFrame) -> DataFrame:
     return predictions.agg(((rate(1) + rate(0)) / 2).alias("auc"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
-    return df.checkpoint()
-
-
 def boosted_stumps(data: DataFrame, rounds: int = 16):
     """AdaBoost: decision stumps on reweighted rows. A function from a DataFrame with features to one with predicted (0 or 1)."""
     from pyspark.ml.classification import DecisionTreeClassifier

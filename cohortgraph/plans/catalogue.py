@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortgraph.operators import adjust, cohort, ensembles, kernels, learn, measures, network, permute, resample, spectral, stats
 from cohortgraph.operators import edges as E
+from cohortgraph.operators.lineage import checkpointed
 from cohortgraph.plans import fixture as fx
 from cohortgraph.plans.oracles import ORACLE  # noqa: F401
 
@@ -58,6 +59,10 @@ def permuted(spark: SparkSession, d: str, keys: list[str], rows: DataFrame, n: i
     return resample.permuted(rows, fx.subjects(spark, d).select("subject", "cohort"), keys, n, statistic, seed=3, bootstrap=bootstrap)
 
 
+def tested(spark: SparkSession, d: str, keys: list[str], rows: DataFrame, n: int, statistic=resample.welch, tail: str = "both"):
+    return resample.tested(rows, fx.subjects(spark, d).select("subject", "cohort"), keys, n, statistic, tail, seed=3)
+
+
 def weights(spark: SparkSession, d: str) -> DataFrame:
     return fx.edges(spark, d).select("subject", "i", "j", F.col("w").alias("value"))
 
@@ -436,7 +441,7 @@ def measure_fisher_rank(spark, d):
 @query
 def measure_svm(spark, d):
     """Ten splits: the best measures by Fisher score in the train part, and a linear SVM on them."""
-    features = learn.checkpointed(_measure_features(spark, d))
+    features = checkpointed(_measure_features(spark, d))
     return learn.svm_per_split(features, learn.shuffle_splits(features.select("subject").distinct()))[0].select("split", r6("accuracy"))
 
 
@@ -591,15 +596,15 @@ def perm_global_pvalue(spark, d):
 @query
 def perm_welch_many(spark, d):
     """Node strengths under the number of permutations of a main result."""
-    t = permuted(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 100_000)
-    return resample.p_values(t, ["node"], 100_000).select("node", r6("t", F.col("stat")), r6("p"), r6("p_max"))
+    return tested(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 100_000)[0].select("node", r6("t", F.col("stat")), r6("p"), r6("p_max"))
 
 
 @query
 def significant_nodes_many(spark, d):
     """Nodes beyond the 5 % critical value of the largest statistic."""
-    t = permuted(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 5_000)
-    return t.where("perm = 0").crossJoin(F.broadcast(resample.critical(t, 0.05, 5_000))).select("node", r6("stat"), r6("t_max"), (F.abs("stat") > F.col("t_max")).alias("significant"))
+    t, maxima = tested(spark, d, ["node"], valued(spark, d).select("subject", "node", "value"), 5_000)
+    t_max = F.lit(float(maxima[::-1][int(0.05 * 5_000)]))
+    return t.select("node", r6("stat"), r6("t_max", t_max), (F.abs("stat") > t_max).alias("significant"))
 
 
 @query
@@ -607,16 +612,14 @@ def perm_mwu_many(spark, d):
     """Rank sums of node strengths: both sides, each node and the furthest of all."""
     subjects, rows = fx.subjects(spark, d), valued(spark, d).select("subject", "node", "value")
     ranks = resample.centred_ranks(rows, subjects, ["node"])
-    t = permuted(spark, d, ["node"], ranks, 5_000, resample.rank_sum_z)
-    return resample.p_values(t, ["node"], 5_000).select("node", r6("u_less_mean", F.col("stat")), r6("p"), r6("p_max"))
+    return tested(spark, d, ["node"], ranks, 5_000, resample.rank_sum_z)[0].select("node", r6("u_less_mean", F.col("stat")), r6("p"), r6("p_max"))
 
 
 @query
 def perm_global_one_sided(spark, d):
     """Mean weight of whole graphs, whether patients have less."""
     rows = measures.mean_weight(fx.edges(spark, d), N).select("subject", F.lit("mean_weight").alias("measure"), F.col("mean_weight").alias("value"))
-    t = permuted(spark, d, ["measure"], rows, 5_000)
-    return resample.p_values(t, ["measure"], 5_000, "left").select("measure", r6("t", F.col("stat")), r6("p"))
+    return tested(spark, d, ["measure"], rows, 5_000, tail="left")[0].select("measure", r6("t", F.col("stat")), r6("p"))
 
 
 @query
@@ -882,7 +885,7 @@ def threshold_grid(spark, d):
     t = stats.welch(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).select(edge.alias("feature"), F.abs("t").alias("t"))
     masks = t.select(F.explode(F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(x).alias("least")) for k, x in enumerate(GRID)))).alias("m"), "feature", "t").where("t > m.least").select("m.mask", "feature")
     folds = learn.stratified_folds(s).select("subject", "fold", "label")
-    summary = learn.checkpointed(ensembles.grid(*map(learn.checkpointed, (features, folds, masks))))
+    summary = checkpointed(ensembles.grid(*map(checkpointed, (features, folds, masks))))
     best = ensembles.best_of(summary).select("mask", "metric", "estimator", "params", F.lit(True).alias("best"))
     threshold = F.get(F.array(*map(F.lit, GRID)), F.col("mask"))
     return summary.join(best, ["mask", "metric", "estimator", "params"], "left").select(threshold.alias("threshold"), "metric", "estimator", "params", r6("mean_score"), r6("std_score"), F.coalesce("best", F.lit(False)).alias("best"))

@@ -83,6 +83,23 @@ def test_p_values_by_definition(spark, cohort):
         resample.p_values(t, ["node"], 200, "middle")
 
 
+def test_counts_in_blocks_give_the_same_p_values(spark, cohort):
+    """Three blocks of permutations; only counts and furthest values leave the tasks."""
+    x, in_a = cohort
+    rows, subjects = frames(spark, np.round(x), in_a)
+    t = resample.permuted(rows, subjects, ["node"], 1200, seed=1).persist()
+    for tail in ("both", "right", "left"):
+        want = {r.node: tuple(r) for r in resample.p_values(t, ["node"], 1200, tail).collect()}
+        p, maxima = resample.tested(rows, subjects, ["node"], 1200, tail=tail, seed=1)
+        assert {r.node: tuple(r) for r in p.collect()} == {k: pytest.approx(v) for k, v in want.items()} and len(maxima) == 1200
+    p, maxima = resample.tested(rows, subjects, ["node"], 200, seed=1)
+    assert maxima[::-1][10] == pytest.approx(resample.critical(t.where("perm <= 200"), 0.05, 200).first().t_max)
+    plan = p._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(stats.MethodError):
+        resample.tested(rows, subjects, ["node"], 200, tail="middle")
+
+
 def test_bootstrap_keeps_group_sizes(cohort):
     x, in_a = cohort
     a, b = resample._weights(np.arange(23), in_a, np.arange(1, 400), 23, 9, 2, True)
