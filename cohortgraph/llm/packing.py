@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from cohortgraph.llm.shared import table
 from cohortgraph.llm.tokens import byte_bpe
 
-#: Slices among which the pieces of one length are numbered.
-SLICES = 256
+#: Fine slices of pieces, and pieces for each slice among which those of one length are numbered.
+FINE, SLICE_PIECES = 1 << 16, 20_000
 _PIECE = "id long, k long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -200,15 +200,18 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, id
     numbered from 0, and each is filled without gaps.
     """
     spark = docs.sparkSession
-    pieces = table(token_pieces(docs, tokenizer, limit, end_id, id_col, text_col, with_ids), "pieces")
-    counted = table(pieces.select("length", F.pmod("k", F.lit(SLICES)).alias("slice")).groupBy("length", "slice").agg(F.count("*").alias("n")), "lengths")
+    # Pieces are dealt to slices one by one, so neither a huge document's nor those of rows that repeat share one.
+    fine = F.pmod(F.xxhash64("k", "piece", F.monotonically_increasing_id()), F.lit(FINE)).cast("int")
+    pieces = table(token_pieces(docs, tokenizer, limit, end_id, id_col, text_col, with_ids).withColumn("fine", fine), "pieces")
+    slices = min(FINE, max(256, -(-pieces.count() // SLICE_PIECES)))
+    pieces = pieces.withColumn("slice", F.col("fine") % slices)
+    counted = table(pieces.select("length", "slice").groupBy("length", "slice").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # limit rows at most
     plan = plan_of(counts, limit)
     runs = spark.createDataFrame(plan.runs, "s long, first long, m long, sequence long, at long")  # bounded by the number of lengths
     before = counted.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).alias("before"))
     numbered = (
-        pieces.withColumn("slice", F.pmod("k", F.lit(SLICES)))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("length", "slice").orderBy("id", "k", "piece")) - 1)
+        pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "slice").orderBy("id", "k", "piece")) - 1)
         .join(before, ["length", "slice"])
         .withColumn("rank", F.col("nth") + F.col("before"))
     )
