@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortgraph.llm.text_arrays import Words, mix, slices
-from cohortgraph.llm.tokens import forget, word_ids
-
-
+from cohortgraph.llm.tokens import forget, tiktoken_ids, word_ids
 
 #: Characters per token in which good texts of a language differ however long they are.
 APART = 0.12
@@ -48,6 +46,26 @@ BANDS: dict[str, tuple[float, Band, Band]] = {
     "other": (0.95, Band(0.25, 1.0, 7.0, 1.50, 0.200), Band(0.10, 1.0, 7.0, 1.50, 0.200)),
 }
 
+#: Scripts, each with its ranges of code points and the least characters per token of a vocabulary for many languages, for texts
+#: whose language has no band. The limits lie half way between paragraphs of one to twelve languages of the script and words of
+#: random letters of it. What is in none of the ranges has no limit.
+SCRIPTS: dict[str, tuple[list[tuple[int, int]], float]] = {
+    "latin": ([(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)], 1.62),
+    "greek": ([(0x370, 0x3FF), (0x1F00, 0x1FFF)], 1.36),
+    "cyrillic": ([(0x400, 0x52F)], 1.55),
+    "hebrew": ([(0x590, 0x5FF)], 1.31),
+    "arabic": ([(0x600, 0x6FF), (0x750, 0x77F)], 1.33),
+    "devanagari": ([(0x900, 0x97F)], 0.66),
+    "thai": ([(0xE00, 0xE7F)], 1.04),
+    "kana": ([(0x3040, 0x30FF)], 1.02),
+    "han": ([(0x3400, 0x4DBF), (0x4E00, 0x9FFF)], 0.70),
+    "hangul": ([(0x1100, 0x11FF), (0xAC00, 0xD7AF)], 1.12),
+}
+#: By this over the square root of its tokens a text may be below its script's limit: means of few tokens spread more.
+SCRIPT_SPREAD = 0.5
+#: Share of kana from which a text of Han characters is Japanese.
+KANA_SHARE = 0.1
+
 #: Words that a worker remembers for each vocabulary: two are held side by side, next to what earlier steps left there.
 MEMO = 200_000
 
@@ -55,7 +73,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_RATES = ["chars_per_token", "byte_share", "token_entropy", "latin_share", "chars_per_word_token", "word_token_entropy"]
+_RATES = ["chars_per_token", "byte_share", "token_entropy", "latin_share", "chars_per_word_token", "word_token_entropy", "chars_per_many_token"]
 
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -120,7 +138,32 @@ def measures(column: pa.Array, pieces: str, word_pieces: str) -> Iterator[dict[s
         }
 
 
-def _judge(pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30):
+_NAMES = list(SCRIPTS)
+_RANGES = sorted((a, b, k) for k, name in enumerate(_NAMES) for a, b in SCRIPTS[name][0])
+_EDGES = np.array([x for a, b, _ in _RANGES for x in (a, b + 1)])
+_WHICH = np.array([-1, *(x for *_, k in _RANGES for x in (k, -1))])
+
+
+def script_of(text: str) -> str:
+    """The script of most of a text's letters; 'other' where most are of none that is listed."""
+    found = np.bincount(_WHICH[np.searchsorted(_EDGES, np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), "right")] + 1, minlength=len(_NAMES) + 1)
+    kana, han = (1 + _NAMES.index(x) for x in ("kana", "han"))
+    if found[kana] >= KANA_SHARE * (found[kana] + found[han]):
+        found[kana], found[han] = found[kana] + found[han], 0
+    # Signs, digits and marks are of no script; a text mostly of letters that are not listed has few that are.
+    k = int(found[1:].argmax())
+    return _NAMES[k] if found[1 + k] * 4 > found.sum() else "other"
+
+
+def script_fertility(text: str, many: str) -> tuple[str, float, float]:
+    """(script, characters per token of the vocabulary file many, the least that the script's texts of so many tokens have)."""
+    name, words = script_of(text), text.split()
+    n = max(len(tiktoken_ids(many)(" ".join(words))), 1)
+    least = SCRIPTS[name][1] - SCRIPT_SPREAD / n**0.5 if name in SCRIPTS else 0.0
+    return name, sum(map(len, words)) / n, least
+
+
+def _judge(pieces: str, word_pieces: str, many: str | None = None, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30):
     """A function from columns of texts and languages to measures, failed base rules and reasons ('' if kept)."""
     kinds = ("n_tokens", "chars_per_token", "token_entropy"), ("n_word_tokens", "chars_per_word_token", "word_token_entropy")
 
@@ -128,13 +171,19 @@ def _judge(pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band,
         parts = list(measures(texts, pieces, word_pieces))
         m = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         names = np.where(m["latin_share"] >= 0.5, "latin", "other").tolist()
-        names = [x if x in bands else s for x, s in zip(langs.to_pylist(), names)]
+        langs = langs.to_pylist()
+        names = [x if x in bands else s for x, s in zip(langs, names)]
+        m["chars_per_many_token"] = np.full(len(names), np.nan)
         base = (m["n_words"] < least_words) | (100 * m["n_repeat_words"] > most_repeated * m["n_words"])
         dense, sparse, dull = (np.zeros(len(base), bool) for _ in range(3))
+        known = np.array([not many or x in bands for x in langs], bool)
+        for i in np.flatnonzero(~known & ~base).tolist():
+            _, m["chars_per_many_token"][i], least = script_fertility(texts[i].as_py() or "", many)
+            dense[i] = m["chars_per_many_token"][i] < least
         for k, (count, chars, entropy) in enumerate(kinds):
             least, spread, most, floor, slope = np.array([bands[x][1 + k] for x in names]).T
             n = np.maximum(m[count], 1)
-            dense |= m[chars] < least - np.maximum(spread / np.sqrt(n), APART)
+            dense |= known & (m[chars] < least - np.maximum(spread / np.sqrt(n), APART))
             sparse |= m[chars] > most
             dull |= m[entropy] < np.minimum(floor + slope * np.log2(n), 0.8 * np.log2(n))
         bare = m["byte_share"] > np.array([bands[x][0] for x in names])
@@ -144,19 +193,20 @@ def _judge(pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band,
 
 
 def quality(
-    docs: DataFrame, pieces: str, word_pieces: str, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30,
+    docs: DataFrame, pieces: str, word_pieces: str, many: str | None = None, bands: Mapping[str, tuple[float, Band, Band]] = BANDS, least_words: int = 20, most_repeated: int = 30,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
 ) -> DataFrame:
     """One row for each row of docs: id, the five counts, base_failed, rates, reason, kept.
 
     Words are `[^\\x20\\x09-\\x0D]+`. base_failed: fewer than least_words words, or more than most_repeated percent of the
     words lie in repeated runs of eight. Rates are judged by the band of the row's language, or without one (null, or not
-    listed) of its script: latin where at least half of the word characters are, else other. reason names the first
+    listed) of its script: latin where at least half of the word characters are, else other. There characters per token are
+    judged by the vocabulary many, where it is given, and the limits of SCRIPTS. reason names the first
     failure: base, dense or sparse (characters per token), bytes, entropy; null if kept. A null or blank text
     has no words and fails. Repeated rows are judged alike; other columns are ignored.
     """
 
-    reasons = _judge(pieces, word_pieces, bands, least_words, most_repeated)
+    reasons = _judge(pieces, word_pieces, many, bands, least_words, most_repeated)
 
     def judge(batches):
         for b in batches:
@@ -164,7 +214,7 @@ def quality(
                 continue
             m, base, reason = reasons(b.column(1), b.column(2))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(m[k].astype(np.int64)) for k in _COUNTS), pa.array(base), *(pa.array(m[k].astype(np.float64)) for k in _RATES), pa.array([x or None for x in reason.tolist()], pa.string()), pa.array(reason == "")],
+                [b.column(0), *(pa.array(m[k].astype(np.int64)) for k in _COUNTS), pa.array(base), *(pa.array(m[k].astype(np.float64), from_pandas=True) for k in _RATES), pa.array([x or None for x in reason.tolist()], pa.string()), pa.array(reason == "")],
                 [id_col, *_COUNTS, "base_failed", *_RATES, "reason", "kept"],
             )
 
@@ -174,9 +224,9 @@ def quality(
     return rows.mapInArrow(judge, f"`{id_col}` long, {counts}, base_failed boolean, {rates}, reason string, kept boolean")
 
 
-def keep_good(docs: DataFrame, pieces: str, word_pieces: str, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
+def keep_good(docs: DataFrame, pieces: str, word_pieces: str, many: str | None = None, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
     """docs without the rows that quality() rejects, each judged by its own text and language; all columns stay."""
-    reasons = _judge(pieces, word_pieces, **rules)
+    reasons = _judge(pieces, word_pieces, many, **rules)
 
     def keep(batches):
         for b in batches:

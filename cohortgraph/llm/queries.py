@@ -19,7 +19,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"))
+    return quality_rules.quality(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

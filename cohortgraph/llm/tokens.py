@@ -7,6 +7,7 @@ found in a memo of bounded size, and a text's ids are gathered with numpy.
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -121,9 +122,21 @@ def word_ids(path: str, kind: str = "tokenizers", memo: int = MEMO_WORDS) -> Wor
     return WordIds(sentencepiece_words(path) if kind == "sentencepiece" else tokenizers_words(path, memo // 6), memo)
 
 
+@lru_cache(maxsize=2)
+def tiktoken_ids(path: str) -> Callable[[str], list[int]]:
+    """Encodes texts by a file of byte-level ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def forget() -> None:
     """Lets go of vocabularies and memos at the end of a task: workers live on, and later steps need the room."""
     word_ids.cache_clear()
+    tiktoken_ids.cache_clear()
     give_back()
 
 

@@ -1,5 +1,6 @@
 import functools
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,9 +9,10 @@ import pytest
 from cohortgraph.llm import quality_rules
 from cohortgraph.llm.queries import op2_quality_rules
 from cohortgraph.llm.tokens import vocabulary
+from paragraphs import PARAGRAPHS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-PIECES, WORDS = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
+PIECES, WORDS, MANY = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_multi_50k.tiktoken")
 
 
 def brute(text):
@@ -114,3 +116,39 @@ def test_empty_and_filter(spark, no_docs, hard_docs):
     assert quality_rules.quality(no_docs, PIECES, WORDS, WORDS).count() == 0
     kept = quality_rules.keep_good(hard_docs, PIECES, WORDS)
     assert kept.columns == hard_docs.columns
+
+
+#: Letters of which random words are made, by script; Han, kana and hangul have words of five to ten.
+ALPHABETS = {
+    "latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "devanagari": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "thai": "กขคฆงจฉชซญดตถทธนบปผฝพฟภมยรลวสหอฮ", "han": [chr(c) for c in range(0x4E00, 0x9FA5)], "kana": [chr(c) for c in range(0x3041, 0x3097)], "hangul": [chr(c) for c in range(0xAC00, 0xD7A3)],
+}
+
+
+def test_random_letters_go_and_paragraphs_stay(spark):
+    """Paragraphs of 22 languages, random words of ten scripts, with and without a language."""
+    rng = random.Random(5)
+    rows, noise = [], {}
+    for k, text in PARAGRAPHS.items():
+        step = len(text) // 21  # enough words for the base rule, where there are no spaces
+        spaced = text if len(text.split()) >= 20 else " ".join(text[i : i + step] for i in range(0, len(text), step))
+        rows += [(spaced, k), (spaced, None)]
+    good = len(rows)
+    for name, letters in ALPHABETS.items():
+        for words in (100, 300, 2000):
+            for lo, hi in ((2, 6), (4, 9)) if name not in ("han", "kana", "hangul") else ((5, 10),):
+                text = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(lo, hi))) for _ in range(words))
+                for lang in (None, "xx", "it"):
+                    noise[len(rows)] = (name, words, lo)
+                    rows.append((text, lang))
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality(docs, PIECES, WORDS, MANY).collect()}
+    assert [(rows[i][1], rows[i][0][:20], got[i].reason, got[i].chars_per_many_token) for i in range(good) if not got[i].kept] == []
+    assert [(noise[i], got[i].chars_per_many_token) for i in noise if got[i].kept] == []
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, PIECES, WORDS, MANY).collect()}
+    assert kept == {i for i in got if got[i].kept}
+
+
+def test_scripts():
+    for text, name in (("Ab c 12", "latin"), ("漢字かな交じり", "kana"), ("漢字", "han"), ("ሀሁሂ abc ሀሁሂሃሄህሆ ሀሁሂሃ", "other"), ("", "other"), ("123 456 ,.", "other"), ("Слово word слово", "cyrillic")):
+        assert quality_rules.script_of(text) == name, text
