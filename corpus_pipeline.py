@@ -17,7 +17,7 @@ MIXED_SHARE = 0.9
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the rules go, each by its own text and language. A null or blank text fails; repeats are judged alike."""
-    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"))
+    return quality_rules.keep_good(docs, vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
