@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortgraph.operators import stats
 from cohortgraph.operators.edges import symmetric
+from cohortgraph.operators.lineage import placed
 
 
 def cohort_of(name: Column, patients: Sequence[str], controls: Sequence[str]) -> Column:
@@ -23,7 +25,7 @@ def classify(subjects: DataFrame, patients: Sequence[str], controls: Sequence[st
 
 def capped(subjects: DataFrame, n: int) -> DataFrame:
     """The first n subjects of each cohort by name."""
-    return subjects.withColumn("nth", F.row_number().over(Window.partitionBy("cohort").orderBy("name"))).where(F.col("nth") <= n).drop("nth")
+    return placed(subjects, ["cohort"], ["name"], "nth").where(F.col("nth") < n).drop("nth")
 
 
 def excluding(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -82,6 +84,17 @@ def crosstab(rows: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("part", F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected"))
 
 
+def crosstab_test(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """(chi2, df, p): the test of independence of a crosstab's cells."""
+    sums = cells.agg(F.sum("part").cast("double").alias("chi2"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).cast("long").alias("df"))
+    return sums.withColumn("p", stats.chi2_p(F.col("chi2"), F.col("df")))
+
+
+def load_summary(rows: DataFrame, load: Column) -> DataFrame:
+    """(n, mean, std): a load of subjects, such as a count of medications; rows without one do not count."""
+    return rows.select(load.cast("double").alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+
 def removed_counts(removed: DataFrame, least: int = 100) -> DataFrame:
     """Subjects that lost more than least edges, and how many."""
     return removed.groupBy("subject").agg(F.count("*").alias("n_removed")).where(F.col("n_removed") > least)

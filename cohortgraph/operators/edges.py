@@ -47,6 +47,11 @@ def consensus_removed(edges: DataFrame, n_subjects: int, ratio: float = 0.7) ->
     return edges.join(gone, ["i", "j"], "left_semi").select(*edges.columns)
 
 
+def dropped_edges(edges: DataFrame, n_subjects: int, ratio: float = 0.75) -> DataFrame:
+    """(i, j): the edges that present_in() leaves out."""
+    return presence(edges, n_subjects).where(F.col("zero") / n_subjects > 1 - ratio).select("i", "j")
+
+
 def present_in(edges: DataFrame, n_subjects: int, ratio: float = 0.75) -> DataFrame:
     """Edges whose share of lacking subjects is at most 1 - ratio."""
     kept = presence(edges, n_subjects).where(F.col("zero") / n_subjects <= 1 - ratio).select("i", "j")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortgraph.operators.lineage import checkpointed
+from cohortgraph.operators.lineage import checkpointed, placed
 
 
 def wide(features: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def fisher_scores(features: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def ranked(scores: DataFrame) -> DataFrame:
     """scores with rank from 1, best first, ties by feature."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("score"), "feature")))
+    return placed(scores, [], [F.desc_nulls_last("score"), "feature"]).withColumn("rank", (F.col("place") + 1).cast("int")).drop("place")
 
 
 def top_features(scores: DataFrame, k: int = 20) -> DataFrame:
@@ -53,15 +53,14 @@ def top_features(scores: DataFrame, k: int = 20) -> DataFrame:
 def shuffle_splits(subjects: DataFrame, splits: int = 10, test: float = 0.03) -> DataFrame:
     """(split, subject, part): independent random splits, by an MD5 of split and subject; the test part is rounded up."""
     drawn = subjects.select("subject", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
-    order = Window.partitionBy("split").orderBy(F.md5(F.concat_ws("|", "split", "subject")), "subject")
-    n = F.count("*").over(Window.partitionBy("split"))
-    part = F.when(F.row_number().over(order) <= F.ceil(test * n), "test").otherwise("train")
-    return drawn.select("split", "subject", part.alias("part"))
+    order = drawn.withColumn("h", F.md5(F.concat_ws("|", "split", "subject")))
+    part = F.when(F.col("place") < F.ceil(test * F.col("n")), "test").otherwise("train")
+    return placed(order, ["split"], ["h", "subject"], total="n").select("split", "subject", part.alias("part"))
 
 
 def stratified_folds(labelled: DataFrame, folds: int = 10) -> DataFrame:
     """(subject, label, fold): each label dealt over the folds in order of subject."""
-    return labelled.select("subject", "label", ((F.row_number().over(Window.partitionBy("label").orderBy("subject")) - 1) % folds).cast("int").alias("fold"))
+    return placed(labelled.select("subject", "label"), ["label"], ["subject"]).select("subject", "label", (F.col("place") % folds).cast("int").alias("fold"))
 
 
 def svm_per_split(features: DataFrame, splits: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:

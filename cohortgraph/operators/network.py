@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortgraph.operators import resample, stats
+from cohortgraph.operators.lineage import placed
 
 
 def above(edge_stats: DataFrame, limit: float) -> DataFrame:
@@ -101,9 +102,8 @@ def relabelled(labelled: DataFrame) -> DataFrame:
 
 
 def _ordered(labelled: DataFrame) -> DataFrame:
-    """(component, label): components numbered from 1 in their order; each counts those no larger, and no more are there than nodes."""
-    names = labelled.select("component").distinct()
-    return names.join(names.withColumnRenamed("component", "c"), F.col("c") <= F.col("component")).groupBy("component").agg(F.count("*").cast("int").alias("label"))
+    """(component, label): components numbered from 1 in their order."""
+    return placed(labelled.select("component").distinct(), [], ["component"]).select("component", (F.col("place") + 1).cast("int").alias("label"))
 
 
 def larger_components(labelled: DataFrame, least: int = 2) -> DataFrame:
@@ -217,27 +217,37 @@ def ddt_moments(logits: DataFrame, n_nodes: int) -> DataFrame:
     return out.withColumn("sigma2", -F.pow("mu", 2) + F.sqrt(F.pow("mu", 4) + F.col("v_bar") / F.col("m")))
 
 
+def network_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, degree): edges of each node in one network of edges(i, j)."""
+    ends = edges.select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return nodes.join(ends, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def observed_degree(logits: DataFrame, nodes: DataFrame, gamma: float) -> DataFrame:
     """(node, degree): entries over gamma in the row of each node."""
-    ends = logits.where(F.col("d") > gamma).select(F.explode(F.array("i", "j")).alias("node")).groupBy("node").agg(F.count("*").alias("k"))
-    return nodes.join(ends, "node", "left").select("node", F.coalesce("k", F.lit(0)).alias("degree"))
+    return network_degree(logits.where(F.col("d") > gamma), nodes)
 
 
 def expit(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+#: Parts in which random numbers are drawn.
+DRAW_PARTS = 64
+
+
 def mixture_threshold(spark: SparkSession, m: int, mu: float, sigma2: float, draws: int = 1_000_000, seed: int = 0) -> float:
     """97.5th percentile of the scaled difference of a non-central and a central chi-square, as a probability.
 
-    Both have m degrees of freedom; Spark draws them and takes the percentile."""
+    Both have m degrees of freedom; Spark draws them in a fixed number of parts, each with a seed of its own, and takes the
+    percentile, so the cluster's size makes no difference."""
     lam = 4 * m * mu * mu / (2 * sigma2)
     c = 2 * sigma2 / 4
     z = lambda k: F.randn(seed + k)
     noncentral, central = F.pow(z(0) + math.sqrt(lam), 2), F.pow(z(1), 2)
     for k in range(1, m):
         noncentral, central = noncentral + F.pow(z(2 * k), 2), central + F.pow(z(2 * k + 1), 2)
-    h = spark.range(draws).select((c * noncentral - c * central).alias("h"))
+    h = spark.range(0, draws, 1, DRAW_PARTS).select((c * noncentral - c * central).alias("h"))
     return h.agg(expit(F.percentile("h", F.lit(0.975)))).first()[0]
 
 
@@ -251,7 +261,7 @@ def null_networks(spark: SparkSession, n: int, m: int, mu: float, sigma2: float,
                 i, j = np.indices((n, n)).reshape(2, -1)
                 yield pd.DataFrame({"u": int(k), "i": (i + 1).astype(np.int32), "j": (j + 1).astype(np.int32), "c": (rows @ rows.T).ravel()})
 
-    return spark.range(0, u, 1, min(u, 64)).mapInPandas(run, "u int, i int, j int, c double")
+    return spark.range(0, u, 1, min(u, DRAW_PARTS)).mapInPandas(run, "u int, i int, j int, c double")
 
 
 def empirical_threshold(null: DataFrame) -> float:

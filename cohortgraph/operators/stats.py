@@ -149,6 +149,11 @@ def raw_statistic(rows: DataFrame, keys: Sequence[str], method: str = "f", a: st
     return s.select(*keys, F.coalesce(F.abs("stat"), F.lit(0.0)).alias("stat"))
 
 
+def counts_below(tests: DataFrame, keys: Sequence[str], bound: float) -> DataFrame:
+    """(keys, n): tests with p under the bound, 0 where there are none."""
+    return tests.groupBy(*keys).agg(F.count_if(F.col("p") < bound).alias("n"))
+
+
 def outliers(rows: DataFrame, keys: Sequence[str], factor: float = 2.5) -> DataFrame:
     """Rows above the third quartile by more than factor interquartile ranges."""
     q = rows.groupBy(*keys).agg(F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"))
@@ -171,23 +176,34 @@ def histogram(rows: DataFrame, keys: Sequence[str], bins: int = 50) -> DataFrame
 
 
 def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p) by Royston's 1995 approximation; p is NaN for fewer than 12 values, whose tail it does not cover here."""
+    """(W, p) by Royston's 1995 approximation; the p of three values is exact. Fewer, or equal ones, give 1 and 1."""
     x = np.sort(np.asarray(values, float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
         return 1.0, 1.0
+    if n == 3:
+        w = max(0.75, min(1.0, (x[2] - x[0]) ** 2 / 2 / ((x - x.mean()) ** 2).sum()))
+        return float(w), float(max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     m = dist.normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
     ss, u = m @ m, 1 / math.sqrt(n)
     a = m / math.sqrt(ss)
-    if n > 5:
+    if n <= 5:
+        last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, a[-1]], u)
+        a = m / math.sqrt((ss - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+        a[-1], a[0] = last, -last
+    else:
         last = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, a[-1]], u)
         second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
         phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
         a = m / math.sqrt(phi)
         a[-1], a[-2], a[0], a[1] = last, second, -last, -second
     w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
-    if n < 12:
-        return w, float("nan")
+    if n < 12:  # the tail is that of -log(gamma - log(1 - W))
+        gamma, y = 0.459 * n - 2.273, math.log(max(1 - w, 1e-300))
+        if y >= gamma:
+            return w, 0.0
+        mu, sigma = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+        return w, float(dist.normal_sf((-math.log(gamma - y) - mu) / sigma))
     k = math.log(n)
     mu, sigma = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], k), math.exp(np.polyval([0.0030302, -0.082676, -0.4803], k))
     return w, float(dist.normal_sf((math.log(max(1 - w, 1e-300)) - mu) / sigma))

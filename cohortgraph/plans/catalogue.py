@@ -169,6 +169,24 @@ def crosstab_chi2(spark, d):
     return t.select("cohort", "band", long("observed"), r6("expected"), r6("part"))
 
 
+@query
+def crosstab_statistic(spark, d):
+    cells = cohort.crosstab(fx.subjects(spark, d).withColumn("band", (F.col("age") / 20).cast("int")), "cohort", "band")
+    return cohort.crosstab_test(cells, "cohort", "band").select(r6("chi2"), long("df"))
+
+
+@query
+def crosstab_p(spark, d):
+    cells = cohort.crosstab(fx.subjects(spark, d).withColumn("band", (F.col("age") / 20).cast("int")), "cohort", "band")
+    return cohort.crosstab_test(cells, "cohort", "band").select(r6("chi2"), long("df"), r6("p"))
+
+
+@query
+def load_summary(spark, d):
+    """Years of a patient's illness for each started decade of age, as a load."""
+    return cohort.load_summary(fx.subjects(spark, d).where("cohort = 'patient'"), F.col("duration") / F.ceil(F.col("age") / 10)).select(long("n"), r6("mean"), r6("std"))
+
+
 @query
 def volume_summary(spark, d):
     return cohort.volume_summary(fx.volumes(spark, d)).select("node", r6("mean"), r6("std"))
@@ -208,6 +226,11 @@ def presence_threshold(spark, d):
     return E.present_in(fx.edges(spark, d), n_subjects(spark, d), 0.55).select("subject", "i", "j", long("w"))
 
 
+@query
+def presence_dropped_edges(spark, d):
+    return E.dropped_edges(fx.edges(spark, d), n_subjects(spark, d), 0.55)
+
+
 @query
 def filter_weights_cumulative(spark, d):
     return E.heaviest(fx.edges(spark, d), 0.5).select("subject", "i", "j", long("w"))
@@ -725,6 +748,32 @@ def eddt(spark, d):
     return network.difference_degree(network.logit_difference(tests), fx.nodes(spark), N, "eddt").select("node", long("degree"), r6("null_p"), long("kept"))
 
 
+@query
+def ddt_diagnostics(spark, d):
+    """Means and variance of the null networks' entries."""
+    p = network.ddt_moments(_logits(spark, d), N).first()
+    return network.null_diagnostics(network.null_networks(spark, N, p["m"], p["mu"], p["sigma2"], 1_000)).select(r6("off_mean"), r6("off_var"), r6("diagonal_mean"))
+
+
+@query
+def network_degree(spark, d):
+    """Edges of each node in the network of edges beyond a threshold."""
+    t = stats.welch(sparse_values(spark, d), ["i", "j"], subjects=fx.subjects(spark, d)).where("abs(t) > 1.5")
+    return network.network_degree(t, fx.nodes(spark)).select("node", long("degree"))
+
+
+@query
+def raw_rank_statistic(spark, d):
+    return stats.raw_statistic(edge_values(spark, d), ["i", "j"], "mannwhitneyu").select("i", "j", r6("stat"))
+
+
+@query
+def significant_counts(spark, d):
+    """Nodes with p below 0.2, for each measure."""
+    tests = [stats.welch(valued(spark, d, m), ["node"]).select(F.lit(m).alias("measure"), stats.t_p(F.col("t"), F.col("df")).alias("p")) for m in ("strength", "degree", "clustering")]
+    return stats.counts_below(tests[0].union(tests[1]).union(tests[2]), ["measure"], 0.2)
+
+
 # Matrices
 
 
@@ -743,6 +792,11 @@ def normalized_laplacian(spark, d):
     return spectral.normalised_laplacian(fx.edges(spark, d), fx.nodes(spark)).select("subject", "i", "j", r6("v"))
 
 
+@query
+def laplacian_by_degrees(spark, d):
+    return spectral.laplacian_by_degrees(fx.edges(spark, d), fx.nodes(spark)).select("subject", "i", "j", r6("v"))
+
+
 @query
 def gram_matrix(spark, d):
     v = fx.edges(spark, d).groupBy("i", F.col("subject").alias("k")).agg(F.sum("w").cast("double").alias("v"))

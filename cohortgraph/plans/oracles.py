@@ -38,6 +38,8 @@ _PERM = """perms AS MATERIALIZED (SELECT perm, subject, CASE WHEN row_number() O
   THEN 'patient' ELSE 'control' END AS cohort FROM (SELECT CAST(unnest(range(1, 21)) AS INT) AS perm) CROSS JOIN (SELECT subject FROM subjects))"""
 _SV = "sv AS MATERIALIZED (SELECT subject, node, strength AS value FROM deg)"
 _NULL = f"null_max AS MATERIALIZED (SELECT perm, max(t) AS stat FROM ({_welch('(SELECT perm, subject, node, cohort, value FROM sv JOIN perms USING (subject))', 'perm, node')}) GROUP BY perm)"
+#: Both triangles with the strengths of both ends, and the whole weight of the graph's matrix.
+_SYMS = "ss AS MATERIALIZED (SELECT subject, i, j, w, sum(w) OVER (PARTITION BY subject, i)::DOUBLE AS si, sum(w) OVER (PARTITION BY subject, j)::DOUBLE AS sj, sum(w) OVER (PARTITION BY subject)::DOUBLE AS whole FROM sym)"
 _WEDGE = f"we AS MATERIALIZED ({_welch('ev', 'i, j')})"
 _PRES = "pr AS (SELECT i, j, (SELECT count(*) FROM subjects) AS n, (SELECT count(*) FROM subjects) - count(*) AS zero FROM edges GROUP BY i, j)"
 
@@ -87,6 +89,8 @@ ORACLE: dict[str, str] = {
     "demographics": _q("SELECT cohort, count(*) AS n, count(*) FILTER (gender = 1) AS male, count(*) FILTER (gender = 2) AS female, round(avg(age), 6) AS age_mean, round(stddev_pop(age), 6) AS age_std FROM subjects GROUP BY cohort"),
     "flag_percentages": _q("p AS (SELECT * FROM subjects WHERE cohort = 'patient'), n AS (SELECT count(*) AS n FROM subjects)", "SELECT flag, round(k * 100.0::DOUBLE / n, 6) AS percent FROM (SELECT 'a' AS flag, count(*) FILTER (subject % 2 > 0) AS k FROM p UNION ALL SELECT 'b', count(*) FILTER (subject % 5 = 0) FROM p UNION ALL SELECT 'c', count(*) FILTER (age > 40) FROM p), n"),
     "crosstab_chi2": _q("x AS (SELECT cohort, age // 20 AS band FROM subjects), o AS (SELECT a.cohort, b.band, (SELECT count(*) FROM x WHERE x.cohort = a.cohort AND x.band = b.band) AS observed, (SELECT count(*) FROM x WHERE x.cohort = a.cohort) * (SELECT count(*) FROM x WHERE x.band = b.band) / (SELECT count(*) FROM x)::DOUBLE AS expected FROM (SELECT DISTINCT cohort FROM x) a, (SELECT DISTINCT band FROM x) b)", "SELECT cohort, band, observed, round(expected, 6) AS expected, round(pow(observed - expected, 2) / expected, 6) AS part FROM o"),
+    "crosstab_statistic": _q("x AS (SELECT cohort, age // 20 AS band FROM subjects), c AS (SELECT cohort, band, count(*) AS n FROM x GROUP BY ALL), a AS (SELECT cohort, count(*) AS na FROM x GROUP BY ALL), b AS (SELECT band, count(*) AS nb FROM x GROUP BY ALL), o AS (SELECT coalesce(n, 0) AS n, na * nb / (SELECT count(*) FROM x)::DOUBLE AS e FROM a CROSS JOIN b LEFT JOIN c USING (cohort, band))", "SELECT round(sum(pow(n - e, 2) / e), 6) AS chi2, (SELECT (count(DISTINCT cohort) - 1) * (count(DISTINCT band) - 1) FROM x) AS df FROM o"),
+    "load_summary": _q("SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT duration / ceil(age / 10.0::DOUBLE) AS x FROM subjects WHERE cohort = 'patient')"),
     "volume_summary": _q("SELECT node, round(avg(v0), 6) AS mean, round(stddev_pop(v0), 6) AS std FROM volumes GROUP BY node"),
     "density_sum": _q("SELECT e.subject, i, j, round(w / (a.v0 + b.v0), 6) AS w FROM edges e JOIN volumes a ON a.subject = e.subject AND a.node = i JOIN volumes b ON b.subject = e.subject AND b.node = j WHERE a.v0 + b.v0 <> 0"),
     "density_mean": _q("SELECT e.subject, i, j, round(2.0::DOUBLE * w / (a.v1 + b.v1), 6) AS w FROM edges e JOIN volumes a ON a.subject = e.subject AND a.node = i JOIN volumes b ON b.subject = e.subject AND b.node = j"),
@@ -94,6 +98,7 @@ ORACLE: dict[str, str] = {
     "consensus_removed_edges": _q(_PRES, "SELECT subject, i, j, w FROM edges JOIN pr USING (i, j) WHERE zero >= 0.42::DOUBLE * n"),
     "edges_removed_per_subject": _q(_PRES, "SELECT subject, count(*) AS n_removed FROM edges JOIN pr USING (i, j) WHERE zero >= 0.42::DOUBLE * n GROUP BY subject HAVING count(*) > 50"),
     "presence_threshold": _q(_PRES, "SELECT subject, i, j, w FROM edges JOIN pr USING (i, j) WHERE zero::DOUBLE / n <= 1 - 0.55::DOUBLE"),
+    "presence_dropped_edges": _q(_PRES, "SELECT i, j FROM pr WHERE zero::DOUBLE / n > 1 - 0.55::DOUBLE"),
     "filter_weights_cumulative": _q("r AS (SELECT *, sum(2 * w) OVER (PARTITION BY subject ORDER BY w DESC, i DESC, j DESC ROWS UNBOUNDED PRECEDING) AS run, sum(2 * w) OVER (PARTITION BY subject) AS total FROM edges)", "SELECT subject, i, j, w FROM r WHERE run <= 0.5 * total"),
     "threshold_edges": _q("SELECT subject, i, j, w FROM edges WHERE w > 3"),
     "isolated_nodes": _q("e3 AS (SELECT * FROM sym WHERE w > 3)", "SELECT s.subject, node FROM (SELECT DISTINCT subject FROM e3) s CROSS JOIN nodes WHERE NOT EXISTS (SELECT 1 FROM e3 WHERE e3.subject = s.subject AND e3.i = node)"),
@@ -163,7 +168,10 @@ x AS MATERIALIZED (SELECT perm, node, least(ra - na * (na + 1) / 2.0::DOUBLE, na
     "ddt_observed_degree": _q(_EV, _PL, _LG, "SELECT node, count(x) AS degree FROM nodes LEFT JOIN (SELECT unnest([i, j]) AS x FROM lg WHERE d > 0.5) ON x = node GROUP BY node"),
     "laplacian_total": _q(_GRID, "SELECT subject, i, j, -w::DOUBLE AS v FROM sym UNION ALL SELECT subject, node, node, sum(strength) OVER (PARTITION BY subject) FROM deg"),
     "laplacian_degree": _q(_GRID, "SELECT subject, i, j, -w::DOUBLE AS v FROM sym UNION ALL SELECT subject, node, node, round(strength + 0.01, 6) FROM deg"),
-    "normalized_laplacian": _q(_GRID, "SELECT s.subject, i, j, round(-w / sqrt(a.strength * b.strength), 6) AS v FROM sym s JOIN deg a ON a.subject = s.subject AND a.node = i JOIN deg b ON b.subject = s.subject AND b.node = j UNION ALL SELECT subject, node, node, 1.0 FROM deg"),
+    "normalized_laplacian": _q(_SYMS, "SELECT subject, i, j, round(-w / sqrt(si * sj), 6) AS v FROM ss UNION ALL SELECT subject, node, node, 1.0::DOUBLE FROM (SELECT DISTINCT subject FROM edges), nodes"),
+    "laplacian_by_degrees": _q(_SYMS, "SELECT subject, i, j, round(-w / sqrt(si * sj), 6) AS v FROM ss UNION ALL SELECT subject, i, i, round(max(whole) / max(si), 6) FROM ss GROUP BY subject, i"),
+    "network_degree": _q(_EV, _WEDGE, "x AS (SELECT i, j FROM we WHERE abs(t) > 1.5), e AS (SELECT i AS node FROM x UNION ALL SELECT j FROM x)", "SELECT node, count(e.node) AS degree FROM nodes LEFT JOIN e USING (node) GROUP BY node"),
+    "raw_rank_statistic": _q(_EV, "r AS (SELECT *, rank() OVER (PARTITION BY i, j ORDER BY value) + (count(*) OVER (PARTITION BY i, j, value) - 1) / 2.0::DOUBLE AS rank FROM ev)", "SELECT i, j, round(sum(rank) FILTER (cohort = 'patient') - count(*) FILTER (cohort = 'patient') * (count(*) FILTER (cohort = 'patient') + 1) / 2.0::DOUBLE, 6) AS stat FROM r GROUP BY i, j"),
     "gram_matrix": _q("v AS (SELECT i, subject AS k, sum(w)::DOUBLE AS v FROM edges GROUP BY ALL)", "SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM v a JOIN v b USING (k) WHERE a.i <= b.i GROUP BY ALL"),
     "fisher_score_rank": f"WITH {_FS} SELECT feature, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM fs",
     "top_features": f"WITH {_FS} SELECT feature, round(score, 6) AS score FROM fs ORDER BY fs.score DESC, feature LIMIT 20",
