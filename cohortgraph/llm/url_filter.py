@@ -83,18 +83,29 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return named.union(known.select(node_of(url).alias("a"), form_of(url).alias("b"))).where("a <> b").distinct()
 
 
+def redirect_edges(redirects: DataFrame, from_col: str = "url", to_col: str = "target") -> DataFrame:
+    """(a, b): pairs of URL nodes from a table of redirects. Targets may be relative; both ends are aliases of their variants too.
+    Rows with a null end, or whose source has no ://, give none; repeats and chains do no harm."""
+    url = F.col(from_col)
+    ends = redirects.where(url.contains("://") & (F.col(to_col) != "")).select(url.alias("u"), _resolved(url, F.col(to_col)).alias("to"))
+    links = ends.select(node_of(F.col("u")).alias("a"), F.explode(F.array(node_of(F.col("to")), form_of(F.col("to")), form_of(F.col("u")))).alias("b"))
+    return links.where("a <> b").distinct()
+
+
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None,
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, edges: DataFrame | None = None, redirects: DataFrame | None = None,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """One row for each row of pages: id, host, path, rule, verdict.
 
     The verdict is the longest rule's. Without a rule it is block where an alias is blocked by rule and no alias is
     allowed by rule, else allow. edges: (a, b) URL nodes as node_of names them, by default those of the pages' own URLs
-    and texts; a crawler's redirect log may be joined to them. A null URL, or one without ://, has empty host and path,
+    and texts. redirects: (url, target), a crawler's redirect log, whose links are joined to them. A null URL, or one without ://, has empty host and path,
     no rule and no alias, and is allowed. Repeated rows are judged alike; extra columns are ignored.
     """
     edges = alias_edges(pages, url_col, html_col) if edges is None else edges
+    if redirects is not None:
+        edges = edges.select("a", "b").union(redirect_edges(redirects))
     groups = components(edges)
     host, path = ascii_lower(F.regexp_extract(F.concat(F.lit("://"), F.col("id")), _HOST, 1)), path_of(F.concat(F.lit("://"), F.col("id")))
     ruled = rule_of(host, path, rules)[1]

@@ -2,6 +2,7 @@ import hashlib
 import os
 import re
 import time
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -63,6 +64,48 @@ def test_variants_of_an_address_are_aliases(spark):
     assert {r[0]: (r[3], r[4]) for r in con.execute(url_filter.SQL).fetchall()} == got
 
 
+def test_a_hundred_thousand_redirects_with_a_hub(spark):
+    """Half of all links lead to one address; chains and pairs make up the rest. Verdicts equal a plain union of the links, and
+    many of them come from redirects alone."""
+    links = [(f"http://s{k}.test/a", "http://hub.test/") for k in range(50_000)] + [(f"http://c.test/{k}", f"/{k + 1}") for k in range(40) if k != 20]
+    links += [(f"http://p{k}.test/x", f"https://{'www.' if k % 2 else ''}q{k % 30_000}.test/y") for k in range(49_900)] + [("http://hub.test/", "http://hub.test/"), (None, "http://x.test/"), ("http://x.test/", None)]
+    links += [("http://c.test/3", "http://shop.org/es/1"), ("http://q5.test/y", "http://a.com/en/"), ("http://q7.test/y", "http://example.com/en/7"), ("http://p7.test/x", "http://b.com/en/z"), ("http://hub.test/", "http://hub.com/en/1")]
+    urls = [f"http://s{k}.test/a" for k in range(0, 50_000, 100)] + [f"http://c.test/{k}" for k in range(41)] + [f"http://p{k}.test/x" for k in range(0, 100)] + ["http://q5.test/y", "http://q6.test/y", None, "http://hub.com/en/1"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, redirects=spark.createDataFrame(links, "url string, target string").repartition(6)).collect()}
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def name(url):  # of these addresses: host without www., path without the last slash
+        return re.sub("^www[.]", "", url.split("://")[1]).rstrip("/")
+
+    def rule(url):
+        host, _, path = url.split("://")[1].partition("/")
+        fits = [(len(h + p), k, h + p) for k, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    for a, b in links:
+        if a and b:
+            parent[root(name(a))] = root(name(b if "://" in b else "http://c.test" + b))
+    said = defaultdict(set)
+    for u in {x if "://" in x else "http://c.test" + x for link in links if None not in link for x in link} | {u for u in urls if u}:
+        said[root(name(u))].add(rule(u)[0])
+    alone = 0
+    for i, u in enumerate(urls):
+        kind, text = rule(u) if u else (None, None)
+        group = said[root(name(u))] if u else set()
+        want = kind or ("block" if "block" in group and "allow" not in group else "allow")
+        assert got[i] == (text, want), u
+        alone += kind is None and want == "block"
+    assert alone > 500
+
+
 def test_no_pages(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
