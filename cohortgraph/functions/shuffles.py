@@ -54,7 +54,32 @@ def places(n: int, k: np.ndarray, perms: np.ndarray, seed: int = 0) -> np.ndarra
     return out
 
 
-def draws(n: int, slots: np.ndarray, perms: np.ndarray, seed: int = 0) -> np.ndarray:
-    """[perm, slot]: for each slot one of 0 .. n - 1, drawn with replacement."""
-    keys = _keys(seed, perms, 99)[:, None]
-    return np.floor((_mixed(_mixed(slots.astype(np.uint64))[None, :] + keys) >> np.uint64(11)).astype(np.float64) * (n / float(1 << 53))).astype(np.int64)
+def bootstrap_block(n: int, na: int, size: int, leaf: int, rounds: int, seed: int = 0, stream: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """([round, subject] copies, and those of them in group a) of the subjects size * leaf .. of a bootstrap with shuffled groups.
+
+    In each round na copies are drawn from the first na of n subjects and the others from the rest, with replacement; then na
+    of all n copies are group a. A block draws its own share alone: from the root of a tree over blocks, the copies and
+    the places of group a that fall to a half follow a binomial and a hypergeometric law, given those of the whole, and each
+    node has its own stream of random numbers, so blocks that share a node agree. Inside the block, subjects split in turn."""
+    leaves = -(-n // size)
+    lo, hi = 0, leaves
+    part = lambda x, y: (max(0, min(na, y * size) - x * size), max(0, min(n, y * size) - max(na, x * size)))  # noqa: E731  subjects of both cohorts in leaves x .. y - 1
+    held = [np.full(rounds, na), np.full(rounds, n - na)]
+    in_a, node = np.full(rounds, na), 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        rng, whole, half = np.random.default_rng([seed, stream, node, 1]), part(lo, hi), part(lo, mid)
+        left = [rng.binomial(c, h / w) if w else c for c, h, w in zip(held, half, whole)]
+        mine = rng.hypergeometric(left[0] + left[1], held[0] + held[1] - left[0] - left[1], in_a)
+        if leaf < mid:
+            hi, held, in_a, node = mid, left, mine, 2 * node
+        else:
+            lo, held, in_a, node = mid, [c - x for c, x in zip(held, left)], in_a - mine, 2 * node + 1
+    rng, sizes = np.random.default_rng([seed, stream, node, 2]), part(lo, hi)
+    copies = np.concatenate([rng.multinomial(c, np.full(k, 1 / k)) if k else np.zeros((rounds, 0), np.int64) for c, k in zip(held, sizes)], axis=1)
+    first, rest = np.zeros_like(copies), copies.sum(axis=1)
+    for k in range(copies.shape[1]):
+        rest = rest - copies[:, k]
+        first[:, k] = rng.hypergeometric(copies[:, k], rest, in_a)
+        in_a = in_a - first[:, k]
+    return copies, first

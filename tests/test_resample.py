@@ -111,6 +111,28 @@ def test_bootstrap_keeps_group_sizes(cohort):
     assert (np.concatenate(halves, axis=1) == a).all()
 
 
+@pytest.mark.parametrize("size", [3, 8, 64])
+def test_bootstrap_blocks_follow_the_law(size):
+    """Exact group sizes over any blocks; each subject's copies and their part in group a have the means, variances and covariances
+    of drawing with replacement and shuffling."""
+    n, na, rounds = 20, 8, 20_000
+    blocks = [shuffles.bootstrap_block(n, na, size, leaf, rounds, 3, 5) for leaf in range(-(-n // size))]
+    copies, first = (np.concatenate([b[k] for b in blocks], axis=1) for k in (0, 1))
+    assert (copies[:, :na].sum(axis=1) == na).all() and (copies[:, na:].sum(axis=1) == n - na).all() and (first.sum(axis=1) == na).all()
+    assert (first <= copies).all() and (first >= 0).all()
+    for own in (slice(0, na), slice(na, n)):
+        k = own.stop - own.start
+        assert np.allclose(copies[:, own].mean(axis=0), 1, atol=0.04) and np.allclose(copies[:, own].var(axis=0), 1 - 1 / k, atol=0.06)
+        cov = np.cov(copies[:, own].T)[~np.eye(k, dtype=bool)]
+        assert np.allclose(cov, -1 / k, atol=0.05)
+    assert np.allclose(first.mean(axis=0), na / n, atol=0.03)
+    # A copy is in group a with chance na / n, two copies both with na (na - 1) / (n (n - 1)).
+    two = na * (na - 1) / (n * (n - 1))
+    assert (first * (first - 1)).mean() == pytest.approx((copies * (copies - 1)).mean() * two, rel=0.06)
+    assert (first[:, :1] * first[:, 1:na]).mean() == pytest.approx((1 - 1 / na) * two, rel=0.06)
+    assert (first[:, :1] * first[:, na:]).mean() == pytest.approx(two, rel=0.06)
+
+
 def test_rank_sums_equal_mann_whitney(spark, cohort):
     x, in_a = cohort
     x = np.abs(x).round(1)
