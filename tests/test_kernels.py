@@ -315,6 +315,19 @@ def test_marked_nodes_and_atlas(spark):
     assert sorted(tuple(r) for r in edges.marked_atlas(atlas, marked).collect()) == [(1, 1.0, 2.0, 3.0), (2, 0.0, 0.0, 0.0)]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 23, 16 * 25 * 4])
+def test_frechet_pairs_equal_a_loop(spark, monkeypatch, block_bytes):
+    """Thirty subjects, in blocks of at most four and of four by bytes; every unordered pair once."""
+    monkeypatch.setattr(spectral, "BLOCK_BYTES", block_bytes)
+    rng, n = np.random.default_rng(6), 5
+    made = {int(s): (lambda x: x @ x.T + 0.1 * np.eye(n))(rng.normal(size=(n, n))) for s in rng.permutation(30) * 7}
+    rows = [(s, i + 1, j + 1, float(m[i, j])) for s, m in made.items() for i in range(n) for j in range(n)]
+    groups = spark.createDataFrame([(s, "patient" if s % 2 else "control") for s in made], "subject long, cohort string")
+    got = {(r.a, r.b): (r.pair_class, r.distance) for r in spectral.frechet_pairs(spark.createDataFrame(rows, "subject long, i int, j int, v double"), groups, n).collect()}
+    want = {(a, b): ("-".join(sorted("patient" if s % 2 else "control" for s in (a, b))), pytest.approx(spectral.frechet_distance(made[a], made[b]), abs=1e-9)) for a, b in itertools.combinations(sorted(made), 2)}
+    assert got == want
+
+
 def test_stacked_distances_and_levels_equal_single_graphs(spark):
     rng = np.random.default_rng(9)
     graphs = {s: _graph(int(rng.integers(10**6))) for s in range(30)}
