@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortgraph.llm import exact_dedup, ngram_join, pii, quality_rules, source_mixing, url_filter, weak_quality
 from cohortgraph.llm.queries import ORACLE, QUERIES
+from cohortgraph.llm.shared import table
 from cohortgraph.llm.tokens import vocabulary
 
 DIR = "/root/testdata/sf0.001"
@@ -309,7 +310,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, sizes = docs.columns, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.table(stage(spark, docs, DIR), "test")
+        docs = table(stage(spark, docs, DIR), "test")
         assert docs.columns == columns, name
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
