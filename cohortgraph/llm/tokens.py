@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
@@ -81,6 +82,7 @@ class ByteBpe:
 def tokenizers_words(path: str, letters_held: int = MEMO_WORDS // 6) -> Callable[[list[str]], list[list[int]]]:
     """Encodes words with the tokenizers library. Plain Latin words go to the file's model directly, past the library's
     bookkeeping of offsets, which costs several times the merges themselves."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already; each thread would hold memory
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)

@@ -21,6 +21,10 @@ from cohortgraph.llm.tokens import word_ids
 
 #: Tokens after which a shard ends; a longer document is a shard of its own.
 SHARD_TOKENS = 2_000_000
+#: Words that a worker remembers while it encodes: an executor's workers share its memory with Spark.
+WORDS_HELD = 600_000
+#: Parts in which rows that are equal in id and text may be written.
+SALTS = 64
 #: Bits between two entries of the rank directory.
 BLOCK = 512
 _HEAD = struct.Struct("<4sBQ")
@@ -139,13 +143,14 @@ class WaveletMatrix:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode docs in ascending id order, end_id after each, and write wavelet shards to the folder path.
 
-    A null text counts as empty and gives its end id alone; null ids come first; rows that repeat an id follow each other.
+    A null text counts as empty and gives its end id alone; null ids come first; rows that repeat an id follow each other,
+    however many they are: many tasks write them.
     An empty table gives no shards. Other columns are not written.
     """
 
     def encode(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = word_ids(tokenizer)
+        encoder = word_ids(tokenizer, memo=WORDS_HELD)
         end = np.array([end_id], np.uint32)
         ids, names, lengths, held = [], [], [], 0
 
@@ -169,7 +174,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, bits: int = 16, end
             yield shard()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "t")
+    salted = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
+    ordered = salted.repartitionByRange("id", F.substring("t", 1, 64), "salt").sortWithinPartitions("id", "t").drop("salt")
     ordered.mapInArrow(encode, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
