@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgraph.llm.shared import table
-from cohortgraph.llm.tokens import byte_bpe
+from cohortgraph.llm.tokens import byte_bpe, forget
 
 #: Fine slices of pieces, and pieces for each slice among which those of one length are numbered.
 FINE, SLICE_PIECES = 1 << 16, 20_000
@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int
             if with_ids:
                 arrays.append(pa.array(c[6], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, ["id", "k", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+        forget()
 
     text, i = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     rows = docs.select(i.alias("id"), F.xxhash64(i, text).alias("k"), text.alias("t"))

@@ -137,6 +137,7 @@ def tiktoken_ids(path: str) -> Callable[[str], list[int]]:
 
 def forget() -> None:
     """Lets go of vocabularies and memos at the end of a task: workers live on, and later steps need the room."""
+    byte_bpe.cache_clear()
     word_ids.cache_clear()
     tiktoken_ids.cache_clear()
     give_back()
