@@ -3,27 +3,38 @@
 Overlapping heuristic labellers each call a text good or bad or abstain. Expectation-maximisation estimates how often each
 labeller is right from their agreement alone, on the counts of vote patterns over the whole corpus (at most 3 to the
 number of labellers, whatever the corpus). The posterior of a text's pattern is its label for a hashed linear scorer, which
-is fitted on a bounded sample and then scores every text.
+is fitted on every text: its features are written once, and each step of the optimiser sums the gradient over all of them.
+The threshold is an exact order statistic of all scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortgraph.llm.quality_rules import _repeated, _sums
+from cohortgraph.llm.shared import table
 from cohortgraph.llm.text_arrays import Words, mix, slices
 
-#: Rows of the sample that the scorer is fitted on, at most; a fifth of them only calibrates.
-SAMPLE = 20_000
-#: Width of the hashed feature space.
+#: Width of the hashed feature space; feature numbers are written in 16 bits.
 FEATURES = 1 << 14
-#: Of held-out texts whose weak label is good, the share that the threshold may reject.
+#: Steps of the scorer's optimiser, each a sum over all rows.
+STEPS = 25
+#: Weight of half the squared weights beside the mean loss of a text.
+L2 = 1e-5
+#: Rows whose features are unpacked at once.
+ROWS = 1024
+#: Of the texts whose weak label is good, the share that the threshold may reject.
 MAY_REJECT = 0.001
+#: Cells into which a range of scores is cut while an order statistic is sought.
+CELLS = 4096
 #: Texts that the prior on labellers' accuracies stands for, whatever the corpus.
 PRIOR = 100.0
 #: Common function words of the corpus's languages, lower case (fixed values).
@@ -117,93 +128,142 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return good, rates
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, epochs: int = 12, l2: float = 1e-5, seed: int = 7) -> np.ndarray:
-    """Weights of a logistic scorer on soft labels, by AdaGrad over shuffled rows; classes weigh alike. The last is the intercept."""
-    w, g = np.zeros(FEATURES + 1), np.full(FEATURES + 1, 1e-2)
-    base = min(max(label.mean() if len(label) else 0.5, 0.02), 0.98)
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            at, x = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -40, 40)))
-            e = (1 - label[i]) * p / (1 - base) - label[i] * (1 - p) / base
-            d = e * x + l2 * w[at]
-            np.add.at(g, at, d * d)
-            np.subtract.at(w, at, 0.3 * d / np.sqrt(g[at]))
-            g[-1] += e * e
-            w[-1] -= 0.3 * e / np.sqrt(g[-1])
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, steps: int = STEPS, held: int = 10) -> np.ndarray:
+    """Limited-memory BFGS: f gives loss and gradient. A step is halved until the loss falls enough; without one it ends."""
+    loss, g = f(w)
+    past: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=held)
+    for _ in range(steps):
+        d, back = -g, []
+        for s, y in reversed(past):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(g), 1e-12))
+        for (s, y), b in zip(past, reversed(back)):
+            d = d + (b - (y @ d) / (s @ y)) * s
+        slope = g @ d
+        for size in 0.5 ** np.arange(10):
+            after, h = f(w + size * d)
+            if after <= loss + 1e-4 * size * slope:
+                break
+        else:
+            break
+        fell, s, y = loss - after, size * d, h - g
+        w, loss, g = w + s, after, h
+        if s @ y > 1e-12 * (y @ y):
+            past.append((s, y))
+        if fell <= 1e-9 * max(abs(loss), 1e-9):
+            break
     return w
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes, first entry of each row, feature numbers, values) of a few rows at once; each row has an entry at least."""
+    for begin in range(0, batch.num_rows, ROWS):
+        code, at, value = (batch.column(n).slice(begin, ROWS) for n in ("code", "at", "value"))
+        flat = []
+        for x, kind in ((at, "<u2"), (value, "<f4")):
+            x = x.cast(pa.large_binary())
+            _, where, data = x.buffers()
+            offsets = np.frombuffer(where, np.int64)[x.offset : x.offset + len(x) + 1]
+            flat.append((offsets, np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind)))
+        (offsets, numbers), (_, values) = flat
+        yield code.to_numpy(), (offsets[:-1] - offsets[0]) // 2, numbers.astype(np.int64), values.astype(np.float64)
+
+
+def _margins(w: np.ndarray, first: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(w[at] * value, first) + w[-1]
+
+
+def _chance(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+
+
+def fit(described: DataFrame, posterior: np.ndarray, base: float, total: int, l2: float = L2) -> np.ndarray:
+    """Weights of a logistic scorer on the soft labels of all rows (code, at, value); classes weigh alike, base is the share of
+    good. The last weight is the intercept. A task gives one sum over its rows, and the driver gets their sum."""
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        def sums(batches):
+            out = np.zeros(FEATURES + 2)
+            for b in batches:
+                for code, first, at, value in _blocks(b):
+                    z, good = _margins(w, first, at, value), posterior[code] / base
+                    bad, p = (1 - posterior[code]) / (1 - base), _chance(z)
+                    r = bad * p - good * (1 - p)
+                    out[:FEATURES] += np.bincount(at, value * np.repeat(r, np.diff(np.append(first, len(at)))), FEATURES)
+                    out[-2] += r.sum()
+                    out[-1] += (good * np.logaddexp(0, -z) + bad * np.logaddexp(0, z)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["sums"])
+
+        parts = described.select("code", "at", "value").mapInArrow(sums, "sums array<double>")
+        found = parts.select(Summarizer.sum(array_to_vector("sums"))).first()[0].toArray() / total
+        flat = np.append(w[:-1], 0)
+        return float(found[-1] + l2 / 2 * (flat @ flat)), found[:-1] + l2 * flat
+
+    return minimise(loss, np.zeros(FEATURES + 1)) if total else np.zeros(FEATURES + 1)
+
+
+def order_statistic(values: DataFrame, column: str, k: int, lo: float = 0.0, hi: float = 1.0) -> float:
+    """The k-th smallest (from 0) of a column of numbers from lo to hi. Ranges are cut into cells and counted until one value is left."""
+    x = F.col(column)
+    while True:
+        inside = values.where(x.between(lo, hi))
+        cell = F.least(F.floor((x - lo) * (CELLS / (hi - lo))), F.lit(CELLS - 1))
+        seen = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).orderBy("cell").collect()  # CELLS rows at most
+        for r in seen:
+            if k < r["n"]:
+                break
+            k -= r["n"]
+        lo, hi = r["lo"], r["hi"]
+        if lo == hi or k == 0 or k == r["n"] - 1:
+            return lo if k == 0 or lo == hi else hi
+
+
 def _code(votes: np.ndarray) -> np.ndarray:
     return (votes * 3 ** np.arange(votes.shape[1])).sum(axis=1)
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE, may_reject: float = MAY_REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, may_reject: float = MAY_REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, votes, posterior, score, kept.
 
     votes has a letter for each labeller: g good, b bad, - abstains. posterior is the chance of good by the votes, score by
-    the linear scorer, kept whether score reaches the threshold, at which at most may_reject of the held-out texts with a
+    the linear scorer, kept whether score reaches the threshold, at which at most may_reject of the texts with a
     good weak label (posterior over 0.9) fall. Where all labellers abstain nothing speaks against a text, and it is kept. A null or
     blank text has no words, which one labeller calls bad, and is scored by that alone. Null and repeated ids are scored like any other row; an empty table gives no rows; other columns are ignored.
+    Each text is read once; counts, scorer and threshold are those of all rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     function = _function_hashes()
 
-    def patterns(batches):
-        total = np.zeros(3 ** len(LABELLERS), np.int64)
+    def describe(batches):
         for b in batches:
-            for _, _, data, offsets in slices(b.column(0)):
-                total += np.bincount(_code(_votes(Words(data, offsets, fold=False), function)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["code", "n"])
-
-    seen = rows.select("t").mapInArrow(patterns, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()  # 3 ** labellers rows at most
+            for lo, hi, data, offsets in slices(b.column(1)):
+                words = Words(data, offsets, fold=False)
+                made = [(i.astype("<u2").tobytes(), x.astype("<f4").tobytes()) for i, x in _features(words)]
+                at, value = zip(*made)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), pa.array(_code(_votes(words, function)), pa.int32()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["id", "code", "at", "value"]
+                )
+
+    described = table(rows.mapInArrow(describe, "id long, code int, at binary, value binary"), "features")
+    seen = described.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()  # 3 ** labellers rows at most
     codes, counts = np.array([r["code"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.float64)
-    chance, _ = estimate(codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, counts)
-    posterior = np.full(3 ** len(LABELLERS), 0.5)
+    votes = np.arange(3 ** len(LABELLERS))[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    chance, _ = estimate(votes[codes], counts)
+    posterior = np.full(len(votes), 0.5)
     posterior[codes] = chance
     total = int(counts.sum())
-
-    # A bounded sample by a hash of the row; a third of it at most is spared so that the bound holds.
-    cut_at = 1 << 30 if total <= sample * 2 // 3 else int((1 << 30) * (sample * 2 // 3) / total)
-    drawn = rows.withColumn("u", F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30))).where(F.col("u") < cut_at)
-
-    def describe(batches):
-        for b in batches:
-            at, value, label = [], [], []
-            for _, _, data, offsets in slices(b.column(0)):
-                words = Words(data, offsets, fold=False)
-                label.append(posterior[_code(_votes(words, function))])
-                for i, x in _features(words):
-                    at.append(i.astype(np.int32))
-                    value.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(np.concatenate(label) if label else [], pa.float64())], ["u", "at", "value", "label"])
-
-    held = drawn.select("t", "u").mapInArrow(describe, "u long, at array<int>, value array<float>, label double").orderBy("u").limit(sample).toArrow()
-    x = [(a.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)) for a, v in zip(held["at"], held["value"])]
-    label = held["label"].to_numpy()
-    test = np.arange(len(x)) % 5 == 0
-    w = fit([x[i] for i in np.flatnonzero(~test)], label[~test])
-    scores = np.array([1 / (1 + np.exp(-np.clip(w[a] @ v + w[-1], -40, 40))) for a, v in x])
-    clean = np.sort(scores[test & (label > 0.9)])
-    threshold = float(min(0.5, clean[int(may_reject * len(clean))] * 0.9)) if len(clean) else 0.5
-    weights = spark.sparkContext.broadcast(w)
+    base = min(max(float(counts @ chance) / max(total, 1), 0.02), 0.98)
+    w = fit(described, posterior, base, total)
+    names = np.array(["".join(v) for v in np.array(["-", "g", "b"])[votes].tolist()])
 
     def score(batches):
-        letters = np.array(["-", "g", "b"])
         for b in batches:
-            votes, out = [], []
-            for _, _, data, offsets in slices(b.column(1)):
-                words = Words(data, offsets, fold=False)
-                votes.append(_votes(words, function))
-                out += [float(weights.value[a] @ v.astype(np.float64)) + float(weights.value[-1]) for a, v in _features(words)]
-            v = np.concatenate(votes) if votes else np.zeros((0, len(LABELLERS)), np.int64)
-            s = 1 / (1 + np.exp(-np.clip(np.array(out), -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(["".join(r) for r in letters[v].tolist()], pa.string()), pa.array(posterior[_code(v)], pa.float64()), pa.array(s, pa.float64()), pa.array((s >= threshold) | (v == 0).all(axis=1), pa.bool_())],
-                [id_col, "votes", "posterior", "score", "kept"],
-            )
-
-    return rows.mapInArrow(score, f"`{id_col}` long, votes string, posterior double, score double, kept boolean")
+            s = np.concatenate([_chance(_margins(w, first, at, value)) for _, first, at, value in _blocks(b)]) if b.num_rows else np.zeros(0)
+            code = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[code], pa.string()), pa.array(posterior[code], pa.float64()), pa.array(s, pa.float64())], [id_col, "votes", "posterior", "score"])
+
+    scored = described.mapInArrow(score, f"`{id_col}` long, votes string, posterior double, score double")
+    clean, n = scored.where(F.col("posterior") > 0.9), int(counts[chance > 0.9].sum())
+    threshold = min(0.5, 0.9 * order_statistic(clean, "score", int(may_reject * n))) if n else 0.5
+    return scored.withColumn("kept", (F.col("score") >= threshold) | (F.col("votes") == "-" * len(LABELLERS)))

@@ -225,6 +225,55 @@ def test_votes_and_posteriors_equal_brute_force(spark):
         assert chance[v] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-4)
 
 
+def test_scorer_and_threshold_take_every_row(spark):
+    """Scores by a plain fit on all texts in one loss, the threshold from all sorted scores; one row in a thousand decides."""
+    import numpy as np
+
+    from cohortgraph.llm.text_arrays import Words
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r for r in weak_quality.classify(rows, may_reject=0.05).collect()}
+    label = np.array([got[i].posterior for i, _ in docs])
+    x = np.zeros((len(docs), weak_quality.FEATURES + 1))
+    x[:, -1] = 1
+    for k, (_, t) in enumerate(docs):
+        data = np.frombuffer(t.encode(), np.uint8)
+        for at, value in weak_quality._features(Words(data, np.array([0, len(data)]), fold=False)):
+            np.add.at(x[k], at, value)
+    base = label.mean()
+    flat = np.append(np.ones(weak_quality.FEATURES), 0)
+
+    def loss(w):
+        z = x @ w
+        p = 1 / (1 + np.exp(-z))
+        each = label / base * np.logaddexp(0, -z) + (1 - label) / (1 - base) * np.logaddexp(0, z)
+        return each.mean() + weak_quality.L2 / 2 * (flat * w) @ w, x.T @ ((1 - label) / (1 - base) * p - label / base * (1 - p)) / len(docs) + weak_quality.L2 * flat * w
+
+    score = 1 / (1 + np.exp(-x @ weak_quality.minimise(loss, np.zeros(x.shape[1]))))
+    assert [got[i].score for i, _ in docs] == pytest.approx(score.tolist(), abs=1e-4)
+    clean = sorted(r.score for r in got.values() if r.posterior > 0.9)
+    threshold = min(0.5, 0.9 * clean[int(0.05 * len(clean))])
+    assert all(r.kept == (r.score >= threshold or r.votes == "-" * 7) for r in got.values())
+
+
+def test_order_statistics_are_exact(spark):
+    values = [0.25] * 300 + [0.25 + k * 1e-15 for k in range(200)] + [k / 977 for k in range(978)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for k in (0, 1, 400, 700, len(values) - 1):
+        assert weak_quality.order_statistic(df, "x", k) == sorted(values)[k]
+
+
+def test_minimise_solves_a_quadratic():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(30, 12))
+    a, b = m.T @ m, rng.normal(size=12)
+    w = weak_quality.minimise(lambda w: (w @ a @ w / 2 - b @ w, a @ w - b), np.zeros(12), steps=200)
+    assert np.abs(w - np.linalg.solve(a, b)).max() < 1e-3
+
+
 def test_classifier_on_hard_texts(spark, hard_docs, no_docs):
     assert weak_quality.classify(hard_docs).count() == hard_docs.count()
     assert weak_quality.classify(no_docs).count() == 0
