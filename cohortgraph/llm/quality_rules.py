@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgraph.llm.text_arrays import Words, mix, slices
+from cohortgraph.llm.text_arrays import ROWS, Words, mix, slices
 from cohortgraph.llm.tokens import forget, tiktoken_ids, word_ids
 
 #: Characters per token in which good texts of a language differ however long they are.
@@ -68,6 +68,8 @@ KANA_SHARE = 0.1
 
 #: Words that a worker remembers for each vocabulary: two are held side by side, next to what earlier steps left there.
 MEMO = 200_000
+#: Bytes of text that are measured at once, for the same reason.
+SLICE = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -122,7 +124,7 @@ def _entropy(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 def measures(column: pa.Array, pieces: str, word_pieces: str) -> Iterator[dict[str, np.ndarray]]:
     """Counts and rates of runs of texts; pieces is a vocabulary with byte fallback, word_pieces one of words in lower case."""
     encoders = word_ids(pieces, "sentencepiece", MEMO), word_ids(word_pieces, memo=MEMO)
-    for _, _, data, offsets in slices(column):
+    for _, _, data, offsets in slices(column, SLICE):
         words = Words(data, offsets, fold=False)
         lead = (data & 0xC0) != 0x80
         latin = (data < 0x80) | (data >= 0xC3) & (data <= 0xC9)
@@ -225,16 +227,22 @@ def quality(
 
 
 def keep_good(docs: DataFrame, pieces: str, word_pieces: str, many: str | None = None, text_col: str = "text", lang_col: str | None = "lang", **rules) -> DataFrame:
-    """docs without the rows that quality() rejects, each judged by its own text and language; all columns stay."""
+    """docs without the rows that quality() rejects, each judged by its own text and language; all columns stay.
+
+    A string column is judged where it stands in the row: a second copy of the texts would take as much memory again, in
+    Spark and in the worker. Only columns of other types are cast beside it. Rows go back a few at a time, too."""
     reasons = _judge(pieces, word_pieces, many, **rules)
+    names, kinds = docs.columns, dict(docs.dtypes)
+    own = [c if c and kinds.get(c) == "string" and names.count(c) == 1 else None for c in (text_col, lang_col)]
+    beside = [F.col(c).cast("string") if c else F.lit(None).cast("string") for c, held in zip((text_col, lang_col), own) if not held]
 
     def keep(batches):
         for b in batches:
-            if b.num_rows:
-                good = reasons(b.column(1), b.column(2))[2] == ""
-                yield pa.RecordBatch.from_arrays(b.column(0).flatten(), names=names).filter(pa.array(good))
+            for begin in range(0, b.num_rows, ROWS):
+                part = b.slice(begin, ROWS)
+                row, cast = part.column(0).flatten(), iter(part.columns[1:])
+                good = reasons(*(row[names.index(c)] if c else next(cast) for c in own))[2] == ""
+                yield pa.RecordBatch.from_arrays(row, names=names).filter(pa.array(good))
         forget()
 
-    names = docs.columns
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("t"), lang.alias("l")).mapInArrow(keep, docs.schema)
+    return docs.select(F.struct("*").alias("row"), *(c.alias(f"c{k}") for k, c in enumerate(beside))).mapInArrow(keep, docs.schema)

@@ -63,8 +63,8 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(total + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, UTF-8 bytes, offsets) of runs of whole texts; null counts as empty. Only a few rows are copied at
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, UTF-8 bytes, offsets) of runs of whole texts of size bytes; null counts as empty. Only a few rows are copied at
     once, and what they took goes back to the system at the end, since workers live on between steps."""
     for begin in range(0, len(column), ROWS):
         part = column.slice(begin, ROWS)
@@ -78,7 +78,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         lo = 0
         while lo < n:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
             yield begin + lo, begin + hi, bytes_[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             lo = hi
     give_back()

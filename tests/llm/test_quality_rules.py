@@ -125,6 +125,17 @@ ALPHABETS = {
 }
 
 
+def test_texts_are_sent_once(spark):
+    """A string column is judged inside the row, others are cast beside it; batches of several runs of rows lose none."""
+    text = "the weather in the north was mild and the people of the town were glad to walk along the river in the evening light"
+    rows = [(i, text if i % 3 else "too short", b"en") for i in range(5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang binary").coalesce(1)
+    for frame, sent in ((docs.withColumn("lang", docs.lang.cast("string")), 1), (docs, 2)):
+        kept = quality_rules.keep_good(frame, PIECES, WORDS)
+        assert kept._jdf.queryExecution().analyzed().children().head().output().size() == sent
+        assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(5_000) if i % 3]
+
+
 def test_random_letters_go_and_paragraphs_stay(spark):
     """Paragraphs of 22 languages, random words of ten scripts, with and without a language."""
     rng = random.Random(5)
