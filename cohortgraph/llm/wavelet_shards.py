@@ -60,9 +60,9 @@ class WaveletMatrix:
             plane[: len(packed)] = packed
             ones = np.bitwise_count(plane.view(np.uint64)).reshape(blocks, BLOCK // 64).sum(axis=1)
             body += [plane.tobytes(), np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes()]
-            low = x[~b]
+            low = np.flatnonzero(~b)
             zeros.append(len(low))
-            x = np.concatenate((low, x[b]))
+            x = np.concatenate((x.take(low), x.take(np.flatnonzero(b))))  # places cost a third of what masks do
         return b"".join((_HEAD.pack(b"WVM1", bits, n), np.array(zeros, "<u8").tobytes(), *body))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -134,8 +134,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             b = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
             up = np.empty_like(v)
-            up[~b] = v[: self.zeros[level]]
-            up[b] = v[self.zeros[level] :] | v.dtype.type(1 << (self.bits - 1 - level))
+            up[np.flatnonzero(~b)] = v[: self.zeros[level]]
+            up[np.flatnonzero(b)] = v[self.zeros[level] :] | v.dtype.type(1 << (self.bits - 1 - level))
             v = up
         return v.astype(np.uint32)
 
