@@ -7,7 +7,7 @@ stack, whose number of graphs is bounded, and within a kernel a bounded number o
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -132,6 +132,54 @@ def louvain_levels(w: np.ndarray, gamma: float = 1.0, seed: int = 0, tolerance:
         levels.append((member, q))
 
 
+def louvain_stack(w: np.ndarray, seeds: Sequence[int], gamma: float = 1.0, tolerance: float = 1e-10) -> np.ndarray:
+    """(graph, node): the modules of louvain() with each graph's own seed, all graphs at once. In a step every graph that still
+    moves looks at the next node of its own order; graphs pooled to fewer nodes than others are padded."""
+    graphs, n = w.shape[:2]
+    out, total = np.tile(np.arange(n), (graphs, 1)), w.reshape(graphs, -1).sum(axis=1)
+    rngs, best, size = [np.random.default_rng(s) for s in seeds], np.full(graphs, -1.0), np.full(graphs, n)
+    who = np.flatnonzero(total)
+    graph = w[who].astype(float)
+    while len(who):
+        n, all_w, own_size = graph.shape[1], total[who], size[who]
+        label, k = np.tile(np.arange(n), (len(who), 1)), graph.sum(axis=2)
+        weight, beyond, moving = k.copy(), np.arange(n) >= own_size[:, None], np.arange(len(who))
+        for _ in range(1000):
+            order, moved = np.full((len(moving), n), n), np.zeros(len(who), bool)
+            for row, g in zip(order, moving):
+                row[: own_size[g]] = rngs[who[g]].permutation(own_size[g])
+            for u in order.T:
+                g, u = moving[u < n], u[u < n]
+                at = np.arange(len(g))
+                line, own, ku = graph[g, u], label[g, u], k[g, u]
+                to = np.bincount((at[:, None] * n + label[g]).ravel(), line.ravel(), minlength=len(g) * n).reshape(-1, n)
+                gain = to - to[at, own][:, None] + line[at, u][:, None] - gamma * ku[:, None] * (weight[g] - weight[g, own][:, None] + ku[:, None]) / all_w[g][:, None]
+                gain[at, own] = 0
+                gain[beyond[g]] = -np.inf
+                c = gain.argmax(axis=1)
+                on = gain[at, c] > tolerance
+                g, u, own, c, ku = g[on], u[on], own[on], c[on], ku[on]
+                weight[g, own] -= ku
+                weight[g, c] += ku
+                label[g, u], moved[g] = c, True
+            moving = moving[moved[moving]]
+            if not len(moving):
+                break
+        used = np.zeros((len(who), n), bool)
+        used[np.arange(len(who))[:, None], np.where(beyond, label[:, :1], label)] = True
+        label = np.take_along_axis(np.cumsum(used, axis=1) - 1, label, axis=1)
+        fewer = used.sum(axis=1)
+        pool = np.zeros((len(who), fewer.max(), fewer.max()))
+        g, i, j = np.nonzero(graph)
+        np.add.at(pool, (g, label[g, i], label[g, j]), graph[g, i, j])
+        share = pool / all_w[:, None, None]
+        q = np.trace(share, axis1=1, axis2=2) - gamma * (share.sum(axis=1) * share.sum(axis=2)).sum(axis=1)
+        on = q - best[who] >= tolerance
+        who = who[on]
+        out[who], best[who], size[who], graph = np.take_along_axis(label[on], out[who], axis=1), q[on], fewer[on], pool[on]
+    return out
+
+
 def participation(w: np.ndarray, label: np.ndarray) -> np.ndarray:
     """1 - sum over communities of (weight into it / strength) squared; 0 for isolated nodes. label (graph, node) from 0."""
     into = w @ np.eye(label.max(initial=0) + 1)[label]
@@ -145,53 +193,90 @@ def neighbour_degree(w: np.ndarray) -> np.ndarray:
     return np.divide((w @ k[..., None])[..., 0], s, out=np.full(s.shape, np.nan), where=s > 0)
 
 
+#: Transport problems that pivot together: their arrays stay in a core's cache.
+PROBLEMS = 2048
+
+
 def transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Least cost of moving each problem's supply to its demand: (problem, source), (problem, sink), (problem, source, sink).
 
-    Exact: every round sends as much as fits along a cheapest path of each problem's residual network, all problems at
-    once. Cheapest paths come from Bellman-Ford steps over all edges; problems that are done drop out. Places with nothing to
-    give or take pad the shorter problems."""
-    supply, demand, eps = supply.astype(float).copy(), demand.astype(float).copy(), 1e-12
-    flow, open_ = np.zeros(cost.shape), np.arange(len(cost))
+    Exact, by a dual simplex of many problems at once. Supply and demand have the same sum. Places with nothing to give or take
+    pad the shorter problems."""
+    if np.abs(supply.sum(axis=1) - demand.sum(axis=1)).max(initial=0) > 1e-9:
+        raise ValueError("supply and demand must have the same sum")
+    out = [_transport(supply[lo : lo + PROBLEMS], demand[lo : lo + PROBLEMS], cost[lo : lo + PROBLEMS]) for lo in range(0, len(cost), PROBLEMS)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The source with most to give, the hub, serves all sinks at first, and each other source gives all it has to the sink where
+    that saves most. No other cell is cheaper at these prices, but the hub may have to take back. A pivot takes the most
+    negative flow out, which cuts the basis tree in two, and the cheapest cell that joins both parts in.
+
+    Arrays have problems last. The inverse of a tree's basis is, for each of its cells, the part that it cuts off and a sign: part
+    holds its nodes, sources then sinks, as bits, and sign is that of its sources; sinks have the other. The hub's own row has the
+    whole tree. Costs are moved by some 1e-12 of the largest, so that no two ways tie and pivots end."""
+    p, m, n = cost.shape
+    out, size = np.zeros(p), m + n
+    if not m or not n:
+        return out
+    cost = np.where((supply > 0)[:, :, None] & (demand > 0)[:, None, :], cost, 0.0)
+    c = np.ascontiguousarray((cost + 1e-12 * cost.max(axis=(1, 2))[:, None, None] * np.random.default_rng(0).random((m, n))).transpose(1, 2, 0))
+    who, k, hub = np.arange(p), np.arange(p), supply.argmax(axis=1)
+    to = c[hub, :, k].T
+    saved = c - to
+    best = saved.argmin(axis=1)
+    price = np.concatenate([saved.min(axis=1), to])
+    price[hub, k] = 0
+    basis = np.concatenate([np.arange(m)[:, None] * n + best, hub * n + np.arange(n)[:, None]])
+    flow, sign = np.concatenate([supply.T, demand.T]).astype(float), np.ones((size, p), np.int8)
+    sign[m:] = -1
+    bits = np.zeros((-(-size // 64), size), np.uint64)
+    bits[np.arange(size) // 64, np.arange(size)] = np.uint64(1) << (np.arange(size) % 64).astype(np.uint64)
+    part = np.repeat(bits[:, :, None], p, axis=2)
+    for i in range(m):
+        own = np.flatnonzero(hub != i)
+        flow[m + best[i, own], own] -= supply[own, i]
+        part[:, m + best[i, own], own] |= bits[:, i, None]
+    part[:, hub, k] = bits.sum(axis=1)[:, None]
+    flow[hub, k] = 0
     while True:
-        left = (supply[open_].max(axis=1, initial=0) > eps) & (demand[open_].max(axis=1, initial=0) > eps)
-        open_ = open_[left]
-        if not len(open_):
-            return (flow * cost).sum(axis=(1, 2))
-        c, f, rows = cost[open_], flow[open_], np.arange(len(open_))
-        near, far = np.where(supply[open_] > eps, 0.0, np.inf), np.full(demand[open_].shape, np.inf)
-        from_near, from_far = np.full(near.shape, -1), np.full(far.shape, -1)
-        while True:
-            reach = near[:, :, None] + c
-            at = reach.argmin(axis=1)
-            best = np.take_along_axis(reach, at[:, None], axis=1)[:, 0]
-            better = best < far - eps
-            far[better], from_far[better] = best[better], at[better]
-            back = np.where(f > eps, far[:, None, :] - c, np.inf)
-            at = back.argmin(axis=2)
-            best = np.take_along_axis(back, at[:, :, None], axis=2)[:, :, 0]
-            better = best < near - eps
-            if not better.any():
-                break
-            near[better], from_near[better] = best[better], at[better]
-        end = np.where(demand[open_] > eps, far, np.inf).argmin(axis=1)
-        # Each path goes back from its end: to a source, and from there to the sink that gives flow up, or no further.
-        most, way, sink, live = demand[open_, end], [], end.copy(), np.ones(len(open_), bool)
-        first = np.zeros(len(open_), int)
-        while live.any():
-            source = np.where(live, from_far[rows, sink], 0)
-            way.append((live.copy(), source, sink.copy(), 1.0))
-            given = np.where(live, from_near[rows, source], -1)
-            first = np.where(live, source, first)
-            on = live & (given >= 0)
-            most = np.where(on, np.minimum(most, f[rows, source, given]), most)
-            way.append((on, source, given.copy(), -1.0))
-            sink, live = np.where(on, given, sink), on
-        most = np.minimum(most, supply[open_, first])
-        for on, source, to, sign in way:
-            np.add.at(flow, (open_[on], source[on], to[on]), sign * most[on])
-        supply[open_, first] -= most
-        demand[open_, end] -= most
+        leave = flow.argmin(axis=0)
+        low = flow[leave, k]
+        on = low < -1e-12
+        live = np.count_nonzero(on)
+        if live <= 0.7 * len(k):
+            row, column = np.divmod(basis[:, ~on], n)
+            out[who[~on]] = (cost[who[~on], row, column] * flow[:, ~on]).sum(axis=0)
+            if not live:
+                return out
+            kept = np.flatnonzero(on)
+            who, leave, low, on, k = who[kept], leave[kept], low[kept], on[kept], np.arange(live)
+            c, price, basis, flow, part, sign = (x.take(kept, axis=-1) for x in (c, price, basis, flow, part, sign))
+        cut, cut_sign = part[:, leave, k], sign[leave, k]
+        inside = ((cut[:, None] & bits[:, :, None]) != 0).any(axis=0)
+        gives = cut_sign < 0  # sources of the part take the new cell in, else its sinks do
+        r = c - np.where(inside[:m] == gives, price[:m], -np.inf)[:, None]
+        r -= np.where(inside[m:] != gives, price[m:], -np.inf)
+        best = r.min(axis=1)
+        i = best.argmin(axis=0)
+        j = r[i, :, k].argmin(axis=1)
+        by, step = np.where(on, best[i, k] * cut_sign, 0.0), np.where(on, -low, 0.0)
+        price[:m] -= by * inside[:m]
+        price[m:] += by * inside[m:]
+        source, sink = (((part & b[:, None]) != 0).any(axis=0) for b in (bits[:, i], bits[:, m + j]))
+        change = sign * (source.view(np.int8) - sink.view(np.int8))
+        flow -= step * change
+        flow[leave, k] = np.where(on, step, low)
+        # Parts of the cells on the way round change by what is cut off; one inside it turns to the rest of it.
+        change *= on
+        moved = change != 0
+        moved[leave, k] = False
+        within = moved & ((part & ~cut[:, None]) == 0).all(axis=0)
+        sign = np.where(within, change * cut_sign, sign)
+        part ^= np.where(moved, cut[:, None], np.uint64(0))
+        sign[leave, k] = np.where(on, -cut_sign, cut_sign)
+        basis[leave, k] = np.where(on, i * n + j, basis[leave, k])
 
 
 def ricci_curvature(w: np.ndarray, alpha: float = 0.5) -> np.ndarray:
@@ -230,9 +315,23 @@ def ricci_curvature(w: np.ndarray, alpha: float = 0.5) -> np.ndarray:
     return np.divide(total, count, out=np.zeros(total.shape), where=count > 0)
 
 
+def _gathered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parts of whole graphs, put together until they have a stack of them."""
+    held, graphs = [], 0
+    for pdf in parts:
+        held.append(pdf)
+        graphs += pdf["subject"].nunique()
+        if graphs >= STACK:
+            yield pd.concat(held, ignore_index=True)
+            held, graphs = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def stacks(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(subjects, symmetric weight matrices) of sorted edges, a bounded number of whole graphs at a time."""
-    for pdf in whole_graphs(batches, ["subject"]):
+    """(subjects, symmetric weight matrices) of sorted edges, a bounded number of whole graphs at a time. Batches are put together
+    until they have as many, as few graphs at once cost a task more for each."""
+    for pdf in _gathered(whole_graphs(batches, ["subject"])):
         subjects, at = np.unique(pdf["subject"].to_numpy(), return_inverse=True)
         i, j, w = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1, pdf["w"].to_numpy(float)
         for lo in range(0, len(subjects), STACK):
@@ -272,7 +371,7 @@ def _seed(subject: int) -> int:
 
 def communities(subjects: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Louvain's modules (graph, node) from 0, each graph with a seed of its subject."""
-    return np.stack([louvain(m, seed=_seed(s))[0] for s, m in zip(subjects.tolist(), w)])
+    return louvain_stack(w, [_seed(s) for s in subjects.tolist()])
 
 
 #: Measures of nodes, in the order of feature vectors. They take subjects and weights, and what modules are known.
@@ -288,7 +387,10 @@ NODE_FEATURES = ("clustering", "local_efficiency", "degree", "betweenness", "par
 
 
 def _sorted(edges: DataFrame) -> DataFrame:
-    return edges.select("subject", "i", "j", F.col("w").cast("double").alias("w")).repartition("subject").sortWithinPartitions("subject")
+    """Little data and much work: at least a few tasks a core, which Spark does not merge."""
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return edges.select("subject", "i", "j", F.col("w").cast("double").alias("w")).repartition(tasks, "subject").sortWithinPartitions("subject")
 
 
 def node_measures(edges: DataFrame, n: int, which: tuple[str, ...] = ("local_efficiency", "betweenness")) -> DataFrame:
