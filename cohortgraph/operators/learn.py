@@ -22,12 +22,25 @@ def wide(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(table).select("subject", "label", "features")
 
 
-def vector_entries(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(subject, feature, value), zeros included, from sparse vectors (subject, at, value) over names. names are few: entries of one vector."""
-    full = F.map_from_arrays("at", "value")
-    every = F.array(*(F.struct(F.lit(x).alias("feature"), F.lit(k).alias("k")) for k, x in enumerate(names)))
-    rows = vectors.select("subject", full.alias("held"), F.explode(every).alias("e"))
-    return rows.select("subject", F.col("e.feature").alias("feature"), F.coalesce(F.try_element_at("held", F.col("e.k")), F.lit(0.0)).alias("value"))
+def vector_entries(vectors: DataFrame, names: Sequence[str], zeros: bool = True) -> DataFrame:
+    """(subject, feature, value), with or without zeros, from sparse vectors (subject, at, value) over names; other columns come
+    along. names are few: entries of one vector. A vector is filled up once, so the work follows its entries."""
+    import numpy as np
+
+    width, others = len(names), [c for c in vectors.columns if c not in ("at", "value")]
+
+    @F.pandas_udf("array<double>")
+    def filled(at: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.zeros((len(at), width))
+        for row, k, v in zip(out, at, value):
+            row[k] = v
+        return pd.Series(list(out))
+
+    if zeros:
+        rows = vectors.select(*others, filled("at", "value").alias("v")).select(*others, F.posexplode("v").alias("k", "value"))
+    else:
+        rows = vectors.select(*others, F.explode(F.arrays_zip("at", "value")).alias("e")).select(*others, F.col("e.at").alias("k"), F.col("e.value").alias("value")).where("value <> 0")
+    return rows.select(*others, F.get(F.array(*map(F.lit, names)), F.col("k")).alias("feature"), "value")
 
 
 def fisher_scores(features: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -447,7 +447,7 @@ def global_strength(spark, d):
 @query
 def measure_vectors(spark, d):
     """Two measures of each graph and seven blocks of nodes as one sparse vector a subject."""
-    return learn.vector_entries(kernels.measure_vectors(fx.edges(spark, d), N), kernels.feature_names(N)).where("value <> 0").select("subject", "feature", r6("value"))
+    return learn.vector_entries(kernels.measure_vectors(fx.edges(spark, d), N), kernels.feature_names(N), zeros=False).select("subject", "feature", r6("value"))
 
 
 def _measure_features(spark, d):

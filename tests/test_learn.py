@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from cohortgraph.operators import learn
 
@@ -75,3 +76,14 @@ def test_svms_of_all_splits_equal_single_ones(spark):
             slack = np.maximum(1 - sign * (t @ w), 0)
             w -= 0.05 * (-2 * (sign * slack) @ t / len(t) + ridge * w)
         assert got[k] == pytest.approx(((z[part[k]] @ w > 0) == y[part[k]]).mean())
+
+
+def test_entries_of_vectors_take_labels_along(spark):
+    """Nothing is joined row by row, and no entry is searched for: the work follows the entries."""
+    names = [f"x{k}" for k in range(50)]
+    rows = spark.range(30).selectExpr("id as subject", "cast(id % 2 as int) as label", "transform(sequence(0, 48, 2), x -> cast(x as int)) as at", "transform(sequence(0, 48, 2), x -> cast(x + 1 as double)) as value")
+    every = learn.vector_entries(rows, names)
+    got = {r.label: (r.n, r.s) for r in every.groupBy("label").agg(F.count("feature").alias("n"), F.sum("value").alias("s")).collect()}
+    assert got == {c: (15 * 50, 15 * 625.0) for c in (0, 1)} and "element_at" not in every._jdf.queryExecution().toString()
+    few = learn.vector_entries(rows.where("subject = 1"), names, zeros=False).collect()
+    assert {(r.label, r.feature): r.value for r in few} == {(1, f"x{k}"): k + 1.0 for k in range(0, 50, 2)}
