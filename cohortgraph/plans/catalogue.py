@@ -453,7 +453,8 @@ def measure_vectors(spark, d):
 def _measure_features(spark, d):
     """All graph measures as features, label 1 for patients."""
     labels = fx.subjects(spark, d).select("subject", (F.col("cohort") == "patient").cast("int").alias("label"))
-    return learn.vector_entries(kernels.measure_vectors(fx.edges(spark, d), N), kernels.feature_names(N)).join(labels, "subject").select("subject", "label", "feature", "value")
+    vectors = kernels.measure_vectors(fx.edges(spark, d), N).join(labels, "subject")
+    return learn.vector_entries(vectors, kernels.feature_names(N)).select("subject", "label", "feature", "value")
 
 
 @query
