@@ -142,3 +142,16 @@ def test_rank_sums_equal_mann_whitney(spark, cohort):
     dense = spark.createDataFrame([(s, v, "patient" if in_a[s] else "control", float(x[s, v])) for s in range(23) for v in range(3)], "subject long, node int, cohort string, value double")
     want = {r.node: r.u1 - 9 * 14 / 2 for r in stats.mann_whitney(dense, ["node"]).collect()}
     assert got == pytest.approx(want)
+
+
+def test_sums_leave_in_a_bounded_number_of_pieces(spark, cohort, monkeypatch):
+    """23 blocks of subjects in four pieces: as many rows of sums as pieces, whatever the number of subjects."""
+    monkeypatch.setattr(resample, "SUBJECTS", 1)
+    monkeypatch.setattr(resample, "PIECES", 4)
+    x, in_a = cohort
+    rows, subjects = frames(spark, x, in_a)
+    held = resample.block_sums(rows, subjects, ["node"], 20, seed=5)
+    assert held.blocks.count() == 4
+    got = {(r.perm, r.node): r.stat for r in resample.permuted(rows, subjects, ["node"], 20, seed=5).collect()}
+    monkeypatch.undo()
+    assert got == pytest.approx({(r.perm, r.node): r.stat for r in resample.permuted(rows, subjects, ["node"], 20, seed=5).collect()})
