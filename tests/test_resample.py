@@ -155,3 +155,19 @@ def test_sums_leave_in_a_bounded_number_of_pieces(spark, cohort, monkeypatch):
     got = {(r.perm, r.node): r.stat for r in resample.permuted(rows, subjects, ["node"], 20, seed=5).collect()}
     monkeypatch.undo()
     assert got == pytest.approx({(r.perm, r.node): r.stat for r in resample.permuted(rows, subjects, ["node"], 20, seed=5).collect()})
+
+
+def test_values_are_worked_out_once(spark, cohort):
+    """Observed statistics, numbers of variables and sums all read one checkpoint. A node without values has its row."""
+    x, in_a = cohort
+    rows, subjects = frames(spark, x, in_a)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    given = rows.union(spark.createDataFrame([(0, 7, 0.0)], rows.schema))
+    p, _ = resample.tested(given.mapInPandas(count, rows.schema), subjects, ["node"], 20, seed=5)
+    assert {r.node: r.p for r in p.collect()}.keys() == {0, 1, 2, 7} and seen.value == given.count()
