@@ -398,3 +398,17 @@ def test_louvain_of_a_stack_equals_single_graphs():
     w = np.concatenate([_dense_graphs(30, 9), np.zeros((1, 9, 9))])
     w[:15] *= np.kron(np.eye(3), np.ones((3, 3)))
     assert (kernels.louvain_stack(w, range(31)) == [kernels.louvain(x, seed=s)[0] for s, x in enumerate(w)]).all()
+
+
+def test_logarithms_are_worked_out_once(spark):
+    """Numbers of entries, sums, whole sums and both sides of the test read one checkpoint."""
+    _, logs, groups = _logs(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    test = spectral.mean_permutation_test(logs.mapInPandas(count, logs.schema), groups, 3, 40, 1)
+    assert len(test.collect()) == 9 and seen.value == 12 * 9
