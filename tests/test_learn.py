@@ -87,3 +87,21 @@ def test_entries_of_vectors_take_labels_along(spark):
     assert got == {c: (15 * 50, 15 * 625.0) for c in (0, 1)} and "element_at" not in every._jdf.queryExecution().toString()
     few = learn.vector_entries(rows.where("subject = 1"), names, zeros=False).collect()
     assert {(r.label, r.feature): r.value for r in few} == {(1, f"x{k}"): k + 1.0 for k in range(0, 50, 2)}
+
+
+def test_cross_validation_in_few_parts_equals_sparks_own(spark, monkeypatch):
+    """Rows in 40 partitions come to as many as their bytes fill; scores are those of Spark's CrossValidator."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+
+    data = learn.wide(long_features(spark, 90, 5).withColumn("feature", F.col("feature").cast("string")), [str(k) for k in (0, 3, 1)]).repartition(40)
+    assert learn.in_few_parts(data).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(learn, "FIT_BYTES", 90 * 24 // 3)
+    assert learn.in_few_parts(data).rdd.getNumPartitions() == 3
+    folds = learn.stratified_folds(data, 3)
+    got = {(r.estimator, r.params): r.mean_score for r in learn.cross_validated(data, folds, ["naive_bayes"]).collect()}
+    table = data.join(folds.select("subject", "fold"), "subject").withColumn("label", F.col("label").cast("double")).persist()
+    for name in ("naive_bayes",):  # fits of the SVM take minutes
+        model, grid = learn.estimators()[name]
+        means = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=3, foldCol="fold").fit(table).avgMetrics
+        assert [got[name, ", ".join(sorted(f"{p.name}={v}" for p, v in params.items()))] for params in grid] == pytest.approx(means, abs=1e-6)
